@@ -23,35 +23,74 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+SEP = "\u0001"
+_HOST_RE = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)"
+_PORT_RE = r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*):([0-9]*)$"
+
+
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it many times inside ``fn``.
+
+    Catalyst substitutes column aliases into filters and joins; a large URL
+    expression referenced N times would be copied N times at every level.
+    Wrapping the use in a one-element ``transform`` keeps the plan linear.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def url_parts(u) -> Column:
+    """One regex pass -> array(scheme, '//'-flag, authority, path, query, fragment).
+
+    Unparseable strings give a one-element array.
+    """
+    rep = SEP.join(["$1", "$2", "$3", "$4", "$5", "$6"])
+    return F.split(F.regexp_replace(_c(u), URL_RE, rep), SEP)
+
+
+def _p(parts: Column, i: int) -> Column:
+    return F.try_element_at(parts, F.lit(i + 1))
+
+
+def _ok(parts: Column) -> Column:
+    return F.size(parts) == 6
+
+
+def _scheme(p):
+    return F.lower(_p(p, 0))
+
+
+def _host(p):
+    return F.lower(F.regexp_extract(_p(p, 2), _HOST_RE, 1))
+
+
+def _valid(p, u):
+    host = _host(p)
+    return F.coalesce(
+        u.isNotNull() & _ok(p)
+        & (~_scheme(p).isin(SPECIAL_SCHEMES) | ((host != "") & ~host.rlike(r"\s"))),
+        F.lit(False))
+
+
 def url_scheme(u) -> Column:
-    return F.lower(F.regexp_extract(_c(u), URL_RE, 1))
+    return let(url_parts(u), lambda p: F.when(_ok(p), _scheme(p)).otherwise(F.lit("")))
 
 
 def url_authority(u) -> Column:
-    return F.regexp_extract(_c(u), URL_RE, 3)
+    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 2)).otherwise(F.lit("")))
 
 
 def url_host(u) -> Column:
     """Lower-cased host without user info and port ('' when absent)."""
-    auth = url_authority(u)
-    return F.lower(F.regexp_extract(auth, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
-
-
-def url_port(u) -> Column:
-    return F.regexp_extract(url_authority(u), r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:]*):([0-9]*)$", 1)
+    return let(url_parts(u), lambda p: F.when(_ok(p), _host(p)).otherwise(F.lit("")))
 
 
 def url_path(u) -> Column:
-    return F.regexp_extract(_c(u), URL_RE, 4)
+    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 3)).otherwise(F.lit("")))
 
 
 def url_query(u) -> Column:
     """Query including the leading '?', '' when absent."""
-    return F.regexp_extract(_c(u), URL_RE, 5)
-
-
-def url_fragment(u) -> Column:
-    return F.regexp_extract(_c(u), URL_RE, 6)
+    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 4)).otherwise(F.lit("")))
 
 
 def url_valid(u) -> Column:
@@ -61,19 +100,13 @@ def url_valid(u) -> Column:
     host without white space.
     """
     u = _c(u)
-    scheme = url_scheme(u)
-    host = url_host(u)
-    return (
-        u.isNotNull()
-        & u.rlike(URL_RE)
-        & (~scheme.isin(SPECIAL_SCHEMES) | ((host != "") & ~host.rlike(r"\s")))
-    )
+    return let(url_parts(u), lambda p: _valid(p, u))
 
 
 def url_host_or_self(u) -> Column:
     """``url_host``: host for grouping; the whole string when unparseable."""
     u = _c(u)
-    return F.when(url_valid(u), url_host(u)).otherwise(u)
+    return let(url_parts(u), lambda p: F.when(_valid(p, u), _host(p)).otherwise(u))
 
 
 def url_normalize(u) -> Column:
@@ -82,11 +115,12 @@ def url_normalize(u) -> Column:
     Unparseable input is returned unchanged.
     """
     u = _c(u)
-    path = url_path(u)
-    path = F.when((path == "") & url_scheme(u).isin(SPECIAL_SCHEMES), F.lit("/")).otherwise(path)
-    return F.when(
-        url_valid(u), F.concat(url_scheme(u), F.lit("://"), url_host(u), path)
-    ).otherwise(u)
+
+    def body(p):
+        path = _p(p, 3)
+        path = F.when((path == "") & _scheme(p).isin(SPECIAL_SCHEMES), F.lit("/")).otherwise(path)
+        return F.when(_valid(p, u), F.concat(_scheme(p), F.lit("://"), _host(p), path)).otherwise(u)
+    return let(url_parts(u), body)
 
 
 def remove_dot_segments(path: Column) -> Column:
@@ -106,63 +140,70 @@ def remove_dot_segments(path: Column) -> Column:
     return F.when(path.contains("/."), joined).otherwise(path)
 
 
-def url_canonical(u) -> Column:
-    """Lower-case scheme and host, drop a default port, '/' for empty path."""
-    u = _c(u)
-    scheme = url_scheme(u)
-    host = url_host(u)
-    port = url_port(u)
+def _canonical(p, u):
+    scheme = _scheme(p)
+    auth = _p(p, 2)
+    host = _host(p)
+    port = F.regexp_extract(auth, _PORT_RE, 1)
     default_port = F.create_map(*[x for kv in DEFAULT_PORTS.items() for x in map(F.lit, kv)])
     keep_port = (port != "") & (F.coalesce(default_port[scheme], F.lit("")) != port)
-    path = url_path(u)
     special = scheme.isin(SPECIAL_SCHEMES)
+    path = _p(p, 3)
     path = F.when((path == "") & special, F.lit("/")).otherwise(path)
     path = F.when(special, remove_dot_segments(path)).otherwise(path)
-    userinfo = F.regexp_extract(url_authority(u), r"^([^@]*@)", 1)
-    has_auth = F.regexp_extract(u, URL_RE, 2) != ""
+    userinfo = F.regexp_extract(auth, r"^([^@]*@)", 1)
     rebuilt = F.concat(
         scheme, F.lit(":"),
-        F.when(has_auth, F.concat(F.lit("//"), userinfo, host,
-                                  F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(F.lit(""))))
+        F.when(_p(p, 1) != "", F.concat(F.lit("//"), userinfo, host,
+                                        F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(F.lit(""))))
         .otherwise(F.lit("")),
-        path, url_query(u), url_fragment(u),
+        path, _p(p, 4), _p(p, 5),
     )
-    return F.when(url_valid(u), rebuilt).otherwise(u)
+    return F.when(_valid(p, u), rebuilt).otherwise(u)
+
+
+def url_canonical(u) -> Column:
+    """Lower-case scheme and host, drop a default port, '/' for empty path,
+    remove dot segments."""
+    u = _c(u)
+    return let(u, lambda v: let(url_parts(v), lambda p: _canonical(p, v)))
 
 
 def _resolve_join(h: Column, b: Column) -> Column:
-    b_scheme = url_scheme(b)
-    b_origin = F.concat(b_scheme, F.lit("://"), url_authority(b))
-    b_path = url_path(b)
-    b_path = F.when(b_path == "", F.lit("/")).otherwise(b_path)
-    b_dir = F.regexp_extract(b_path, r"^(.*/)", 1)
-    no_frag = F.concat(b_origin, b_path, url_query(b))
-    return (
-        F.when(h.rlike(SCHEME_RE), h)
-        .when(h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(b_origin, h))
-        .when(h.startswith("?"), F.concat(b_origin, b_path, h))
-        .when(h.startswith("#"), F.concat(no_frag, h))
-        .when(h == "", no_frag)
-        .otherwise(F.concat(b_origin, b_dir, h))
-    )
+    """Raw ``href`` joined onto ``base`` (NULL when the base is unusable)."""
+    def body(bp):
+        b_scheme = _scheme(bp)
+        b_origin = F.concat(b_scheme, F.lit("://"), _p(bp, 2))
+        b_path = F.when(_p(bp, 3) == "", F.lit("/")).otherwise(_p(bp, 3))
+        b_dir = F.regexp_extract(b_path, r"^(.*/)", 1)
+        no_frag = F.concat(b_origin, b_path, _p(bp, 4))
+        base_ok = _valid(bp, b) & b_scheme.isin(SPECIAL_SCHEMES)
+        return (
+            F.when(h.rlike(SCHEME_RE), h)
+            .when(~base_ok, F.lit(None).cast("string"))
+            .when(h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(b_origin, h))
+            .when(h.startswith("?"), F.concat(b_origin, b_path, h))
+            .when(h.startswith("#"), F.concat(no_frag, h))
+            .when(h == "", no_frag)
+            .otherwise(F.concat(b_origin, b_dir, h))
+        )
+    return let(url_parts(b), body)
+
+
+def url_resolve(href, base) -> Column:
+    """``url_resolve``: ``new URL(href, base).href``; ``href`` on failure."""
+    href = _c(href)
+    joined = let(F.trim(href), lambda h: _resolve_join(h, _c(base)))
+
+    def final(j):
+        return let(url_parts(j), lambda p: F.when(j.isNotNull() & _valid(p, j), _canonical(p, j)))
+    return F.coalesce(let(joined, final), href)
 
 
 def with_resolved(df, href: str, base: str, out: str = "url"):
-    """``url_resolve``: add ``out`` = ``new URL(href, base).href``; keep
-    ``href`` on failure.
-
-    Built in stages (join, canonicalize, validate) so that each large
-    intermediate is computed once per row: Catalyst will not collapse a
-    projection that would duplicate an expensive expression.
-    """
-    h = F.trim(F.col(href))
-    b = F.col(base)
-    base_ok = url_valid(b) & url_scheme(b).isin(SPECIAL_SCHEMES)
-    df = df.withColumn("_rj", F.when(h.rlike(SCHEME_RE) | base_ok, _resolve_join(h, b)))
-    df = df.withColumn("_rc", url_canonical("_rj"))
-    res = F.when(F.col("_rj").isNotNull() & url_valid("_rc"), F.col("_rc")).otherwise(F.col(href))
-    return df.withColumn(out, res).drop("_rj", "_rc")
+    """Add ``out`` = ``url_resolve(href, base)``."""
+    return df.withColumn(out, url_resolve(href, base))
 
 
 def _segments(path: Column) -> Column:
@@ -233,7 +274,10 @@ def url_municipal_similarity(u1, u2) -> Column:
 
 def url_similarity(u1, u2) -> Column:
     """``url_similarity``: min(1, 0.3 same host + path/municipal + 0.2 query)."""
-    u1, u2 = _c(u1), _c(u2)
+    return let(F.array(_c(u1), _c(u2)), lambda a: _similarity(a[0], a[1]))
+
+
+def _similarity(u1: Column, u2: Column) -> Column:
     score = (
         F.when(url_host(u1) == url_host(u2), 0.3).otherwise(0.0)
         + F.when(url_municipal_pattern(u1, u2), url_municipal_similarity(u1, u2))
@@ -251,7 +295,7 @@ def url_common_path(p1, p2) -> Column:
     # first index where they differ (n+1 when none)
     first_diff = F.aggregate(
         idx, n + 1,
-        lambda acc, i: F.when((i <= n) & (acc == n + 1) & (F.element_at(a, i) != F.element_at(b, i)), i)
+        lambda acc, i: F.when((i <= n) & (acc == n + 1) & (F.try_element_at(a, i) != F.try_element_at(b, i)), i)
         .otherwise(acc),
     )
     common = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.slice(a, 1, first_diff - 1))

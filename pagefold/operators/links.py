@@ -138,3 +138,100 @@ def host_link_report(pages: DataFrame) -> DataFrame:
         F.count_if("internal").alias("n_internal_links"),
         F.round(F.avg("sim"), 6).alias("avg_similarity"),
     )
+
+
+def link_is_likely_content(href, text) -> Column:
+    """``link_is_likely_content``: light executor filter (lower-cased URL).
+
+    Empty (falsy) text skips the text rule, as in the reference.
+    """
+    h = F.lower(U._c(href))
+    t = U._c(text)
+    lt = F.trim(F.lower(t))
+    bad_text = (t.isNotNull() & (t != "")) & (((F.length(lt) == 1) & lt.isin(">", "<", "→", "←")) | (lt == ""))
+    return F.coalesce(~_any_contains(h, LIGHT_DENY) & ~bad_text, F.lit(False))
+
+
+# Light filter deny list (URL fragments).
+LIGHT_DENY = ["javascript:", "#", "/login", "/register", "/contact", "/kontakt",
+              "/imprint", "/impressum", "/privacy", "/datenschutz"]
+
+# Strict (deprecated) filter deny lists.
+STRICT_DENY_URL = [
+    "/page/", "/seite/", "?page=", "&page=", "/next", "/prev", "/previous", "/weiter",
+    "/zurück", "/back", "javascript:", "#", "/search", "/suche", "/filter", "/sort",
+    "/login", "/register", "/contact", "/kontakt", "/imprint", "/impressum", "/privacy",
+    "/datenschutz", "/share", "/teilen", "/print", "/drucken", "/edit", "/bearbeiten",
+    "/delete", "/löschen",
+]
+STRICT_DENY_TEXT = [
+    "next", "previous", "prev", "weiter", "zurück", "back", "mehr", "more", "alle", "all",
+    "share", "teilen", "print", "drucken", "edit", "bearbeiten", "delete", "löschen",
+    ">>", "<<", ">", "<", "→", "←", "...",
+]
+
+
+def link_is_content_strict(href, text) -> Column:
+    """``link_is_content_strict``: wide deny list on URL and text."""
+    h = F.lower(U._c(href))
+    t = U._c(text)
+    lt = F.trim(F.lower(t))
+    has_text = t.isNotNull() & (t != "")
+    bad_text = has_text & (_any_contains(lt, STRICT_DENY_TEXT) | ((F.length(lt) < 3) & ~lt.rlike(r"\d")))
+    return F.coalesce(~_any_contains(h, STRICT_DENY_URL) & ~bad_text, F.lit(False))
+
+
+def derive_examples(pages: DataFrame) -> DataFrame:
+    """Example fixture derived from pages: the second resolved link of each
+    page is the example URL of that page (main_url = page URL)."""
+    links = resolved_links(pages.select("page_id", "url", "html"))
+    return links.filter("pos = 1").select(
+        F.col("page_id").alias("example_id"), F.col("page_url").alias("main_url"),
+        F.col("url").alias("example_url"))
+
+
+def sibling_candidates(links: DataFrame, examples: DataFrame, include_external: bool = False) -> DataFrame:
+    """``sibling_filter``: unique valid links of the example's page, example
+    dropped, similarity >= 0.5 (municipal pattern) or 0.6.
+
+    Equi-join on the page key first (no pairs across pages), then the
+    similarity predicate on the joined rows.
+    """
+    lk = links.select("page_id", "pos", "url")
+    ex = examples.select(F.col("example_id").alias("page_id"), "example_url")
+    j = lk.join(ex, "page_id").filter(link_scope_ok("url", "example_url", include_external))
+    j = j.groupBy("page_id", "example_url", "url").agg(F.min("pos").alias("pos"))
+    j = j.withColumn("score", U.url_similarity("url", "example_url")).withColumn(
+        "threshold", F.when(U.url_municipal_pattern("url", "example_url"), 0.5).otherwise(0.6))
+    return j.filter((F.col("url") != F.col("example_url")) & (F.col("score") >= F.col("threshold"))).drop("threshold")
+
+
+def sibling_rank(cands: DataFrame, k: int = 10) -> DataFrame:
+    """``sibling_rank``: by similarity desc (stable on position), top k."""
+    w = Window.partitionBy("page_id").orderBy(F.desc("score"), "pos")
+    return cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def link_patterns(cands: DataFrame) -> DataFrame:
+    """``link_patterns``: labels over a link set vs its example URL."""
+    same_depth = F.size(F.split(U.url_path("url"), "/")) == F.size(F.split(U.url_path("example_url"), "/"))
+    agg = cands.groupBy("page_id").agg(
+        F.bool_and(F.col("url").rlike(r"\d{4,}")).alias("ids"),
+        F.bool_or(F.col("url").rlike(r"\d{4}[-_]\d{2}[-_]\d{2}")).alias("dated"),
+        F.bool_and(U.url_valid("url") & same_depth).alias("depth"),
+    )
+    labels = F.array_compact(F.array(
+        F.when(F.col("ids"), F.lit("consistent-id-pattern")),
+        F.when(F.col("dated"), F.lit("date-pattern")),
+        F.when(F.col("depth"), F.lit("consistent-path-structure")),
+    ))
+    return agg.select("page_id", labels.alias("patterns"))
+
+
+def pagination_total(links: DataFrame, keys=("page_id",)) -> DataFrame:
+    """``pagination_total``: max page number in page=n / page/n / p=n, else link count."""
+    n1 = F.regexp_extract("url", r"(?i)page[=/](\d+)", 1)
+    n2 = F.regexp_extract("url", r"(?i)p=(\d+)", 1)
+    num = F.when(n1 != "", n1).when(n2 != "", n2).try_cast("bigint")
+    return links.groupBy(*keys).agg(
+        F.coalesce(F.max(num), F.count("*")).alias("total_pages"))

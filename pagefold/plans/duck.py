@@ -139,8 +139,8 @@ def query_keys(u: str) -> str:
 
 def overlap(a: str, b: str) -> str:
     common = f"len(list_filter({a}, lambda x: list_contains({b}, x)))"
-    return (f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 "
-            f"WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 "
+    return (f"(CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0e0 "
+            f"WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0e0 "
             f"ELSE {common} / greatest(len({a}), len({b})) END)")
 
 
@@ -165,17 +165,17 @@ def municipal_similarity(u1: str, u2: str) -> str:
     f1 = f"regexp_extract({path(u1)}, '([^/]*)$', 1)"
     f2 = f"regexp_extract({path(u2)}, '([^/]*)$', 1)"
     kw = " OR ".join(f"(contains(lower({f1}), {q(k)}) AND contains(lower({f2}), {q(k)}))" for k in MUNI_KW)
-    return (f"((CASE WHEN contains({f1}, '.htm') AND contains({f2}, '.htm') THEN 0.2 ELSE 0.0 END) + "
-            f"(CASE WHEN regexp_matches({f1}, '\\d{{4,6}}\\.htm') AND regexp_matches({f2}, '\\d{{4,6}}\\.htm') THEN 0.3 ELSE 0.0 END) + "
-            f"(CASE WHEN regexp_matches({f1}, '\\+.*\\+') AND regexp_matches({f2}, '\\+.*\\+') THEN 0.2 ELSE 0.0 END) + "
-            f"(CASE WHEN {kw} THEN 0.1 ELSE 0.0 END))")
+    return (f"((CASE WHEN contains({f1}, '.htm') AND contains({f2}, '.htm') THEN 0.2e0 ELSE 0.0e0 END) + "
+            f"(CASE WHEN regexp_matches({f1}, '\\d{{4,6}}\\.htm') AND regexp_matches({f2}, '\\d{{4,6}}\\.htm') THEN 0.3e0 ELSE 0.0e0 END) + "
+            f"(CASE WHEN regexp_matches({f1}, '\\+.*\\+') AND regexp_matches({f2}, '\\+.*\\+') THEN 0.2e0 ELSE 0.0e0 END) + "
+            f"(CASE WHEN {kw} THEN 0.1e0 ELSE 0.0e0 END))")
 
 
 def similarity(u1: str, u2: str) -> str:
-    score = (f"((CASE WHEN {host(u1)} = {host(u2)} THEN 0.3 ELSE 0.0 END) + "
+    score = (f"((CASE WHEN {host(u1)} = {host(u2)} THEN 0.3e0 ELSE 0.0e0 END) + "
              f"(CASE WHEN {municipal_pattern(u1, u2)} THEN {municipal_similarity(u1, u2)} "
-             f"ELSE {path_similarity(u1, u2)} * 0.5 END) + {query_similarity(u1, u2)} * 0.2)")
-    return f"(CASE WHEN {valid(u1)} AND {valid(u2)} THEN least({score}, 1.0) ELSE 0.0 END)"
+             f"ELSE {path_similarity(u1, u2)} * 0.5e0 END) + {query_similarity(u1, u2)} * 0.2e0)")
+    return f"(CASE WHEN {valid(u1)} AND {valid(u2)} THEN least({score}, 1.0e0) ELSE 0.0e0 END)"
 
 
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
