@@ -1,0 +1,110 @@
+"""Reference-shaped tables derived from the driver tables.
+
+The reference's inputs (extracted items, executions, recorded model calls,
+robots files, consent checks ...) do not exist as driver tables, so each one
+is derived from them by a fixed expression (FIXTURES.md section 2).  Every
+derivation is a narrow projection or a key join, so its size grows with the
+driver tables.  The DuckDB oracle builds the same tables with the same
+expressions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagefold.functions import html as H
+from pagefold.sources.tables import read_table
+
+# First match of the extraction selectors used for pages (h1, article, lang).
+H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+ARTICLE_RE = r"(?is)<article\b[^>]*>(.*?)</article>"
+LANG_RE = r"(?i)<html\b[^>]*\blang=\"([^\"]*)\""
+IMG_RE = r"""(?i)<img\b[^>]*\bsrc\s*=\s*["']([^"']*)["']"""
+FOOTER_HOST_RE = r"&copy; ([^ <]+)"
+EMAIL_FIND_RE = r"[\w.\-]+@[\w.\-]+\.\w+"
+PHONE_FIND_RE = r"[\d\s\-+()/]{8,}"
+
+
+def text_of(fragment) -> F.Column:
+    """textContent-like: tags removed, entities decoded, white space collapsed."""
+    return F.trim(F.regexp_replace(H.strip_tags(fragment), r"\s+", " "))
+
+
+def first_text(h: F.Column, pattern: str) -> F.Column:
+    """Text of the first element matched by ``pattern`` (NULL when none)."""
+    return F.when(h.rlike(pattern), text_of(F.regexp_extract(h, pattern, 1)))
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """Items as the detail extractor yields them from a page: title = h1,
+    description = article text, language = html lang, images = img src."""
+    h = F.col("html")
+    lang = F.regexp_extract(h, LANG_RE, 1)
+    return pages.select(
+        F.col("page_id").alias("item_id"),
+        first_text(h, H1_RE).alias("title"),
+        first_text(h, ARTICLE_RE).alias("description"),
+        F.when(lang != "", lang).alias("language"),
+        F.regexp_extract_all(h, F.lit(IMG_RE), 1).alias("images"),
+        F.nullif(F.regexp_extract(h, FOOTER_HOST_RE, 1), F.lit("")).alias("website"),
+        F.col("url").alias("sourceUrl"),
+    )
+
+
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+              "l_discount", "l_tax", "l_shipdate"]
+
+
+def first_lines(lineitem: DataFrame) -> DataFrame:
+    """The first line of every order (line numbers repeat in the data, so
+    ties break on part, supplier, price ...).  A grouped ``min_by`` combines
+    map-side, so no order's lines are gathered in one place."""
+    cols = ["l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate", "l_linenumber"]
+    g = lineitem.groupBy("l_orderkey").agg(
+        F.min_by(F.struct(*cols), F.struct(*LINE_ORDER)).alias("l"))
+    return g.select("l_orderkey", "l.*")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``items`` fact table derived from the driver tables.
+
+    Text fields come from the page; contact data from the document with the
+    same id; prices, dates and coordinates from the order with the same key
+    (its first line and its customer).  Every join is on a key, left outer,
+    so each page yields exactly one item.
+    """
+    p = page_items(read_table(spark, sf_dir, "pages"))
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"),
+        F.nullif(F.regexp_extract("text", EMAIL_FIND_RE, 0), F.lit("")).alias("email"),
+        F.nullif(F.regexp_extract("text", PHONE_FIND_RE, 0), F.lit("")).alias("phone"))
+    li = first_lines(read_table(spark, sf_dir, "lineitem")).select(
+        F.col("l_orderkey").alias("item_id"), "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_shipdate")
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("item_id"), "o_orderdate", "o_custkey")
+    cu = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    j = p.join(d, "item_id", "left").join(li, "item_id", "left").join(o, "item_id", "left") \
+        .join(cu, "o_custkey", "left")
+    iid = F.col("item_id")
+    start = F.when(iid % 7 == 0, F.concat(F.lit("31.02."), F.date_format("o_orderdate", "yyyy"))) \
+        .when(iid % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")) \
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    end = F.date_format("l_shipdate", "yyyy-MM-dd")
+    disc = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") * (1 + F.col("l_tax"))) \
+        .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    images = F.when(iid % 5 == 0, F.concat(F.col("images"), F.array(F.concat(
+        F.lit("/img/"), iid.cast("string"), F.lit(".jpg"))))).otherwise(F.col("images"))
+    return j.select(
+        "item_id", "title", F.lit(None).cast("string").alias("place"), "description",
+        F.lit(None).cast("string").alias("address"), "email", "phone", "website",
+        F.col("l_extendedprice").alias("price"), disc.alias("discountPrice"),
+        (F.col("c_acctbal") / 50).alias("longitude"),
+        F.when(iid % 3 != 0, F.col("c_acctbal") / 120).alias("latitude"),
+        start.alias("startDate"), end.alias("endDate"),
+        F.when(end.isNotNull(), F.array(end)).otherwise(F.array().cast("array<string>")).alias("dates"),
+        F.lit(None).cast("string").alias("createdAt"),
+        ((F.col("o_custkey") * 97) % 120000).cast("int").alias("zipcode"),
+        images.alias("images"), "language", "sourceUrl",
+    )
