@@ -36,7 +36,7 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every plan module so their queries register."""
     from pagefold.plans import (  # noqa: F401
-        q_links, q_html, q_items, q_compliance, q_telemetry, q_ops, q_retrieval,
+        q_links, q_html, q_items, q_extract, q_compliance, q_telemetry, q_ops, q_retrieval,
         q_dom, q_consent, q_streaming, q_sources,
     )
     return REGISTRY
