@@ -108,3 +108,62 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_custkey") * 97) % 120000).cast("int").alias("zipcode"),
         images.alias("images"), "language", "sourceUrl",
     )
+
+
+ROBOTS_EPOCH = "2024-01-01 00:00:00"
+
+
+def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``robots(domain, status, body, fetched_at)``: one robots.txt per host,
+    built from the host and its first page id (k = id % 4 picks the shape;
+    every 7th host failed to fetch)."""
+    from pagefold.functions import url as U
+    p = read_table(spark, sf_dir, "pages").groupBy(U.url_host("url").alias("domain")).agg(
+        F.min("page_id").alias("pid"))
+    k = F.col("pid") % 4
+    base = F.concat(
+        F.lit("# robots.txt for "), F.col("domain"), F.lit("\n\nUser-agent: *\nDisallow: /fr/\nAllow: /en/\n"),
+        F.lit("Crawl-delay: "), (F.col("pid") % 5).cast("string"),
+        F.lit("\nSitemap: https://"), F.col("domain"), F.lit("/sitemap.xml\n"))
+    agent = F.lit("\nUser-agent: ai-scraper-service/1.0\nAllow: /de/\nDisallow: /e*\nCrawl-delay: 2\n")
+    body = (F.when(k == 1, F.concat(base, agent))
+            .when(k == 2, F.lit("User-agent: *\nDisallow: /\n"))
+            .otherwise(base))
+    status = F.when(F.col("pid") % 7 == 0, F.lit(0)).when(k == 3, F.lit(404)).otherwise(F.lit(200))
+    fetched = F.to_timestamp(F.lit(ROBOTS_EPOCH)) + F.make_interval(hours=F.col("pid").cast("int"))
+    return p.select("domain", status.alias("status"), body.alias("body"), fetched.alias("fetched_at"))
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct page hosts with their source type."""
+    from pagefold.functions import url as U
+    from pagefold.operators.compliance import source_type_of
+    h = read_table(spark, sf_dir, "pages").select(U.url_host("url").alias("domain")).distinct()
+    return h.select("domain", source_type_of(F.col("domain")).alias("source_type"))
+
+
+def deletion_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deletion_requests(request_id, domain, email, phone, from_ts, to_ts)``:
+    domain requests from every 25th page, e-mail / phone requests from
+    documents, 30-day date ranges from every 1000th order."""
+    from pagefold.functions import url as U
+    ts_null = F.lit(None).cast("timestamp")
+    s_null = F.lit(None).cast("string")
+    pg = read_table(spark, sf_dir, "pages").filter(F.col("page_id") % 25 == 0).select(
+        F.concat(F.lit("dom-"), F.col("page_id").cast("string")).alias("request_id"),
+        U.url_host("url").alias("domain"), s_null.alias("email"), s_null.alias("phone"),
+        ts_null.alias("from_ts"), ts_null.alias("to_ts"))
+    docs = read_table(spark, sf_dir, "documents")
+    em = F.regexp_extract("text", EMAIL_FIND_RE, 0)
+    ph = F.regexp_extract("text", PHONE_FIND_RE, 0)
+    mail = docs.filter((F.col("doc_id") % 10 == 3) & (em != "")).select(
+        F.concat(F.lit("mail-"), F.col("doc_id").cast("string")).alias("request_id"), s_null.alias("domain"),
+        em.alias("email"), s_null.alias("phone"), ts_null.alias("from_ts"), ts_null.alias("to_ts"))
+    tel = docs.filter((F.col("doc_id") % 10 == 7) & (ph != "")).select(
+        F.concat(F.lit("tel-"), F.col("doc_id").cast("string")).alias("request_id"), s_null.alias("domain"),
+        s_null.alias("email"), ph.alias("phone"), ts_null.alias("from_ts"), ts_null.alias("to_ts"))
+    od = read_table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 1000 == 0).select(
+        F.concat(F.lit("date-"), F.col("o_orderkey").cast("string")).alias("request_id"), s_null.alias("domain"),
+        s_null.alias("email"), s_null.alias("phone"), F.col("o_orderdate").cast("timestamp").alias("from_ts"),
+        (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("to_ts"))
+    return pg.unionByName(mail).unionByName(tel).unionByName(od)
