@@ -167,3 +167,64 @@ def deletion_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         s_null.alias("email"), s_null.alias("phone"), F.col("o_orderdate").cast("timestamp").alias("from_ts"),
         (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("to_ts"))
     return pg.unionByName(mail).unionByName(tel).unionByName(od)
+
+
+LLM_EPOCH = "2024-01-01 00:00:00"
+# Fixed lists used to derive recorded model calls from conversations.
+LLM_SERVICES = ["content-analysis", "sibling-link-discovery", "html-compressor", "cookie-consent"]
+LLM_PROVIDERS = ["ollama", "openai", "anthropic"]
+
+
+def _conv_ts() -> F.Column:
+    return (F.to_timestamp(F.lit(LLM_EPOCH)) + F.make_interval(hours=F.col("conv_id").cast("int"))
+            + F.make_interval(mins=F.col("turn").cast("int")))
+
+
+def llm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded requests: every user turn of a conversation (provider by
+    conversation id % 3, service by turn % 4, 25 sessions)."""
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    svc = F.element_at(F.array(*[F.lit(s) for s in LLM_SERVICES]), (F.col("turn") % 4 + 1).cast("int"))
+    prov = F.element_at(F.array(*[F.lit(s) for s in LLM_PROVIDERS]), (F.col("conv_id") % 3 + 1).cast("int"))
+    return c.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit("session-"), (F.col("conv_id") % 25).cast("string")).alias("session_id"),
+        _conv_ts().alias("ts"), svc.alias("service"), F.lit("generate").alias("method"),
+        prov.alias("provider"), F.concat(prov, F.lit("-model")).alias("model"),
+        F.col("text").alias("prompt"),
+        F.when(F.col("turn") % 2 == 0, "json").otherwise("text").alias("format"))
+
+
+def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded responses: every assistant turn answers the latest user turn
+    before it in the same conversation."""
+    from pyspark.sql import Window
+    c = read_table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("req_turn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w))
+    r = c.filter((F.col("role") == "assistant") & F.col("req_turn").isNotNull())
+    ok = (F.length("text") > 0) & (F.col("conv_id") % 11 != 0)
+    return r.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("req_turn").cast("string")).alias("request_id"),
+        _conv_ts().alias("ts"), F.col("text").alias("content"),
+        F.when(F.col("turn") % 5 != 4, F.ceil(F.length("text") / F.lit(3.5)).cast("bigint")).alias("tokens_used"),
+        (F.length("text") * 3).cast("bigint").alias("duration_ms"), ok.alias("success"),
+        F.when(~ok, F.lit("timeout")).alias("error"),
+        F.col("turn").alias("seq"))
+
+
+def llm_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context updates: each response sets 'phase' and 'chars' again."""
+    r = llm_responses(spark, sf_dir)
+    return r.select("request_id", "seq", F.explode(F.array(
+        F.struct(F.lit("phase").alias("key"), F.concat(F.lit("turn-"), F.col("seq").cast("string")).alias("value")),
+        F.struct(F.lit("chars").alias("key"), F.length("content").cast("string").alias("value")))).alias("kv")) \
+        .select("request_id", "seq", "kv.key", "kv.value")
+
+
+def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model replies to parse: event payloads (JSON) and assistant turns (prose)."""
+    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("reply_id"), F.col("props").alias("reply"))
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
+        (-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("reply_id"), F.col("text").alias("reply"))
+    return e.unionByName(c)
