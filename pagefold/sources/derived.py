@@ -228,3 +228,25 @@ def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
         (-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("reply_id"), F.col("text").alias("reply"))
     return e.unionByName(c)
+
+
+def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``executions``: one run per event; plan = user, failed = 'error'
+    events; items = floor(value), pages 1-3, duration = value seconds."""
+    e = read_table(spark, sf_dir, "events")
+    ts = F.col("ts").cast("timestamp")
+    dur = F.round(F.col("value") * 1000).cast("bigint")
+    return e.select(
+        F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run_id"),
+        F.concat(F.lit("plan-"), F.col("user_id").cast("string")).alias("plan_id"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        ts.alias("start_time"),
+        F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 1000000).cast("bigint")).alias("end_time"),
+        F.floor("value").cast("bigint").alias("items_extracted"),
+        (F.col("event_id") % 3 + 1).alias("pages_processed"),
+        dur.alias("duration_ms"),
+        F.when(F.col("event_type") == "error", 1).otherwise(0).cast("bigint").alias("errors_encountered"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("Selector timeout on page "),
+                                                         (F.col("event_id") % 3 + 1).cast("string")))
+        .alias("error_message"),
+        F.col("event_type"), F.col("user_id"), F.col("props"))
