@@ -1,3 +1,160 @@
-"""Registered queries."""
+"""Registered DOM-tier queries.
+
+These run the Python shred once per query; where a SQL formulation exists
+for the synthetic pages (tag counts, a few selectors) it is given as the
+oracle, otherwise the check is on rows plus golden unit tests.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagefold.operators import chunks as K
+from pagefold.operators import dom as M
+from pagefold.operators import telemetry as T
+from pagefold.plans import duck as D
+from pagefold.plans.catalog import register
+from pagefold.sources.tables import pages
+
+_CLEAN = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+          "'(?is)(<script\\b[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style>', '\\1', 'g')")
+
+
+def _nodes(spark, sf_dir):
+    return M.dom_shred(pages(spark, sf_dir))
+
+
+@register("dom_shred", oracle=f"""
+SELECT page_id, tag, count(*) AS n_nodes FROM (
+  SELECT page_id, lower(unnest(regexp_extract_all({_CLEAN}, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages)
+GROUP BY 1, 2""")
+def dom_shred(spark, sf_dir):
+    """Element counts per page and tag of the shredded node table."""
+    return _nodes(spark, sf_dir).groupBy("page_id", "tag").agg(F.count("*").alias("n_nodes"))
+
+
+DOM_SELECTORS = {"nav_a": "nav a", "div_ad": "div.ad", "article_p": "article > p", "h1": "h1",
+                 "li_link": "ul > li > a[href]"}
+
+
+def _block_count(block: str, pat: str) -> str:
+    inner = f"regexp_extract({_CLEAN}, '(?is)<{block}\\b.*?</{block}>', 0)"
+    return f"len(regexp_extract_all({inner}, {D.q(pat)}, 0))"
+
+
+@register("selector_match", oracle=f"""
+SELECT page_id, sel_id, n FROM (
+  SELECT page_id, 'nav_a' AS sel_id, {_block_count('nav', '<a\\b')} AS n FROM pages
+  UNION ALL SELECT page_id, 'div_ad', len(regexp_extract_all({_CLEAN}, '<div class="ad"', 0)) FROM pages
+  UNION ALL SELECT page_id, 'article_p', {_block_count('article', '<p\\b')} FROM pages
+  UNION ALL SELECT page_id, 'h1', len(regexp_extract_all({_CLEAN}, '<h1\\b', 0)) FROM pages
+  UNION ALL SELECT page_id, 'li_link', {_block_count('ul', '<li><a href=')} FROM pages)
+WHERE n > 0""")
+def selector_match(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    steps = M.selector_table(spark, DOM_SELECTORS)
+    return M.selector_match(nodes, steps).groupBy("page_id", "sel_id").agg(F.count("*").alias("n"))
+
+
+@register("element_path")
+def element_path(spark, sf_dir):
+    return M.element_path(_nodes(spark, sf_dir))
+
+
+@register("container_signature")
+def container_signature(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return n.select("page_id", "node_id", M.container_signature(n).alias("signature"))
+
+
+@register("specific_selector")
+def specific_selector(spark, sf_dir):
+    return M.specific_selector(_nodes(spark, sf_dir))
+
+
+@register("container_order")
+def container_order(spark, sf_dir):
+    return M.container_order(_nodes(spark, sf_dir))
+
+
+@register("is_list_container")
+def is_list_container(spark, sf_dir):
+    return M.is_list_container(_nodes(spark, sf_dir))
+
+
+def _structural(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return K.structural_extract(M.dom_shred(p), p)
+
+
+@register("structural_extract", oracle=f"""
+SELECT page_id, category, n FROM (
+  SELECT page_id, 'mainContent' AS category, len(regexp_extract_all({_CLEAN}, '<(article|main)\\b', 0)) AS n FROM pages
+  UNION ALL SELECT page_id, 'navigation', len(regexp_extract_all({_CLEAN}, '<nav\\b', 0)) FROM pages
+  UNION ALL SELECT page_id, 'advertisements', len(regexp_extract_all({_CLEAN}, 'class="ad"', 0)) FROM pages
+  UNION ALL SELECT page_id, 'footers', len(regexp_extract_all({_CLEAN}, '<footer\\b', 0)) FROM pages)
+WHERE n > 0""")
+def structural_extract(spark, sf_dir):
+    """Elements per page and structural category (counts; content in the
+    operator output)."""
+    return _structural(spark, sf_dir).groupBy("page_id", "category").agg(F.count("*").alias("n"))
+
+
+def _chunks(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    nodes = M.dom_shred(p)
+    st = K.structural_extract(nodes, p)
+    sem = K.chunk_semantic(nodes, p)
+    return p, st, sem
+
+
+@register("chunk_semantic")
+def chunk_semantic(spark, sf_dir):
+    _, _, sem = _chunks(spark, sf_dir)
+    return sem.select("page_id", "idx", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+@register("chunk_structural")
+def chunk_structural(spark, sf_dir):
+    _, st, _ = _chunks(spark, sf_dir)
+    c = K.chunk_structural(st)
+    return c.select("page_id", "idx", "category", F.length("content").alias("chars"))
+
+
+@register("chunk_hybrid")
+def chunk_hybrid(spark, sf_dir):
+    _, st, sem = _chunks(spark, sf_dir)
+    h = K.chunk_hybrid(sem, K.chunk_structural(st))
+    return h.select("page_id", "seq", "type", "category", F.length("content").alias("chars"))
+
+
+@register("chunk_classify")
+def chunk_classify(spark, sf_dir):
+    _, st, sem = _chunks(spark, sf_dir)
+    c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
+    return c.select("page_id", "seq", "relevance", "content_type", "keep")
+
+
+@register("chunk_merge")
+def chunk_merge(spark, sf_dir):
+    p, st, sem = _chunks(spark, sf_dir)
+    c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
+    m = K.chunk_merge(c, st, p)
+    return m.select("page_id", "n_chunks", "n_kept", "n_removed", F.length("document").alias("doc_chars"),
+                    F.round("size_ratio", 6).alias("size_ratio"))
+
+
+@register("focus_content_areas")
+def focus_content_areas(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    f = K.focus_content_areas(M.dom_shred(p), p, ["article", ".content"])
+    return f.select("page_id", "n_elements", F.length("focused").alias("chars"), F.md5("focused").alias("focused_md5"))
+
+
+@register("llm_progressive_context")
+def llm_progressive_context(spark, sf_dir):
+    _, st, sem = _chunks(spark, sf_dir)
+    c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
+    pc = T.llm_progressive_context(c, "page_id", "seq")
+    return pc.select("page_id", "seq", F.length("accumulated_context").alias("context_chars"),
+                     F.size("recent_chunks").alias("n_recent"))
