@@ -1,3 +1,203 @@
-"""Registered queries."""
+"""Registered streaming queries.
+
+Stateless / aggregating jobs are registered in their batch form (same
+expressions as the stream) with a SQL oracle; ``stream_plan_metrics``,
+``stream_page_ingest``, ``stream_terminal`` and ``stream_consent_ttl`` run an
+actual Structured Streaming query to completion (``availableNow``) into the
+shared checkpoint folder and return what it wrote.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagefold.operators import ops as O
+from pagefold.operators import quality as Q
+from pagefold.plans import duck as D
+from pagefold.plans.catalog import register
+from pagefold.plans.q_ops import SQL_RUNS
+from pagefold.sources import derived as S
+from pagefold.sources.tables import read_table
+from pagefold.streaming import jobs as J
+
+EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PAGES_SCHEMA = "page_id long, url string, html string"
+
+SQL_TASK_EVENTS = """
+task_events AS (
+  SELECT 'task-' || CAST(user_id % 20 AS VARCHAR) AS task_id, ts, event_id,
+    CASE WHEN value > 49.5 AND event_type = 'purchase' THEN 'complete'
+         WHEN value > 49.5 AND event_type = 'error' THEN 'error' ELSE 'log' END AS type,
+    CASE WHEN value > 49.5 AND event_type = 'purchase' THEN '0' WHEN value > 49.5 AND event_type = 'error' THEN '1'
+         WHEN event_type = 'view' THEN 'Initializing browser for ' || props
+         WHEN event_type = 'click' THEN 'Analyzing page ' || CAST(event_id AS VARCHAR)
+         WHEN event_type = 'signup' THEN 'Plan ID: plan-' || CAST(user_id AS VARCHAR) || ' saved to: plans/plan-'
+              || CAST(user_id AS VARCHAR) || '.md'
+         WHEN event_type = 'purchase' THEN 'Items extracted: ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)
+         ELSE 'Results saved to: results/run-' || CAST(event_id AS VARCHAR) || '.json' END AS data
+  FROM events
+)"""
+
+
+def _prog_sql() -> str:
+    whens = " ".join(f"WHEN {' OR '.join(f'contains(data, {D.q(w)})' for w in words)} THEN {p}"
+                     for words, p in J.PROGRESS_RULES)
+    return f"CASE {whens} END"
+
+
+SQL_PARSED = SQL_TASK_EVENTS + f""",
+parsed AS (
+  SELECT task_id, ts, event_id, data, {_prog_sql()} AS progress,
+    {', '.join(f"nullif(regexp_extract(data, {D.q(p)}, 1), '') AS {k}" for k, p in J.OUTPUT_PATTERNS.items())}
+  FROM task_events WHERE type = 'log'
+)"""
+
+
+def _task_events(spark, sf_dir):
+    return J.task_events_from(read_table(spark, sf_dir, "events"))
+
+
+@register("stream_log_parse", oracle=f"WITH {SQL_PARSED} SELECT * FROM parsed")
+def stream_log_parse(spark, sf_dir):
+    return J.log_parse(_task_events(spark, sf_dir))
+
+
+def _last_sql(c: str) -> str:
+    return f"arg_max({c}, (ts, event_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+
+
+SQL_STATE = SQL_PARSED + f""",
+st AS (
+  SELECT task_id, coalesce(arg_max(progress, (ts, event_id)) FILTER (WHERE progress IS NOT NULL), 10) AS progress,
+         count(*) AS n_logs, {', '.join(_last_sql(k) for k in J.OUTPUT_PATTERNS)}
+  FROM parsed GROUP BY task_id
+),
+closes AS (
+  SELECT task_id, arg_min(CAST(data AS INTEGER), (ts, event_id)) AS exit_code, min(ts) AS closed_at
+  FROM task_events WHERE type IN ('complete', 'error') GROUP BY task_id
+),
+state AS (
+  SELECT coalesce(st.task_id, closes.task_id) AS task_id, coalesce(n_logs, 0) AS n_logs,
+    {', '.join(k for k in J.OUTPUT_PATTERNS)},
+    CASE WHEN exit_code = 0 THEN 'completed' WHEN exit_code IS NOT NULL THEN 'failed' ELSE 'running' END AS status,
+    CASE WHEN exit_code = 0 THEN 100 ELSE coalesce(progress, 10) END AS progress,
+    CASE WHEN exit_code <> 0 THEN 'Process exited with code ' || CAST(exit_code AS VARCHAR) END AS error
+  FROM st FULL OUTER JOIN closes ON st.task_id = closes.task_id
+)"""
+
+
+def _state(spark, sf_dir):
+    te = _task_events(spark, sf_dir)
+    return J.task_state(J.log_parse(te), J.terminal(te))
+
+
+@register("stream_task_state", oracle=f"WITH {SQL_STATE} SELECT * FROM state")
+def stream_task_state(spark, sf_dir):
+    return _state(spark, sf_dir)
+
+
+@register("stream_snapshot_then_updates", oracle=f"""
+WITH {SQL_STATE}
+SELECT p.task_id, p.event_id, p.progress AS line_progress, s.status AS snapshot_status, s.n_logs AS snapshot_logs
+FROM parsed p LEFT JOIN state s USING (task_id)""")
+def stream_snapshot_then_updates(spark, sf_dir):
+    """New lines joined with the current task-state snapshot (stream-static
+    left join in the live job; here the same join over the batch)."""
+    te = _task_events(spark, sf_dir)
+    parsed = J.log_parse(te)
+    snap = J.task_state(parsed, J.terminal(te)).select(
+        "task_id", F.col("status").alias("snapshot_status"), F.col("n_logs").alias("snapshot_logs"))
+    return parsed.join(snap, "task_id", "left").select(
+        "task_id", "event_id", F.col("progress").alias("line_progress"), "snapshot_status", "snapshot_logs")
+
+
+@register("stream_terminal", oracle=f"""
+WITH {SQL_TASK_EVENTS}
+SELECT task_id, arg_min(CAST(data AS INTEGER), (ts, event_id)) AS exit_code
+FROM task_events WHERE type IN ('complete', 'error') GROUP BY task_id""")
+def stream_terminal(spark, sf_dir):
+    """Runs the streaming close detector (``dropDuplicatesWithinWatermark``)
+    over the event file with ``availableNow``."""
+    src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
+    out = J.run_available_now(J.terminal_stream(J.task_events_from(src)), "terminal")
+    return out.select("task_id", "exit_code")
+
+
+@register("stream_ops_window", oracle=f"""
+WITH {SQL_RUNS}
+SELECT time_bucket(INTERVAL 60 SECOND, start_time) AS window_start, count(*) AS runs,
+       count(*) FILTER (WHERE status = 'failed') AS failed, sum(items_extracted) AS items
+FROM runs GROUP BY 1""")
+def stream_ops_window(spark, sf_dir):
+    r = S.executions(spark, sf_dir)
+    return J.ops_window(r).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("stream_plan_metrics")
+def stream_plan_metrics(spark, sf_dir):
+    """Running per-plan totals from a stream of finished runs (complete mode,
+    each micro-batch rewrites the table)."""
+    src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
+    runs = src.select(
+        F.concat(F.lit("plan-"), F.col("user_id").cast("string")).alias("plan_id"),
+        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
+        F.floor("value").cast("bigint").alias("items_extracted"))
+    agg = runs.groupBy("plan_id").agg(F.count("*").alias("total_executions"),
+                                      F.count_if(F.col("status") == "completed").alias("successful_executions"),
+                                      F.sum("items_extracted").alias("total_items_extracted"))
+    out = J.run_available_now(agg, "plan-metrics", mode="complete", batch_fn=lambda df, e: df)
+    last = out.agg(F.max("epoch")).first()[0]
+    return out.filter(F.col("epoch") == last).drop("epoch").withColumn(
+        "success_rate", O.round_fixed(F.col("successful_executions") / F.col("total_executions") * 100, 2))
+
+
+@register("stream_page_ingest")
+def stream_page_ingest(spark, sf_dir):
+    """Pages arriving as files are extracted and validated per micro-batch."""
+    src = J.stream_source(spark, sf_dir, "pages", PAGES_SCHEMA)
+
+    def extract(df, epoch):
+        items = S.page_items(df)
+        base = {k: F.lit(None).cast(t) for k, t in [("place", "string"), ("address", "string"), ("email", "string"),
+                                                     ("phone", "string"), ("price", "double"),
+                                                     ("discountPrice", "double"), ("longitude", "double"),
+                                                     ("latitude", "double"), ("startDate", "string"),
+                                                     ("endDate", "string"), ("createdAt", "string"),
+                                                     ("zipcode", "int")]}
+        items = items.select("*", *[v.alias(k) for k, v in base.items()]).withColumn(
+            "dates", F.array().cast("array<string>"))
+        v = Q.validate_items(items)
+        return v.select("item_id", "is_valid", "quality_score", F.size("errors").alias("n_errors"))
+    return J.run_available_now(src, "page-ingest", batch_fn=extract).drop("epoch")
+
+
+@register("stream_consent_ttl")
+def stream_consent_ttl(spark, sf_dir):
+    """Domain-level consent-check reuse with outcome-dependent expiry, run as
+    a stateful stream (``applyInPandasWithState``, event-time timeout)."""
+    src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
+    out = J.run_available_now(J.consent_ttl_stream(J.consent_checks_from(src)), "consent-ttl")
+    return out.select("domain", "seq", "outcome", "cache_hit")
+
+
+@register("consent_ttl_reuse")
+def consent_ttl_reuse(spark, sf_dir):
+    """Batch form of the domain cache: checks served from cache."""
+    c = J.consent_checks_from(read_table(spark, sf_dir, "events"))
+    return J.consent_ttl_batch(c).select("domain", "seq", "outcome", "cache_hit")
+
+
+@register("stream_robots_ttl")
+def stream_robots_ttl(spark, sf_dir):
+    """robots cache reuse: 24 h for fetched files, 1 h after a fetch error
+    (the reference never honours the 1 h entry; we do)."""
+    from pagefold.operators import compliance as C
+    fs = C.robots_fetch_state(S.robots(spark, sf_dir))
+    # requests for each domain every 30 minutes over two days
+    req = fs.select("domain", "fetched_at", "outcome", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("k"))
+    req = req.select("domain", (F.col("fetched_at") + F.make_interval(mins=F.col("k") * 30)).alias("ts"),
+                     F.col("k").cast("long").alias("seq"),
+                     F.when(F.col("outcome") == "error", "error").otherwise("ok").alias("outcome"))
+    out = J.consent_ttl_batch(req, {"ok": 24 * 60, "error": 60})
+    return out.groupBy("domain").agg(F.count_if(~F.col("cache_hit")).alias("fetches"),
+                                     F.count_if("cache_hit").alias("cache_hits"))
