@@ -185,6 +185,43 @@ def _spread(pages: DataFrame) -> DataFrame:
     return p
 
 
+COMBINED_SCHEMA = NODE_SCHEMA + ", page_text string"
+
+
+def _combined_batches(batches):
+    cols = [c.split()[0] for c in NODE_SCHEMA.split(", ")] + ["page_text"]
+    for pdf in batches:
+        rows = []
+        for pid, html in zip(pdf["page_id"], pdf["html"]):
+            nodes, text = shred_html(html)
+            for n in nodes:
+                n["page_id"] = pid
+                n["page_text"] = None
+                rows.append(n)
+            rows.append({"page_id": pid, "node_id": -1, "parent_id": -2, "depth": 0, "tag": "", "id": None,
+                         "class": None, "classes": [], "attr_names": [], "attr_values": [], "ancestors": [],
+                         "child_count": 0, "child_idx": 0, "type_idx": 0, "text_start": 0, "text_end": 0,
+                         "src_start": 0, "src_end": 0, "page_text": text})
+        yield pd.DataFrame(rows, columns=cols)
+
+
+def shred_pages(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+    """One Python pass -> (dom_nodes, page texts).
+
+    With ``materialize`` the pass is written once to the session's shared
+    checkpoint folder (reliable checkpoint: survives executor loss and cuts
+    the lineage), so plans that read the node table several times -- self
+    joins, selector steps -- never re-run the parser.
+    """
+    out = _spread(pages).mapInPandas(_combined_batches, COMBINED_SCHEMA)
+    if materialize:
+        out = out.checkpoint(eager=True)
+    nodes = out.filter(F.col("node_id") >= 0).drop("page_text").withColumn(
+        "attrs", F.map_from_arrays("attr_names", "attr_values")).drop("attr_names", "attr_values")
+    texts = out.filter(F.col("node_id") == -1).select("page_id", F.col("page_text").alias("text"))
+    return nodes, texts
+
+
 def dom_shred(pages: DataFrame) -> DataFrame:
     """``dom_shred``: pages(page_id, html) -> dom_nodes (one row per element)."""
     nodes = _spread(pages).mapInPandas(_shred_batches, NODE_SCHEMA)
@@ -238,22 +275,21 @@ def parse_selector(sel: str) -> list[dict]:
             tag = m_tag.group(1).lower() if m_tag and m_tag.group(1) != "*" else None
             ids = re.findall(r"#([\w-]+)", re.sub(r"\[[^\]]*\]", "", tok))
             classes = re.findall(r"\.([\w-]+)", re.sub(r"\[[^\]]*\]", "", tok))
-            attr = op = value = None
-            ci = False
-            m_attr = re.search(r"\[\s*([\w:-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*?)[\"']?\s*(i)?\s*)?\]", tok)
-            if m_attr:
-                attr, op, value, ci = m_attr.group(1), m_attr.group(2) or "exists", m_attr.group(3), bool(m_attr.group(4))
+            conds = [{"attr": m.group(1), "op": m.group(2) or "exists", "value": m.group(3), "ci": bool(m.group(4))}
+                     for m in re.finditer(
+                         r"\[\s*([\w:-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*?)[\"']?\s*(i)?\s*)?\]", tok)]
             m_nth = re.search(r":nth-of-type\((\d+)\)", tok)
             out.append({"alt": alt, "step": step, "combinator": comb if step else None, "tag": tag,
-                        "id": ids[0] if ids else None, "classes": classes, "attr": attr, "op": op,
-                        "value": value, "ci": ci, "nth": int(m_nth.group(1)) if m_nth else None})
+                        "id": ids[0] if ids else None, "classes": classes, "conds": conds,
+                        "nth": int(m_nth.group(1)) if m_nth else None})
             step += 1
             comb = " "
     return out
 
 
 SELECTOR_SCHEMA = ("sel_id string, alt int, step int, combinator string, tag string, id string, "
-                   "classes array<string>, attr string, op string, value string, ci boolean, nth int")
+                   "classes array<string>, conds array<struct<attr:string,op:string,value:string,ci:boolean>>, "
+                   "nth int")
 
 
 def selector_table(spark, selectors: dict[str, str]) -> DataFrame:
@@ -265,24 +301,27 @@ def selector_table(spark, selectors: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, SELECTOR_SCHEMA) if rows else spark.createDataFrame([], SELECTOR_SCHEMA)
 
 
+def _cond_ok(attrs: Column, cnd) -> Column:
+    attr_val = F.try_element_at(attrs, cnd["attr"])
+    v = cnd["value"]
+    cmp_val = F.when(cnd["ci"], F.lower(v)).otherwise(v)
+    cur = F.when(cnd["ci"], F.lower(attr_val)).otherwise(attr_val)
+    return F.coalesce(
+        F.when(cnd["op"] == "exists", attr_val.isNotNull())
+        .when(cnd["op"] == "=", cur == cmp_val)
+        .when(cnd["op"] == "*=", cur.contains(cmp_val))
+        .when(cnd["op"] == "^=", cur.startswith(cmp_val))
+        .when(cnd["op"] == "$=", cur.endswith(cmp_val))
+        .otherwise(F.lit(False)), F.lit(False))
+
+
 def _step_match(n, s) -> Column:
     """Does node ``n`` satisfy compound step ``s`` (column getters by name)."""
-    attr_val = F.try_element_at(n("attrs"), s("attr"))
-    v = s("value")
-    cmp_val = F.when(s("ci"), F.lower(v)).otherwise(v)
-    cur = F.when(s("ci"), F.lower(attr_val)).otherwise(attr_val)
-    attr_ok = (F.when(s("attr").isNull(), F.lit(True))
-               .when(s("op") == "exists", attr_val.isNotNull())
-               .when(s("op") == "=", cur == cmp_val)
-               .when(s("op") == "*=", cur.contains(cmp_val))
-               .when(s("op") == "^=", cur.startswith(cmp_val))
-               .when(s("op") == "$=", cur.endswith(cmp_val))
-               .otherwise(F.lit(False)))
     return (
         (s("tag").isNull() | (n("tag") == s("tag")))
         & (s("id").isNull() | F.coalesce(n("id") == s("id"), F.lit(False)))
         & (F.size(F.array_except(s("classes"), n("classes"))) == 0)
-        & F.coalesce(attr_ok, F.lit(False))
+        & F.forall(s("conds"), lambda cnd: _cond_ok(n("attrs"), cnd))
         & (s("nth").isNull() | (n("type_idx") == s("nth")))
     )
 
@@ -302,7 +341,7 @@ def _node_keys() -> Column:
                     F.transform("classes", lambda x: F.concat(F.lit("."), x)))
 
 
-STEP_COLS = ["combinator", "tag", "id", "classes", "attr", "op", "value", "ci", "nth"]
+STEP_COLS = ["combinator", "tag", "id", "classes", "conds", "nth"]
 
 
 def selector_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:

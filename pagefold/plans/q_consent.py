@@ -1,3 +1,154 @@
-"""Registered queries."""
+"""Registered cookie-consent queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagefold.operators import consent as C
+from pagefold.operators import dom as M
+from pagefold.plans import duck as D
+from pagefold.plans.catalog import register
+from pagefold.sources import derived as S
+from pagefold.sources.tables import pages
+
+
+def _banner_sql() -> str:
+    whens = []
+    for i, b in enumerate(S.CONSENT_BANNERS):
+        parts = b.split("{id}")
+        expr = " || ".join(
+            x for j, part in enumerate(parts)
+            for x in ([D.q(part)] + (["CAST(page_id AS VARCHAR)"] if j < len(parts) - 1 else [])))
+        whens.append(f"WHEN page_id % 4 = {i} THEN {expr}")
+    return f"(CASE {' '.join(whens)} END)"
+
+
+SQL_CONSENT_PAGES = f"""
+cpages AS (
+  SELECT page_id, url,
+    CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?i)</body>', {_banner_sql()} || '</body>') ELSE html END AS html
+  FROM pages
+)"""
+
+
+def _kw_sql(e: str) -> str:
+    return D.contains_any(f"lower({e})", [k.lower() for k in C.KEYWORDS])
+
+
+def _lib_sql(e: str) -> str:
+    whens = " ".join(f"WHEN {D.contains_any(f'lower({e})', [p.lower() for p in pats])} THEN {D.q(name)}"
+                     for name, pats in C.LIBRARIES)
+    return f"(CASE {whens} END)"
+
+
+@register("consent_keywords", oracle=f"WITH {SQL_CONSENT_PAGES} SELECT page_id, {_kw_sql('html')} AS has_keywords FROM cpages")
+def consent_keywords(spark, sf_dir):
+    return S.consent_pages(spark, sf_dir).select("page_id", C.has_keywords("html").alias("has_keywords"))
+
+
+@register("consent_library", oracle=f"WITH {SQL_CONSENT_PAGES} SELECT page_id, {_lib_sql('html')} AS library FROM cpages")
+def consent_library(spark, sf_dir):
+    return S.consent_pages(spark, sf_dir).select("page_id", C.library("html").alias("library"))
+
+
+def _nodes_t(p):
+    nodes, texts = M.shred_pages(p)
+    return M.with_text(nodes, texts)
+
+
+@register("consent_candidates")
+def consent_candidates(spark, sf_dir):
+    p = S.consent_pages(spark, sf_dir)
+    return C.candidates(_nodes_t(p), C.DIALOG_SELECTORS).select("page_id", "node_id", "sel_idx", "selector")
+
+
+@register("consent_score")
+def consent_score(spark, sf_dir):
+    p = S.consent_pages(spark, sf_dir)
+    return C.scored_candidates(_nodes_t(p), C.OVERLAY_SELECTORS).select("page_id", "node_id", "selector", "score")
+
+
+def _detect(spark, sf_dir):
+    p = S.consent_pages(spark, sf_dir)
+    n = _nodes_t(p)
+    return p, n, C.consent_detect(n, p)
+
+
+@register("consent_detect")
+def consent_detect(spark, sf_dir):
+    _, _, d = _detect(spark, sf_dir)
+    return d
+
+
+@register("consent_buttons")
+def consent_buttons(spark, sf_dir):
+    _, n, d = _detect(spark, sf_dir)
+    return C.consent_buttons(n, d).select("page_id", "category", "node_id", "text")
+
+
+@register("consent_button_selector")
+def consent_button_selector(spark, sf_dir):
+    _, n, d = _detect(spark, sf_dir)
+    return C.button_selector(C.consent_buttons(n, d), n)
+
+
+@register("consent_choice")
+def consent_choice(spark, sf_dir):
+    _, n, d = _detect(spark, sf_dir)
+    return C.consent_choice(C.consent_buttons(n, d))
+
+
+@register("consent_dismissed_check")
+def consent_dismissed_check(spark, sf_dir):
+    """After-click snapshots are the original pages (banner gone): a page is
+    dismissed when no dialog candidate remains."""
+    after = pages(spark, sf_dir).filter(F.col("page_id") % 3 == 0)
+    return C.dismissed_check(_nodes_t(after), after)
+
+
+SQL_VERIF = f"""
+verif AS (
+  SELECT 'site-' || CAST(user_id % 40 AS VARCHAR) || '.example.org' AS domain,
+         ({', '.join(D.q(x) for x in S.CONSENT_LIBS).join('[]')})[event_id % 6 + 1] AS library,
+         ts, value > 25 AS success, event_id, 'ccp-' || CAST(event_id AS VARCHAR) AS plan_id
+  FROM events WHERE event_type = 'signup'
+),
+steps AS (
+  SELECT plan_id, i + 1 AS step_number,
+         CASE WHEN (event_id + i) % 7 = 0 THEN 'wait' ELSE 'click' END AS action,
+         '#btn-' || CAST(i AS VARCHAR) AS selector,
+         ({', '.join(D.q(x) for x in S.CONSENT_STEP_TEXTS).join('[]')})[(event_id + i) % 6 + 1] AS description
+  FROM (SELECT plan_id, event_id, unnest(range(CAST(event_id % 3 + 1 AS BIGINT))) AS i FROM verif)
+)"""
+
+
+def _step_cat_sql() -> str:
+    d = "lower(coalesce(description, ''))"
+    whens = " ".join(f"WHEN {D.contains_any(d, words)} THEN {D.q(name)}" for name, words in C.STEP_CLASSES)
+    return f"(CASE {whens} END)"
+
+
+@register("consent_step_classify", oracle=f"""
+WITH {SQL_VERIF}
+SELECT plan_id, category, arg_max(selector, step_number) AS selector FROM (
+  SELECT *, {_step_cat_sql()} AS category FROM steps WHERE action = 'click') WHERE category IS NOT NULL
+GROUP BY 1, 2""")
+def consent_step_classify(spark, sf_dir):
+    return C.step_classify(S.consent_plan_steps(spark, sf_dir))
+
+
+@register("consent_plan_stats", oracle=f"""
+WITH {SQL_VERIF}
+SELECT domain, library, count(*) AS usage_count,
+       CAST(floor(count(*) FILTER (WHERE success) / count(*) * 100 + 0.5) AS INTEGER) AS success_rate
+FROM verif GROUP BY 1, 2""")
+def consent_plan_stats(spark, sf_dir):
+    return C.plan_stats(S.consent_verifications(spark, sf_dir))
+
+
+@register("consent_latest_plan", oracle=f"""
+WITH {SQL_VERIF}
+SELECT domain, library, arg_max(plan_id, (ts, plan_id)) AS plan_id, max(ts) AS last_used FROM verif GROUP BY 1, 2""")
+def consent_latest_plan(spark, sf_dir):
+    return C.latest_plan(S.consent_verifications(spark, sf_dir)).withColumn(
+        "last_used", F.col("last_used").cast("timestamp_ntz"))

@@ -84,7 +84,7 @@ def is_list_container(spark, sf_dir):
 
 def _structural(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return K.structural_extract(M.dom_shred(p), p)
+    return K.structural_extract(M.shred_pages(p)[0], p)
 
 
 @register("structural_extract", oracle=f"""
@@ -102,7 +102,7 @@ def structural_extract(spark, sf_dir):
 
 def _chunks(spark, sf_dir):
     p = pages(spark, sf_dir)
-    nodes = M.dom_shred(p)
+    nodes, _ = M.shred_pages(p)
     st = K.structural_extract(nodes, p)
     sem = K.chunk_semantic(nodes, p)
     return p, st, sem

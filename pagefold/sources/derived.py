@@ -250,3 +250,59 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                          (F.col("event_id") % 3 + 1).cast("string")))
         .alias("error_message"),
         F.col("event_type"), F.col("user_id"), F.col("props"))
+
+
+# Fixed banner shapes injected into every third page for the consent jobs
+# ({id} is the page id).
+CONSENT_BANNERS = [
+    '<div class="cookie-banner" style="position: fixed; z-index: 9999"><p>Wir verwenden Cookies. Datenschutz</p>'
+    '<button class="btn btn-primary" id="accept-{id}">Alle akzeptieren</button><button class="btn">Ablehnen</button></div>',
+    '<div id="CybotCookiebotDialog" class="consent-dialog" role="dialog"><span>We use cookies for consent</span>'
+    '<button>Accept all</button><button>Settings</button><button>Save</button></div>'
+    '<script src="https://consent.cookiebot.com/uc.js"></script>',
+    '<section class="privacy-notice"><p>This site uses cookies</p><a role="button" class="close">×</a></section>',
+    '<p class="legal">See our cookie policy</p>',
+]
+
+
+def consent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a consent banner injected before ``</body>`` in every third
+    page (shape by page id % 4); the rest unchanged."""
+    p = read_table(spark, sf_dir, "pages")
+    k = F.col("page_id") % 4
+    pid = F.col("page_id").cast("string")
+    banner = None
+    for i, b in enumerate(CONSENT_BANNERS):
+        parts = b.split("{id}")
+        val = F.concat(*[x for j, part in enumerate(parts) for x in ([F.lit(part)] + ([pid] if j < len(parts) - 1 else []))])
+        banner = F.when(k == i, val) if banner is None else banner.when(k == i, val)
+    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", F.lit("(?i)</body>"),
+                                                               F.concat(banner, F.lit("</body>")))).otherwise(F.col("html"))
+    return p.select("page_id", "url", html.alias("html"))
+
+
+CONSENT_LIBS = ["Cookiebot", "OneTrust", "CookieYes", "Borlabs", "CookieLawInfo", "Cookie Notice"]
+CONSENT_STEP_TEXTS = ["Click accept all", "Alle zustimmen", "Reject optional cookies", "Open settings",
+                      "Speichern der Auswahl", "Close banner"]
+
+
+def consent_verifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded consent-plan verifications: every 'signup' event."""
+    e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    dom = F.concat(F.lit("site-"), (F.col("user_id") % 40).cast("string"), F.lit(".example.org"))
+    lib = F.element_at(F.array(*[F.lit(x) for x in CONSENT_LIBS]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select(dom.alias("domain"), lib.alias("library"), F.col("ts").cast("timestamp").alias("ts"),
+                    (F.col("value") > 25).alias("success"), F.col("event_id"),
+                    F.concat(F.lit("ccp-"), F.col("event_id").cast("string")).alias("plan_id"))
+
+
+def consent_plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each recorded plan: 1-3 steps with fixed descriptions."""
+    v = consent_verifications(spark, sf_dir)
+    s = v.select("plan_id", "event_id", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("i"))
+    k = (F.col("event_id") + F.col("i"))
+    return s.select(
+        "plan_id", (F.col("i") + 1).alias("step_number"),
+        F.when(k % 7 == 0, "wait").otherwise("click").alias("action"),
+        F.concat(F.lit("#btn-"), F.col("i").cast("string")).alias("selector"),
+        F.element_at(F.array(*[F.lit(x) for x in CONSENT_STEP_TEXTS]), (k % 6 + 1).cast("int")).alias("description"))

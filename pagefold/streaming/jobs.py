@@ -183,7 +183,7 @@ def _fold_sorted(batches):
         for d, pc, ts, ttl in zip(pdf["domain"], pdf["piece"], pdf["ts"], pdf["ttl"]):
             if (d, pc) != key:
                 key, expires = (d, pc), None
-            hit = expires is not None and ts < expires
+            hit = expires is not None and ts <= expires
             hits.append(hit)
             if not hit:
                 expires = ts + pd.to_timedelta(int(ttl), unit="m")
@@ -201,7 +201,7 @@ def _state_fold(key, pdfs, state):
         pdf = pdf.sort_values(["ts", "seq"])
         for ts, seq, outcome, ttl in zip(pdf["ts"], pdf["seq"], pdf["outcome"], pdf["ttl"]):
             t = int(pd.Timestamp(ts).value // 1000)
-            hit = expires is not None and t < expires
+            hit = expires is not None and t <= expires
             if not hit:
                 expires = t + int(ttl) * 60_000_000
             rows.append((key[0], ts, seq, outcome, int(ttl), hit))
