@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagefold.operators import dom as M
 
@@ -58,7 +59,7 @@ def structural_extract(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         F.expr("substring(html, e.src_start + 1, e.src_end - e.src_start)").alias("content"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _greedy_pack(htmls: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """Greedy packing of element HTML in document order into <= MAX_CHUNK
     chunks (a chunk always takes at least one element)."""

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefold.session import materialize as write_once
+
 # HTML void elements and implied-end rules used by the tree
 # builder (a subset of the HTML5 tree-construction rules).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -180,7 +182,7 @@ def _spread(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     par = spark.sparkContext.defaultParallelism
     p = pages.select("page_id", "html")
-    if p.rdd.getNumPartitions() < par:
+    if p._jdf.rdd().getNumPartitions() < par:  # JVM-side: lists splits, runs no job
         p = p.repartition(par, "page_id")
     return p
 
@@ -208,14 +210,14 @@ def _combined_batches(batches):
 def shred_pages(pages: DataFrame, materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """One Python pass -> (dom_nodes, page texts).
 
-    With ``materialize`` the pass is written once to the session's shared
-    checkpoint folder (reliable checkpoint: survives executor loss and cuts
-    the lineage), so plans that read the node table several times -- self
-    joins, selector steps -- never re-run the parser.
+    With ``materialize`` the pass is written once as parquet in the
+    session's shared checkpoint folder (survives executor loss, cuts the
+    lineage), so plans that read the node table several times -- self joins,
+    selector steps -- never re-run the parser.
     """
     out = _spread(pages).mapInPandas(_combined_batches, COMBINED_SCHEMA)
     if materialize:
-        out = out.checkpoint(eager=True)
+        out = write_once(out, "dom")
     nodes = out.filter(F.col("node_id") >= 0).drop("page_text").withColumn(
         "attrs", F.map_from_arrays("attr_names", "attr_values")).drop("attr_names", "attr_values")
     texts = out.filter(F.col("node_id") == -1).select("page_id", F.col("page_text").alias("text"))
@@ -315,13 +317,21 @@ def _cond_ok(attrs: Column, cnd) -> Column:
         .otherwise(F.lit(False)), F.lit(False))
 
 
+def _conds_ok(attrs: Column, conds: Column) -> Column:
+    """All attribute conditions hold.  The attribute map is repeated into a
+    second array and zipped, so the lambda uses only its own arguments (an
+    outer column inside a lambda cannot be bound in a join condition)."""
+    oks = F.zip_with(conds, F.array_repeat(attrs, F.size(conds)), lambda c, a: _cond_ok(a, c))
+    return ~F.array_contains(oks, F.lit(False))
+
+
 def _step_match(n, s) -> Column:
     """Does node ``n`` satisfy compound step ``s`` (column getters by name)."""
     return (
         (s("tag").isNull() | (n("tag") == s("tag")))
         & (s("id").isNull() | F.coalesce(n("id") == s("id"), F.lit(False)))
         & (F.size(F.array_except(s("classes"), n("classes"))) == 0)
-        & F.forall(s("conds"), lambda cnd: _cond_ok(n("attrs"), cnd))
+        & _conds_ok(n("attrs"), s("conds"))
         & (s("nth").isNull() | (n("type_idx") == s("nth")))
     )
 
@@ -422,14 +432,15 @@ def element_path(nodes: DataFrame) -> DataFrame:
 
 
 # List-container class words.
-LIST_CLASS_WORDS = ["list", "items", "entries", "posts", "articles", "news", "results", "grid", "feed",
-                    "teaser", "cards", "collection", "overview", "listing", "archive", "events", "container"]
+LIST_CLASS_WORDS = ["list", "items", "entries", "posts", "articles", "news", "events", "grid", "container",
+                    "teaserblock", "teaser", "topics", "nachrichten", "meldungen", "beitraege"]
 
 
 def is_list_container(nodes: DataFrame, class_words=None) -> DataFrame:
     """``is_list_container`` per element: ul/ol/dl; or a list class word; or
-    >= 3 children with >= 70 % the first child's tag (not article/li/div);
-    or >= 3 article children.  Children are aggregated per parent."""
+    >= 3 children with >= 70 % sharing the first child's tag when that tag
+    is not article/li/div; or a first child 'article' with >= 3 articles.
+    Children are aggregated per parent (one grouped pass)."""
     words = class_words or LIST_CLASS_WORDS
     kids = nodes.filter(F.col("parent_id") >= 0).groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
         F.count("*").alias("n_kids"),
@@ -441,11 +452,10 @@ def is_list_container(nodes: DataFrame, class_words=None) -> DataFrame:
     for w in words:
         kw = kw | cls.contains(w)
     same = F.size(F.filter("kid_tags", lambda t: t == F.col("first_tag")))
-    n_art = F.size(F.filter("kid_tags", lambda t: t == "article"))
     n = F.coalesce("n_kids", F.lit(0))
     rule = (F.col("tag").isin("ul", "ol", "dl") | kw
-            | ((n >= 3) & (same / n >= 0.7) & ~F.col("first_tag").isin("article", "li", "div"))
-            | (F.coalesce(n_art, F.lit(0)) >= 3))
+            | ((n >= 3) & (same >= n * 0.7) & ~F.col("first_tag").isin("article", "li", "div"))
+            | ((n >= 3) & (F.col("first_tag") == "article") & (same >= 3)))
     return j.select("page_id", "node_id", "tag", "class", n.alias("n_children"),
                     F.coalesce(rule, F.lit(False)).alias("is_list"))
 

@@ -26,7 +26,9 @@ def _banner_sql() -> str:
 SQL_CONSENT_PAGES = f"""
 cpages AS (
   SELECT page_id, url,
-    CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?i)</body>', {_banner_sql()} || '</body>') ELSE html END AS html
+    CASE WHEN page_id % 3 = 0 THEN (CASE WHEN regexp_matches(html, '(?i)</body>')
+         THEN regexp_replace(html, '(?i)</body>', {_banner_sql()} || '</body>', 'g') ELSE html || {_banner_sql()} END)
+         ELSE html END AS html
   FROM pages
 )"""
 

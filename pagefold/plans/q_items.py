@@ -286,9 +286,11 @@ def validate_items(spark, sf_dir):
 
 
 def _field_query(name, cols_sql, spark_cols):
+    """Register a projection of the validated items; ``spark_cols`` is a
+    function returning the columns (built lazily, inside a session)."""
     @register(name, oracle=f"WITH {SQL_VALIDATED} SELECT item_id, {cols_sql} FROM validated")
     def q(spark, sf_dir):
-        return _validated(spark, sf_dir).select("item_id", *spark_cols)
+        return _validated(spark, sf_dir).select("item_id", *spark_cols())
     return q
 
 
@@ -302,21 +304,21 @@ def _msgs(kind: str, pred) -> F.Column:
 
 _field_query(
     "chk_required",
-    "array_to_string(list_filter(errors, lambda m: starts_with(m, 'Required field')), ' | ') AS required_errors",
+    "array_to_string(list_filter(errors, lambda m: starts_with(m, 'Required field')), ' | ') AS required_errors", lambda:
     [_msgs("errors", lambda m: m["message"].startswith("Required field")).alias("required_errors")])
 _field_query(
-    "norm_title", f"n_title, {_msgs_sql('warnings', 'starts_with(m, ' + chr(39) + 'Title' + chr(39) + ')')} AS title_warnings",
+    "norm_title", f"n_title, {_msgs_sql('warnings', 'starts_with(m, ' + chr(39) + 'Title' + chr(39) + ')')} AS title_warnings", lambda:
     ["n_title", _msgs("warnings", lambda m: m["field"] == "title").alias("title_warnings")])
 _field_query(
     "norm_description",
-    f"md5(n_description) AS description_md5, {_msgs_sql('warnings', 'starts_with(m, ' + chr(39) + 'Description' + chr(39) + ')')} AS description_warnings",
+    f"md5(n_description) AS description_md5, {_msgs_sql('warnings', 'starts_with(m, ' + chr(39) + 'Description' + chr(39) + ')')} AS description_warnings", lambda:
     [F.md5("n_description").alias("description_md5"),
      _msgs("warnings", lambda m: m["field"] == "description").alias("description_warnings")])
 _field_query(
     "norm_dates",
     "n_startDate, n_endDate, n_createdAt, array_to_string(n_dates, ',') AS n_dates, "
     "array_to_string(list_filter(errors, lambda m: starts_with(m, 'Invalid date')), ' | ') AS date_errors, "
-    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Date seems') OR starts_with(m, 'Start date')), ' | ') AS date_warnings",
+    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Date seems') OR starts_with(m, 'Start date')), ' | ') AS date_warnings", lambda:
     ["n_startDate", "n_endDate", "n_createdAt", F.array_join("n_dates", ",").alias("n_dates"),
      _msgs("errors", lambda m: m["message"].startswith("Invalid date")).alias("date_errors"),
      _msgs("warnings", lambda m: m["message"].startswith("Date seems") | m["message"].startswith("Start date"))
@@ -324,44 +326,44 @@ _field_query(
 _field_query(
     "norm_images",
     "array_to_string(n_images, ',') AS n_images, "
-    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Cannot convert') OR starts_with(m, 'Invalid image')), ' | ') AS image_warnings",
+    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Cannot convert') OR starts_with(m, 'Invalid image')), ' | ') AS image_warnings", lambda:
     [F.array_join("n_images", ",").alias("n_images"), _msgs("warnings", lambda m: m["field"] == "images").alias("image_warnings")])
 _field_query(
     "norm_language",
-    "n_language, array_to_string(list_filter(list_concat(errors, warnings), lambda m: contains(m, 'anguage')), ' | ') AS language_messages",
+    "n_language, array_to_string(list_filter(list_concat(errors, warnings), lambda m: contains(m, 'anguage')), ' | ') AS language_messages", lambda:
     ["n_language", _msgs(F.concat(F.transform("errors", lambda e: F.struct(e["field"].alias("field"), e["message"].alias("message"))),
                                   F.transform("warnings", lambda e: F.struct(e["field"].alias("field"), e["message"].alias("message")))),
                          lambda m: m["field"] == "language").alias("language_messages")])
 _field_query(
     "norm_email",
-    "n_email, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid email')), ' | ') AS email_warnings",
+    "n_email, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid email')), ' | ') AS email_warnings", lambda:
     ["n_email", _msgs("warnings", lambda m: m["field"] == "email").alias("email_warnings")])
 _field_query(
     "norm_phone",
-    "n_phone, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Phone number')), ' | ') AS phone_warnings",
+    "n_phone, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Phone number')), ' | ') AS phone_warnings", lambda:
     ["n_phone", _msgs("warnings", lambda m: m["field"] == "phone").alias("phone_warnings")])
 _field_query(
     "norm_website",
-    "n_website, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid website')), ' | ') AS website_warnings",
+    "n_website, array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid website')), ' | ') AS website_warnings", lambda:
     ["n_website", _msgs("warnings", lambda m: m["field"] == "website").alias("website_warnings")])
 _field_query(
     "chk_coordinates",
-    "array_to_string(list_filter(warnings, lambda m: contains(m, 'itude value')), ' | ') AS coordinate_warnings",
+    "array_to_string(list_filter(warnings, lambda m: contains(m, 'itude value')), ' | ') AS coordinate_warnings", lambda:
     [_msgs("warnings", lambda m: m["field"].isin("longitude", "latitude")).alias("coordinate_warnings")])
 _field_query(
     "chk_prices",
-    "array_to_string(list_filter(warnings, lambda m: contains(m, 'price') OR contains(m, 'Discount')), ' | ') AS price_warnings",
+    "array_to_string(list_filter(warnings, lambda m: contains(m, 'price') OR contains(m, 'Discount')), ' | ') AS price_warnings", lambda:
     [_msgs("warnings", lambda m: m["field"].isin("price", "discountPrice")).alias("price_warnings")])
 _field_query(
     "chk_zipcode",
-    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid zipcode')), ' | ') AS zipcode_warnings",
+    "array_to_string(list_filter(warnings, lambda m: starts_with(m, 'Invalid zipcode')), ' | ') AS zipcode_warnings", lambda:
     [_msgs("warnings", lambda m: m["field"] == "zipcode").alias("zipcode_warnings")])
-_field_query("quality_completeness", "round(completeness, 9) AS completeness",
+_field_query("quality_completeness", "round(completeness, 9) AS completeness", lambda:
              [F.round("completeness", 9).alias("completeness")])
-_field_query("quality_accuracy", "round(accuracy, 9) AS accuracy", [F.round("accuracy", 9).alias("accuracy")])
-_field_query("quality_consistency", "round(consistency, 9) AS consistency",
+_field_query("quality_accuracy", "round(accuracy, 9) AS accuracy", lambda: [F.round("accuracy", 9).alias("accuracy")])
+_field_query("quality_consistency", "round(consistency, 9) AS consistency", lambda:
              [F.round("consistency", 9).alias("consistency")])
-_field_query("quality_score", "quality_score, is_valid", ["quality_score", "is_valid"])
+_field_query("quality_score", "quality_score, is_valid", lambda: ["quality_score", "is_valid"])
 
 
 @register("detect_language", oracle=f"""

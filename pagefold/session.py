@@ -60,3 +60,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="pagefold-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(conf)
     return conf
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as parquet in the shared checkpoint folder and read
+    it back: one computation, lineage cut, and the data survives executor
+    loss (unlike caching).  Used where a plan reads an expensive
+    intermediate many times (the DOM node table, walk edges)."""
+    import os
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

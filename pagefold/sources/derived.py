@@ -252,6 +252,13 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type"), F.col("user_id"), F.col("props"))
 
 
+def inject_before_body_end(html: F.Column, fragment: F.Column) -> F.Column:
+    """Insert ``fragment`` before ``</body>``; append it when the page has none."""
+    return F.when(html.rlike("(?i)</body>"),
+                  F.regexp_replace(html, F.lit("(?i)</body>"), F.concat(fragment, F.lit("</body>")))) \
+        .otherwise(F.concat(html, fragment))
+
+
 # Fixed banner shapes injected into every third page for the consent jobs
 # ({id} is the page id).
 CONSENT_BANNERS = [
@@ -276,8 +283,7 @@ def consent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = b.split("{id}")
         val = F.concat(*[x for j, part in enumerate(parts) for x in ([F.lit(part)] + ([pid] if j < len(parts) - 1 else []))])
         banner = F.when(k == i, val) if banner is None else banner.when(k == i, val)
-    html = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", F.lit("(?i)</body>"),
-                                                               F.concat(banner, F.lit("</body>")))).otherwise(F.col("html"))
+    html = F.when(F.col("page_id") % 3 == 0, inject_before_body_end(F.col("html"), banner)).otherwise(F.col("html"))
     return p.select("page_id", "url", html.alias("html"))
 
 
@@ -306,3 +312,18 @@ def consent_plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, "wait").otherwise("click").alias("action"),
         F.concat(F.lit("#btn-"), F.col("i").cast("string")).alias("selector"),
         F.element_at(F.array(*[F.lit(x) for x in CONSENT_STEP_TEXTS]), (k % 6 + 1).cast("int")).alias("description"))
+
+
+def paginated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a pagination bar injected: each page links (rel=next) to
+    the next page id of the same host, plus a numbered link."""
+    from pyspark.sql import Window
+    from pagefold.functions import url as U
+    p = read_table(spark, sf_dir, "pages").withColumn("host", U.url_host("url"))
+    w = Window.partitionBy("host").orderBy("page_id")
+    p = p.withColumn("next_url", F.lead("url").over(w)).withColumn("rank", F.row_number().over(w))
+    bar = F.concat(F.lit('<nav class="pagination"><a href="'), F.col("next_url"),
+                   F.lit('" rel="next">Next ›</a><a href="?page='), (F.col("rank") + 1).cast("string"),
+                   F.lit('">'), (F.col("rank") + 1).cast("string"), F.lit("</a></nav>"))
+    html = F.when(F.col("next_url").isNotNull(), inject_before_body_end(F.col("html"), bar)).otherwise(F.col("html"))
+    return p.select("page_id", "url", html.alias("html"))
