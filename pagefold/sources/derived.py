@@ -327,3 +327,23 @@ def paginated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit('">'), (F.col("rank") + 1).cast("string"), F.lit("</a></nav>"))
     html = F.when(F.col("next_url").isNotNull(), inject_before_body_end(F.col("html"), bar)).otherwise(F.col("html"))
     return p.select("page_id", "url", html.alias("html"))
+
+
+def plan_inputs(spark: SparkSession, sf_dir: str):
+    """Inputs of plan assembly per site: the entry page (first page of the
+    host), sibling results (content-link selector 'nav li > a' with the
+    sibling confidence rule 0.6 when the page has links) and a content
+    analysis that only names a pagination selector."""
+    from pagefold.functions import url as U
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", U.url_host("url").alias("site"), "html")
+    entries = p.groupBy("site").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("e")).select(
+        "site", F.col("e.page_id").alias("entry_page_id"), F.col("e.url").alias("entry_url"))
+    sib = p.select("site", F.col("page_id").alias("order"),
+                   F.when(F.col("html").contains("<a "), F.lit(0.6)).otherwise(F.lit(0.0)).alias("confidence"),
+                   F.lit("nav li > a").alias("content_link_selector"))
+    analysis = entries.select("site", F.lit(None).cast("string").alias("list_selector"),
+                              F.lit(".pagination a").alias("pagination_selector"),
+                              F.create_map().cast("map<string,string>").alias("detail_selectors"),
+                              F.lit(0.5).alias("analysis_conf"),
+                              F.array(F.lit("description")).alias("rich_fields"))
+    return entries, sib, analysis
