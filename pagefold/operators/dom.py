@@ -300,7 +300,9 @@ def selector_table(spark, selectors: dict[str, str]) -> DataFrame:
     for sid, sel in selectors.items():
         for r in parse_selector(sel):
             rows.append({"sel_id": sid, **r})
-    return spark.createDataFrame(rows, SELECTOR_SCHEMA) if rows else spark.createDataFrame([], SELECTOR_SCHEMA)
+    df = spark.createDataFrame(rows, SELECTOR_SCHEMA) if rows else spark.createDataFrame([], SELECTOR_SCHEMA)
+    df._pf_max_step = max((r["step"] for r in rows), default=0)  # known on the driver: no job needed
+    return df
 
 
 def _cond_ok(attrs: Column, cnd) -> Column:
@@ -373,7 +375,9 @@ def selector_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     cand = nk.join(F.broadcast(lst), "k").filter(_step_match(lambda x: nk[x], lambda x: lst[x]))
     state = cand.select("page_id", "sel_id", "alt", c("node_id").alias("match_id"),
                         c("node_id").alias("anchor_id"), "step").distinct()
-    max_steps = steps.agg(F.max("step")).first()[0] or 0  # scalar over the tiny step table
+    max_steps = getattr(steps, "_pf_max_step", None)
+    if max_steps is None:
+        max_steps = steps.agg(F.max("step")).first()[0] or 0  # scalar over the tiny step table
     done = state.filter(c("step") == 0)
     todo = state.filter(c("step") > 0)
     comb = steps.select(c("sel_id"), c("alt"), c("step"), c("combinator").alias("comb"))
