@@ -328,26 +328,34 @@ def round_js(x: Column, digits: int) -> Column:
 
 def batch_stats(validated: DataFrame, top: int = 10) -> DataFrame:
     """``batch_stats``: totals, valid/invalid, average score and the top
-    messages.  Message counts are a grouped count over exploded messages
-    (partial aggregation map-side), ranked with a window over the small
-    per-message result."""
-    totals = validated.agg(
-        F.count("*").alias("total_items"),
-        F.count_if("is_valid").alias("valid_items"),
-        F.count_if(~F.col("is_valid")).alias("invalid_items"),
-        round_js(F.avg("quality_score"), 2).alias("average_quality_score"),
-    )
-
-    def top_msgs(col, name):
-        m = validated.select(F.explode(col).alias("m")).groupBy(F.col("m.message").alias("message")).agg(
-            F.count("*").alias("count"))
-        # TakeOrderedAndProject: per-partition top-k, then a merge of k rows
-        top_rows = m.orderBy(F.desc("count"), "message").limit(top)
-        return top_rows.agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("k"), "message", "count"))),
-            lambda s: F.concat(s["message"], F.lit("="), s["count"].cast("string"))), " | ").alias(name))
-    one = F.lit(1).alias("_k")
-    return (totals.select("*", one)
-            .join(F.broadcast(top_msgs("errors", "common_errors").select("*", one)), "_k")
-            .join(F.broadcast(top_msgs("warnings", "common_warnings").select("*", one)), "_k")
-            .drop("_k"))
+    messages, in one pass over the validated items.
+
+    Each item contributes one 'item' row plus one row per error / warning;
+    a single grouped aggregation (partial, map-side) counts messages and
+    computes the totals.  The top ``top`` messages per kind are a
+    ``row_number() <= top`` window, planned as a window-group-limit (each
+    task keeps only ``top`` rows per kind before the shuffle); the few
+    remaining rows fold into one result row.  No join."""
+    rows = F.concat(
+        F.array(F.struct(F.lit("i").alias("kind"), F.lit(None).cast("string").alias("message"))),
+        F.transform("errors", lambda e: F.struct(F.lit("e").alias("kind"), e["message"].alias("message"))),
+        F.transform("warnings", lambda w: F.struct(F.lit("w").alias("kind"), w["message"].alias("message"))))
+    ev = validated.select("is_valid", "quality_score", F.explode(rows).alias("x"))
+    g = ev.groupBy(F.col("x.kind").alias("kind"), F.col("x.message").alias("message")).agg(
+        F.count("*").alias("count"), F.count_if("is_valid").alias("valid"), F.avg("quality_score").alias("avg"))
+    w = Window.partitionBy("kind").orderBy(F.desc("count"), "message")
+    msgs = g.filter(F.col("kind") != "i").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    u = g.filter(F.col("kind") == "i").withColumn("rank", F.lit(0)).unionByName(msgs)
+    item = F.col("kind") == "i"
+
+    def joined(kind):
+        lst = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "message", "count"))))
+        return F.nullif(F.array_join(F.transform(lst, lambda s: F.concat(s["message"], F.lit("="),
+                                                                          s["count"].cast("string"))), " | "),
+                        F.lit(""))
+    return u.agg(
+        F.coalesce(F.max(F.when(item, F.col("count"))), F.lit(0)).alias("total_items"),
+        F.coalesce(F.max(F.when(item, F.col("valid"))), F.lit(0)).alias("valid_items"),
+        F.coalesce(F.max(F.when(item, F.col("count") - F.col("valid"))), F.lit(0)).alias("invalid_items"),
+        round_js(F.max(F.when(item, F.col("avg"))), 2).alias("average_quality_score"),
+        joined("e").alias("common_errors"), joined("w").alias("common_warnings"))

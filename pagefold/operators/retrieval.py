@@ -1,10 +1,10 @@
 """Vector search over given embeddings and summary metrics.
 
-Exact top-k: the query set is small and its size is checked before it is
-broadcast; every vector row scores all queries in one projection, and
-``row_number() <= k`` per query is planned as a window-group-limit, so each
-map task ships at most k rows per query to the final ranking.  Query sets
-above the broadcast bound are processed in bounded chunks (still exact).
+Exact top-k: the query set is a bounded parameter -- its size is checked,
+then it is carried as constant chunks of 64 vectors, so every vector row
+scores a chunk in one projection (no join of any kind).  ``row_number() <=
+k`` per query is planned as a window-group-limit, so each map task ships at
+most k rows per query to the final ranking.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_QUERIES = 4096  # bound on the query set carried in the plan
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -28,29 +28,45 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((_norm(a) == 0) | (_norm(b) == 0), F.lit(0.0)).otherwise(_dot(a, b) / (_norm(a) * _norm(b)))
 
 
-def _score(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    v = vectors.select("vec_id", "label", F.col("embedding").alias("v"), _norm(F.col("embedding")).alias("vn"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), _norm(F.col("embedding")).alias("qn"))
-    j = v.join(F.broadcast(q), how="inner", on=F.lit(True))
-    score = F.when((F.col("vn") == 0) | (F.col("qn") == 0), F.lit(0.0)) \
-        .otherwise(_dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")))
-    return j.select("query_id", "vec_id", "label", score.alias("score"))
+QUERY_CHUNK = 64
+
+
+def _query_literals(rows) -> Column:
+    """A chunk of query vectors as one constant array<struct> column."""
+    return F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
+                              F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("q"))
+                     for r in rows])
 
 
 def _chunks(queries: DataFrame):
-    n = queries.count()  # bounded scalar, drives the broadcast decision
-    if n <= MAX_BROADCAST_QUERIES:
-        return [queries]
-    parts = (n + MAX_BROADCAST_QUERIES - 1) // MAX_BROADCAST_QUERIES
-    return [queries.filter(F.pmod(F.col("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    """The query set is a bounded parameter: its size is checked before it
+    is brought to the driver; it is then split into constant chunks."""
+    n = queries.count()
+    if n > MAX_BROADCAST_QUERIES:
+        raise ValueError(f"{n} query vectors exceed the bound {MAX_BROADCAST_QUERIES}; "
+                         "run the search in several calls")
+    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
+    return [rows[i:i + QUERY_CHUNK] for i in range(0, len(rows), QUERY_CHUNK)]
+
+
+def _score_chunk(vectors: DataFrame, rows) -> DataFrame:
+    """Every vector row scores the constant query chunk in one projection
+    (no join): explode of (query_id, cosine)."""
+    v = vectors.select("vec_id", "label", F.col("embedding").alias("v"), _norm(F.col("embedding")).alias("vn"))
+    scored = F.transform(_query_literals(rows), lambda qr: F.struct(
+        qr["query_id"].alias("query_id"),
+        F.when((F.col("vn") == 0) | (_norm(qr["q"]) == 0), F.lit(0.0))
+        .otherwise(_dot(F.col("v"), qr["q"]) / (F.col("vn") * _norm(qr["q"]))).alias("score")))
+    return v.select("vec_id", "label", F.explode(scored).alias("s")).select(
+        F.col("s.query_id").alias("query_id"), "vec_id", "label", F.col("s.score").alias("score"))
 
 
 def similar_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``similar_topk``: the k most cosine-similar vectors per query."""
     out = None
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    for qs in _chunks(queries):
-        r = _score(vectors, qs).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    for rows in _chunks(queries):
+        r = _score_chunk(vectors, rows).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -58,8 +74,8 @@ def similar_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
 def similar_threshold(vectors: DataFrame, queries: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``similar_threshold``: all vectors with score >= threshold per query."""
     out = None
-    for qs in _chunks(queries):
-        r = _score(vectors, qs).filter(F.col("score") >= threshold)
+    for rows in _chunks(queries):
+        r = _score_chunk(vectors, rows).filter(F.col("score") >= threshold)
         out = r if out is None else out.unionByName(r)
     return out
 
