@@ -172,28 +172,21 @@ def url_similarity(spark, sf_dir):
 
 
 @register("url_path_similarity", oracle=f"""
-SELECT a.page_id AS page_a, b.page_id AS page_b,
-       round({D.path_similarity('a.url', 'b.url')}, 6) AS path_similarity
-FROM pages a JOIN pages b ON {D.host('a.url')} = {D.host('b.url')} AND a.page_id <> b.page_id""")
+WITH {SQL_LINKS}
+SELECT page_id, pos, round({D.path_similarity('url', 'page_url')}, 6) AS path_similarity FROM links""")
 def url_path_similarity(spark, sf_dir):
-    # pairs of pages on the same host (equi-join on host; no cross product)
-    p = pages(spark, sf_dir).select("page_id", "url", U.url_host("url").alias("host"))
-    a = p.select(F.col("page_id").alias("page_a"), F.col("url").alias("ua"), "host")
-    b = p.select(F.col("page_id").alias("page_b"), F.col("url").alias("ub"), "host")
-    return a.join(b, "host").filter("page_a <> page_b").select(
-        "page_a", "page_b", F.round(U.url_path_similarity("ua", "ub"), 6).alias("path_similarity"))
+    """Path-segment overlap of every link with its page URL (link first)."""
+    return _links(spark, sf_dir).select(
+        "page_id", "pos", F.round(U.url_path_similarity("url", "page_url"), 6).alias("path_similarity"))
 
 
 @register("url_query_similarity", oracle=f"""
-SELECT a.page_id AS page_a, b.page_id AS page_b,
-       round({D.query_similarity('a.url', 'b.url')}, 6) AS query_similarity
-FROM pages a JOIN pages b ON {D.host('a.url')} = {D.host('b.url')} AND a.page_id <> b.page_id""")
+WITH {SQL_LINKS}
+SELECT page_id, pos, round({D.query_similarity('page_url', 'url')}, 6) AS query_similarity FROM links""")
 def url_query_similarity(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", "url", U.url_host("url").alias("host"))
-    a = p.select(F.col("page_id").alias("page_a"), F.col("url").alias("ua"), "host")
-    b = p.select(F.col("page_id").alias("page_b"), F.col("url").alias("ub"), "host")
-    return a.join(b, "host").filter("page_a <> page_b").select(
-        "page_a", "page_b", F.round(U.url_query_similarity("ua", "ub"), 6).alias("query_similarity"))
+    """Query-key overlap of every page URL with its links (page first)."""
+    return _links(spark, sf_dir).select(
+        "page_id", "pos", F.round(U.url_query_similarity("page_url", "url"), 6).alias("query_similarity"))
 
 
 @register("url_municipal_pattern", oracle=f"""
