@@ -286,49 +286,23 @@ def pagination_walk(edges: DataFrame, page_ids: DataFrame, max_pages: int = 50)
     return pos.select("start_id", (F.col("d") + 1).alias("depth"), F.col("cur").alias("page_id"))
 
 
-def frontier_schedule(requests: DataFrame, delays: DataFrame) -> DataFrame:
+def frontier_schedule(requests: DataFrame, delays: DataFrame, partitions: int | None = None) -> DataFrame:
     """``frontier_schedule``: per-host fetch slots -- position in the host's
-    queue (priority, id) times the host's delay."""
-    w = Window.partitionBy("host").orderBy("priority", "page_id")
-    r = requests.join(delays, "host", "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(1000)))
-    r = r.withColumn("slot", F.row_number().over(w) - 1)
-    return r.withColumn("fetch_offset_ms", F.col("slot") * F.col("delay_ms"))
-
-
-EVAL_WORDS = ["list", "items", "container", "grid", "news", "articles", "posts", "teaser"]
-
-
-def container_candidate_eval(anchors: DataFrame, nodes_t: DataFrame, links: DataFrame) -> DataFrame:
-    """``container_candidate_eval`` (older scorer): for each ancestor of the
-    example anchor below <html>: structure score from valid link count, tag
-    and class words, plus 0.4 x share of links similar (> 0.5) to the
-    example; best total wins, nearest on ties."""
-    c = F.col
-    html_ids = nodes_t.filter(F.col("tag") == "html").select("page_id", F.col("node_id").alias("stop_id"))
-    cand = anchors.select("example_id", "page_id", "example_url", "anchor_id",
-                          F.posexplode("anchor_ancestors").alias("lvl", "container_id"))
-    cand = cand.join(html_ids, (cand["page_id"] == html_ids["page_id"]) & (cand["container_id"] == html_ids["stop_id"]),
-                     "left_anti")
-    info = nodes_t.select("page_id", F.col("node_id").alias("container_id"), F.col("tag").alias("c_tag"),
-                          F.col("class").alias("c_class"))
-    cand = cand.join(info, ["page_id", "container_id"])
-    la = links.select("page_id", "url", F.col("node_id").alias("link_id"), F.explode("ancestors").alias("container_id"))
-    j = cand.join(la, ["page_id", "container_id"]).filter((c("link_id") != c("anchor_id")) & U.url_valid("url"))
-    agg = j.groupBy("example_id", "container_id").agg(
-        F.count("*").alias("valid_links"),
-        F.count_if(U.url_similarity("url", "example_url") > 0.5).alias("similar"))
-    s = cand.join(agg, ["example_id", "container_id"], "left").fillna(0, ["valid_links", "similar"])
-    n = c("valid_links")
-    cls = F.lower(F.coalesce("c_class", F.lit("")))
-    kw = F.lit(False)
-    for w in EVAL_WORDS:
-        kw = kw | cls.contains(w)
-    structure = (F.when(n >= 2, 0.3).otherwise(0.0) + F.when(n >= 5, 0.2).otherwise(0.0)
-                 + F.when(n >= 10, 0.1).otherwise(0.0)
-                 + F.when(c("c_tag").isin("ul", "ol"), 0.2).when(c("c_tag").isin("div", "section", "article"), 0.1)
-                 .otherwise(0.0) + F.when(kw, 0.2).otherwise(0.0))
-    content = c("similar") / F.greatest(n, F.lit(1)) * 0.4
-    s = s.withColumn("structure_score", structure).withColumn("content_score", content).withColumn(
-        "total_score", structure + content).filter(c("total_score") > 0)
-    w = Window.partitionBy("example_id").orderBy(F.desc("total_score"), F.desc("lvl"))
-    return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    queue (priority, id) times the host's delay.
+
+    The position is a distributed rank, so one host with a third of all
+    pages is not sorted in one task: rows are range-partitioned on
+    (host, priority, page_id), ranked inside their partition, and each
+    partition's local rank is offset by the sizes of the same host's earlier
+    partitions (a small per-(partition, host) count table)."""
+    spark = requests.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism, 1)
+    r = requests.repartitionByRange(n, "host", "priority", "page_id").withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", "host").orderBy("priority", "page_id")
+    r = r.withColumn("_local", F.row_number().over(w) - 1)
+    counts = r.groupBy("_pid", "host").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("host").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    r = r.join(offs, ["_pid", "host"]).withColumn("slot", F.col("_local") + F.col("_off"))
+    r = r.join(delays, "host", "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(1000)))
+    return r.withColumn("fetch_offset_ms", F.col("slot") * F.col("delay_ms")).drop("_pid", "_local", "_off")
