@@ -247,25 +247,26 @@ def anonymize_items(items: DataFrame, emails: bool = True, phones: bool = True,
 
 
 def gdpr_matches(items: DataFrame, requests: DataFrame) -> DataFrame:
-    """Item ids hit by deletion requests (request_id, item_id), one equi-join
-    per criterion; date ranges are expanded to days and equi-joined, so no
-    range (theta) join is needed whatever the number of requests."""
-    it = items.select("item_id", U.url_host("sourceUrl").alias("domain"),
-                      F.lower(F.trim("email")).alias("email"), F.col("phone"),
-                      F.to_date(F.substring("endDate", 1, 10)).alias("day"))
+    """Item ids hit by deletion requests (request_id, item_id).
+
+    One pass over each side: every item emits its (criterion, key) pairs
+    (domain, e-mail, phone, day), every request its own (date ranges are
+    expanded to days), and a single equi-join on (criterion, key) finds all
+    hits -- no range (theta) join, no repeated scans of the items."""
+    def kv(kind, col):
+        return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("key"))
+    it = items.select("item_id", F.explode(F.array(
+        kv("domain", U.url_host("sourceUrl")), kv("email", F.lower(F.trim("email"))), kv("phone", F.col("phone")),
+        kv("day", F.to_date(F.substring("endDate", 1, 10))))).alias("k")).select("item_id", "k.kind", "k.key")
+    it = it.filter(F.col("key").isNotNull())
     r = requests
-    by_domain = r.filter(F.col("domain").isNotNull()).select("request_id", F.lower("domain").alias("domain")) \
-        .join(it.select("item_id", "domain"), "domain")
-    by_email = r.filter(F.col("email").isNotNull()).select("request_id", F.lower(F.trim("email")).alias("email")) \
-        .join(it.select("item_id", "email"), "email")
-    by_phone = r.filter(F.col("phone").isNotNull()).select("request_id", "phone") \
-        .join(it.select("item_id", "phone"), "phone")
-    days = r.filter(F.col("from_ts").isNotNull() & F.col("to_ts").isNotNull()).select(
-        "request_id", F.explode(F.sequence(F.to_date("from_ts"), F.to_date("to_ts"))).alias("day"))
-    by_day = days.join(it.select("item_id", "day"), "day")
-    cols = ["request_id", "item_id"]
-    return by_domain.select(cols).unionByName(by_email.select(cols)).unionByName(by_phone.select(cols)) \
-        .unionByName(by_day.select(cols)).distinct()
+    days = F.when(F.col("from_ts").isNotNull() & F.col("to_ts").isNotNull(),
+                  F.transform(F.sequence(F.to_date("from_ts"), F.to_date("to_ts")), lambda d: kv("day", d)))
+    req = r.select("request_id", F.explode(F.concat(
+        F.array(kv("domain", F.lower("domain")), kv("email", F.lower(F.trim("email"))), kv("phone", F.col("phone"))),
+        F.coalesce(days, F.array().cast("array<struct<kind:string,key:string>>")))).alias("k")) \
+        .select("request_id", "k.kind", "k.key").filter(F.col("key").isNotNull())
+    return req.join(it, ["kind", "key"]).select("request_id", "item_id").distinct()
 
 
 def gdpr_delete(items: DataFrame, requests: DataFrame) -> DataFrame:
