@@ -153,6 +153,12 @@ def structure_compress(html, focused: bool = False) -> Column:
     return truncate_text(drop_verbose_attrs(h), focused)
 
 
+def js_trim(text) -> Column:
+    """String.prototype.trim: strip leading/trailing white space of any kind
+    (Spark's ``trim`` removes only spaces)."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
 def strip_tags(html) -> Column:
     """Text of an HTML fragment: tags removed, common entities decoded."""
     t = F.regexp_replace(_c(html), r"<[^>]*>", "")

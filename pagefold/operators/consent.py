@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefold.functions import html as H
 from pagefold.operators import dom as M
 
 # Consent keywords, selectors, vendors and button texts.
@@ -209,7 +210,7 @@ def consent_buttons(nodes_t: DataFrame, detect: DataFrame) -> DataFrame:
     page_kw = b.filter(has_keywords(F.coalesce("text_content", F.lit("")))).join(n_inside, "page_id", "left_anti")
     chosen = inside.unionByName(page_kw)
     chosen = chosen.filter(F.col("text_content").isNotNull() & (F.col("text_content") != "") & _visible(F.col("attrs")))
-    search = F.lower(F.concat_ws(" ", F.trim(F.lower("text_content")), F.coalesce("class", F.lit("")),
+    search = F.lower(F.concat_ws(" ", H.js_trim(F.lower("text_content")), F.coalesce("class", F.lit("")),
                                  F.coalesce("id", F.lit(""))))
     chosen = chosen.withColumn("flags", F.struct(*[_matches(search, BUTTON_PATTERNS[k]).alias(k) for k in BUTTON_ORDER]))
     per_page = chosen.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(
@@ -240,7 +241,7 @@ def button_selector(buttons: DataFrame, nodes: DataFrame) -> DataFrame:
     class; text; tag."""
     par = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("class").alias("parent_class"))
     j = buttons.join(par, ["page_id", "parent_id"], "left")
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = H.js_trim(F.coalesce("text", F.lit("")))
     lt = F.lower(text)
     classes = F.filter(F.split(F.coalesce("class", F.lit("")), " "), lambda c: F.trim(c) != "")
     has_text_sel = F.format_string('%s:has-text("%s")', F.col("tag"), text)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pagefold.session import materialize
 
+from pagefold.functions import html as H
 from pagefold.functions import url as U
 from pagefold.operators import dom as M
 from pagefold.operators import links as L
@@ -31,7 +32,7 @@ def dom_links(nodes_t: DataFrame, pages: DataFrame) -> DataFrame:
     a = nodes_t.filter((F.col("tag") == "a") & F.map_contains_key("attrs", "href"))
     a = a.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
     a = a.select("page_id", "node_id", "ancestors", "page_url",
-                 F.col("attrs")["href"].alias("href"), F.trim(F.coalesce("text_content", F.lit(""))).alias("text"))
+                 F.col("attrs")["href"].alias("href"), H.js_trim(F.coalesce("text_content", F.lit(""))).alias("text"))
     a = a.withColumn("url", U.url_resolve("href", "page_url"))
     return a.withColumn("is_content", L.link_is_content("url", "text"))
 
@@ -210,8 +211,8 @@ def pagination_detect(nodes_t: DataFrame, pages: DataFrame) -> DataFrame:
     spark = nodes_t.sparkSession
     steps = M.selector_table(spark, {f"{i:02d}": s for i, s in enumerate(PAGINATION_SELECTORS)})
     hits = M.selector_match(nodes_t, steps).withColumn("sel_idx", F.col("sel_id").cast("int"))
-    a = nodes_t.select("page_id", "node_id", "attrs", "class", F.lower(F.trim(F.coalesce("text_content", F.lit(""))))
-                       .alias("lt"), F.trim(F.coalesce("text_content", F.lit(""))).alias("txt"))
+    a = nodes_t.select("page_id", "node_id", "attrs", "class", F.lower(H.js_trim(F.coalesce("text_content", F.lit(""))))
+                       .alias("lt"), H.js_trim(F.coalesce("text_content", F.lit(""))).alias("txt"))
     h = hits.join(a, ["page_id", "node_id"]).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
     h = h.withColumn("href", F.col("attrs")["href"]).withColumn("url", U.url_resolve("href", "page_url"))
     aria = F.lower(F.coalesce(F.try_element_at("attrs", F.lit("aria-label")), F.lit("")))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagefold.functions import html as H
 from pagefold.functions import url as U
 from pagefold.operators import dom as M
 from pagefold.operators import extraction as X
@@ -85,7 +86,7 @@ def extract_list_items(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame,
                                                           "text_content"))), lambda s: s).alias("all"))
     base = pages.select("page_id", F.col("url").alias("page_url"))
     first = first.join(base, "page_id")
-    text = F.trim(F.col("e.text_content"))
+    text = H.js_trim(F.col("e.text_content"))
     f = F.col("field")
     val = (F.when(f == "website", U.url_resolve(F.col("e.attrs")["href"], F.col("page_url")))
            .when(f.isin("price", "discountPrice"), X.parse_price(F.col("e.text_content")).cast("string"))
@@ -164,12 +165,12 @@ def extract_sandbox(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame) -> D
                                                      .alias("pe"))
     fields = items.join(page_first, "plan_id").join(in_first, ["plan_id", "item_id", "field"], "left")
     e_attrs = F.coalesce(F.col("e.attrs"), F.col("pe.attrs"))
-    e_text = F.trim(F.coalesce(F.col("e.text_content"), F.col("pe.text_content"), F.lit("")))
+    e_text = H.js_trim(F.coalesce(F.col("e.text_content"), F.col("pe.text_content"), F.lit("")))
     f = F.col("field")
     raw = (F.when(f == "images", F.coalesce(e_attrs["src"], e_attrs["data-src"], e_attrs["data-lazy-src"]))
            .when(f == "website", e_attrs["href"])
            .when(f == "email", F.coalesce(F.nullif(F.regexp_extract(e_text, X.EMAIL_FIND_RE, 0), F.lit("")), e_text))
-           .when(f == "phone", F.coalesce(F.nullif(F.trim(F.regexp_extract(e_text, X.PHONE_FIND_RE, 0)), F.lit("")),
+           .when(f == "phone", F.coalesce(F.nullif(H.js_trim(F.regexp_extract(e_text, X.PHONE_FIND_RE, 0)), F.lit("")),
                                           e_text))
            .when(f.isin("dates", "startDate"), F.coalesce(e_attrs["datetime"], e_attrs["data-date"], e_text))
            .otherwise(e_text))

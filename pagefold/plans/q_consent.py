@@ -76,10 +76,20 @@ def _detect(spark, sf_dir):
     return p, n, C.consent_detect(n, p)
 
 
-@register("consent_detect")
+@register("consent_detect", oracle=f"""
+WITH {SQL_CONSENT_PAGES},
+k AS (SELECT page_id, {_kw_sql('html')} AS has_keywords, {_lib_sql('html')} AS library,
+             CASE WHEN page_id % 3 = 0 THEN (CASE page_id % 4 WHEN 0 THEN 90 WHEN 1 THEN 55 WHEN 2 THEN 35 ELSE 0 END)
+                  ELSE 0 END AS best_overlay_score
+      FROM cpages)
+SELECT page_id, has_keywords, library, has_keywords AND best_overlay_score >= 50 AS detected, best_overlay_score
+FROM k""")
 def consent_detect(spark, sf_dir):
+    """Detection per page (keywords, vendor, best overlay score >= 50).  The
+    oracle re-derives the expected scores of the injected banner shapes:
+    fixed-position cookie banner 90, consent dialog 55, privacy notice 35."""
     _, _, d = _detect(spark, sf_dir)
-    return d
+    return d.select("page_id", "has_keywords", "library", "detected", "best_overlay_score")
 
 
 @register("consent_buttons")

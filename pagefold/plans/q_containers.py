@@ -97,32 +97,46 @@ def container_dedupe(spark, sf_dir):
     return CT.container_dedupe(r.join(site, "example_id")).select("site", "example_id", "signature", "n_links")
 
 
+SQL_PAGE_CHAIN = f"""
+chain AS (
+  SELECT page_id, {D.host('url')} AS host,
+         lead(page_id) OVER (PARTITION BY {D.host('url')} ORDER BY page_id) AS next_page_id,
+         lag(page_id) OVER (PARTITION BY {D.host('url')} ORDER BY page_id) AS prev_page_id
+  FROM pages
+)"""
+
+
 def _pagination(spark, sf_dir):
     p, nt, _ = _setup(spark, sf_dir, paginated=True)
     return p, CT.pagination_detect(nt, p)
 
 
-@register("pagination_detect")
+SQL_PAG = f"""{SQL_PAGE_CHAIN[1:]},
+succ AS (SELECT c.page_id, p.url AS page_url, n.url AS next_raw FROM chain c JOIN pages p ON p.page_id = c.page_id
+         LEFT JOIN pages n ON n.page_id = c.next_page_id),
+succ_c AS (SELECT page_id, next_raw, CASE WHEN next_raw IS NULL THEN NULL ELSE {D.canonical('next_raw')} END AS next_url
+           FROM succ)"""
+
+
+@register("pagination_detect", oracle=f"""
+WITH {SQL_PAG}
+SELECT page_id, CASE WHEN next_raw IS NOT NULL THEN '.pagination a[href]' END AS selector,
+       CASE WHEN next_raw IS NOT NULL THEN 2 ELSE 0 END AS n_links
+FROM succ_c""")
 def pagination_detect(spark, sf_dir):
     _, d = _pagination(spark, sf_dir)
     return d.select("page_id", "selector", F.size("pagination_links").alias("n_links"))
 
 
-@register("pagination_next")
+@register("pagination_next", oracle=f"""
+WITH {SQL_PAG}
+SELECT page_id, CASE WHEN next_raw IS NOT NULL THEN '.pagination a[rel="next"]' END AS next_selector, next_url
+FROM succ_c""")
 def pagination_next(spark, sf_dir):
     _, d = _pagination(spark, sf_dir)
     return d.select("page_id", "next_selector", "next_url")
 
 
-SQL_PAGE_CHAIN = f"""
-chain AS (
-  SELECT page_id, {D.host('url')} AS host,
-         lead(page_id) OVER (PARTITION BY {D.host('url')} ORDER BY page_id) AS next_page_id,
-         lag(page_id) OVER (PARTITION BY {D.host('url')} ORDER BY page_id) AS prev_page_id
-  FROM pages
-)"""
-
-
 @register("pagination_walk", oracle=f"""
 WITH RECURSIVE {SQL_PAGE_CHAIN[1:]},
 walk(start_id, depth, page_id) AS (
