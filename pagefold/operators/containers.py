@@ -287,26 +287,24 @@ def pagination_walk(edges: DataFrame, page_ids: DataFrame, max_pages: int = 50)
     return pos.select("start_id", (F.col("d") + 1).alias("depth"), F.col("cur").alias("page_id"))
 
 
-def frontier_schedule(requests: DataFrame, delays: DataFrame, partitions: int | None = None) -> DataFrame:
+def frontier_schedule(requests: DataFrame, delays: DataFrame, bucket: int = 100_000) -> DataFrame:
     """``frontier_schedule``: per-host fetch slots -- position in the host's
     queue (priority, id) times the host's delay.
 
     The position is a distributed rank, so one host with a third of all
-    pages is not sorted in one task: rows are range-partitioned on
-    (host, priority, page_id), ranked inside their partition, and each
-    partition's local rank is offset by the sizes of the same host's earlier
-    partitions (a small per-(partition, host) count table)."""
-    spark = requests.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism, 1)
-    r = requests.repartitionByRange(n, "host", "priority", "page_id").withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", "host").orderBy("priority", "page_id")
+    pages is not sorted in one task: rows are ranked inside fixed-width id
+    buckets (host, priority, page_id div ``bucket``) and each bucket's local
+    rank is offset by the sizes of the host's earlier buckets (a small
+    per-bucket count table).  Buckets are a pure function of the row."""
+    r = requests.withColumn("_b", F.floor(F.col("page_id") / F.lit(bucket)).cast("long"))
+    w = Window.partitionBy("host", "priority", "_b").orderBy("page_id")
     r = r.withColumn("_local", F.row_number().over(w) - 1)
-    counts = r.groupBy("_pid", "host").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("host").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = r.groupBy("host", "priority", "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("host").orderBy("priority", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    r = r.join(offs, ["_pid", "host"]).withColumn("slot", F.col("_local") + F.col("_off"))
+    r = r.join(offs, ["host", "priority", "_b"]).withColumn("slot", F.col("_local") + F.col("_off"))
     r = r.join(delays, "host", "left").withColumn("delay_ms", F.coalesce("delay_ms", F.lit(1000)))
-    return r.withColumn("fetch_offset_ms", F.col("slot") * F.col("delay_ms")).drop("_pid", "_local", "_off")
+    return r.withColumn("fetch_offset_ms", F.col("slot") * F.col("delay_ms")).drop("_b", "_local", "_off")
 
 
 EVAL_WORDS = ["list", "items", "container", "grid", "news", "articles", "posts", "teaser"]

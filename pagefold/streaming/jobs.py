@@ -158,14 +158,32 @@ def consent_ttl_batch(checks: DataFrame, ttl_minutes: dict | None = None) -> Dat
     """``stream_consent_ttl`` (batch form): which checks are served from the
     domain cache.  Checks further apart than the longest TTL cannot interact,
     so each domain's timeline is cut at such gaps and every piece is folded
-    independently (``applyInPandas``) -- a busy domain becomes many groups."""
+    independently -- a busy domain becomes many pieces, spread over tasks."""
     table = ttl_minutes or CONSENT_TTL_MIN
     max_ttl = max(table.values())
     from pyspark.sql import Window
-    w = Window.partitionBy("domain").orderBy("ts", "seq")
     c = checks.withColumn("ttl", _ttl_col(F.col("outcome"), table))
-    gap = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))) > max_ttl * 60
-    c = c.withColumn("piece", F.sum(F.when(gap, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Gap detection without a per-domain sort: rows are bucketed by
+    # (domain, day); each row's predecessor is found inside its bucket, the
+    # first row of a bucket takes the last timestamp of the same domain's
+    # nearest earlier bucket (a small per-(domain, day) table).  Buckets are
+    # a pure function of the row, so every branch of the plan agrees on them.
+    r = c.withColumn("_day", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).cast("long"))
+    w = Window.partitionBy("domain", "_day").orderBy("ts", "seq")
+    r = r.withColumn("_prev", F.lag("ts").over(w))
+    per = r.groupBy("domain", "_day").agg(F.max("ts").alias("_last"))
+    wd = Window.partitionBy("domain").orderBy("_day")
+    per = per.withColumn("_prev_last", F.lag("_last").over(wd)).drop("_last")
+    r = r.join(per, ["domain", "_day"])
+    prev = F.coalesce(F.col("_prev"), F.col("_prev_last"))
+    r = r.withColumn("_gap", F.when((F.unix_micros("ts") - F.unix_micros(prev)) > max_ttl * 60 * 1_000_000, 1)
+                     .otherwise(0))
+    r = r.withColumn("_local", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    gaps = r.groupBy("domain", "_day").agg(F.sum("_gap").alias("_g"))
+    gaps = gaps.withColumn("_off", F.coalesce(F.sum("_g").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0))).drop("_g")
+    c = r.join(gaps, ["domain", "_day"]).withColumn("piece", (F.col("_off") + F.col("_local")).cast("long")) \
+        .select("domain", "ts", "seq", "outcome", "ttl", "piece")
     schema = "domain string, ts timestamp, seq long, outcome string, ttl int, piece long, cache_hit boolean"
     par = checks.sparkSession.sparkContext.defaultParallelism
     # pieces are spread over tasks and streamed in time order: no group is
