@@ -54,12 +54,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read ``spark.checkpoint.dir`` from the session (the cluster names a shared
     folder there).  Only when it is unset -- local tests -- create one.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
         # Unset only in ad-hoc local sessions (tests): make a scratch folder.
         conf = tempfile.mkdtemp(prefix="pagefold-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(conf)
-    return conf
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def materialize(df, name: str = "table"):
