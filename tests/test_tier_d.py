@@ -115,3 +115,26 @@ def test_queries_import_without_session():
             % os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+def test_frontier_rank_across_buckets(spark):
+    rows = [(i, "h1" if i % 3 else "h2", i % 2) for i in range(1, 41)]
+    req = spark.createDataFrame(rows, "page_id long, host string, priority int")
+    delays = spark.createDataFrame([("h1", 500)], "host string, delay_ms int")
+    got = {r["page_id"]: (r["slot"], r["fetch_offset_ms"]) for r in CT.frontier_schedule(req, delays, bucket=4).collect()}
+    for host, delay in (("h1", 500), ("h2", 1000)):
+        ordered = sorted((p for p in rows if p[1] == host), key=lambda p: (p[2], p[0]))
+        for slot, p in enumerate(ordered):
+            assert got[p[0]] == (slot, slot * delay)
+
+
+def test_consent_cache_pieces_cross_days(spark):
+    from pagefold.streaming import jobs as J
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1, 23, 30)
+    rows = [("d", t0 + dt.timedelta(minutes=m), i, "ok") for i, m in enumerate([0, 20, 50, 61, 65, 200, 230, 300])]
+    checks = spark.createDataFrame(rows, "domain string, ts timestamp, seq long, outcome string")
+    hits = {r["seq"]: r["cache_hit"] for r in J.consent_ttl_batch(checks).collect()}
+    # executed at 0 (cache till 60), hits at 20/50, executed 61 (till 121), hit 65,
+    # executed 200 (till 260), hit 230, executed 300
+    assert [hits[i] for i in range(8)] == [False, True, True, False, True, False, True, False]
