@@ -176,10 +176,21 @@ def _text_batches(batches):
         yield pd.DataFrame({"page_id": pdf["page_id"], "text": texts})
 
 
+HTML_BATCH_ROWS = 256
+
+
 def _spread(pages: DataFrame) -> DataFrame:
     """Make sure the Python pass gets enough tasks (a single small file
-    would otherwise be one or two tasks); large inputs keep their scan splits."""
+    would otherwise be one or two tasks); large inputs keep their scan splits.
+
+    Pages can be megabytes each, so Arrow batches to the Python worker are
+    capped at ``HTML_BATCH_ROWS`` rows (the session default of 10,000 rows
+    could mean gigabyte batches)."""
     spark = pages.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    cur = int(spark.conf.get(key, "10000"))
+    if cur <= 0 or cur > HTML_BATCH_ROWS:
+        spark.conf.set(key, str(HTML_BATCH_ROWS))
     par = spark.sparkContext.defaultParallelism
     p = pages.select("page_id", "html")
     if p._jdf.rdd().getNumPartitions() < par:  # JVM-side: lists splits, runs no job
