@@ -120,6 +120,26 @@ def _msg(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+class _Recorder:
+    """Records ``withColumn`` / ``select`` calls so the (large) validation
+    expressions are built once per Spark application and replayed on every
+    input -- building them costs thousands of py4j round trips."""
+
+    def __init__(self):
+        self.ops = []
+
+    def withColumn(self, name, col):  # noqa: N802 - DataFrame API name
+        self.ops.append(("with", name, col))
+        return self
+
+    def select(self, *cols):
+        self.ops.append(("select", cols))
+        return self
+
+
+_OPS_CACHE: dict = {}
+
+
 def validate_items(items: DataFrame, base_url: str | None = "sourceUrl") -> DataFrame:
     """``validate_items``: validate + normalize every item (map-only).
 
@@ -127,6 +147,21 @@ def validate_items(items: DataFrame, base_url: str | None = "sourceUrl") -> Data
     quality_score and the normalized fields ``n_*``.  ``base_url`` names the
     column used to resolve relative image URLs (None: no base).
     """
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    key = (id(sc), sc.applicationId if sc else None, base_url)
+    if key not in _OPS_CACHE:
+        rec = _Recorder()
+        _build_validation(rec, base_url)
+        _OPS_CACHE[key] = rec.ops
+    df = items
+    for op in _OPS_CACHE[key]:
+        df = df.withColumn(op[1], op[2]) if op[0] == "with" else df.select(*op[1])
+    return df.drop(*[x for x in df.columns if x.startswith("_")])
+
+
+def _build_validation(items, base_url):
+    """Validation steps applied to ``items`` (a DataFrame or a recorder)."""
     c = F.col
     year_now = F.year(F.current_date())
 
@@ -266,7 +301,7 @@ def validate_items(items: DataFrame, base_url: str | None = "sourceUrl") -> Data
     }
     out = df.select("*", *[v.alias(f"n_{k}") for k, v in norm.items()],
                     errors.alias("errors"), warnings.alias("warnings"))
-    return add_quality(out).drop(*[x for x in out.columns if x.startswith("_")])
+    return add_quality(out)
 
 
 def _filled(name: str, col: Column) -> Column:
