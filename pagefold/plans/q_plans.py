@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagefold.operators import compliance as CP
 from pagefold.operators import dom as M
 from pagefold.operators import extract_dom as E
+from pagefold.operators import extraction as X
 from pagefold.plans import duck as D
 from pagefold.plans.catalog import register
 from pagefold.sources import derived as S
@@ -49,7 +50,28 @@ def plan_precheck(spark, sf_dir):
     return E.plan_precheck(_plans(spark, sf_dir), allowed)
 
 
-@register("extract_list_items")
+def _list_items_sql() -> str:
+    clean = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+             "'(?is)(<script\\b[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style>', '\\1', 'g')")
+    title = D.strip_tags("regexp_extract(c, '(?is)<article\\b[^>]*>.*?<h1\\b[^>]*>(.*?)</h1>', 1)")
+    desc = D.strip_tags("regexp_extract(c, '(?is)<article\\b[^>]*>.*?<p\\b[^>]*>(.*?)(<p\\b|</p>|</article>)', 1)")
+    trim = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    words = "string_split_regex(lower(t || ' ' || d), '\\s+')"
+    de = f"len(list_filter({words}, lambda w: w IN ({', '.join(D.q(w) for w in X.TOKEN_GERMAN)})))"
+    en = f"len(list_filter({words}, lambda w: w IN ({', '.join(D.q(w) for w in X.TOKEN_ENGLISH)})))"
+    return f"""
+WITH e AS (SELECT {D.host('url')} AS site, min(page_id) AS entry_page_id FROM pages GROUP BY 1),
+c AS (SELECT 'plan-' || e.site AS plan_id, {clean} AS c FROM e JOIN pages p ON p.page_id = e.entry_page_id),
+x AS (SELECT plan_id,
+        len(regexp_extract_all(substring(c, 1, strpos(c, '<article') - 1), '<[a-zA-Z][a-zA-Z0-9]*', 0)) AS item_id,
+        {trim.format(x=title)} AS t, {trim.format(x=desc)} AS d
+      FROM c WHERE strpos(c, '<article') > 0)
+SELECT plan_id, item_id, 0 AS item_idx, t AS title, md5(d) AS description_md5,
+       CASE WHEN {de} > {en} THEN 'de' ELSE 'en' END AS language
+FROM x WHERE t <> '' AND d <> ''"""
+
+
+@register("extract_list_items", oracle=_list_items_sql())
 def extract_list_items(spark, sf_dir):
     p, nt, pl = _ctx(spark, sf_dir)
     it = E.extract_list_items(nt, pl, p)
