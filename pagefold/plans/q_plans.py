@@ -79,7 +79,25 @@ def extract_list_items(spark, sf_dir):
                      "language")
 
 
-@register("content_urls_by_selector")
+def _content_urls_sql() -> str:
+    clean = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+             "'(?is)(<script\\b[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style>', '\\1', 'g')")
+    return f"""
+WITH e AS (SELECT {D.host('url')} AS site, min(page_id) AS entry_page_id FROM pages GROUP BY 1),
+c AS (SELECT 'plan-' || e.site AS plan_id, p.url AS page_url, {clean} AS c
+      FROM e JOIN pages p ON p.page_id = e.entry_page_id),
+t AS (SELECT plan_id, page_url, list_transform(regexp_extract_all(c, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS tags,
+             regexp_extract_all(c, '(?i)<a\\b[^>]*\\bhref="([^"]*)"', 1) AS hrefs FROM c),
+a AS (SELECT plan_id, page_url,
+             unnest(list_filter(range(len(tags)), lambda i: tags[i + 1] = 'a')) AS node_id, unnest(hrefs) AS href
+      FROM t),
+j AS (SELECT *, {D.resolve_join('href', 'page_url')} AS jn FROM a),
+k AS (SELECT *, {D.canonical('jn')} AS cn FROM j),
+u AS (SELECT plan_id, {D.resolve_final('href', 'jn', 'cn')} AS url, min(node_id) AS pos FROM k GROUP BY 1, 2)
+SELECT plan_id, url, pos, row_number() OVER (PARTITION BY plan_id ORDER BY pos) AS rank FROM u"""
+
+
+@register("content_urls_by_selector", oracle=_content_urls_sql())
 def content_urls_by_selector(spark, sf_dir):
     p, nt, pl = _ctx(spark, sf_dir)
     return E.content_urls_by_selector(nt, pl, p)
