@@ -103,7 +103,25 @@ def content_urls_by_selector(spark, sf_dir):
     return E.content_urls_by_selector(nt, pl, p)
 
 
-@register("content_urls_by_item")
+def _content_urls_item_sql() -> str:
+    from pagefold.plans.q_links import _light_sql
+    return f"""
+WITH e AS (SELECT {D.host('url')} AS site, min(page_id) AS entry_page_id FROM pages GROUP BY 1),
+c AS (SELECT 'plan-' || e.site AS plan_id, p.url AS page_url, p.html AS c
+      FROM e JOIN pages p ON p.page_id = e.entry_page_id),
+t AS (SELECT plan_id, page_url,
+             regexp_extract_all(c, '(?is)<li\\b[^>]*>\\s*<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs,
+             regexp_extract_all(c, '(?is)<li\\b[^>]*>\\s*<a\\b[^>]*\\bhref="([^"]*)"[^>]*>(.*?)</a>', 2) AS inner_html
+      FROM c),
+a AS (SELECT plan_id, page_url, unnest(range(len(hrefs))) AS item_idx, unnest(hrefs) AS href,
+             unnest(inner_html) AS inner_html FROM t),
+j AS (SELECT *, {D.strip_tags('inner_html')} AS text, {D.resolve_join('href', 'page_url')} AS jn FROM a),
+k AS (SELECT *, {D.canonical('jn')} AS cn FROM j),
+u AS (SELECT plan_id, item_idx, text, {D.resolve_final('href', 'jn', 'cn')} AS url FROM k)
+SELECT plan_id, url, min(item_idx) AS item_idx FROM u WHERE {_light_sql('url', 'text')} GROUP BY 1, 2"""
+
+
+@register("content_urls_by_item", oracle=_content_urls_item_sql())
 def content_urls_by_item(spark, sf_dir):
     p, nt, pl = _ctx(spark, sf_dir)
     nav_plans = pl.withColumn("list_selector", F.lit("nav li"))
