@@ -72,7 +72,25 @@ def specific_selector(spark, sf_dir):
     return M.specific_selector(_nodes(spark, sf_dir))
 
 
-@register("container_order")
+def _container_order_sql() -> str:
+    tag_re = "<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>"
+    return f"""
+WITH c AS (SELECT page_id, {_CLEAN} AS c FROM pages),
+t AS (SELECT page_id, regexp_extract_all(c, {D.q(tag_re)}, 1) AS tags, regexp_extract_all(c, {D.q(tag_re)}, 2) AS attrs
+      FROM c),
+n AS (SELECT page_id, unnest(range(len(tags))) AS node_id, lower(unnest(tags)) AS tag, unnest(attrs) AS attr FROM t),
+k AS (SELECT page_id, node_id, tag,
+        nullif(list_filter(string_split_regex(trim(regexp_extract(attr, '\\bclass="([^"]*)"', 1)), '\\s+'),
+                           lambda x: x <> '')[1], '') AS primary_class,
+        regexp_matches(attr, '\\bclass=') AS has_class
+      FROM n)
+SELECT page_id, node_id, tag, primary_class,
+       row_number() OVER (PARTITION BY page_id, tag, coalesce(primary_class, '') ORDER BY node_id) AS "order",
+       count(*) OVER (PARTITION BY page_id, tag, coalesce(primary_class, '')) AS n_similar
+FROM k"""
+
+
+@register("container_order", oracle=_container_order_sql())
 def container_order(spark, sf_dir):
     return M.container_order(_nodes(spark, sf_dir))
 
