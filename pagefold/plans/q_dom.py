@@ -132,7 +132,15 @@ def chunk_semantic(spark, sf_dir):
     return sem.select("page_id", "idx", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
 
 
-@register("chunk_structural")
+@register("chunk_structural", oracle="""
+SELECT page_id, idx, category, chars FROM (
+  SELECT page_id, 0 AS idx, 'mainContent' AS category,
+         length(regexp_extract(html, '(?is)<article\\b.*?</article>', 0)) AS chars FROM pages
+  UNION ALL SELECT page_id, 1, 'navigation', length(regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0)) FROM pages
+  UNION ALL SELECT page_id, 2, 'advertisements',
+         length(regexp_extract(html, '(?is)<div class="ad"[^>]*>.*?</div>', 0)) FROM pages
+  UNION ALL SELECT page_id, 3, 'footers', length(regexp_extract(html, '(?is)<footer\\b.*?</footer>', 0)) FROM pages)
+WHERE chars > 0""")
 def chunk_structural(spark, sf_dir):
     _, st, _ = _chunks(spark, sf_dir)
     c = K.chunk_structural(st)
