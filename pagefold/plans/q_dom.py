@@ -170,7 +170,10 @@ def chunk_merge(spark, sf_dir):
                     F.round("size_ratio", 6).alias("size_ratio"))
 
 
-@register("focus_content_areas")
+@register("focus_content_areas", oracle="""
+SELECT page_id, CASE WHEN a = '' THEN 0 ELSE 1 END AS n_elements, length(f) AS chars, md5(f) AS focused_md5 FROM (
+  SELECT page_id, a, CASE WHEN a = '' THEN html ELSE '<html><head></head><body>' || a || '</body></html>' END AS f
+  FROM (SELECT page_id, html, regexp_extract(html, '(?is)<article\\b.*?</article>', 0) AS a FROM pages))""")
 def focus_content_areas(spark, sf_dir):
     p = pages(spark, sf_dir)
     f = K.focus_content_areas(M.dom_shred(p), p, ["article", ".content"])
