@@ -64,10 +64,20 @@ def consent_candidates(spark, sf_dir):
     return C.candidates(_nodes_t(p), C.DIALOG_SELECTORS).select("page_id", "node_id", "sel_idx", "selector")
 
 
-@register("consent_score")
+@register("consent_score", oracle="""
+SELECT page_id, selector, score FROM (
+  SELECT page_id, page_id % 4 AS k FROM pages WHERE page_id % 3 = 0) p
+JOIN (VALUES (0, '[class*="cookie"]', 55), (0, '.cookie-banner', 90),
+             (1, '[class*="consent"]', 55), (1, '[role="dialog"]', 35),
+             (2, '.privacy-notice', 35)) AS e(k, selector, score) USING (k)""")
 def consent_score(spark, sf_dir):
+    """Static score of every overlay candidate.  The oracle lists the
+    expected (selector, score) pairs of the injected banner shapes: the
+    fixed-position cookie banner (55 by the generic class selector, 90 by
+    .cookie-banner), the consent dialog (55 / 35 by role) and the privacy
+    notice (35)."""
     p = S.consent_pages(spark, sf_dir)
-    return C.scored_candidates(_nodes_t(p), C.OVERLAY_SELECTORS).select("page_id", "node_id", "selector", "score")
+    return C.scored_candidates(_nodes_t(p), C.OVERLAY_SELECTORS).select("page_id", "selector", "score")
 
 
 def _detect(spark, sf_dir):
