@@ -2,14 +2,15 @@
 
 On a cluster the session is created by the platform; we only read settings
 from it.  ``get_spark`` builds a local session for tests and the bench with
-the options the library relies on (UTC, AQE, ANSI off for ``try_*`` safety is
-not needed: we use ``try_*`` functions explicitly).
+the options the library relies on (UTC, AQE).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,8 +52,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Read ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there).  Only when it is unset -- local tests -- create one.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may
+    leave it unset and then gets a scratch folder; on a cluster a machine-local
+    folder would lose data, so that raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,7 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        # Unset only in ad-hoc local sessions (tests): make a scratch folder.
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="pagefold-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -71,8 +74,6 @@ def materialize(df, name: str = "table"):
     it back: one computation, lineage cut, and the data survives executor
     loss (unlike caching).  Used where a plan reads an expensive
     intermediate many times (the DOM node table, walk edges)."""
-    import os
-    import uuid
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
