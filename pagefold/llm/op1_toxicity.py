@@ -49,6 +49,7 @@ TABLE_SIZE = 300_000
 CONTEXT = 6
 REPORTED = 0.25
 
+SIGNS = ".,;:!?()[]{}\"'“”„«»‹›‘’"
 OPENING, CLOSING = "\"“„«‹‘'", "\"”“»›’'"
 CUES = frozenset("said says saying called calls calling wrote writes quote quoted quotes quoting word words term "
                  "dit disait écrit appelé citation mot sagte sagt schrieb nannte zitat wort dijo dice escribió "
@@ -65,7 +66,8 @@ def held_out(doc_id: Column) -> Column:
 class Matcher:
     """Lexicon terms within their edit distance of a word."""
 
-    def __init__(self, terms: tuple[str, ...], room: int = TABLE_SIZE):
+    def __init__(self, terms: tuple[str, ...], wanted: frozenset | None = None, room: int = TABLE_SIZE):
+        self.wanted = wanted
         self.children: list[dict[str, int]] = [{}]
         self.term = [-1]
         self.reach = [0]  # edits that the best term below a node allows
@@ -89,7 +91,7 @@ class Matcher:
         self.sets: list[tuple] = [start]
         self.moves: list[dict[str, int]] = [{}]
         self.split = re.compile(r"[^\W_]+").findall
-        self.longrun = re.compile(r"(.)\1{2,}").sub
+        self.longrun = re.compile(r"(.)\1{2,}")
         self.table: dict[str, tuple] = {}
 
     @staticmethod
@@ -141,23 +143,24 @@ class Matcher:
     def run(self, run: str) -> tuple[tuple[int, int], ...]:
         """Matches of one blank-free run: its words, and the run read through disguises
         (signs inside a word, repeated letters, look-alike digits)."""
+        core = run.strip(SIGNS)
+        if core.isalpha():
+            forms = {core}
+        else:
+            words = self.split(run)
+            forms = {core, "".join(words), *words}
+            forms |= {form.translate(LOOKALIKES) for form in forms}
+        if self.longrun.search(core):
+            forms |= {self.longrun.sub(r"\1", form) for form in forms}
         found: dict[int, int] = {}
-        words = self.split(run)
-        forms = set(words)
-        core = run.strip(".,;:!?()[]{}\"'“”„«»‹›‘’")
-        if len(words) > 1 or len(words) == 1 and words[0] != core:
-            forms |= {core, "".join(words)}
-        for form in list(forms):
-            if not form.isalpha():
-                forms.add(form.translate(LOOKALIKES))
-            forms.add(self.longrun(r"\1", form))
         for form in forms:
             for term, edits in self.match(form).items():
                 found[term] = min(found.get(term, 9), edits)
         if not found:
             return ()
         least = min(found.values())
-        return tuple(sorted((t, e) for t, e in found.items() if e == least))
+        return tuple(sorted((t, e) for t, e in found.items()
+                            if e == least and (self.wanted is None or (t, e) in self.wanted)))
 
     def __call__(self, text: str | None) -> tuple[dict[tuple[int, int], float], int]:
         """``{(term, edits): context score}`` and the number of distinct runs."""
@@ -193,9 +196,12 @@ def context(runs: list[str], at: int) -> float:
 
 
 @lru_cache(maxsize=2)
-def matcher(terms: tuple[str, ...]) -> Matcher:
-    """One per worker process and lexicon, kept from task to task."""
-    return Matcher(terms)
+def matcher(terms: tuple[str, ...], wanted: frozenset | None = None) -> Matcher:
+    """One per worker process and lexicon, kept from task to task.
+
+    ``wanted``: only these (term, edits) count, None: all.
+    """
+    return Matcher(terms, wanted)
 
 
 @dataclass(frozen=True)
@@ -293,7 +299,7 @@ def score(text: Column, model: Model) -> Column:
     @F.pandas_udf("score double, hits int, reported int")
     def run(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
-        find = matcher(model.terms)
+        find = matcher(model.terms, frozenset(k for k, w in model.weights.items() if w > 0))
         out = []
         for text in texts:
             found, size = find(text)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_toxicity", "op2_pii", "op3_simhash", "op6_packing", "op7_decontaminate", "op9_tokens"]
+MODULES = ["op1_toxicity", "op2_pii", "op3_simhash", "op4_html", "op5_urls", "op6_packing", "op7_decontaminate",
+           "op8_quality", "op9_tokens"]
 
 for _m in MODULES:
     import_module(f"pagefold.llm.{_m}")
