@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import url as U
 
-DEFAULT_AGENT = "AI-Scraper-Service/1.0"
+DEFAULT_AGENT = "pagefold-bot/1.0"
 DEFAULT_SALT = "default-salt"
 VALID_TTL_HOURS = 24
 ERROR_TTL_HOURS = 1
@@ -246,35 +246,57 @@ def anonymize_items(items: DataFrame, emails: bool = True, phones: bool = True,
     return out
 
 
-def gdpr_matches(items: DataFrame, requests: DataFrame) -> DataFrame:
-    """Item ids hit by deletion requests (request_id, item_id).
-
-    One pass over each side: every item emits its (criterion, key) pairs
-    (domain, e-mail, phone, day), every request its own (date ranges are
-    expanded to days), and a single equi-join on (criterion, key) finds all
-    hits -- no range (theta) join, no repeated scans of the items."""
+def _item_keys(items: DataFrame) -> DataFrame:
+    """``item_id, kind, key``: domain, e-mail, phone and day of every item."""
     def kv(kind, col):
         return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("key"))
     it = items.select("item_id", F.explode(F.array(
         kv("domain", U.url_host("sourceUrl")), kv("email", F.lower(F.trim("email"))), kv("phone", F.col("phone")),
-        kv("day", F.to_date(F.substring("endDate", 1, 10))))).alias("k")).select("item_id", "k.kind", "k.key")
-    it = it.filter(F.col("key").isNotNull())
-    r = requests
+        kv("day", F.to_date(F.substring("endDate", 1, 10))))).alias("k"))
+    return it.select("item_id", "k.kind", "k.key").filter(F.col("key").isNotNull())
+
+
+def _request_keys(requests: DataFrame) -> DataFrame:
+    """``request_id, kind, key``; date ranges are expanded to days, so that
+    every criterion is an equality."""
+    def kv(kind, col):
+        return F.struct(F.lit(kind).alias("kind"), col.cast("string").alias("key"))
     days = F.when(F.col("from_ts").isNotNull() & F.col("to_ts").isNotNull(),
                   F.transform(F.sequence(F.to_date("from_ts"), F.to_date("to_ts")), lambda d: kv("day", d)))
-    req = r.select("request_id", F.explode(F.concat(
+    req = requests.select("request_id", F.explode(F.concat(
         F.array(kv("domain", F.lower("domain")), kv("email", F.lower(F.trim("email"))), kv("phone", F.col("phone"))),
-        F.coalesce(days, F.array().cast("array<struct<kind:string,key:string>>")))).alias("k")) \
-        .select("request_id", "k.kind", "k.key").filter(F.col("key").isNotNull())
-    return req.join(it, ["kind", "key"]).select("request_id", "item_id").distinct()
+        F.coalesce(days, F.array().cast("array<struct<kind:string,key:string>>")))).alias("k"))
+    return req.select("request_id", "k.kind", "k.key").filter(F.col("key").isNotNull()).distinct()
 
 
 def gdpr_delete(items: DataFrame, requests: DataFrame) -> DataFrame:
-    """``gdpr_delete``: items that survive the deletion requests (anti join)."""
-    hit = gdpr_matches(items, requests).select("item_id").distinct()
+    """``gdpr_delete``: items that survive the deletion requests.
+
+    Requests are reduced to their distinct criteria before they meet the items,
+    so the work follows items plus requests, never their pairs."""
+    keys = _request_keys(requests).select("kind", "key").distinct()
+    hit = _item_keys(items).join(keys, ["kind", "key"], "left_semi").select("item_id").distinct()
     return items.join(hit, "item_id", "left_anti")
 
 
+def gdpr_delete_counts(items: DataFrame, requests: DataFrame) -> DataFrame:
+    """Items hit per request.
+
+    An item has one key of a kind, so the counts of a request's keys of one kind
+    add up; items are counted per key before the join.  Only requests with
+    criteria of several kinds need their pairs, to count an item once."""
+    keys = _request_keys(requests)
+    kinds = keys.groupBy("request_id").agg(F.count_distinct("kind").alias("kinds"))
+    keys = keys.join(kinds, "request_id")
+    have = _item_keys(items)
+    counts = have.groupBy("kind", "key").agg(F.count_distinct("item_id").alias("n"))
+    single = keys.filter("kinds = 1").join(counts, ["kind", "key"]).groupBy("request_id").agg(F.sum("n").alias("n"))
+    several = keys.filter("kinds > 1").join(have, ["kind", "key"]).groupBy("request_id").agg(
+        F.count_distinct("item_id").alias("n"))
+    return requests.select("request_id").join(single.unionByName(several), "request_id", "left").select(
+        "request_id", F.coalesce("n", F.lit(0)).cast("long").alias("deleted_records"))
+
+
 def cache_stats(state: DataFrame, now: Column) -> DataFrame:
     """``cache_stats``: total / valid / expired cache entries at ``now``."""
     valid = (F.col("expires_at") > now) & F.col("is_valid")

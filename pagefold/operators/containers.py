@@ -182,16 +182,19 @@ def sibling_discovery(nodes_t: DataFrame, pages: DataFrame, examples: DataFrame,
     links_col = F.coalesce("links", F.array().cast("array<string>"))
     return res.select(
         "example_id", "container_id", "signature", links_col.alias("links"), F.size(links_col).alias("n_links"),
-        F.when(F.col("container_id").isNotNull(), "container-analysis").otherwise("none").alias("method"),
+        F.when(F.col("container_id").isNotNull(), "category-page").otherwise("none").alias("method"),
         F.when(F.size(links_col) > 0, F.lit(0.6)).otherwise(F.lit(0.0)).alias("confidence"))
 
 
 def container_dedupe(results: DataFrame, site_col: str = "site", order_col: str = "example_id") -> DataFrame:
     """``container_dedupe``: first result per (site, container signature);
     results without a signature are always kept."""
-    w = Window.partitionBy(site_col, "signature").orderBy(order_col)
-    r = results.withColumn("_r", F.when(F.col("signature").isNull(), F.lit(1)).otherwise(F.row_number().over(w)))
-    return r.filter("_r = 1").drop("_r")
+    signed = results.filter(F.col("signature").isNotNull())
+    # The first row per key by a map-side combined aggregate; unsigned rows move nowhere.
+    rest = [c for c in results.columns if c not in (site_col, "signature")]
+    first = signed.groupBy(site_col, "signature").agg(F.min_by(F.struct(*rest), order_col).alias("_f"))
+    return results.filter(F.col("signature").isNull()).unionByName(
+        first.select(site_col, "signature", "_f.*").select(*results.columns))
 
 
 # Pagination selectors in priority order and next-link rules.
@@ -254,37 +257,41 @@ def pagination_detect(nodes_t: DataFrame, pages: DataFrame) -> DataFrame:
                       F.col("x.next_selector").alias("next_selector"), F.col("x.next_url").alias("next_url"))
 
 
-def pagination_walk(edges: DataFrame, page_ids: DataFrame, max_pages: int = 50) -> DataFrame:
-    """``pagination_walk``: follow next links from each start page until
-    there is none or ``max_pages`` pages were visited (no visited check, as
-    in the reference, so a cycle repeats pages).
+def pagination_walk(edges: DataFrame, page_ids: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """``pagination_walk``: follow next links from each start page (one that
+    nobody links to) until there is none.
 
-    Pointer doubling instead of one join per step: jump tables
-    J_k = next^(2^k) are built by self-joins, and page number d of a walk is
-    reached by composing the jumps of d's binary digits -- about
-    2*log2(max_pages) joins in one job, whatever the chain lengths.  The
-    edge list (one row per page) is materialized once because every jump
-    table reads it.
+    Without ``max_pages`` a walk also ends at a page it has visited.  With it,
+    at most that many pages are visited and a cycle repeats pages, as in the
+    reference.
+
+    Pointer doubling: round k knows each walk's first 2^k pages and the jump
+    table next^(2^k); one join adds the next 2^k pages.  Only walks that still
+    move take part, and the rounds stop when none does, so the work follows the
+    pages visited and the logarithm of the longest walk.
     """
-    e = materialize(edges.select(F.col("page_id").alias("src"), F.col("next_page_id").alias("dst")), "walk-edges")
-    bits = max(1, int(max_pages - 1).bit_length())
-    jumps = [e]
-    for _ in range(1, bits):
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        jumps.append(a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")))
-    # walks start at pages nobody links to as "next"
-    st = page_ids.select(F.col("page_id").alias("start_id")).join(
-        e.select(F.col("dst").alias("start_id")).distinct(), "start_id", "left_anti")
-    pos = st.select("start_id", F.explode(F.sequence(F.lit(0), F.lit(max_pages - 1))).alias("d")) \
-        .withColumn("cur", F.col("start_id"))
-    for k, j in enumerate(jumps):
-        # one left join per digit: rows without the digit keep their page,
-        # rows whose jump does not exist (the chain ended) are dropped
-        hb = F.col("d").bitwiseAND(1 << k) != 0
-        pos = pos.join(j, (F.col("cur") == F.col("src")) & hb, "left") \
-            .filter(~hb | F.col("dst").isNotNull()) \
-            .select("start_id", "d", F.when(hb, F.col("dst")).otherwise(F.col("cur")).alias("cur"))
-    return pos.select("start_id", (F.col("d") + 1).alias("depth"), F.col("cur").alias("page_id"))
+    jump = materialize(edges.select(F.col("page_id").alias("src"), F.col("next_page_id").alias("dst")), "walk-edges")
+    walk = page_ids.select(F.col("page_id").alias("start_id")).distinct().join(
+        jump.select(F.col("dst").alias("start_id")).distinct(), "start_id", "left_anti").select(
+        "start_id", F.lit(1).alias("depth"), F.col("start_id").alias("page_id"))
+    walk = materialize(walk, "walk")
+    length, pages = 1, -1
+    while True:
+        ahead = walk.join(jump, walk["page_id"] == jump["src"]).select(
+            "start_id", (F.col("depth") + length).alias("depth"), F.col("dst").alias("page_id"))
+        both = walk.unionByName(ahead)
+        if max_pages is None:
+            both = both.groupBy("start_id", "page_id").agg(F.min("depth").alias("depth"))
+        else:
+            both = both.filter(F.col("depth") <= max_pages).distinct()
+        walk = materialize(both.select("start_id", "depth", "page_id"), "walk")
+        seen, pages = pages, walk.count()
+        length *= 2
+        if pages == seen or (max_pages is not None and length >= max_pages):
+            return walk
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = materialize(a.join(b, F.col("a.dst") == F.col("b.src")).select(
+            F.col("a.src"), F.col("b.dst")).distinct(), "walk-jumps")
 
 
 def frontier_schedule(requests: DataFrame, delays: DataFrame, bucket: int = 100_000) -> DataFrame:

@@ -12,6 +12,8 @@ Everything after the shred is joins, windows and aggregations keyed by
 
 from __future__ import annotations
 
+import re
+
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -37,7 +39,6 @@ NODE_SCHEMA = (
     "classes array<string>, attr_names array<string>, attr_values array<string>, ancestors array<int>, "
     "child_count int, child_idx int, type_idx int, text_start int, text_end int, src_start int, src_end int"
 )
-TEXT_SCHEMA = "page_id long, text string"
 
 
 class _Builder(HTMLParser):
@@ -160,7 +161,7 @@ def shred_html(html: str) -> tuple[list[dict], str]:
 
 def _shred_batches(batches):
     cols = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-    for pdf in batches:
+    for pdf in _slices(batches):
         rows = []
         for pid, html in zip(pdf["page_id"], pdf["html"]):
             nodes, _ = shred_html(html)
@@ -170,32 +171,21 @@ def _shred_batches(batches):
         yield pd.DataFrame(rows, columns=cols) if rows else pd.DataFrame({c: [] for c in cols})
 
 
-def _text_batches(batches):
-    for pdf in batches:
-        texts = [shred_html(h)[1] for h in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"], "text": texts})
-
-
 HTML_BATCH_ROWS = 256
 
 
 def _spread(pages: DataFrame) -> DataFrame:
-    """Make sure the Python pass gets enough tasks (a single small file
-    would otherwise be one or two tasks); large inputs keep their scan splits.
-
-    Pages can be megabytes each, so Arrow batches to the Python worker are
-    capped at ``HTML_BATCH_ROWS`` rows (the session default of 10,000 rows
-    could mean gigabyte batches)."""
-    spark = pages.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    cur = int(spark.conf.get(key, "10000"))
-    if cur <= 0 or cur > HTML_BATCH_ROWS:
-        spark.conf.set(key, str(HTML_BATCH_ROWS))
-    par = spark.sparkContext.defaultParallelism
-    p = pages.select("page_id", "html")
-    if p._jdf.rdd().getNumPartitions() < par:  # JVM-side: lists splits, runs no job
-        p = p.repartition(par, "page_id")
-    return p
+    """Pages spread by key over the session's shuffle partitions, so that the
+    Python pass has as many tasks as other stages whatever the files look like."""
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.select("page_id", "html").repartition(parts, "page_id")
+
+
+def _slices(batches):
+    """Arrow batches in parts of ``HTML_BATCH_ROWS`` pages: bounds the nodes held at once."""
+    for pdf in batches:
+        for at in range(0, len(pdf), HTML_BATCH_ROWS):
+            yield pdf.iloc[at:at + HTML_BATCH_ROWS]
 
 
 COMBINED_SCHEMA = NODE_SCHEMA + ", page_text string"
@@ -203,7 +193,7 @@ COMBINED_SCHEMA = NODE_SCHEMA + ", page_text string"
 
 def _combined_batches(batches):
     cols = [c.split()[0] for c in NODE_SCHEMA.split(", ")] + ["page_text"]
-    for pdf in batches:
+    for pdf in _slices(batches):
         rows = []
         for pid, html in zip(pdf["page_id"], pdf["html"]):
             nodes, text = shred_html(html)
@@ -242,23 +232,12 @@ def dom_shred(pages: DataFrame) -> DataFrame:
         "attr_names", "attr_values")
 
 
-def dom_text(pages: DataFrame) -> DataFrame:
-    """Page text (concatenated text nodes); node text = a slice of it."""
-    return _spread(pages).mapInPandas(_text_batches, TEXT_SCHEMA)
-
-
 def with_text(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Attach ``text_content`` (textContent) to nodes by a page-key join."""
     j = nodes.join(texts, "page_id")
     return j.withColumn("text_content", F.expr("substring(text, text_start + 1, text_end - text_start)")).drop("text")
 
 
-def with_outer_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Attach ``outer_html`` (source slice) to nodes by a page-key join."""
-    j = nodes.join(pages.select("page_id", "html"), "page_id")
-    return j.withColumn("outer_html", F.expr("substring(html, src_start + 1, src_end - src_start)")).drop("html")
-
-
 # ------------------------------------------------------------------ selectors
 #
 # Selectors are data: rows of (sel_id, alt, step, combinator, tag, id,
@@ -267,37 +246,68 @@ def with_outer_html(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 # step to the previous one.
 
 
+class UnsupportedSelector(ValueError):
+    """A selector outside the subset; it matches nothing rather than too much."""
+
+
+_NAME = r"-?[A-Za-z_\u0080-\uffff][\w\u0080-\uffff-]*"
+_PARTS = [(kind, re.compile(pattern)) for kind, pattern in (
+    ("tag", rf"{_NAME}|\*"), ("id", rf"#({_NAME})"), ("class", rf"\.({_NAME})"),
+    ("attr", r"""\[\s*([\w:-]+)\s*(?:([*^$]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*(i|I)?\s*)?\]"""),
+    ("nth", r":nth-of-type\(\s*(\d+)\s*\)"))]
+
+
 def parse_selector(sel: str) -> list[dict]:
     """Small CSS subset -> step rows: tag, #id, .class, [attr], [attr=v],
     [attr*=v], [attr^=v], [attr$=v], [attr=v i], :nth-of-type(n),
-    descendant and child combinators, comma lists."""
-    import re
-    out = []
-    for alt, part in enumerate(p.strip() for p in sel.split(",")):
-        tokens = re.findall(r"\s*>\s*|\s+|[^\s>]+(?:\[[^\]]*\])*[^\s>]*", part)
-        step, comb = 0, " "
-        for tok in tokens:
-            if not tok.strip():
-                if tok:
-                    comb = " " if comb != ">" else ">"
-                continue
-            if tok.strip() == ">":
-                comb = ">"
-                continue
-            m_tag = re.match(r"^([a-zA-Z][a-zA-Z0-9-]*|\*)", tok)
-            tag = m_tag.group(1).lower() if m_tag and m_tag.group(1) != "*" else None
-            ids = re.findall(r"#([\w-]+)", re.sub(r"\[[^\]]*\]", "", tok))
-            classes = re.findall(r"\.([\w-]+)", re.sub(r"\[[^\]]*\]", "", tok))
-            conds = [{"attr": m.group(1), "op": m.group(2) or "exists", "value": m.group(3), "ci": bool(m.group(4))}
-                     for m in re.finditer(
-                         r"\[\s*([\w:-]+)\s*(?:([*^$]?=)\s*[\"']?([^\"'\]]*?)[\"']?\s*(i)?\s*)?\]", tok)]
-            m_nth = re.search(r":nth-of-type\((\d+)\)", tok)
-            out.append({"alt": alt, "step": step, "combinator": comb if step else None, "tag": tag,
-                        "id": ids[0] if ids else None, "classes": classes, "conds": conds,
-                        "nth": int(m_nth.group(1)) if m_nth else None})
-            step += 1
+    descendant and child combinators, comma lists.  Quotes and brackets are
+    respected; anything else raises ``UnsupportedSelector``."""
+    out: list[dict] = []
+    at, alt, step, comb = 0, 0, 0, None
+    sel = sel.strip()
+    while True:
+        blank = len(sel[at:]) - len(sel[at:].lstrip())
+        at += blank
+        ch = sel[at:at + 1]
+        if ch in (",", ""):
+            if not step or comb == ">":
+                raise UnsupportedSelector(f"empty part in {sel!r}")
+            if not ch:
+                return out
+            at, alt, step, comb = at + 1, alt + 1, 0, None
+            continue
+        if ch == ">":
+            if not step or comb == ">":
+                raise UnsupportedSelector(f"misplaced '>' in {sel!r}")
+            at, comb = at + 1, ">"
+            continue
+        if step and comb is None:
+            if not blank:
+                raise UnsupportedSelector(f"{sel[at:]!r} in {sel!r}")
             comb = " "
-    return out
+        row = {"alt": alt, "step": step, "combinator": comb if step else None, "tag": None, "id": None,
+               "classes": [], "conds": [], "nth": None}
+        start = at
+        while True:
+            kind, m = next(((k, m) for k, p in _PARTS if (k != "tag" or at == start) and (m := p.match(sel, at))), (None, None))
+            if m is None:
+                break
+            if kind == "tag":
+                row["tag"] = None if m[0] == "*" else m[0].lower()
+            elif kind == "class":
+                row["classes"].append(m[1])
+            elif kind == "attr":
+                value = next((v for v in m.group(3, 4, 5) if v is not None), None)
+                row["conds"].append({"attr": m[1].lower(), "op": m[2] or "exists", "value": value, "ci": m[6] is not None})
+            elif row[kind] is not None:
+                raise UnsupportedSelector(f"two of {kind} in {sel!r}")
+            else:
+                row[kind] = int(m[1]) if kind == "nth" else m[1]
+            at = m.end()
+        if at == start:
+            raise UnsupportedSelector(f"{sel[at:]!r} in {sel!r}")
+        out.append(row)
+        step, comb = step + 1, None
 
 
 SELECTOR_SCHEMA = ("sel_id string, alt int, step int, combinator string, tag string, id string, "
@@ -305,17 +315,41 @@ SELECTOR_SCHEMA = ("sel_id string, alt int, step int, combinator string, tag str
                    "nth int")
 
 
+def _step_rows(sid: str, sel: str) -> tuple[list[dict], str | None]:
+    try:
+        return [{"sel_id": sid, **r} for r in parse_selector(sel)], None
+    except UnsupportedSelector as e:
+        return [], str(e)
+
+
 def selector_table(spark, selectors: dict[str, str]) -> DataFrame:
-    """Parse named selectors on the driver (tiny) into a step table."""
-    rows = []
-    for sid, sel in selectors.items():
-        for r in parse_selector(sel):
-            rows.append({"sel_id": sid, **r})
-    df = spark.createDataFrame(rows, SELECTOR_SCHEMA) if rows else spark.createDataFrame([], SELECTOR_SCHEMA)
+    """Parse a fixed set of named selectors into a step table; an unsupported
+    one raises, as it is a mistake in the program."""
+    rows = [{"sel_id": sid, **r} for sid, sel in selectors.items() for r in parse_selector(sel)]
+    df = spark.createDataFrame(rows, SELECTOR_SCHEMA)
     df._pf_max_step = max((r["step"] for r in rows), default=0)  # known on the driver: no job needed
     return df
 
 
+def selector_steps(selectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse selectors that are data (column ``selector``) where they live.
+
+    Returns the step table, with the selector itself as ``sel_id``, and
+    ``(selector, error)`` for those outside the subset, which match nothing."""
+    def parse(batches):
+        for pdf in batches:
+            rows = []
+            for sel in pdf["selector"]:
+                steps, error = _step_rows(sel, sel)
+                rows += [{**r, "error": None} for r in steps] or [{"sel_id": sel, "error": error}]
+            yield pd.DataFrame(rows, columns=columns) if rows else pd.DataFrame({c: [] for c in columns})
+    columns = [c.split()[0] for c in ("sel_id", "alt", "step", "combinator", "tag", "id", "classes", "conds", "nth", "error")]
+    # Written once: read for every selector step, and its size is then known to the planner.
+    out = write_once(selectors.select("selector").distinct().mapInPandas(parse, SELECTOR_SCHEMA + ", error string"), "selectors")
+    return (out.filter(F.col("error").isNull()).drop("error"),
+            out.filter(F.col("error").isNotNull()).select(F.col("sel_id").alias("selector"), "error"))
+
+
 def _cond_ok(attrs: Column, cnd) -> Column:
     attr_val = F.try_element_at(attrs, cnd["attr"])
     v = cnd["value"]
@@ -374,8 +408,8 @@ def selector_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     Right to left: nodes matching the last compound of each alternative are
     found by an equi-join on a step key (tag / class / id); each earlier
     compound is then checked on the parent (``>``) or on every ancestor
-    (descendant), again by equi-joins on (page_id, node_id).  The step
-    table is a few rows per selector, so it is broadcast.  All partial
+    (descendant), again by equi-joins on (page_id, node_id).  Whether the step
+    table is broadcast is left to Spark, which knows its size.  All partial
     paths are kept (distinct), so a descendant chain is matched exactly.
     """
     c = F.col
@@ -383,7 +417,7 @@ def selector_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
     last = steps.groupBy("sel_id", "alt").agg(F.max("step").alias("last_step"))
     lst = steps.join(last, ["sel_id", "alt"]).filter(c("step") == c("last_step")).withColumn("k", _step_key())
     nk = n.select("*", F.explode(_node_keys()).alias("k"))
-    cand = nk.join(F.broadcast(lst), "k").filter(_step_match(lambda x: nk[x], lambda x: lst[x]))
+    cand = nk.join(lst, "k").filter(_step_match(lambda x: nk[x], lambda x: lst[x]))
     state = cand.select("page_id", "sel_id", "alt", c("node_id").alias("match_id"),
                         c("node_id").alias("anchor_id"), "step").distinct()
     max_steps = getattr(steps, "_pf_max_step", None)
@@ -399,10 +433,10 @@ def selector_match(nodes: DataFrame, steps: DataFrame) -> DataFrame:
                       c("classes").alias("c_classes"), c("attrs").alias("c_attrs"),
                       c("type_idx").alias("c_type_idx"))
     for _ in range(max_steps):
-        t = todo.join(F.broadcast(comb), ["sel_id", "alt", "step"]).join(anc_tbl, ["page_id", "anchor_id"])
+        t = todo.join(comb, ["sel_id", "alt", "step"]).join(anc_tbl, ["page_id", "anchor_id"])
         t = t.select("page_id", "sel_id", "alt", "match_id", "step", F.explode(
             F.when(c("comb") == ">", F.slice(c("anc"), -1, 1)).otherwise(c("anc"))).alias("cand_id"))
-        t = t.join(F.broadcast(prev), (t["sel_id"] == prev["p_sel"]) & (t["alt"] == prev["p_alt"])
+        t = t.join(prev, (t["sel_id"] == prev["p_sel"]) & (t["alt"] == prev["p_alt"])
                    & (prev["p_step"] == t["step"] - 1))
         t = t.join(node_c, ["page_id", "cand_id"])
         getters = {"tag": "c_tag", "id": "c_id", "classes": "c_classes", "attrs": "c_attrs", "type_idx": "c_type_idx"}

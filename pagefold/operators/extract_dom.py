@@ -43,16 +43,13 @@ def plan_selectors(plans: DataFrame) -> DataFrame:
 def match_plan_selectors(nodes: DataFrame, plans: DataFrame, page_col: str = "entry_page_id") -> DataFrame:
     """(plan_id, role, field, page_id, node_id): every element of the plan's
     page matched by each of the plan's selectors."""
-    spark = nodes.sparkSession
     ps = plan_selectors(plans)
-    distinct = [r["selector"] for r in ps.select("selector").distinct().collect()]  # bounded: selector templates
-    key = {s: f"s{i:04d}" for i, s in enumerate(sorted(distinct))}
-    steps = M.selector_table(spark, {sid: sel for sel, sid in key.items()})
-    hits = M.selector_match(nodes, steps)
-    keymap = spark.createDataFrame([(k, v) for k, v in key.items()], "selector string, sel_id string")
-    pp = ps.join(F.broadcast(keymap), "selector").join(plans.select("plan_id", F.col(page_col).alias("page_id")),
-                                                      "plan_id")
-    return pp.join(hits, ["page_id", "sel_id"]).select("plan_id", "role", "field", "page_id", "node_id")
+    steps, _ = M.selector_steps(ps)
+    at = plans.select("plan_id", F.col(page_col).alias("page_id"))
+    # Only the plans' own pages are matched.
+    hits = M.selector_match(nodes.join(at.select("page_id").distinct(), "page_id", "left_semi"), steps)
+    return ps.join(at, "plan_id").join(hits.withColumnRenamed("sel_id", "selector"), ["page_id", "selector"]).select(
+        "plan_id", "role", "field", "page_id", "node_id")
 
 
 def list_items(matches: DataFrame, max_items: int | None = None) -> DataFrame:

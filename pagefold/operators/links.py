@@ -82,13 +82,6 @@ def link_is_content(href, text) -> Column:
     return F.coalesce(~excluded & signals, F.lit(False))
 
 
-# Light executor filter (lower-cased URL fragments).
-LIGHT_DENY_URL = [
-    "javascript:", "mailto:", "tel:", "#", "/search", "/login", "/register",
-    "/impressum", "/datenschutz", "/kontakt",
-]
-
-
 def link_scope_ok(link, example, include_external: bool = False) -> Column:
     """``link_scope_filter``: http(s) only, same host unless external allowed."""
     ok = U.url_valid(link) & U.url_scheme(link).isin("http", "https") & U.url_valid(example)

@@ -1,10 +1,11 @@
 """Vector search over given embeddings and summary metrics.
 
-Exact top-k: the query set is a bounded parameter -- its size is checked,
-then it is carried as constant chunks of 64 vectors, so every vector row
-scores a chunk in one projection (no join of any kind).  ``row_number() <=
-k`` per query is planned as a window-group-limit, so each map task ships at
-most k rows per query to the final ranking.
+Exact top-k with both sides distributed: the query table is cut into blocks of
+``QUERY_BLOCK`` vectors, each copied to a fixed number of salts, and every
+vector row meets each block once by an equi-join on (block, salt).  Nothing is
+collected and the number of queries is not limited.  ``row_number() <= k`` per
+query is planned as a window-group-limit, so each map task ships at most k
+rows per query to the final ranking.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_QUERIES = 4096  # bound on the query set carried in the plan
+QUERY_BLOCK = 256  # query vectors in one joined row
+SALTS = 256  # tasks that share one block's vectors
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -28,56 +30,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((_norm(a) == 0) | (_norm(b) == 0), F.lit(0.0)).otherwise(_dot(a, b) / (_norm(a) * _norm(b)))
 
 
-QUERY_CHUNK = 64
-
-
-def _query_literals(rows) -> Column:
-    """A chunk of query vectors as one constant array<struct> column."""
-    return F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"),
-                              F.array(*[F.lit(float(x)) for x in r["embedding"]]).alias("q"))
-                     for r in rows])
-
-
-def _chunks(queries: DataFrame):
-    """The query set is a bounded parameter: its size is checked before it
-    is brought to the driver; it is then split into constant chunks."""
-    n = queries.count()
-    if n > MAX_BROADCAST_QUERIES:
-        raise ValueError(f"{n} query vectors exceed the bound {MAX_BROADCAST_QUERIES}; "
-                         "run the search in several calls")
-    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
-    return [rows[i:i + QUERY_CHUNK] for i in range(0, len(rows), QUERY_CHUNK)]
-
-
-def _score_chunk(vectors: DataFrame, rows) -> DataFrame:
-    """Every vector row scores the constant query chunk in one projection
-    (no join): explode of (query_id, cosine)."""
-    v = vectors.select("vec_id", "label", F.col("embedding").alias("v"), _norm(F.col("embedding")).alias("vn"))
-    scored = F.transform(_query_literals(rows), lambda qr: F.struct(
-        qr["query_id"].alias("query_id"),
-        F.when((F.col("vn") == 0) | (_norm(qr["q"]) == 0), F.lit(0.0))
-        .otherwise(_dot(F.col("v"), qr["q"]) / (F.col("vn") * _norm(qr["q"]))).alias("score")))
-    return v.select("vec_id", "label", F.explode(scored).alias("s")).select(
-        F.col("s.query_id").alias("query_id"), "vec_id", "label", F.col("s.score").alias("score"))
+def _scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, vec_id, label, score`` for every vector and query."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.struct(
+        "query_id", F.col("embedding").alias("q"), _norm(F.col("embedding")).alias("qn")).alias("one"))
+    q = q.groupBy("block").agg(F.collect_list("one").alias("qs")).select(
+        "block", "qs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    v = vectors.select("vec_id", "label", F.col("embedding").alias("v"), _norm(F.col("embedding")).alias("vn"),
+                       F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    one = v.join(q, ["block", "salt"]).select("vec_id", "label", "v", "vn", F.explode("qs").alias("s"))
+    score = F.when((F.col("vn") == 0) | (F.col("s.qn") == 0), F.lit(0.0)).otherwise(
+        _dot(F.col("v"), F.col("s.q")) / (F.col("vn") * F.col("s.qn")))
+    return one.select(F.col("s.query_id").alias("query_id"), "vec_id", "label", score.alias("score"))
 
 
 def similar_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``similar_topk``: the k most cosine-similar vectors per query."""
-    out = None
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    for rows in _chunks(queries):
-        r = _score_chunk(vectors, rows).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _scored(vectors, queries).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_threshold(vectors: DataFrame, queries: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``similar_threshold``: all vectors with score >= threshold per query."""
-    out = None
-    for rows in _chunks(queries):
-        r = _score_chunk(vectors, rows).filter(F.col("score") >= threshold)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return _scored(vectors, queries).filter(F.col("score") >= threshold)
 
 
 def summary_effectiveness(text) -> Column:

@@ -49,12 +49,10 @@ def llm_summary(pairs: DataFrame) -> DataFrame:
 def llm_breakdown(requests: DataFrame) -> DataFrame:
     """``llm_breakdown``: request counts by provider and by service per session
     (one grouping-sets aggregation)."""
-    g = requests.groupBy("session_id").agg(F.count("*").alias("_n"))  # sessions present
     by = requests.select("session_id", F.explode(F.array(
         F.struct(F.lit("provider").alias("dimension"), F.col("provider").alias("name")),
         F.struct(F.lit("service").alias("dimension"), F.col("service").alias("name")))).alias("d"))
-    out = by.groupBy("session_id", "d.dimension", "d.name").agg(F.count("*").alias("count"))
-    return out.join(g.select("session_id"), "session_id")
+    return by.groupBy("session_id", "d.dimension", "d.name").agg(F.count("*").alias("count"))
 
 
 def json_span(text) -> Column:

@@ -333,10 +333,7 @@ WITH {SQL_ITEMS}, {SQL_DELETION}
 SELECT r.request_id, count(m.item_id) AS deleted_records
 FROM dreq r LEFT JOIN dmatch m USING (request_id) GROUP BY r.request_id""")
 def gdpr_delete_counts(spark, sf_dir):
-    req = S.deletion_requests(spark, sf_dir)
-    m = C.gdpr_matches(S.items(spark, sf_dir), req)
-    return req.select("request_id").join(m, "request_id", "left").groupBy("request_id").agg(
-        F.count("item_id").alias("deleted_records"))
+    return C.gdpr_delete_counts(S.items(spark, sf_dir), S.deletion_requests(spark, sf_dir))
 
 
 @register("cache_stats", oracle=f"""

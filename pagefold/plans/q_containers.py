@@ -143,16 +143,17 @@ walk(start_id, depth, page_id) AS (
   SELECT page_id, 1, page_id FROM chain WHERE prev_page_id IS NULL
   UNION ALL
   SELECT w.start_id, w.depth + 1, c.next_page_id FROM walk w JOIN chain c ON w.page_id = c.page_id
-  WHERE c.next_page_id IS NOT NULL AND w.depth < 50
+  WHERE c.next_page_id IS NOT NULL
 )
 SELECT start_id, depth, page_id FROM walk""")
 def pagination_walk(spark, sf_dir):
     """Walk each host's listing from its first page along detected next
-    links (pages joined on the canonical URL), at most 50 pages."""
+    links (pages joined on the canonical URL; of several snapshots of one URL
+    the one with the smallest id), to its end."""
     p, d = _pagination(spark, sf_dir)
-    target = p.select(F.col("page_id").alias("next_page_id"), U.url_canonical("url").alias("next_url"))
+    target = p.groupBy(U.url_canonical("url").alias("next_url")).agg(F.min("page_id").alias("next_page_id"))
     edges = d.filter(F.col("next_url").isNotNull()).join(target, "next_url").select("page_id", "next_page_id")
-    return CT.pagination_walk(edges, p.select("page_id"), 50)
+    return CT.pagination_walk(edges, p.select("page_id"))
 
 
 @register("pagination_total_dom", oracle=f"""

@@ -185,10 +185,12 @@ def page_bundle(spark, sf_dir):
     ``row_number() <= 3`` is applied before the grouping, so each group holds
     at most three rows whatever the host size.
     """
-    m = pages(spark, sf_dir).select("page_id", "url", U.url_host("url").alias("host"),
-                                    H.main_content("html").alias("trimmed"))
+    p = pages(spark, sf_dir)
     w = Window.partitionBy("host").orderBy("page_id")
-    r = m.withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
+    # Ranked without html (a window-group-limit); only the pages that stay are read and cleaned.
+    first = p.select("page_id", U.url_host("url").alias("host")).withColumn(
+        "rn", F.row_number().over(w)).filter("rn <= 3")
+    r = p.join(first, "page_id").select("page_id", "url", "host", "rn", H.main_content("html").alias("trimmed"))
     part = F.concat(F.lit("<!-- URL: "), F.col("url"), F.lit(" -->\n"), F.col("trimmed"))
     g = r.groupBy("host").agg(F.count("*").alias("n_pages"),
                               F.array_sort(F.collect_list(F.struct("rn", part.alias("t")))).alias("parts"))

@@ -269,20 +269,26 @@ def extract_detail(spark, sf_dir):
         F.size("images").alias("n_images"), "sourceUrl")
 
 
+NORMALIZED = ("n_title", "n_language", "n_email", "n_phone", "n_website", "n_startDate", "n_endDate")
+
+
 @register("validate_items", oracle=f"""
 WITH {SQL_VALIDATED}
 SELECT item_id, is_valid, len(errors) AS n_errors, len(warnings) AS n_warnings,
        array_to_string(errors, ' | ') AS errors, array_to_string(warnings, ' | ') AS warnings,
-       quality_score, n_title, n_language, n_email, n_phone, n_website, n_startDate, n_endDate,
-       array_to_string(n_dates, ',') AS n_dates, array_to_string(n_images, ',') AS n_images
+       quality_score, {', '.join(f"CASE WHEN is_valid THEN {c} END AS {c}" for c in NORMALIZED)},
+       CASE WHEN is_valid THEN array_to_string(n_dates, ',') END AS n_dates,
+       CASE WHEN is_valid THEN array_to_string(n_images, ',') END AS n_images
 FROM validated""")
 def validate_items(spark, sf_dir):
+    """Verdict per item; the normalized fields of valid items only."""
     v = _validated(spark, sf_dir)
     return v.select(
         "item_id", "is_valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"),
         _joined("errors").alias("errors"), _joined("warnings").alias("warnings"), "quality_score",
-        "n_title", "n_language", "n_email", "n_phone", "n_website", "n_startDate", "n_endDate",
-        F.array_join("n_dates", ",").alias("n_dates"), F.array_join("n_images", ",").alias("n_images"))
+        *[F.when(F.col("is_valid"), F.col(c)).alias(c) for c in NORMALIZED],
+        F.when(F.col("is_valid"), F.array_join("n_dates", ",")).alias("n_dates"),
+        F.when(F.col("is_valid"), F.array_join("n_images", ",")).alias("n_images"))
 
 
 def _field_query(name, cols_sql, spark_cols):

@@ -1,10 +1,9 @@
 """Registered streaming queries.
 
-Stateless / aggregating jobs are registered in their batch form (same
-expressions as the stream) with a SQL oracle; ``stream_plan_metrics``,
-``stream_page_ingest``, ``stream_terminal`` and ``stream_consent_ttl`` run an
-actual Structured Streaming query to completion (``availableNow``) into the
-shared checkpoint folder and return what it wrote.
+Each runs an actual Structured Streaming query to completion (``availableNow``)
+over the table's files into the shared checkpoint folder and returns what it
+wrote; ``consent_ttl_reuse`` and ``stream_robots_ttl`` are the batch forms of
+the expiring caches.
 """
 
 from __future__ import annotations
@@ -57,9 +56,14 @@ def _task_events(spark, sf_dir):
     return J.task_events_from(read_table(spark, sf_dir, "events"))
 
 
+def _task_event_stream(spark, sf_dir):
+    return J.task_events_from(J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA))
+
+
 @register("stream_log_parse", oracle=f"WITH {SQL_PARSED} SELECT * FROM parsed")
 def stream_log_parse(spark, sf_dir):
-    return J.log_parse(_task_events(spark, sf_dir))
+    out = J.run_available_now(J.log_parse(_task_event_stream(spark, sf_dir)), "log-parse")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _last_sql(c: str) -> str:
@@ -86,14 +90,9 @@ state AS (
 )"""
 
 
-def _state(spark, sf_dir):
-    te = _task_events(spark, sf_dir)
-    return J.task_state(J.log_parse(te), J.terminal(te))
-
-
 @register("stream_task_state", oracle=f"WITH {SQL_STATE} SELECT * FROM state")
 def stream_task_state(spark, sf_dir):
-    return _state(spark, sf_dir)
+    return J.run_available_now(J.task_state(_task_event_stream(spark, sf_dir)), "task-state", "update", key=["task_id"])
 
 
 @register("stream_snapshot_then_updates", oracle=f"""
@@ -101,14 +100,13 @@ WITH {SQL_STATE}
 SELECT p.task_id, p.event_id, p.progress AS line_progress, s.status AS snapshot_status, s.n_logs AS snapshot_logs
 FROM parsed p LEFT JOIN state s USING (task_id)""")
 def stream_snapshot_then_updates(spark, sf_dir):
-    """New lines joined with the current task-state snapshot (stream-static
-    left join in the live job; here the same join over the batch)."""
-    te = _task_events(spark, sf_dir)
-    parsed = J.log_parse(te)
-    snap = J.task_state(parsed, J.terminal(te)).select(
+    """Stream-static join: a new reader's lines, each with the task-state
+    snapshot that it was sent first."""
+    snap = J.task_state(_task_events(spark, sf_dir)).select(
         "task_id", F.col("status").alias("snapshot_status"), F.col("n_logs").alias("snapshot_logs"))
-    return parsed.join(snap, "task_id", "left").select(
-        "task_id", "event_id", F.col("progress").alias("line_progress"), "snapshot_status", "snapshot_logs")
+    lines = J.log_parse(_task_event_stream(spark, sf_dir))
+    return J.run_available_now(lines.join(snap, "task_id", "left").select(
+        "task_id", "event_id", F.col("progress").alias("line_progress"), "snapshot_status", "snapshot_logs"), "snapshot")
 
 
 @register("stream_terminal", oracle=f"""
@@ -116,10 +114,8 @@ WITH {SQL_TASK_EVENTS}
 SELECT task_id, arg_min(CAST(data AS INTEGER), (ts, event_id)) AS exit_code
 FROM task_events WHERE type IN ('complete', 'error') GROUP BY task_id""")
 def stream_terminal(spark, sf_dir):
-    """Runs the streaming close detector (``dropDuplicatesWithinWatermark``)
-    over the event file with ``availableNow``."""
-    src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
-    out = J.run_available_now(J.terminal_stream(J.task_events_from(src)), "terminal")
+    """Earliest close per task, upserted as the stream goes on."""
+    out = J.run_available_now(J.terminal(_task_event_stream(spark, sf_dir)), "terminal", "update", key=["task_id"])
     return out.select("task_id", "exit_code")
 
 
@@ -129,26 +125,26 @@ SELECT time_bucket(INTERVAL 60 SECOND, start_time) AS window_start, count(*) AS
        count(*) FILTER (WHERE status = 'failed') AS failed, sum(items_extracted) AS items
 FROM runs GROUP BY 1""")
 def stream_ops_window(spark, sf_dir):
-    r = S.executions(spark, sf_dir)
-    return J.ops_window(r).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    runs = S.executions_from(J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA))
+    out = J.run_available_now(J.ops_window(runs), "ops-window", "update", key=["window_start"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@register("stream_plan_metrics")
+@register("stream_plan_metrics", oracle=f"""
+WITH {SQL_RUNS},
+m AS (SELECT plan_id, count(*) AS total_executions, count(*) FILTER (WHERE status = 'completed') AS successful_executions,
+             sum(items_extracted) AS total_items_extracted FROM runs GROUP BY plan_id)
+SELECT *, floor(successful_executions / total_executions * 100 * 100 + 0.5) / 100 AS success_rate FROM m""")
 def stream_plan_metrics(spark, sf_dir):
-    """Running per-plan totals from a stream of finished runs (complete mode,
-    each micro-batch rewrites the table)."""
-    src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
-    runs = src.select(
-        F.concat(F.lit("plan-"), F.col("user_id").cast("string")).alias("plan_id"),
-        F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"),
-        F.floor("value").cast("bigint").alias("items_extracted"))
+    """Running per-plan totals from a stream of finished runs (update mode:
+    a micro-batch writes only the plans that it changed)."""
+    runs = S.executions_from(J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA))
     agg = runs.groupBy("plan_id").agg(F.count("*").alias("total_executions"),
                                       F.count_if(F.col("status") == "completed").alias("successful_executions"),
                                       F.sum("items_extracted").alias("total_items_extracted"))
-    out = J.run_available_now(agg, "plan-metrics", mode="complete", batch_fn=lambda df, e: df)
-    last = out.agg(F.max("epoch")).first()[0]
-    return out.filter(F.col("epoch") == last).drop("epoch").withColumn(
-        "success_rate", O.round_fixed(F.col("successful_executions") / F.col("total_executions") * 100, 2))
+    out = J.run_available_now(agg, "plan-metrics", "update", key=["plan_id"])
+    return out.withColumn("success_rate", O.round_fixed(
+        F.col("successful_executions") / F.col("total_executions") * 100, 2))
 
 
 @register("stream_page_ingest")
@@ -168,7 +164,7 @@ def stream_page_ingest(spark, sf_dir):
             "dates", F.array().cast("array<string>"))
         v = Q.validate_items(items)
         return v.select("item_id", "is_valid", "quality_score", F.size("errors").alias("n_errors"))
-    return J.run_available_now(src, "page-ingest", batch_fn=extract).drop("epoch")
+    return J.run_available_now(src, "page-ingest", batch_fn=extract)
 
 
 @register("stream_consent_ttl")

@@ -233,7 +233,11 @@ def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``executions``: one run per event; plan = user, failed = 'error'
     events; items = floor(value), pages 1-3, duration = value seconds."""
-    e = read_table(spark, sf_dir, "events")
+    return executions_from(read_table(spark, sf_dir, "events"))
+
+
+def executions_from(e: DataFrame) -> DataFrame:
+    """``executions`` of an event table or stream."""
     ts = F.col("ts").cast("timestamp")
     dur = F.round(F.col("value") * 1000).cast("bigint")
     return e.select(
@@ -319,9 +323,12 @@ def paginated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     the next page id of the same host, plus a numbered link."""
     from pyspark.sql import Window
     from pagefold.functions import url as U
-    p = read_table(spark, sf_dir, "pages").withColumn("host", U.url_host("url"))
+    pages = read_table(spark, sf_dir, "pages")
     w = Window.partitionBy("host").orderBy("page_id")
-    p = p.withColumn("next_url", F.lead("url").over(w)).withColumn("rank", F.row_number().over(w))
+    # Only ids and URLs pass through the per-host order; html joins back by page.
+    near = pages.select("page_id", "url", U.url_host("url").alias("host")).select(
+        "page_id", F.lead("url").over(w).alias("next_url"), F.row_number().over(w).alias("rank"))
+    p = pages.join(near, "page_id")
     bar = F.concat(F.lit('<nav class="pagination"><a href="'), F.col("next_url"),
                    F.lit('" rel="next">Next ›</a><a href="?page='), (F.col("rank") + 1).cast("string"),
                    F.lit('">'), (F.col("rank") + 1).cast("string"), F.lit("</a></nav>"))

@@ -36,22 +36,30 @@ def result_documents(runs: DataFrame) -> DataFrame:
 
 
 def sink_results_json(docs: DataFrame, path: str) -> None:
-    """``sink_results_json``: JSON documents partitioned by plan."""
-    docs.write.mode("overwrite").partitionBy("plan").json(path)
+    """``sink_results_json``: JSON documents partitioned by plan, one per line.
+
+    Rows are gathered by plan first, so a plan gets a few files instead of one
+    from every task; a rebalance splits the files of a large plan."""
+    docs.hint("rebalance", "plan").write.mode("overwrite").partitionBy("plan").json(path)
 
 
 def src_result_json(spark: SparkSession, path: str) -> DataFrame:
     """``src_result_json``: read every result file, skip bad records, fill
     defaults (id <- file stem, plan/status <- 'unknown', items <- metric or
-    item count or 0)."""
-    raw = (spark.read.schema(RESULT_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", "true")
-           .json(path).select("*", F.col("_metadata.file_name").alias("file_name")))
-    ok = raw.filter(F.col("_corrupt_record").isNull())
+    item count or 0).
+
+    A file is read whole and holds one document, indented over many lines or
+    not, or several, each starting with ``{`` at the start of a line."""
+    raw = (spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+           .select("value", F.col("_metadata.file_name").alias("file_name")))
+    one = raw.select("file_name", F.explode(F.split("value", r"\n(?=\{)")).alias("doc")).filter(F.trim("doc") != "")
+    parsed = one.select("file_name", F.from_json("doc", RESULT_SCHEMA, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("file_name", "r.*")
+    ok = parsed.filter(F.col("_corrupt_record").isNull())
 
     def falsy_or(c, default):
         return F.when(c.isNull() | (c == 0), default).otherwise(c)
-    stem = F.regexp_replace("file_name", r"\.json$", "")
+    stem = F.regexp_replace("file_name", r"\.(json|txt)$", "")
     return ok.select(
         F.coalesce(F.nullif("runId", F.lit("")), stem).alias("id"), "file_name",
         F.coalesce(F.nullif("planId", F.lit("")), F.lit("unknown")).alias("planId"),

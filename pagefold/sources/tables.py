@@ -34,11 +34,3 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log; ``ts`` is TIMESTAMP_NTZ in the files, exposed as-is."""
     return read_table(spark, sf_dir, "events")
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register every driver table as a temp view (for SQL-first callers)."""
-    for name in TABLES:
-        path = table_path(sf_dir, name)
-        if os.path.exists(path):
-            spark.read.parquet(path).createOrReplaceTempView(name)

@@ -61,10 +61,9 @@ def task_events_from(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id"), typ.alias("type"), data.alias("data"))
 
 
-def log_parse(task_events: DataFrame) -> DataFrame:
-    """``stream_log_parse``: progress estimate (first matching rule) and
-    output fields per log line (stateless)."""
-    d = F.col("data")
+def with_parsed(task_events: DataFrame) -> DataFrame:
+    """Task events with the progress estimate and output fields of log lines (null on others)."""
+    d = F.when(F.col("type") == "log", F.col("data"))
     prog = None
     for words, p in PROGRESS_RULES:
         cond = F.lit(False)
@@ -72,50 +71,57 @@ def log_parse(task_events: DataFrame) -> DataFrame:
             cond = cond | d.contains(w)
         prog = F.when(cond, F.lit(p)) if prog is None else prog.when(cond, F.lit(p))
     outs = [F.nullif(F.regexp_extract(d, pat, 1), F.lit("")).alias(k) for k, pat in OUTPUT_PATTERNS.items()]
-    return task_events.filter(F.col("type") == "log").select("task_id", "ts", "event_id", "data",
-                                                             prog.alias("progress"), *outs)
+    return task_events.select("*", prog.alias("progress"), *outs)
+
+
+def log_parse(task_events: DataFrame) -> DataFrame:
+    """``stream_log_parse``: progress estimate (first matching rule) and
+    output fields per log line (stateless)."""
+    return with_parsed(task_events.filter(F.col("type") == "log")).select(
+        "task_id", "ts", "event_id", "data", "progress", *OUTPUT_PATTERNS)
 
 
-def task_state(parsed: DataFrame, closes: DataFrame | None = None) -> DataFrame:
-    """``stream_task_state``: fold lines into the task state -- last progress
-    estimate (10 before any), log count, last value of each output field;
-    with ``closes``: status and error from the first close event."""
+def task_state(task_events: DataFrame) -> DataFrame:
+    """``stream_task_state``: fold a task's lines into its state -- last progress
+    estimate (10 before any), log count, last value of each output field, and
+    status and error from its earliest close.
+
+    One aggregate whose parts are mins and maxes by event time, so arrival order
+    does not matter; on a stream it runs in update mode."""
     order = F.struct("ts", "event_id")
+    closes = F.col("type").isin("complete", "error")
 
     def last_non_null(c):
         return F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order))
-    st = parsed.groupBy("task_id").agg(
+    st = with_parsed(task_events).groupBy("task_id").agg(
         F.coalesce(last_non_null("progress"), F.lit(10)).alias("progress"),
-        F.count("*").alias("n_logs"),
-        *[last_non_null(k).alias(k) for k in OUTPUT_PATTERNS])
-    if closes is None:
-        return st.withColumn("status", F.lit("running"))
-    j = st.join(closes, "task_id", "full_outer")
-    return j.select(
-        "task_id", F.coalesce("n_logs", F.lit(0)).alias("n_logs"), *OUTPUT_PATTERNS.keys(),
+        F.count_if(F.col("type") == "log").alias("n_logs"),
+        *[last_non_null(k).alias(k) for k in OUTPUT_PATTERNS],
+        F.min_by(F.when(closes, F.col("data").cast("int")), F.when(closes, order)).alias("exit_code"))
+    return st.select(
+        "task_id", "n_logs", *OUTPUT_PATTERNS.keys(),
         F.when(F.col("exit_code") == 0, "completed").when(F.col("exit_code").isNotNull(), "failed")
         .otherwise("running").alias("status"),
-        F.when(F.col("exit_code") == 0, F.lit(100)).otherwise(F.coalesce("progress", F.lit(10))).alias("progress"),
+        F.when(F.col("exit_code") == 0, F.lit(100)).otherwise(F.col("progress")).alias("progress"),
         F.when(F.col("exit_code") != 0, F.concat(F.lit("Process exited with code "), F.col("exit_code").cast("string")))
         .alias("error"))
 
 
 def terminal(task_events: DataFrame) -> DataFrame:
-    """``stream_terminal``: the first complete/error event closes a task."""
+    """``stream_terminal``: the earliest complete/error event closes a task.
+
+    The state is one row per closed task for as long as the stream runs: a task
+    may report again at any time, and only the earliest event counts."""
     c = task_events.filter(F.col("type").isin("complete", "error"))
     return c.groupBy("task_id").agg(F.min_by(F.col("data").cast("int"), F.struct("ts", "event_id")).alias("exit_code"),
                                     F.min("ts").alias("closed_at"))
 
 
-def terminal_stream(task_events: DataFrame) -> DataFrame:
-    """Streaming form: ``dropDuplicatesWithinWatermark`` keeps the first close."""
-    c = task_events.filter(F.col("type").isin("complete", "error")).withWatermark("ts", WATERMARK)
-    return c.dropDuplicatesWithinWatermark(["task_id"]).select(
-        "task_id", F.col("data").cast("int").alias("exit_code"), F.col("ts").alias("closed_at"))
-
-
 def ops_window(runs: DataFrame) -> DataFrame:
-    """``stream_ops_window``: 60-second tumbling windows of run starts."""
+    """``stream_ops_window``: 60-second tumbling windows of run starts.  On a
+    stream (update mode) the watermark bounds the windows kept open."""
+    if runs.isStreaming:
+        runs = runs.withWatermark("start_time", WATERMARK)
     return runs.groupBy(F.window("start_time", "60 seconds").alias("w")).agg(
         F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.sum("items_extracted").alias("items")).select(
@@ -125,20 +131,6 @@ def ops_window(runs: DataFrame) -> DataFrame:
 # ---------------------------------------------------- variable-expiry caches
 
 
-def _ttl_fold(pdf: pd.DataFrame, ttl_col: str) -> pd.DataFrame:
-    """Sequential cache fold of one key's checks (sorted by ts): a check is
-    executed when no cached result is alive, otherwise served from cache."""
-    pdf = pdf.sort_values(["ts", "seq"])
-    expires = None
-    out = []
-    for ts, ttl in zip(pdf["ts"], pdf[ttl_col]):
-        hit = expires is not None and ts < expires
-        out.append(hit)
-        if not hit:
-            expires = ts + pd.to_timedelta(int(ttl), unit="m")
-    return pdf.assign(cache_hit=out)
-
-
 def consent_checks_from(events: DataFrame) -> DataFrame:
     """``consent_checks`` (domain, ts, outcome): domain = site of the user
     (user % 40), outcome by event type."""
@@ -209,23 +201,30 @@ def _fold_sorted(batches):
 
 
 def _state_fold(key, pdfs, state):
-    """applyInPandasWithState body: state = (expires_at epoch micros)."""
+    """``applyInPandasWithState`` body; state: when the cached entry expires and
+    the last check folded (epoch micros).
+
+    All checks of the micro-batch are put in event order before they are folded.
+    One that is older than what an earlier micro-batch has folded cannot be put
+    in its place any more: it is answered from the entry as it stands, changes
+    nothing and is marked ``late``."""
     if state.hasTimedOut:
         state.remove()
         return
-    expires = state.get[0] if state.exists else None
+    expires, last = state.get if state.exists else (None, None)
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
     rows = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "seq"])
-        for ts, seq, outcome, ttl in zip(pdf["ts"], pdf["seq"], pdf["outcome"], pdf["ttl"]):
-            t = int(pd.Timestamp(ts).value // 1000)
-            hit = expires is not None and t <= expires
-            if not hit:
-                expires = t + int(ttl) * 60_000_000
-            rows.append((key[0], ts, seq, outcome, int(ttl), hit))
-    state.update((expires,))
+    for ts, seq, outcome, ttl in zip(pdf["ts"], pdf["seq"], pdf["outcome"], pdf["ttl"]):
+        t = pd.Timestamp(ts).value // 1000
+        late = last is not None and t < last
+        hit = expires is not None and t <= expires
+        if not hit and not late:
+            expires = t + int(ttl) * 60_000_000
+        last = t if last is None else max(last, t)
+        rows.append((key[0], ts, seq, outcome, int(ttl), hit, late))
+    state.update((expires, last))
     state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(rows, columns=["domain", "ts", "seq", "outcome", "ttl", "cache_hit"])
+    yield pd.DataFrame(rows, columns=["domain", "ts", "seq", "outcome", "ttl", "cache_hit", "late"])
 
 
 def consent_ttl_stream(checks: DataFrame, ttl_minutes: dict | None = None) -> DataFrame:
@@ -234,37 +233,52 @@ def consent_ttl_stream(checks: DataFrame, ttl_minutes: dict | None = None) -> Da
     table = ttl_minutes or CONSENT_TTL_MIN
     c = checks.withColumn("ttl", _ttl_col(F.col("outcome"), table)).withWatermark("ts", WATERMARK)
     return c.groupBy("domain").applyInPandasWithState(
-        _state_fold, "domain string, ts timestamp, seq long, outcome string, ttl int, cache_hit boolean",
-        "expires long", "append", GroupStateTimeout.EventTimeTimeout)
+        _state_fold, "domain string, ts timestamp, seq long, outcome string, ttl int, cache_hit boolean, late boolean",
+        "expires long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------ run helpers
 
 
-def run_available_now(stream_df: DataFrame, name: str, mode: str = "append", batch_fn=None) -> DataFrame:
+def run_available_now(stream_df: DataFrame, name: str, mode: str = "append", batch_fn=None,
+                      key: list[str] | None = None) -> DataFrame:
     """Run a streaming query to completion (``availableNow``) into a parquet
     table in the shared checkpoint folder and return that table (batch).
 
-    ``batch_fn(df, epoch)`` turns each micro-batch into the rows to write
-    (e.g. an upsert by rewrite); default writes the batch as is.
+    ``batch_fn(df, epoch)`` turns each micro-batch into the rows to write;
+    default writes the batch as is.  Each epoch has its own folder, overwritten
+    when a batch is run again, so a retry never doubles rows.  ``key`` (update
+    mode): the newest epoch's row per key is the result -- an upsert without
+    rewriting the table.
     """
     spark = stream_df.sparkSession
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out = os.path.join(base, "out")
-    ck = os.path.join(base, "ckpt")
-    if batch_fn is None:
-        q = (stream_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-             .outputMode(mode).trigger(availableNow=True).start())
-    else:
-        def fb(df, epoch):
-            batch_fn(df, epoch).write.mode("append").parquet(os.path.join(out, f"epoch={epoch}"))
-        q = (stream_df.writeStream.foreachBatch(fb).option("checkpointLocation", ck).outputMode(mode)
-             .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
 
-
-def stream_source(spark: SparkSession, folder: str, table: str, schema: str, max_files: int = 1) -> DataFrame:
-    """File source for one table's parquet files inside ``folder``."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", f"{table}*.parquet").parquet(folder))
+    def write(df, epoch):
+        done = batch_fn(df, epoch) if batch_fn else df
+        done.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+    q = (stream_df.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(base, "ckpt"))
+         .outputMode(mode).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not stream_df.sparkSession._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(
+            spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(out)):
+        return spark.createDataFrame([], stream_df.schema)  # no micro-batch: the source is empty
+    table = spark.read.parquet(out)
+    if key is None:
+        return table.drop("epoch")
+    rest = [c for c in table.columns if c not in (*key, "epoch")]
+    return table.groupBy(*key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*key, "_r.*")
+
+
+def stream_source(spark: SparkSession, folder: str, table: str, schema: str, max_files: int | None = None) -> DataFrame:
+    """File source for one table's parquet files inside ``folder``: one file, or
+    a folder of files.  ``max_files`` limits a micro-batch; unlimited by default."""
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    path = os.path.join(folder, f"{table}.parquet")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if files.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(files).isDirectory():
+        return reader.option("pathGlobFilter", "*.parquet").parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
