@@ -17,6 +17,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -336,16 +337,21 @@ def selector_steps(selectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns the step table, with the selector itself as ``sel_id``, and
     ``(selector, error)`` for those outside the subset, which match nothing."""
+    schema = pa.schema([
+        ("sel_id", pa.string()), ("alt", pa.int32()), ("step", pa.int32()), ("combinator", pa.string()), ("tag", pa.string()),
+        ("id", pa.string()), ("classes", pa.list_(pa.string())),
+        ("conds", pa.list_(pa.struct([("attr", pa.string()), ("op", pa.string()), ("value", pa.string()), ("ci", pa.bool_())]))),
+        ("nth", pa.int32()), ("error", pa.string())])
+
     def parse(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for sel in pdf["selector"]:
+            for sel in batch.column("selector").to_pylist():
                 steps, error = _step_rows(sel, sel)
-                rows += [{**r, "error": None} for r in steps] or [{"sel_id": sel, "error": error}]
-            yield pd.DataFrame(rows, columns=columns) if rows else pd.DataFrame({c: [] for c in columns})
-    columns = [c.split()[0] for c in ("sel_id", "alt", "step", "combinator", "tag", "id", "classes", "conds", "nth", "error")]
+                rows += steps or [{"sel_id": sel, "error": error}]
+            yield pa.RecordBatch.from_pylist(rows, schema)
     # Written once: read for every selector step, and its size is then known to the planner.
-    out = write_once(selectors.select("selector").distinct().mapInPandas(parse, SELECTOR_SCHEMA + ", error string"), "selectors")
+    out = write_once(selectors.select("selector").distinct().mapInArrow(parse, SELECTOR_SCHEMA + ", error string"), "selectors")
     return (out.filter(F.col("error").isNull()).drop("error"),
             out.filter(F.col("error").isNotNull()).select(F.col("sel_id").alias("selector"), "error"))
 
