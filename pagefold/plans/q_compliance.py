@@ -36,7 +36,7 @@ robots AS (
     '# robots.txt for ' || domain || chr(10) || chr(10) || 'User-agent: *' || chr(10) || 'Disallow: /fr/' || chr(10)
       || 'Allow: /en/' || chr(10) || 'Crawl-delay: ' || CAST(pid % 5 AS VARCHAR) || chr(10) || 'Sitemap: https://'
       || domain || '/sitemap.xml' || chr(10) AS base,
-    chr(10) || 'User-agent: ai-scraper-service/1.0' || chr(10) || 'Allow: /de/' || chr(10) || 'Disallow: /e*'
+    chr(10) || 'User-agent: pagefold-bot/1.0' || chr(10) || 'Allow: /de/' || chr(10) || 'Disallow: /e*'
       || chr(10) || 'Crawl-delay: 2' || chr(10) AS agent
     FROM rb0)
 ),
@@ -135,7 +135,7 @@ u AS (SELECT url_id, url, {D.valid('url')} AS ok, {D.host('url')} AS domain, {D.
 
 
 def _urls(spark, sf_dir):
-    lk = L.resolved_links(pages(spark, sf_dir).select("page_id", "url", "html"))
+    lk = L.resolved_links(S.linked_pages(spark, sf_dir))
     return lk.select((F.col("page_id") * 100000 + F.col("pos")).alias("url_id"), "url")
 
 

@@ -17,7 +17,7 @@ from pagefold.sources.tables import pages
 
 
 def _setup(spark, sf_dir, paginated: bool = False):
-    p = S.paginated_pages(spark, sf_dir) if paginated else pages(spark, sf_dir)
+    p = S.paginated_pages(spark, sf_dir) if paginated else S.linked_pages(spark, sf_dir)
     nodes, texts = M.shred_pages(p)
     nt = M.with_text(nodes, texts)
     links = CT.dom_links(nt, p)

@@ -253,7 +253,7 @@ cj AS (
 
 def _content_join(spark, sf_dir):
     p = pages(spark, sf_dir)
-    lk = L.link_dedupe(L.resolved_links(p.select("page_id", "url", "html")))
+    lk = L.link_dedupe(L.resolved_links(S.linked_pages(spark, sf_dir)))
     return X.content_page_join(lk.select("page_id", "pos", "url"), p.select("page_id", "url"))
 
 

@@ -8,18 +8,32 @@ from pagefold.functions import url as U
 from pagefold.operators import links as L
 from pagefold.plans import duck as D
 from pagefold.plans.catalog import register
+from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
 
 ANCHOR = D.q(L.ANCHOR_RE)
 
-# Oracle building blocks: links with resolved URLs, deduped per page.
+def _fill_sql(text: str) -> str:
+    return f"replace(replace({D.q(text)}, '{{id}}', CAST(page_id AS VARCHAR)), '{{next}}', next_url)"
+
+
+_LIST_SQL = " || ".join(
+    f"'<article class=\"news-item\"><h3><a href=\"' || {_fill_sql(h)} || '\">' || {_fill_sql(t)} || '</a></h3></article>'"
+    for h, t in S.LINK_LIST)
+
+# Oracle building blocks: pages with their link list, links with resolved URLs, deduped per page.
 SQL_LINKS = f"""
+lpages AS (
+  SELECT page_id, url, CASE WHEN page_id % 3 <> 0 THEN
+    replace(html, '<body>', '<body><div class="news-list">' || {_LIST_SQL} || '</div>') ELSE html END AS html
+  FROM (SELECT *, coalesce(lead(url) OVER (PARTITION BY {D.host('url')} ORDER BY page_id), '/') AS next_url FROM pages)
+),
 links_raw AS (
   SELECT page_id, url AS page_url,
          unnest(range(len(regexp_extract_all(html, {ANCHOR}, 1)))) AS pos,
          unnest(regexp_extract_all(html, {ANCHOR}, 1)) AS href,
          unnest(regexp_extract_all(html, {ANCHOR}, 2)) AS inner_html
-  FROM pages
+  FROM lpages
 ),
 links_j AS (
   SELECT page_id, page_url, pos, href,
@@ -62,11 +76,11 @@ SELECT host, count(DISTINCT page_id) AS n_pages, count(*) AS n_links,
 FROM scored GROUP BY host
 """)
 def host_link_report(spark, sf_dir):
-    return L.host_link_report(pages(spark, sf_dir))
+    return L.host_link_report(S.linked_pages(spark, sf_dir))
 
 
 def _links(spark, sf_dir):
-    return L.resolved_links(pages(spark, sf_dir).select("page_id", "url", "html"))
+    return L.resolved_links(S.linked_pages(spark, sf_dir))
 
 
 @register("src_pages", oracle="SELECT page_id, url, length(html) AS html_chars FROM pages")
@@ -76,7 +90,7 @@ def src_pages(spark, sf_dir):
 
 @register("link_extract", oracle=f"WITH {SQL_LINKS} SELECT page_id, pos, href, text FROM links")
 def link_extract(spark, sf_dir):
-    return L.link_extract(pages(spark, sf_dir)).select("page_id", "pos", "href", "text")
+    return L.link_extract(S.linked_pages(spark, sf_dir)).select("page_id", "pos", "href", "text")
 
 
 @register("url_resolve", oracle=f"WITH {SQL_LINKS} SELECT page_id, pos, href, url FROM links")

@@ -85,11 +85,16 @@ def llm_breakdown(spark, sf_dir):
     return T.llm_breakdown(S.llm_requests(spark, sf_dir))
 
 
-SQL_REPLIES = """
+SQL_REPLIES = f"""
 replies0 AS (
   SELECT event_id AS reply_id, props AS reply FROM events
   UNION ALL
   SELECT -(conv_id * 1000 + turn) - 1, text FROM conversations WHERE role = 'assistant'
+  UNION ALL
+  SELECT event_id + {S.REPLY_OFFSET},
+    replace(replace(([{', '.join(D.q(t) for t in S.REPLY_TEMPLATES)}])[event_id // 4 % {len(S.REPLY_TEMPLATES)} + 1],
+      '{{n}}', CAST(event_id AS VARCHAR)), '{{d}}', CAST(event_id % 10 AS VARCHAR))
+  FROM events WHERE event_id % 4 = 1
 ),
 replies AS (SELECT reply_id, reply, CASE WHEN json_valid(reply) THEN reply END AS rj FROM replies0)"""
 

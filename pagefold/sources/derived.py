@@ -125,7 +125,7 @@ def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("# robots.txt for "), F.col("domain"), F.lit("\n\nUser-agent: *\nDisallow: /fr/\nAllow: /en/\n"),
         F.lit("Crawl-delay: "), (F.col("pid") % 5).cast("string"),
         F.lit("\nSitemap: https://"), F.col("domain"), F.lit("/sitemap.xml\n"))
-    agent = F.lit("\nUser-agent: ai-scraper-service/1.0\nAllow: /de/\nDisallow: /e*\nCrawl-delay: 2\n")
+    agent = F.lit("\nUser-agent: pagefold-bot/1.0\nAllow: /de/\nDisallow: /e*\nCrawl-delay: 2\n")
     body = (F.when(k == 1, F.concat(base, agent))
             .when(k == 2, F.lit("User-agent: *\nDisallow: /\n"))
             .otherwise(base))
@@ -222,12 +222,37 @@ def llm_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("request_id", "seq", "kv.key", "kv.value")
 
 
+REPLY_OFFSET = 10_000_000_000
+#: Replies as a model writes them, one per kind of event; ``{n}`` is the event id,
+#: ``{d}`` its last digit.  Every parsed field occurs, and wrong, missing and cut-off ones.
+REPLY_TEMPLATES = [
+    '{"relevanceScore": 0.{d}, "contentType": "listing", "shouldKeep": true, "reasoning": "r{d}", '
+    '"extractedSelectors": [".a", ".b{d}"], "detailSelectors": {"title": "h1", "description": ".d{d}", "price": " ", "n": 4}, '
+    '"richContentFields": ["description", "nothing"], "confidence": 0.{d}, "exampleUrlSelector": "#{d}x a", '
+    '"siblingContainerSelector": "ul.list", "contentLinkSelector": "#[data] h3 > a", "paginationNextSelector": "a.next", '
+    '"paginationLinks": ["?page=2", 3, "/p/{n}"], "steps": [{"stepNumber": 2, "action": "wait", "description": "Wait"}, {}], "k": {n}}',
+    'Here you are: {"relevanceScore": "0.5", "shouldKeep": false, "contentType": "", "extractedSelectors": [], "k": {d}} Anything else?',
+    '{"relevanceScore": 0.9, "contentType": "article", "detailSelectors": {"title": "h',
+    '{"detailSelectors": {"description": "p"}, "confidence": 7, "paginationLinks": [], "paginationNextSelector": "", '
+    '"steps": [{"selector": "#ok{d}", "waitTime": 50, "fallbackSelectors": ["#a"]}], "reasoning": "only some"}',
+    '{"relevanceScore": null, "confidence": 0, "richContentFields": "none", "detailSelectors": [], "steps": [], "paginationLinks": null}',
+    '[1, 2]',
+]
+
+
 def llm_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies to parse: event payloads (JSON) and assistant turns (prose)."""
+    """Raw model replies to parse: event payloads (JSON), assistant turns (prose)
+    and, for every fourth event, a reply in one of the expected forms."""
     e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("reply_id"), F.col("props").alias("reply"))
     c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant").select(
         (-(F.col("conv_id") * 1000 + F.col("turn")) - 1).alias("reply_id"), F.col("text").alias("reply"))
-    return e.unionByName(c)
+    made = F.element_at(F.array(*[F.lit(t) for t in REPLY_TEMPLATES]),
+                        (F.floor(F.col("event_id") / 4) % len(REPLY_TEMPLATES) + 1).cast("int"))
+    j = read_table(spark, sf_dir, "events").filter(F.col("event_id") % 4 == 1).select(
+        (F.col("event_id") + REPLY_OFFSET).alias("reply_id"),
+        F.replace(F.replace(made, F.lit("{n}"), F.col("event_id").cast("string")), F.lit("{d}"),
+                  (F.col("event_id") % 10).cast("string")).alias("reply"))
+    return e.unionByName(c).unionByName(j)
 
 
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,6 +361,41 @@ def paginated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", html.alias("html"))
 
 
+#: List of links put at the top of a page: (href, text); ``{id}`` is the page id, ``{next}``
+#: the URL of the host's next page.  Municipal and dated content, another snapshot,
+#: another host, a repeated link, and links that every rule must refuse.
+LINK_LIST = [
+    ("/aktuelles/2024-01-05-meldung-{id}.htm", "Meldung {id} aus dem Stadtrat"),
+    ("/sitzung+a+protokoll+1{id}00.htm", "Protokoll der Sitzung {id}"),
+    ("/sitzung+b+protokoll+2{id}00.htm", "Protokoll der Sitzung {id} b"),
+    ("/sitzung+c+bericht+3{id}00.htm", "Bericht {id} des Ausschusses"),
+    ("{next}", "Weiter zur naechsten Seite"),
+    ("https://other.example.net/news/{id}", "Nachricht von anderswo"),
+    ("/sitzung+a+protokoll+1{id}00.htm#top", "Protokoll"),
+    ("/suche?q={id}", "Suche"), ("/impressum", "Impressum"), ("#oben", ">"), ("mailto:info@example.org", "Mail"),
+    ("javascript:void(0)", "x"), ("/en/{id}?page=2", "2"),
+]
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a content list: two of three pages carry ``LINK_LIST`` at the
+    top of their body, below an element that is a list container."""
+    from pyspark.sql import Window
+    from pagefold.functions import url as U
+    p = read_table(spark, sf_dir, "pages")
+    w = Window.partitionBy("host").orderBy("page_id")
+    near = p.select("page_id", "url", U.url_host("url").alias("host")).select(
+        "page_id", F.coalesce(F.lead("url").over(w), F.lit("/")).alias("next_url"))
+
+    def fill(text):
+        return F.replace(F.replace(F.lit(text), F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{next}"), F.col("next_url"))
+    items = [x for href, text in LINK_LIST for x in (
+        F.lit('<article class="news-item"><h3><a href="'), fill(href), F.lit('">'), fill(text), F.lit("</a></h3></article>"))]
+    block = F.concat(F.lit('<body><div class="news-list">'), *items, F.lit("</div>"))
+    html = F.when(F.col("page_id") % 3 != 0, F.replace(F.col("html"), F.lit("<body>"), block)).otherwise(F.col("html"))
+    return p.join(near, "page_id").select("page_id", "url", html.alias("html"))
+
+
 def plan_inputs(spark: SparkSession, sf_dir: str):
     """Inputs of plan assembly per site: the entry page (first page of the
     host), sibling results (content-link selector 'nav li > a' with the
