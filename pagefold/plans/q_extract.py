@@ -127,6 +127,14 @@ def accuracy_score(spark, sf_dir):
         F.round(F.coalesce(F.avg(X.item_accuracy()), F.lit(0.0)), 9).alias("accuracy_score"))
 
 
+def _confidence(spark, sf_dir):
+    n = X.item_normalize_basic(_items_run(spark, sf_dir), now=F.lit(None).cast("string"))
+    v = X.extraction_validate(n, "run_key")
+    acc = n.groupBy("run_key").agg(F.avg(X.item_accuracy()).alias("acc"))
+    return v.join(acc, "run_key").select("run_key", X.test_confidence(
+        F.col("n_items"), F.col("n_errors"), F.col("acc")).alias("test_confidence"))
+
+
 @register("test_confidence", oracle=f"""
 WITH {SQL_RUN_ITEMS}, {SQL_EXT_ERRORS},
 acc AS (SELECT run_key, avg({_acc_sql()}) AS acc FROM norm_items GROUP BY run_key)
@@ -134,12 +142,7 @@ SELECT run_key, round(CASE WHEN n_errors > 0 OR n_items = 0 THEN 0.0e0
                            ELSE acc * least(n_items / 3.0e0, 1.0e0) END, 9) AS test_confidence
 FROM extv JOIN acc USING (run_key)""")
 def test_confidence(spark, sf_dir):
-    n = X.item_normalize_basic(_items_run(spark, sf_dir), now=F.lit(None).cast("string"))
-    v = X.extraction_validate(n, "run_key")
-    acc = n.groupBy("run_key").agg(F.avg(X.item_accuracy()).alias("acc"))
-    j = v.join(acc, "run_key")
-    return j.select("run_key", F.round(X.test_confidence(F.col("n_items"), F.col("n_errors"), F.col("acc")), 9)
-                    .alias("test_confidence"))
+    return _confidence(spark, sf_dir).withColumn("test_confidence", F.round("test_confidence", 9))
 
 
 @register("run_metrics", oracle=f"""
@@ -227,7 +230,7 @@ SELECT run_key, round(tc * 0.6e0 + extraction_accuracy * 0.4e0, 9) AS overall_co
 FROM tc JOIN rep USING (run_key)""")
 def overall_confidence(spark, sf_dir):
     r = _report(spark, sf_dir)
-    t = test_confidence(spark, sf_dir)
+    t = _confidence(spark, sf_dir)
     return t.join(r, "run_key").select(
         "run_key", F.round(F.col("test_confidence") * 0.6 + F.col("extraction_accuracy") * 0.4, 9)
         .alias("overall_confidence"))

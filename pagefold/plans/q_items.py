@@ -32,26 +32,40 @@ page_items AS (
   FROM pages
 )"""
 
+SQL_END = ("(CASE WHEN contains(p.sourceUrl, '.org') THEN strftime(l.l_shipdate, '%Y-%m-%dT00:00:00.000Z') "
+           "ELSE strftime(l.l_shipdate, '%Y-%m-%d') END)")
+
 SQL_ITEMS = SQL_PAGE_ITEMS + f""",
 items AS (
-  SELECT p.item_id, p.title, CAST(NULL AS VARCHAR) AS place, p.description, CAST(NULL AS VARCHAR) AS address,
-         nullif(regexp_extract(d.text, {D.q(S.EMAIL_FIND_RE)}, 0), '') AS email,
+  SELECT p.item_id,
+         CASE WHEN p.item_id % 17 = 3 AND NOT contains(p.sourceUrl, '.org') THEN NULL WHEN p.item_id % 17 = 5 THEN ' a '
+              WHEN p.item_id % 17 = 7 THEN repeat(p.title || ' ', 60) ELSE p.title END AS title,
+         CASE WHEN p.item_id % 4 = 0 THEN 'Ort ' || CAST(p.item_id AS VARCHAR) END AS place,
+         CASE WHEN p.item_id % 19 <> 1 OR contains(p.sourceUrl, '.org') THEN p.description END AS description,
+         CAST(NULL AS VARCHAR) AS address,
+         CASE WHEN p.item_id % 13 = 2 THEN ' Not-an-Email '
+              ELSE nullif(regexp_extract(d.text, {D.q(S.EMAIL_FIND_RE)}, 0), '') END AS email,
          nullif(regexp_extract(d.text, {D.q(S.PHONE_FIND_RE)}, 0), '') AS phone,
-         p.website, l.l_extendedprice AS price,
+         CASE p.item_id % 13 WHEN 4 THEN 'http://' WHEN 6 THEN 'bad host/x' ELSE p.website END AS website, l.l_extendedprice AS price,
          CASE WHEN l.l_returnflag = 'R' THEN l.l_extendedprice * (1 + l.l_tax)
               ELSE l.l_extendedprice * (1 - l.l_discount) END AS discountPrice,
          c.c_acctbal / 50 AS longitude,
          CASE WHEN p.item_id % 3 <> 0 THEN c.c_acctbal / 120 END AS latitude,
-         CASE WHEN p.item_id % 7 = 0 THEN '31.02.' || strftime(o.o_orderdate, '%Y')
+         CASE WHEN contains(p.sourceUrl, '.org') THEN strftime(o.o_orderdate, '%Y-%m-%dT00:00:00.000Z')
+              WHEN p.item_id % 29 = 0 THEN '01.01.1800'
+              WHEN p.item_id % 7 = 0 THEN '31.02.' || strftime(o.o_orderdate, '%Y')
               WHEN p.item_id % 2 = 0 THEN strftime(o.o_orderdate, '%d.%m.%Y')
               ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS startDate,
-         strftime(l.l_shipdate, '%Y-%m-%d') AS endDate,
-         CASE WHEN l.l_shipdate IS NOT NULL THEN [strftime(l.l_shipdate, '%Y-%m-%d')] ELSE [] END AS dates,
+         {SQL_END} AS endDate,
+         CASE WHEN l.l_shipdate IS NULL THEN []
+              WHEN p.item_id % 23 = 0 AND NOT contains(p.sourceUrl, '.org') THEN [{SQL_END}, '99.99.2020']
+              ELSE [{SQL_END}] END AS dates,
          CAST(NULL AS VARCHAR) AS createdAt,
          CAST((o.o_custkey * 97) % 120000 AS INTEGER) AS zipcode,
-         CASE WHEN p.item_id % 5 = 0 THEN list_concat(p.images, ['/img/' || CAST(p.item_id AS VARCHAR) || '.jpg'])
-              ELSE p.images END AS images,
-         p.language, p.sourceUrl
+         list_concat(list_concat(p.images,
+           CASE WHEN p.item_id % 5 = 0 THEN ['/img/' || CAST(p.item_id AS VARCHAR) || '.jpg'] ELSE [] END),
+           CASE WHEN p.item_id % 10 = 0 THEN ['http://'] ELSE [] END) AS images,
+         CASE WHEN p.item_id % 31 <> 0 THEN p.language END AS language, p.sourceUrl
   FROM page_items p
   LEFT JOIN documents d ON d.doc_id = p.item_id
   LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS rn FROM lineitem) WHERE rn = 1) l ON l.l_orderkey = p.item_id

@@ -73,6 +73,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     same id; prices, dates and coordinates from the order with the same key
     (its first line and its customer).  Every join is on a key, left outer,
     so each page yields exactly one item.
+
+    Every rule of validation meets both its outcomes: some titles, descriptions,
+    e-mails, websites, images, dates and languages are missing or malformed, and
+    all dates of the hosts under .org are complete ISO timestamps.
     """
     p = page_items(read_table(spark, sf_dir, "pages"))
     d = read_table(spark, sf_dir, "documents").select(
@@ -91,22 +95,34 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.when(iid % 7 == 0, F.concat(F.lit("31.02."), F.date_format("o_orderdate", "yyyy"))) \
         .when(iid % 2 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")) \
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    end = F.date_format("l_shipdate", "yyyy-MM-dd")
+    org = F.col("sourceUrl").contains(".org")
+    iso_ms = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    start = F.when(org, F.date_format("o_orderdate", iso_ms)).when(iid % 29 == 0, "01.01.1800").otherwise(start)
+    end = F.when(org, F.date_format("l_shipdate", iso_ms)).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     disc = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") * (1 + F.col("l_tax"))) \
         .otherwise(F.col("l_extendedprice") * (1 - F.col("l_discount")))
     images = F.when(iid % 5 == 0, F.concat(F.col("images"), F.array(F.concat(
         F.lit("/img/"), iid.cast("string"), F.lit(".jpg"))))).otherwise(F.col("images"))
+    images = F.when(iid % 10 == 0, F.concat(images, F.array(F.lit("http://")))).otherwise(images)
+    no_dates = F.array().cast("array<string>")
+    dates = F.when(end.isNull(), no_dates).when((iid % 23 == 0) & ~org, F.array(end, F.lit("99.99.2020"))).otherwise(F.array(end))
     return j.select(
-        "item_id", "title", F.lit(None).cast("string").alias("place"), "description",
-        F.lit(None).cast("string").alias("address"), "email", "phone", "website",
+        "item_id",
+        F.when((iid % 17 == 3) & ~org, F.lit(None)).when(iid % 17 == 5, F.lit(" a ")).when(
+            iid % 17 == 7, F.repeat(F.concat("title", F.lit(" ")), 60)).otherwise(F.col("title")).alias("title"),
+        F.when(iid % 4 == 0, F.concat(F.lit("Ort "), iid.cast("string"))).alias("place"),
+        F.when((iid % 19 != 1) | org, F.col("description")).alias("description"),
+        F.lit(None).cast("string").alias("address"),
+        F.when(iid % 13 == 2, F.lit(" Not-an-Email ")).otherwise(F.col("email")).alias("email"), "phone",
+        F.when(iid % 13 == 4, F.lit("http://")).when(iid % 13 == 6, F.lit("bad host/x")).otherwise(F.col("website")).alias("website"),
         F.col("l_extendedprice").alias("price"), disc.alias("discountPrice"),
         (F.col("c_acctbal") / 50).alias("longitude"),
         F.when(iid % 3 != 0, F.col("c_acctbal") / 120).alias("latitude"),
         start.alias("startDate"), end.alias("endDate"),
-        F.when(end.isNotNull(), F.array(end)).otherwise(F.array().cast("array<string>")).alias("dates"),
+        dates.alias("dates"),
         F.lit(None).cast("string").alias("createdAt"),
         ((F.col("o_custkey") * 97) % 120000).cast("int").alias("zipcode"),
-        images.alias("images"), "language", "sourceUrl",
+        images.alias("images"), F.when(iid % 31 != 0, F.col("language")).alias("language"), "sourceUrl",
     )
 
 
