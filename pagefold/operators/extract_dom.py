@@ -259,7 +259,9 @@ def plan_score(nodes_t: DataFrame, plans: DataFrame) -> DataFrame:
     c = F.col
     m = match_plan_selectors(nodes_t, plans)
     hit = m.groupBy("plan_id", "role", "field").agg(F.count("*").alias("n"))
-    ps = plan_selectors(plans).join(hit, ["plan_id", "role", "field"], "left").fillna(0, ["n"])
+    ps = plan_selectors(plans).alias("p").join(
+        hit.alias("h"), (c("p.plan_id") == c("h.plan_id")) & (c("p.role") == c("h.role"))
+        & c("p.field").eqNullSafe(c("h.field")), "left").select("p.plan_id", "p.role", F.coalesce("h.n", F.lit(0)).alias("n"))
     agg = ps.groupBy("plan_id").agg(
         F.max(F.when(c("role") == "list", c("n"))).alias("n_list"),
         F.count_if((c("role") == "detail") & (c("n") == 0)).alias("empty_details"),

@@ -24,7 +24,12 @@ def _ctx(spark, sf_dir):
     return p, M.with_text(nodes, texts), _plans(spark, sf_dir)
 
 
-@register("plan_assemble")
+@register("plan_assemble", oracle=f"""
+SELECT 'plan-' || {D.host('url')} AS plan_id, min(page_id) AS entry_page_id, arg_min(url, page_id) AS entry_url,
+  'article, .item, .post, .entry' AS list_selector, 'nav li > a' AS content_link_selector,
+  '.pagination a' AS pagination_selector, 2 AS n_detail_selectors,
+  greatest(0.5e0, CASE WHEN bool_or(contains(html, '<a ')) THEN 0.6e0 ELSE 0.0e0 END) AS confidence_score
+FROM pages GROUP BY {D.host('url')}""")
 def plan_assemble(spark, sf_dir):
     pl = _plans(spark, sf_dir)
     return pl.select("plan_id", "entry_page_id", "entry_url", "list_selector", "content_link_selector",
@@ -166,7 +171,26 @@ def content_url_validation(spark, sf_dir):
         "average_confidence", F.round("average_confidence", 6))
 
 
-@register("plan_score")
+def _plan_score_sql() -> str:
+    def hits(pattern):
+        return f"len(regexp_extract_all(body, {D.q(pattern)}))"
+    return rf"""
+WITH e AS (SELECT {D.host('url')} AS site, min(page_id) AS page_id, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html
+           FROM pages GROUP BY 1),
+c AS (SELECT site, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script>', '', 'g') AS body FROM e),
+n AS (SELECT site, {D.valid('url')} AS url_ok, {hits(r'(?i)<article|<[a-z0-9]+[^>]*class="([^"]* )?(item|post|entry)[ "]')} AS n_list,
+        CASE WHEN {hits(r'(?i)<h[12]\b|class="([^"]* )?(title|headline)[ "]')} = 0 THEN 1 ELSE 0 END
+        + CASE WHEN {hits(r'(?i)<p\b|class="([^"]* )?(description|content|summary)[ "]')} = 0 THEN 1 ELSE 0 END
+        + CASE WHEN {hits(r'(?i)class="([^"]* )?pagination[ "]')} = 0 THEN 1 ELSE 0 END AS empties FROM c),
+w AS (SELECT *, (CASE WHEN url_ok THEN 0 ELSE 1 END) + (CASE WHEN url_ok AND n_list = 0 THEN 1 ELSE 0 END) AS n_issues,
+        CASE WHEN url_ok THEN (CASE WHEN n_list < 2 THEN 1 ELSE 0 END) + empties ELSE 0 END AS n_warnings,
+        (2 + (CASE WHEN url_ok THEN 1 ELSE 0 END) + (CASE WHEN url_ok AND n_list >= 2 THEN 1 ELSE 0 END)) * 25.0e0 AS base FROM n)
+SELECT 'plan-' || site AS plan_id, n_list, n_issues, n_warnings,
+  CASE WHEN n_warnings > 0 THEN greatest(0.0e0, greatest(0.0e0, base - n_issues * 20) - n_warnings * 5)
+       ELSE greatest(0.0e0, base - n_issues * 20) END AS score, NOT url_ok AS has_errors FROM w"""
+
+
+@register("plan_score", oracle=_plan_score_sql())
 def plan_score(spark, sf_dir):
     p, nt, pl = _ctx(spark, sf_dir)
     return E.plan_score(nt, pl)

@@ -14,6 +14,8 @@ from pagefold.operators import ops as O
 from pagefold.operators import quality as Q
 from pagefold.plans import duck as D
 from pagefold.plans.catalog import register
+from pagefold.plans.q_compliance import SQL_ROBOTS
+from pagefold.plans.q_items import SQL_ITEMS, SQL_PAGE_ITEMS, SQL_VALIDATED
 from pagefold.plans.q_ops import SQL_RUNS
 from pagefold.sources import derived as S
 from pagefold.sources.tables import read_table
@@ -147,7 +149,16 @@ def stream_plan_metrics(spark, sf_dir):
         F.col("successful_executions") / F.col("total_executions") * 100, 2))
 
 
-@register("stream_page_ingest")
+@register("stream_page_ingest", oracle=f"""
+WITH {SQL_PAGE_ITEMS},
+items AS (
+  SELECT item_id, title, CAST(NULL AS VARCHAR) AS place, description, CAST(NULL AS VARCHAR) AS address,
+    CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS phone, website, CAST(NULL AS DOUBLE) AS price,
+    CAST(NULL AS DOUBLE) AS discountPrice, CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS DOUBLE) AS latitude,
+    CAST(NULL AS VARCHAR) AS startDate, CAST(NULL AS VARCHAR) AS endDate, CAST([] AS VARCHAR[]) AS dates,
+    CAST(NULL AS VARCHAR) AS createdAt, CAST(NULL AS INTEGER) AS zipcode, images, language, sourceUrl
+  FROM page_items){SQL_VALIDATED[len(SQL_ITEMS):]}
+SELECT item_id, is_valid, quality_score, len(errors) AS n_errors FROM validated""")
 def stream_page_ingest(spark, sf_dir):
     """Pages arriving as files are extracted and validated per micro-batch."""
     src = J.stream_source(spark, sf_dir, "pages", PAGES_SCHEMA)
@@ -167,7 +178,27 @@ def stream_page_ingest(spark, sf_dir):
     return J.run_available_now(src, "page-ingest", batch_fn=extract)
 
 
-@register("stream_consent_ttl")
+def _ttl_sql(checks: str) -> str:
+    """Fold of an expiring cache, one check after another: ``checks(domain, ts, seq, outcome, ttl)`` in minutes."""
+    return f"""
+checks AS ({checks}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, seq) AS rn FROM checks),
+fold AS (
+  SELECT domain, rn, seq, outcome, ts + to_minutes(ttl) AS expires, false AS cache_hit FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT n.domain, n.rn, n.seq, n.outcome, CASE WHEN n.ts <= f.expires THEN f.expires ELSE n.ts + to_minutes(n.ttl) END,
+         n.ts <= f.expires
+  FROM fold f JOIN numbered n ON n.domain = f.domain AND n.rn = f.rn + 1)"""
+
+
+SQL_CONSENT_TTL = "WITH RECURSIVE " + _ttl_sql("""
+  SELECT 'site-' || CAST(user_id % 40 AS VARCHAR) || '.example.org' AS domain, ts, event_id AS seq,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'dialog_failed' WHEN 'view' THEN 'none' ELSE 'ok' END AS outcome,
+    CASE event_type WHEN 'error' THEN 5 WHEN 'signup' THEN 10 ELSE 60 END AS ttl
+  FROM events""") + " SELECT domain, seq, outcome, cache_hit FROM fold"
+
+
+@register("stream_consent_ttl", oracle=SQL_CONSENT_TTL)
 def stream_consent_ttl(spark, sf_dir):
     """Domain-level consent-check reuse with outcome-dependent expiry, run as
     a stateful stream (``applyInPandasWithState``, event-time timeout)."""
@@ -176,14 +207,19 @@ def stream_consent_ttl(spark, sf_dir):
     return out.select("domain", "seq", "outcome", "cache_hit")
 
 
-@register("consent_ttl_reuse")
+@register("consent_ttl_reuse", oracle=SQL_CONSENT_TTL)
 def consent_ttl_reuse(spark, sf_dir):
     """Batch form of the domain cache: checks served from cache."""
     c = J.consent_checks_from(read_table(spark, sf_dir, "events"))
     return J.consent_ttl_batch(c).select("domain", "seq", "outcome", "cache_hit")
 
 
-@register("stream_robots_ttl")
+@register("stream_robots_ttl", oracle="WITH RECURSIVE " + SQL_ROBOTS + "," + _ttl_sql("""
+  SELECT domain, fetched_at + to_minutes(k * 30) AS ts, k AS seq, CASE WHEN outcome = 'error' THEN 'error' ELSE 'ok' END AS outcome,
+    CASE WHEN outcome = 'error' THEN 60 ELSE 24 * 60 END AS ttl
+  FROM fs, unnest(range(96)) AS r(k)""") + """
+SELECT domain, count(*) FILTER (WHERE NOT cache_hit) AS fetches, count(*) FILTER (WHERE cache_hit) AS cache_hits
+FROM fold GROUP BY domain""")
 def stream_robots_ttl(spark, sf_dir):
     """robots cache reuse: 24 h for fetched files, 1 h after a fetch error
     (the reference never honours the 1 h entry; we do)."""
