@@ -150,11 +150,15 @@ def candidates(nodes_t: DataFrame, selectors) -> DataFrame:
     out = hits.select("page_id", "node_id", F.col("sel_id").cast("int").alias("sel_idx"),
                       sel_map[F.col("sel_id")].alias("selector"))
     if text:
-        divs = nodes_t.filter(F.col("tag") == "div").select("page_id", "node_id", F.lower("text_content").alias("lt"))
-        for k, s in text.items():
-            word = s.split('"')[1].lower()
-            out = out.unionByName(divs.filter(F.col("lt").contains(word)).select(
-                "page_id", "node_id", F.lit(int(k)).alias("sel_idx"), F.lit(s).alias("selector")))
+        # One pass over the texts: the distinct words are tested once, then each selector takes its word's flag.
+        words = sorted({s.split('"')[1].lower() for s in text.values()})
+        divs = nodes_t.filter(F.col("tag") == "div").select(
+            "page_id", "node_id", *[F.lower("text_content").contains(w).alias(f"_w{i}") for i, w in enumerate(words)])
+        hit = F.array_compact(F.array(*[
+            F.when(F.col(f"_w{words.index(s.split(chr(34))[1].lower())}"), F.struct(
+                F.lit(int(k)).alias("sel_idx"), F.lit(s).alias("selector"))) for k, s in text.items()]))
+        out = out.unionByName(divs.select("page_id", "node_id", F.explode(hit).alias("_h")).select(
+            "page_id", "node_id", "_h.sel_idx", "_h.selector"))
     vis = nodes_t.select("page_id", "node_id", "attrs", "text_content", "tag")
     return out.join(vis, ["page_id", "node_id"]).filter(_visible(F.col("attrs")))
 

@@ -63,13 +63,15 @@ def container_stats(anchors: DataFrame, nodes_t: DataFrame, links: DataFrame) ->
                           F.col("class").alias("c_class"), F.col("id").alias("c_id"),
                           F.col("child_count").alias("c_children"))
     cand = cand.join(lists, ["page_id", "container_id"]).join(info, ["page_id", "container_id"])
-    la = links.select("page_id", "url", "text", "is_content", "node_id",
-                      F.explode("ancestors").alias("container_id"))
-    j = cand.join(la, ["page_id", "container_id"])
-    sim = U.url_similarity("url", "example_url")
+    # Similarity is worked out once per link and example, before the link is repeated for its ancestors.
+    la = links.select("page_id", "url", "text", "is_content", "ancestors").join(
+        anchors.select("example_id", "page_id", "example_url"), "page_id")
+    la = la.withColumn("sim", U.url_similarity("url", "example_url")).select(
+        "example_id", "url", "text", "is_content", "sim", F.explode("ancestors").alias("container_id"))
+    j = cand.select("example_id", "container_id").join(la, ["example_id", "container_id"])
     per_url = j.groupBy("example_id", "container_id", "url").agg(
         F.count("*").alias("n_anchor"), F.bool_or("is_content").alias("content"),
-        F.max(sim).alias("sim"),
+        F.max("sim").alias("sim"),
         F.count_if(F.lower("text").isin(READ_MORE)).alias("n_read_more"))
     agg = per_url.groupBy("example_id", "container_id").agg(
         F.sum("n_anchor").alias("all_links"),
@@ -165,9 +167,11 @@ def sibling_discovery(nodes_t: DataFrame, pages: DataFrame, examples: DataFrame,
     ``limit`` by similarity, first position on ties).  Examples whose anchor
     or container is not found yield no links (the reference's same-page and
     parent-page fallbacks return none)."""
-    links = dom_links(nodes_t, pages)
-    anchors = example_anchor(links, examples)
-    best = container_find(container_stats(anchors, nodes_t, links))
+    # Links and the one container per example are read several times below: each is written once.
+    links = materialize(dom_links(nodes_t, pages), "dom-links")
+    examples = materialize(examples, "examples")
+    anchors = materialize(example_anchor(links, examples), "example-anchors")
+    best = materialize(container_find(container_stats(anchors, nodes_t, links)), "containers")
     best = best.withColumn("signature", F.format_string(
         "%s.%s#%s[%d]", F.col("c_tag"), F.coalesce("c_class", F.lit("")), F.coalesce("c_id", F.lit("")),
         F.col("c_children")))

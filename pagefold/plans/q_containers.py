@@ -12,6 +12,7 @@ from pagefold.operators import dom as M
 from pagefold.plans import duck as D
 from pagefold.plans.catalog import register
 from pagefold.plans.q_compliance import SQL_ROBOTS
+from pagefold.session import materialize
 from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
 
@@ -20,7 +21,7 @@ def _setup(spark, sf_dir, paginated: bool = False):
     p = S.paginated_pages(spark, sf_dir) if paginated else S.linked_pages(spark, sf_dir)
     nodes, texts = M.shred_pages(p)
     nt = M.with_text(nodes, texts)
-    links = CT.dom_links(nt, p)
+    links = materialize(CT.dom_links(nt, p), "dom-links")
     return p, nt, links
 
 
@@ -33,8 +34,8 @@ def _examples(links):
 
 def _stats(spark, sf_dir):
     p, nt, links = _setup(spark, sf_dir)
-    anchors = CT.example_anchor(links, _examples(links))
-    return p, nt, links, anchors, CT.container_stats(anchors, nt, links)
+    anchors = materialize(CT.example_anchor(links, _examples(links)), "example-anchors")
+    return p, nt, links, anchors, materialize(CT.container_stats(anchors, nt, links), "container-stats")
 
 
 @register("container_score")

@@ -21,7 +21,8 @@ _CLEAN = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->',
 
 
 def _nodes(spark, sf_dir):
-    return M.dom_shred(pages(spark, sf_dir))
+    """The node table, written once: every step of a query reads it again."""
+    return M.shred_pages(pages(spark, sf_dir))[0]
 
 
 @register("dom_shred", oracle=f"""
