@@ -117,6 +117,17 @@ def terminal(task_events: DataFrame) -> DataFrame:
                                     F.min("ts").alias("closed_at"))
 
 
+def upserted(df: DataFrame, key: list[str]) -> DataFrame:
+    """Marks a streaming aggregate as one that ``run_available_now`` upserts by ``key``."""
+    df._pf_key = key
+    return df
+
+
+def terminal_stream(task_events: DataFrame) -> DataFrame:
+    """Streaming form of ``terminal``: a task's earliest close, upserted when an earlier one arrives."""
+    return upserted(terminal(task_events), ["task_id"])
+
+
 def ops_window(runs: DataFrame) -> DataFrame:
     """``stream_ops_window``: 60-second tumbling windows of run starts.  On a
     stream (update mode) the watermark bounds the windows kept open."""
@@ -240,7 +251,7 @@ def consent_ttl_stream(checks: DataFrame, ttl_minutes: dict | None = None) -> Da
 # ------------------------------------------------------------ run helpers
 
 
-def run_available_now(stream_df: DataFrame, name: str, mode: str = "append", batch_fn=None,
+def run_available_now(stream_df: DataFrame, name: str, mode: str | None = None, batch_fn=None,
                       key: list[str] | None = None) -> DataFrame:
     """Run a streaming query to completion (``availableNow``) into a parquet
     table in the shared checkpoint folder and return that table (batch).
@@ -248,10 +259,12 @@ def run_available_now(stream_df: DataFrame, name: str, mode: str = "append", bat
     ``batch_fn(df, epoch)`` turns each micro-batch into the rows to write;
     default writes the batch as is.  Each epoch has its own folder, overwritten
     when a batch is run again, so a retry never doubles rows.  ``key`` (update
-    mode): the newest epoch's row per key is the result -- an upsert without
+    mode, also set by ``upserted``): the newest epoch's row per key is the result -- an upsert without
     rewriting the table.
     """
     spark = stream_df.sparkSession
+    key = key or getattr(stream_df, "_pf_key", None)
+    mode = mode or ("update" if key else "append")
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out = os.path.join(base, "out")
 
