@@ -102,7 +102,36 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         F.coalesce("own.verdict", "inherited", F.lit("allow")).alias("verdict"))
 
 
-@register("op5_url_filters")
+ORACLE = r"""
+WITH RECURSIVE
+rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+  ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p AS (SELECT page_id, html, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+n AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM p),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM n),
+tags AS (SELECT node AS src, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM k WHERE regexp_matches(coalesce(html, ''), '(?i)canonical|http-equiv')),
+target AS (SELECT src, CASE
+    WHEN regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?[^"''>]*canonical') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?https?://([^\s"''>#]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*[''"]?https?://([^\s"''>#]+)', 1) END AS t FROM tags),
+edges AS (SELECT src, lower(regexp_extract(t, '^[^/?]*')) || CASE WHEN regexp_extract(t, '^[^/?]*([^?]*)', 1) = '' THEN '/' ELSE '' END
+    || substr(t, length(regexp_extract(t, '^[^/?]*')) + 1) AS dst FROM target WHERE src IS NOT NULL AND t <> ''),
+pairs AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+own AS (SELECT r.a, x.verdict FROM reach r, LATERAL (SELECT arg_max(verdict, length(rh || rp)) AS verdict FROM rules
+          WHERE (regexp_extract(r.b, '^[^/?]*') = rh OR ends_with(regexp_extract(r.b, '^[^/?]*'), '.' || rh))
+            AND starts_with(regexp_extract(r.b, '^[^/?]*([^?]*)', 1), rp)) x),
+inherited AS (SELECT a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS verdict
+              FROM own GROUP BY a),
+j AS (SELECT k.page_id, k.host, k.path, k.node, f.rule, f.verdict FROM k, LATERAL (
+        SELECT arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict FROM rules
+        WHERE (k.host = rh OR ends_with(k.host, '.' || rh)) AND starts_with(k.path, rp)) f)
+SELECT page_id, host, path, rule, coalesce(j.verdict, i.verdict, 'allow') AS verdict FROM j LEFT JOIN inherited i ON i.node = j.node"""
+
+
+@register("op5_url_filters", oracle=ORACLE)
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page URL."""
     return judge(read(spark, sf_dir, "pages", "page_id", "url", "html"))
