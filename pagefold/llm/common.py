@@ -27,6 +27,20 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return spark.read.parquet(table_path(sf_dir, name)).select(*columns)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: the last thing asked for.
+
+    A worker serves one stage after another; keeping one thing bounds its memory
+    by the largest of them instead of by their sum."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: a written table survives lost executors."""
     return materialize(df, name)
@@ -47,6 +61,17 @@ def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], sche
     return run
 
 
+def text_column(fn: Callable[[list], list], kind: str, arrow: pa.DataType):
+    """A column function of one text column: ``fn`` gets a list of at most
+    ``SLICE_ROWS`` texts and returns as many values (tuples for a struct), so that
+    beside the Arrow batch itself only a slice is ever held as Python objects."""
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(fn(texts.slice(at, SLICE_ROWS).to_pylist()), type=arrow) for at in range(0, len(texts), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=arrow)
+    return run
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for every node of ``edges(src, dst)``.
 

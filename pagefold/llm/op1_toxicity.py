@@ -27,14 +27,13 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import read, save
+from pagefold.llm.common import held, read, save, text_column
 from pagefold.plans.catalog import register
 
 #: Labelled rows that the model is fitted on, at most.
@@ -44,7 +43,7 @@ LEXICON_SIZE = 600
 LEAST_ROWS = 3
 THRESHOLD = 0.7
 #: Runs whose matches one worker keeps; what comes later is matched each time.
-TABLE_SIZE = 300_000
+TABLE_SIZE = 150_000
 #: Runs before and after a hit that form its context, and what a reported hit counts.
 CONTEXT = 6
 REPORTED = 0.25
@@ -195,13 +194,12 @@ def context(runs: list[str], at: int) -> float:
     return 1.0
 
 
-@lru_cache(maxsize=2)
 def matcher(terms: tuple[str, ...], wanted: frozenset | None = None) -> Matcher:
     """One per worker process and lexicon, kept from task to task.
 
     ``wanted``: only these (term, edits) count, None: all.
     """
-    return Matcher(terms, wanted)
+    return held(("matcher", terms, wanted), lambda: Matcher(terms, wanted))
 
 
 @dataclass(frozen=True)
@@ -251,7 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_size:
             .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # At most `sample` rows of two numbers: a bounded broadcast.
-    sampled = save(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id"), "toxic-sample")
+    # Rows that repeat an id count once, so the sample stays as small as its bound.
+    sampled = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min("text").alias("text"))
+    sampled = save(sampled, "toxic-sample")
     n_toxic, n = sampled.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_clean = n - n_toxic
     if not n_toxic or not n_clean:
@@ -266,14 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon_size:
     terms = tuple(r["word"] for r in reliable.orderBy(F.desc((odds - 0.5 * error) * F.sqrt("t")), "word")
                   .select("word").limit(lexicon_size).collect())
 
-    @F.pandas_udf("n int, term array<int>, edits array<int>, score array<double>")
-    def find(texts: pd.Series) -> pd.DataFrame:
-        out = []
+    def each(texts):
         for text in texts:
             found, size = matcher(terms)(text)
-            out.append((size, [t for t, _ in found], [e for _, e in found], list(found.values())))
-        return pd.DataFrame(out, columns=["n", "term", "edits", "score"])
-
+            yield size, [t for t, _ in found], [e for _, e in found], list(found.values())
+    find = text_column(lambda texts: list(each(texts)), "n int, term array<int>, edits array<int>, score array<double>", pa.struct([
+        ("n", pa.int32()), ("term", pa.list_(pa.int32())), ("edits", pa.list_(pa.int32())), ("score", pa.list_(pa.float64()))]))
     seen = [(r["toxic"], dict(zip(zip(r["term"], r["edits"]), r["score"])), r["n"])
             for r in sampled.select("toxic", find("text").alias("f")).select("toxic", "f.*").collect()]
     toxic, clean = Counter(), Counter()
@@ -296,16 +295,14 @@ def score(text: Column, model: Model) -> Column:
     """Struct column ``score, hits, reported`` of a text column."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, hits int, reported int")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def each(texts):
         model = shared.value
         find = matcher(model.terms, frozenset(k for k, w in model.weights.items() if w > 0))
-        out = []
         for text in texts:
             found, size = find(text)
-            out.append((model.score(found, size), len(found), sum(s < 1 for s in found.values())))
-        return pd.DataFrame(out, columns=["score", "hits", "reported"])
-    return run(text)
+            yield model.score(found, size), len(found), sum(s < 1 for s in found.values())
+    return text_column(lambda texts: list(each(texts)), "score double, hits int, reported int", pa.struct([
+        ("score", pa.float64()), ("hits", pa.int32()), ("reported", pa.int32())]))(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,11 +24,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import read
+from pagefold.llm.common import read, text_column
 from pagefold.plans.catalog import register
 
 BASE = ("email", "ip", "card", "phone")
@@ -46,10 +46,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 WIDE_DOMAIN = re.compile(r"[^\W_](?:[\w-]{0,62}[^\W_])?(?:\.[^\W_](?:[\w-]{0,62}[^\W_])?)+")
-USERINFO = re.compile(r"[^\s/?#@:\"'<>]{1,64}:[^\s/?#@\"'<>]{1,128}(?=@[A-Za-z0-9])")
+USERINFO = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+(?=@[A-Za-z0-9])")
 AFTER_ACCOUNT = re.compile(r"(?:[ _-]?(?:no|nr|number|num|nummer|id))?\.?[ \t]{0,3}[:=#]{0,2}[ \t]{0,3}[\"']?"
                            r"([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})(?![A-Za-z0-9])")
-AFTER_SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:[:=]|is|=>)[ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,512})")
+AFTER_SECRET = re.compile(r"[\"']?[ \t]{0,3}(?:[:=]|is|=>)[ \t]{0,3}[\"']?([A-Za-z0-9_+/=.-]{12,})")
 
 
 def luhn(digits: str) -> bool:
@@ -174,15 +174,14 @@ def redact(text: str | None) -> str | None:
 
 def spans_of(text: Column) -> Column:
     """Struct column: counts of the base kinds, the base spans and all spans, written out."""
-    @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_added long")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = []
+    def each(texts):
         for text in texts:
             s = find(text)
-            out.append((*(len(s[k]) for k in BASE), written(s, BASE), written(s, KINDS),
-                        sum(len(s[k]) for k in KINDS[len(BASE):])))
-        return pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "spans", "n_added"])
-    return run(text)
+            yield (*(len(s[k]) for k in BASE), written(s, BASE), written(s, KINDS), sum(len(s[k]) for k in KINDS[len(BASE):]))
+    counts = [f"n_{k}" for k in BASE]
+    return text_column(
+        lambda texts: list(each(texts)), ", ".join(f"{c} long" for c in counts) + ", base string, spans string, n_added long",
+        pa.struct([*((c, pa.int64()) for c in counts), ("base", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())]))(text)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -194,10 +193,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted texts; ``n_chars``, where there is one, follows the text."""
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t) for t in texts], dtype=object)
-    out = docs.withColumn("text", run(docs["text"]))
+    out = docs.withColumn("text", text_column(lambda texts: [redact(t) for t in texts], "string", pa.string())(docs["text"]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(),
                                                F.char_length("text").cast(docs.schema["n_chars"].dataType))

@@ -28,12 +28,11 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import connected_components, read, save
+from pagefold.llm.common import connected_components, read, save, text_column
 from pagefold.plans.catalog import register
 
 SHINGLE = 3
@@ -63,10 +62,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed long column."""
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, shingle) for t in texts], "<u8").view("<i8"))
-    return run(text)
+    return text_column(lambda texts: np.array([simhash(t, shingle) for t in texts], "<u8").view("<i8"), "long", pa.int64())(text)
 
 
 def _masks(bits: list[int], radius: int) -> list[tuple[int, list[int]]]:

@@ -26,21 +26,20 @@ import bisect
 import re
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import arrow_map, read, save
+from pagefold.llm.common import arrow_map, held, read, save
 from pagefold.plans.catalog import register
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Entries that each of a worker's two tables keeps; what comes later is worked out each time.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 150_000
 #: Buckets that split the pieces of one length when they are ranked.
 BUCKETS = 4096
 
@@ -104,10 +103,9 @@ class WordEncoder:
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """One per worker process, kept from task to task."""
-    return WordEncoder(path)
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

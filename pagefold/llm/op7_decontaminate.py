@@ -21,12 +21,14 @@ columns are ignored; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 
+from itertools import chain
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import read
+from pagefold.llm.common import read, text_column
 from pagefold.plans.catalog import register
 
 WINDOW = 13
@@ -82,7 +84,7 @@ def search(tests: TestSuffixes, shard: list[list[int]]) -> tuple[np.ndarray, np.
     Documents lie one after another, each followed by a zero.
     """
     none = (np.empty(0, "i8"),) * 3
-    text = np.array([n for doc in shard for n in (*doc, 0)], "u4")
+    text = np.array([*chain.from_iterable((*doc, 0) for doc in shard)], "u4")
     if not len(tests.size) or not len(text):
         return none
     zeros = np.flatnonzero(text == 0)
@@ -163,19 +165,15 @@ def contamination(text: Column, benchmark: DataFrame, window: int = WINDOW, chun
     ``items`` the ids of the items that occur, sorted as strings.
     """
     kind = "n_words long, spans array<long>, items array<string>"
+    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def chunk(shared):
-        @F.pandas_udf(kind)
-        def run(texts: pd.Series) -> pd.DataFrame:
-            rows = occurrences(shared.value, texts.tolist())
-            return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-        return run(text)
-
-    @F.pandas_udf(kind)
-    def merge(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        spans = [merged([*x, *y]) for x, y in zip(a["spans"], b["spans"])]
-        items = [sorted({*x, *y}) for x, y in zip(a["items"], b["items"])]
-        return pd.DataFrame({"n_words": a["n_words"], "spans": spans, "items": items})
+        return text_column(lambda texts: occurrences(shared.value, texts), kind, arrow)(text)
+
+    @F.arrow_udf(kind)
+    def merge(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([(x["n_words"], merged([*x["spans"], *y["spans"]]), sorted({*x["items"], *y["items"]}))
+                         for x, y in zip(a.to_pylist(), b.to_pylist())], type=arrow)
 
     first, *rest = [chunk(c) for c in _chunks(benchmark, window, chunk_items)]
     for other in rest:

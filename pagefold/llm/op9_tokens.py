@@ -26,19 +26,18 @@ from __future__ import annotations
 
 import bisect
 import re
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pagefold.llm.common import arrow_map, read
+from pagefold.llm.common import arrow_map, held, read
 from pagefold.plans.catalog import register
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Distinct pieces whose counts one worker keeps; what comes later is worked out each time.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 200_000
 
 
 class _Costs(dict):
@@ -119,10 +118,9 @@ class PrefixCounter:
         return ends[bisect.bisect_right(total, budget) - 1]
 
 
-@lru_cache(maxsize=1)
 def counter(path: str) -> PrefixCounter:
     """One per worker process, kept from task to task."""
-    return PrefixCounter(path)
+    return held(("counter", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -50,7 +50,7 @@ PARTS = ["a", "b.c", "@", ".", "-", " ", "+", "1", "255", "256", "4485", "411111
          "1.2.3.4", "\n", "(", ")", "%", "_", "://", "token = ", "01", "0", "٣", "account no ", "@d.e@f.g", "..", "7"]
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
 def test_base_spans_equal_the_patterns(text):
     found = pii.find(text)
@@ -88,7 +88,7 @@ def brute_simhash(text, shingle=3):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["A", "b", "É", " ", "\t", "\x1c", "\x0b", " ", "the", "cat  ", "\n"]), max_size=30).map("".join))
 def test_simhash(text):
     assert sim.simhash(text) == brute_simhash(text)
@@ -153,7 +153,7 @@ def counter():
     return tok.PrefixCounter(public_tokenizers.path(tok.VOCABULARY), room=50)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(text=st.lists(st.sampled_from(TOKENS), max_size=10).map("".join))
 def test_word_encoder_equals_the_library(encoder, text):
     assert encoder.encode(text) == encoder.whole(text)
@@ -161,7 +161,7 @@ def test_word_encoder_equals_the_library(encoder, text):
 
 # ---- op9 -------------------------------------------------------------------
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=150, deadline=None)
 @given(text=st.lists(st.sampled_from(TOKENS), max_size=10).map("".join), n=st.integers(0, 30))
 def test_prefix_counts_equal_the_library(counter, text, n):
     assert counter.total(text) == counter.whole(text)
@@ -224,7 +224,7 @@ def edits(a, b):
     return row[-1]
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.text("abcx", max_size=11))
 def test_automaton_equals_edit_distance(word):
     terms = ("abc", "abcab", "bcabcx", "abcabcabca", "cab", "xxxxxxxxx")
