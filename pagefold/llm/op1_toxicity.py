@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +46,8 @@ LEAST_ROWS = 3
 THRESHOLD = 0.7
 #: Runs whose matches one worker keeps; what comes later is matched each time.
 TABLE_SIZE = 150_000
+#: Automaton states that one worker keeps before it starts anew.
+STATES = 200_000
 #: Runs before and after a hit that form its context, and what a reported hit counts.
 CONTEXT = 6
 REPORTED = 0.25
@@ -85,20 +89,23 @@ class Matcher:
                 self.reach[node] = max(self.reach[node], allowed)
             self.term[node] = n
         self.lengths = [self.allowed(len(t)) for t in terms]
-        start = self._close({0: 0})
-        self.states: dict[tuple, int] = {start: 0}
-        self.sets: list[tuple] = [start]
-        self.moves: list[dict[str, int]] = [{}]
+        self._restart()
         self.split = re.compile(r"[^\W_]+").findall
         self.longrun = re.compile(r"(.)\1{2,}")
         self.table: dict[str, tuple] = {}
 
+    def _restart(self) -> None:
+        start = self._close({0: 0})
+        self.states: dict[bytes, int] = {start: 0}
+        self.sets: list[bytes] = [start]
+        self.moves: list[dict[str, int]] = [{}]
+
     @staticmethod
     def allowed(length: int) -> int:
         return 0 if length < 5 else 1 if length <= 8 else 2
 
-    def _close(self, nodes: dict[int, int]) -> tuple:
-        """Adds the nodes reached by leaving out letters of a term."""
+    def _close(self, nodes: dict[int, int]) -> bytes:
+        """Adds the nodes reached by leaving out letters of a term; packed, as there are many states."""
         todo = list(nodes.items())
         while todo:
             node, spent = todo.pop()
@@ -106,11 +113,15 @@ class Matcher:
                 if spent + 1 <= self.reach[child] and nodes.get(child, 9) > spent + 1:
                     nodes[child] = spent + 1
                     todo.append((child, spent + 1))
-        return tuple(sorted(nodes.items()))
+        return array("I", sorted(node << 2 | spent for node, spent in nodes.items())).tobytes()
+
+    def _nodes(self, state: int) -> Iterator[tuple[int, int]]:
+        for packed in array("I", self.sets[state]):
+            yield packed >> 2, packed & 3
 
     def _move(self, state: int, ch: str) -> int:
         nodes: dict[int, int] = {}
-        for node, spent in self.sets[state]:
+        for node, spent in self._nodes(state):
             if spent + 1 <= self.reach[node] and nodes.get(node, 9) > spent + 1:
                 nodes[node] = spent + 1  # a letter too many
             for c, child in self.children[node].items():
@@ -129,6 +140,8 @@ class Matcher:
 
     def match(self, word: str) -> dict[int, int]:
         """Term number -> edits."""
+        if len(self.sets) > STATES:
+            self._restart()
         state = 0
         for ch in word:
             nxt = self.moves[state].get(ch)
@@ -137,7 +150,7 @@ class Matcher:
             if nxt < 0:
                 return {}
             state = nxt
-        return {self.term[n]: e for n, e in self.sets[state] if self.term[n] >= 0 and e <= self.lengths[self.term[n]]}
+        return {self.term[n]: e for n, e in self._nodes(state) if self.term[n] >= 0 and e <= self.lengths[self.term[n]]}
 
     def run(self, run: str) -> tuple[tuple[int, int], ...]:
         """Matches of one blank-free run: its words, and the run read through disguises
