@@ -414,3 +414,22 @@ def test_chat_over_partitions(spark):
     turns = [a for a, _ in parts if a != "system"]
     assert turns == ["user", "assistant"] * (len(turns) // 2)
     assert chat.repair(df.limit(0)).count() == 0
+
+
+def test_url_oracle_follows_alias_edges(spark):
+    """The registered SQL and the operator agree where pages hold canonical links and redirects."""
+    import duckdb
+    link = '<html><head><link rel="canonical" href="{}"></head>'
+    rows = [(1, "https://a.example.org/x", link.format("https://b.example.org/y")),
+            (2, "https://b.example.org/y#top", '<meta http-equiv="refresh" content="0; url=http://c.net/fr/z">'),
+            (3, "http://d.example.org/q?a=1", link.format("https://e.example.org/r")),
+            (4, "http://e.example.org/r", link.format("https://www.example.com/en/ok")),
+            (5, "https://g.example.org/h", "<link href='http://c.net/es/1' rel='nofollow CANONICAL'>"),
+            (6, "https://Example.COM/en/p", "x"), (7, "https://example.com", "x"), (8, None, None), (9, "plain", link.format("http://c.net/fr/")),
+            (10, "http://k.example.org/1", "<script>'<link rel=canonical href=http://c.net/fr/z>'</script>")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    got = rows_of(urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    assert got == sorted(con.execute(urls.ORACLE).fetchall(), key=repr)
+    assert [r[4] for r in sorted(got)][:5] == ["block", "block", "allow", "allow", "block"]
