@@ -8,14 +8,17 @@ repeated (``+``), with a slot for its own text.
    groups of up to four, become one repeated node.
 2. Wrappers of a host are aligned two at a time.  Children that meet are merged
    again; one that finds no partner becomes optional; runs that arise become
-   repeated; texts that differ turn a constant into a slot.  A slice of a batch
-   is folded before anything moves, then (host, salt), then the host, so a host
-   with a third of all pages never meets in one task and only wrappers, not
-   pages, are shuffled.
+   repeated; texts that differ turn a constant into a slot.  Pages of a host
+   with the same text count once: their wrappers are grouped by (host, hash of
+   the text).  A slice of a batch is folded, then (host, salt), then the host, so
+   a host with a third of all pages never meets in one task and only wrappers,
+   not pages, are shuffled.
 3. The wrapper shows where the host keeps its main text: below ``article`` or
    ``main``, else in the container that holds most of the varying text that is
-   no link.  Constants beside it, the same on ``CONSTANT_PAGES`` pages or more,
-   belong to the template.
+   no link.  Below ``article`` and ``main`` everything is main text.  In another
+   container a text that is the same on ``CONSTANT_PAGES`` or more pages of
+   different text, and on a share of ``CONSTANT_SHARE`` of all the host's, belongs
+   to the template.
 4. Every page is read along its host's wrapper: blocks below that place, less
    menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
    and comments.  A page that does not have the place is read along its own wrapper.
@@ -31,6 +34,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
@@ -45,8 +49,10 @@ from pyspark.sql import functions as F
 from pagefold.llm.common import arrow_map, read, save
 from pagefold.plans.catalog import register
 
-#: Pages on which a single text must be the same to count as part of the template.
+#: Pages of different text on which a single text must be the same to count as part of the template,
+#: and their share of the host's pages.
 CONSTANT_PAGES = 5
+CONSTANT_SHARE = 0.9
 MAX_NODES = 2_000
 #: Nested elements deeper than this are read as white space between the texts they hold.
 MAX_DEPTH = 150
@@ -217,6 +223,22 @@ def skeleton(element: Element) -> list:
     return [element.label, 1, 0, 0, chars if plain else 0, zlib.crc32(plain.encode("utf-8", "replace")), fold(kids)]
 
 
+def page_text(element: Element) -> str:
+    """All text of a page's blocks that may hold main text, in page order."""
+    parts: list[str] = []
+
+    def walk(e):
+        for k in e.kids:
+            if isinstance(k, tuple):
+                parts.append(k[0])
+            elif not k.drop:
+                parts.append(" ")
+                walk(k)
+                parts.append(" ")
+    walk(element)
+    return " ".join("".join(parts).split())
+
+
 def shape(nodes: list) -> list:
     return [n[LABEL] if n[LABEL] != GROUP else (GROUP, *shape(n[KIDS])) for n in nodes]
 
@@ -253,7 +275,15 @@ def merge(a: list, b: list, pages: int = 1) -> list:
     """Two nodes of one label as one; ``pages`` 0 merges siblings of the same page."""
     n = a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES])
     return [a[LABEL], n, a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[CHARS] + b[CHARS],
-            a[TEXT] if a[TEXT] == b[TEXT] else None, align(a[KIDS], b[KIDS], pages)]
+            _same(a[TEXT], b[TEXT], pages), align(a[KIDS], b[KIDS], pages)]
+
+
+def _same(a: int | None, b: int | None, pages: int) -> int | None:
+    """Hash of the text of two merged nodes: None if it differs between pages;
+    siblings of one page have one of all their texts."""
+    if a == b or (pages or a is None or b is None):
+        return a if a == b else None
+    return zlib.crc32(f"{a} {b}".encode())
 
 
 def align(a: list, b: list, pages: int = 1) -> list:
@@ -324,7 +354,8 @@ def pruned(wrapper: list) -> list:
 
 
 def place(wrapper: list) -> dict:
-    """Where the main text stands: ``at`` (labels from the root) and template ``constants`` below it."""
+    """Where the main text stands: ``at`` (labels from the root) and template ``constants``
+    below it, none below ``article`` or ``main``."""
     def text(n):
         return n[CHARS] * (n[LABEL].partition(".")[0] != "body") + sum(map(text, n[KIDS]))
 
@@ -346,8 +377,7 @@ def place(wrapper: list) -> dict:
     for tag in ("article", "main"):
         found = [f for f in named(wrapper, (), tag) if f[0]]
         if found:
-            _, at, node = max(found, key=lambda f: (f[0], f[1]))
-            break
+            return {"at": max(f[:2] for f in found)[1], "constants": []}
     else:
         while True:
             whole = text(node)
@@ -357,13 +387,14 @@ def place(wrapper: list) -> dict:
                 break
             at, node = (*at, best[LABEL]), best
     constants, varies = [], [False]
+    least = max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper[PAGES])
 
     def walk(n, path):
         for k in children(n):
             here = (*path, k[LABEL])
             if k[TEXT] is None:
                 varies[0] = True
-            elif k[PAGES] >= CONSTANT_PAGES and k[CHARS] and not k[KIDS] and not k[REPEATED] and k[LABEL][:2] != "h1":
+            elif k[PAGES] >= least and k[CHARS] and not k[KIDS] and not k[REPEATED] and k[LABEL][:2] != "h1":
                 constants.append([here, k[TEXT]])
             walk(k, here)
     walk(node, at)
@@ -423,6 +454,7 @@ def _below(root: Element, paths: list[tuple]) -> list[Element]:
 
 # ---- Spark -----------------------------------------------------------------
 
+PAGES_SEEN = pa.schema([("host", pa.string()), ("text", pa.binary()), ("wrapper", pa.string())])
 WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
 
 
@@ -454,18 +486,29 @@ def _folded(batches: Iterable[pa.RecordBatch], salted: bool) -> Iterator[pa.Reco
 def wrappers(pages: DataFrame) -> DataFrame:
     """``host, place``: where each host keeps its main text, as JSON."""
     def first(batch):
-        own: dict[str, list] = {}
+        out: dict[str, list] = {"host": [], "text": [], "wrapper": []}
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if text:
-                page = skeleton(parse(text))
-                own[host] = merge(own[host], page) if host in own else page
-        if not own:
-            return None
+                root = parse(text)
+                out["host"].append(host)
+                out["text"].append(hashlib.md5(page_text(root).encode("utf-8", "replace")).digest())
+                out["wrapper"].append(json.dumps(pruned(skeleton(root))))
+        return out
+
+    def slices(batch):
+        own: dict[str, list] = {}
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
+            page = json.loads(text)
+            own[host] = merge(own[host], page) if host in own else page
         texts = [json.dumps(pruned(w)) for w in own.values()]
         return {"host": list(own), "salt": [zlib.crc32(t.encode()) % SALTS for t in texts], "wrapper": texts}
 
     kind = "host string, salt int, wrapper string"
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(arrow_map(first, WRAPPERS), kind)
+    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
+        arrow_map(first, PAGES_SEEN), "host string, text binary, wrapper string")
+    # The aggregate is partial first: copies of one page never meet in one task.
+    parts = (parts.groupBy("host", "text").agg(F.min("wrapper").alias("wrapper")).select("host", "wrapper")
+             .mapInArrow(arrow_map(slices, WRAPPERS), kind))
     for keys in (["host", "salt"], ["host"]):
         salted = len(keys) == 2
         parts = (parts.repartition(*keys).sortWithinPartitions("host", "salt", "wrapper")

@@ -290,6 +290,30 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_constants_below_the_main_text(spark):
+    """Copies of a page and headings of every article stay; template text of a plain container goes."""
+    rows, want = [], []
+    story = "<h2>Part</h2><p>one text</p><p>two texts</p><blockquote>Said so</blockquote><div class=end><p>Last</p></div>"
+    for k in range(6):
+        rows += [(f"http://a.example/{k}", f"<body><article>{story}</article></body>"),
+                 (f"http://b.example/{k}", f"<body><div class=text>{story}</div></body>"),
+                 (f"http://c.example/{k}", f"<body><article><h2>Summary</h2><p>{'own words ' * (k + 1)}</p></article></body>"),
+                 (f"http://d.example/{k}", f"<body><div class=text>{story}</div><div class=day>{k}</div></body>"),
+                 (f"http://e.example/{k}", f"<body><div class=text><p>{'long own words ' * (k + 2)}</p><div class=box>House rules</div></div></body>")]
+        part = "Part one text two texts Said so Last"
+        want += [part, part, "Summary" + " own words" * (k + 1), None, ("long own words " * (k + 2)).strip()]
+    for k in range(20):
+        rows.append((f"http://b.example/x{k}", f"<body><div class=text><p>{'other words ' * (k + 1)}</p></div></body>"))
+        want.append(("other words " * (k + 1)).strip())
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    for k, w in enumerate(want):
+        if w is None:
+            assert got[k].startswith("Part one text two texts Said so Last")
+        else:
+            assert got[k] == w
+
+
 def test_wrapper_alignment():
     page = lambda body: html.skeleton(html.parse(f"<body>{body}</body>"))
     w = html.merge(page("<h1>a</h1><p>1</p><p>2</p><hr><h2>x</h2>"), page("<h1>a</h1><p>3</p><ul><li>q</ul><h2>x</h2>"))
