@@ -23,8 +23,10 @@ repeated (``+``), with a slot for its own text.
    menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
    and comments.  A page that does not have the place is read along its own wrapper.
 
-A wrapper keeps its ``MAX_NODES`` best supported nodes; pages beyond it fall
-under the last rule above, no text is cut for it.
+A wrapper keeps its ``MAX_NODES`` best nodes, ancestors first: the way to each
+``article`` or ``main``, then the nodes on most pages, then those with most text;
+what is cut still counts as text of the node above it.  Where the place
+comes out empty or may have been cut, every page is read along its own wrapper.
 
 Cases: null or empty html gives an empty text; a null URL or one without a host
 belongs to the host ``""``; null ids and repeated rows give a row each; extra
@@ -209,8 +211,9 @@ def _element(tag: str, rest: str, stack: list[Element]) -> Element:
 
 
 # ---- wrappers --------------------------------------------------------------
-# A node is a list: [label, pages, optional, repeated, chars, hash of the text or None, children].
-LABEL, PAGES, OPTIONAL, REPEATED, CHARS, TEXT, KIDS = range(7)
+# A node is a list: [label, pages, optional, repeated, chars, hash of the text or None, children,
+# characters in children that were cut].
+LABEL, PAGES, OPTIONAL, REPEATED, CHARS, TEXT, KIDS, CUT = range(8)
 GROUP = "()"
 
 
@@ -220,7 +223,7 @@ def skeleton(element: Element) -> list:
     plain = " ".join(own.split())
     chars = sum(len(k[0]) - k[0].count(" ") for k in element.kids if isinstance(k, tuple) and not k[1])
     kids = [skeleton(k) for k in element.kids if not isinstance(k, tuple) and not k.drop]
-    return [element.label, 1, 0, 0, chars if plain else 0, zlib.crc32(plain.encode("utf-8", "replace")), fold(kids)]
+    return [element.label, 1, 0, 0, chars if plain else 0, zlib.crc32(plain.encode("utf-8", "replace")), fold(kids), 0]
 
 
 def page_text(element: Element) -> str:
@@ -265,7 +268,7 @@ def fold(kids: list) -> list:
                 group[0][REPEATED] = 1
                 out += group
             else:
-                out.append([GROUP, max(g[PAGES] for g in group), 0, 1, 0, 0, group])
+                out.append([GROUP, max(g[PAGES] for g in group), 0, 1, 0, 0, group, 0])
             at += again * size
         kids = out
     return kids
@@ -275,7 +278,7 @@ def merge(a: list, b: list, pages: int = 1) -> list:
     """Two nodes of one label as one; ``pages`` 0 merges siblings of the same page."""
     n = a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES])
     return [a[LABEL], n, a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[CHARS] + b[CHARS],
-            _same(a[TEXT], b[TEXT], pages), align(a[KIDS], b[KIDS], pages)]
+            _same(a[TEXT], b[TEXT], pages), align(a[KIDS], b[KIDS], pages), a[CUT] + b[CUT]]
 
 
 def _same(a: int | None, b: int | None, pages: int) -> int | None:
@@ -336,28 +339,51 @@ def _greedy(x: list, y: list) -> list[tuple[int, int]]:
 
 
 def pruned(wrapper: list) -> list:
-    """At most ``MAX_NODES`` nodes: those on most pages."""
-    sizes: list[int] = []
-
-    def walk(n):
-        sizes.append(n[PAGES])
+    """At most ``MAX_NODES`` nodes, ancestors first: those that hold an ``article`` or ``main``
+    with text, then those on most pages, then those with most text."""
+    nodes: list[tuple] = []  # (rank, -pages, -text, depth, place in page order), node
+
+    def walk(n, depth):
+        at = len(nodes)
+        nodes.append(())
+        whole, rank = _chars(n) + n[CUT], 2
         for k in n[KIDS]:
-            walk(k)
-    walk(wrapper)
-    if len(sizes) <= MAX_NODES:
+            own, r = walk(k, depth + 1)
+            whole, rank = whole + own, min(rank, r)
+        if whole:
+            rank = min(rank, {"article": 0, "main": 1}.get(_tag(n), 2))
+        nodes[at] = ((rank, -n[PAGES], -whole, depth, at), n, whole)
+        return whole, rank
+    walk(wrapper, 0)
+    if len(nodes) <= MAX_NODES:
         return wrapper
-    least = sorted(sizes, reverse=True)[MAX_NODES]
+    kept = {id(n) for _, n, _ in sorted(nodes, key=lambda x: x[0])[:MAX_NODES]}
+    text = {id(n): whole for _, n, whole in nodes}
 
     def cut(n):
-        return [*n[:KIDS], [cut(k) for k in n[KIDS] if k[PAGES] > least]]
+        kids = [k for k in n[KIDS] if id(k) in kept]
+        if len(kids) == len(n[KIDS]):
+            return [*n[:KIDS], [cut(k) for k in kids], n[CUT]]
+        # What hung below is not known any more, so the node is no constant.
+        lost = sum(text[id(k)] for k in n[KIDS] if id(k) not in kept)
+        return [*n[:TEXT], None, [cut(k) for k in kids], n[CUT] + lost]
     return cut(wrapper)
 
 
+def _tag(n: list) -> str:
+    return n[LABEL].partition(".")[0]
+
+
+def _chars(n: list) -> int:
+    """Own text of a node that may be main text."""
+    return n[CHARS] * (_tag(n) != "body")
+
+
 def place(wrapper: list) -> dict:
     """Where the main text stands: ``at`` (labels from the root) and template ``constants``
-    below it, none below ``article`` or ``main``."""
+    below it, none below ``article`` or ``main``.  ``at`` is None if it may have been cut."""
     def text(n):
-        return n[CHARS] * (n[LABEL].partition(".")[0] != "body") + sum(map(text, n[KIDS]))
+        return _chars(n) + n[CUT] + sum(map(text, n[KIDS]))
 
     def children(n):
         for k in n[KIDS]:
@@ -367,7 +393,7 @@ def place(wrapper: list) -> dict:
         found = []
         for k in children(n):
             here = (*path, k[LABEL])
-            if k[LABEL].partition(".")[0] == tag:
+            if _tag(k) == tag:
                 found.append((text(k), here, k))
             else:
                 found += named(k, here, tag)
@@ -382,8 +408,9 @@ def place(wrapper: list) -> dict:
         while True:
             whole = text(node)
             best = max(children(node), key=lambda k: (text(k), k[LABEL]), default=None)
-            if best is None or not whole or 10 * text(best) < 7 * whole or \
-                    best[LABEL].partition(".")[0] not in CONTAINERS | {"html"}:
+            if best is None or not whole or 10 * text(best) < 7 * whole or _tag(best) not in CONTAINERS | {"html"}:
+                if 10 * _cut(node) >= 7 * whole > 0:
+                    return {"at": None, "constants": []}
                 break
             at, node = (*at, best[LABEL]), best
     constants, varies = [], [False]
@@ -401,6 +428,11 @@ def place(wrapper: list) -> dict:
     return {"at": at, "constants": constants if varies[0] else []}
 
 
+def _cut(n: list) -> int:
+    """Characters in cut children of a node, also of its groups."""
+    return n[CUT] + sum(_cut(k) for k in n[KIDS] if k[LABEL] == GROUP)
+
+
 # ---- reading a page --------------------------------------------------------
 
 def main_text(text: str | None, where: str | None) -> str:
@@ -409,7 +441,7 @@ def main_text(text: str | None, where: str | None) -> str:
         return ""
     root = parse(text)
     spot = json.loads(where) if isinstance(where, str) else {"at": None, "constants": []}
-    found = _below(root, [tuple(spot["at"])]) if spot["at"] is not None else []
+    found = _below(root, [tuple(spot["at"])]) if spot["at"] else []
     if not found:
         spot = place(skeleton(root))
         found = _below(root, [tuple(spot["at"])])

@@ -314,6 +314,36 @@ def test_constants_below_the_main_text(spark):
             assert got[k] == w
 
 
+def test_pages_beyond_the_node_bound(spark):
+    """A wrapper of more nodes than it may keep still leads to the main text."""
+    part = lambda k, name: "".join(f"<div class={name}q{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}>w{k}x{i}</div>"
+                                   for i in range(html.MAX_NODES + 500))
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(html.MAX_NODES + 500))
+    rows = [("http://a.example/", f"<body><div>outside</div><article>{part(0, 's')}</article><p>after</p></body>")]
+    rows += [("http://b.example/%d" % k, f"<body><div>outside</div><main>{part(k, 's')}</main><p>after</p></body>") for k in range(3)]
+    rows += [("http://c.example/", f"<body><p>outside</p><div class=text>{part(0, 's')}</div><p>after</p></body>")]
+    want = [words(0), *map(words, range(3)), words(0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    wide = html.skeleton(html.parse(rows[0][1]))
+    small = html.pruned(wide)
+
+    def count(n):
+        return 1 + sum(map(count, n[html.KIDS]))
+    assert count(wide) > html.MAX_NODES == count(small)
+    assert html.place(small) == html.place(wide)
+    # Texts of many bodies of their own: nothing is on most pages, so each page is read on its own.
+    page = "<html><body class={c}><div class=text>{t}</div><div>short</div></body></html>"
+    spread = {"at": None, "constants": []}
+    assert html.main_text(page.format(c="x", t="own text " * 30), '{"at": [], "constants": []}') == \
+        html.main_text(page.format(c="x", t="own text " * 30), None) == ("own text " * 30).strip()
+    flat = html.skeleton(html.parse(f"<body>{part(0, 's')}</body>"))
+    cut = html.pruned([*flat[:html.KIDS], [html.pruned(flat[html.KIDS][0])], flat[html.CUT]])
+    cut[html.KIDS][0][html.KIDS], cut[html.KIDS][0][html.CUT] = [], 10_000
+    assert html.place(cut) == spread
+
+
 def test_wrapper_alignment():
     page = lambda body: html.skeleton(html.parse(f"<body>{body}</body>"))
     w = html.merge(page("<h1>a</h1><p>1</p><p>2</p><hr><h2>x</h2>"), page("<h1>a</h1><p>3</p><ul><li>q</ul><h2>x</h2>"))
