@@ -173,6 +173,22 @@ def test_prefix_counts_equal_the_library(counter, text, n):
     assert counter.whole(text[:cut]) <= n or cut == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(text=st.lists(st.sampled_from(TOKENS), max_size=14).map("".join), n=st.integers(0, 40))
+def test_cuts_are_the_longest_prefixes(counter, text, n):
+    ends, total = table = counter.prefix_table(text)
+    assert ends == sorted(set(ends)) and counter.cut(text, n, table) == max(e for e in ends if counter.whole(text[:e]) <= n)
+    for at in range(len(text) + 1):
+        assert counter.count_at(text, at, table) == counter.whole(text[:at])
+
+
+def test_long_texts_with_added_tokens_are_cut_at_the_limit(counter):
+    text = ("some words <|endoftext|>" * 40 + " and more" * 40) * 9
+    cut = counter.cut(text, tok.LIMIT)
+    assert counter.whole(text[:cut]) == tok.LIMIT and counter.total(text) == counter.whole(text)
+    assert counter.cut("<|endoftext|>" * 600, tok.LIMIT) == tok.LIMIT * len("<|endoftext|>")
+
+
 # ---- op7 -------------------------------------------------------------------
 
 def brute_hits(docs, items, window=13):
