@@ -201,7 +201,7 @@ SQL_CONSENT_TTL = "WITH RECURSIVE " + _ttl_sql("""
 @register("stream_consent_ttl", oracle=SQL_CONSENT_TTL)
 def stream_consent_ttl(spark, sf_dir):
     """Domain-level consent-check reuse with outcome-dependent expiry, run as
-    a stateful stream (``applyInPandasWithState``, event-time timeout)."""
+    a stream that folds pieces of each domain and carries the expiry on."""
     src = J.stream_source(spark, sf_dir, "events", EVENTS_SCHEMA)
     out = J.run_available_now(J.consent_ttl_stream(J.consent_checks_from(src)), "consent-ttl")
     return out.select("domain", "seq", "outcome", "cache_hit")

@@ -6,8 +6,8 @@ answer (tests compare them with ``trigger(availableNow=True)``).
 
 Event time: ``events.ts`` is TIMESTAMP_NTZ in the files, so it is cast to
 TIMESTAMP before ``withWatermark``.  Late-data policy: 10-minute watermark.
-Keyed state with a per-key, outcome-dependent expiry (consent / robots
-caches) uses ``applyInPandasWithState`` with an event-time timeout.
+A keyed cache with an outcome-dependent expiry (consent) folds each micro-batch
+in pieces of a key's timeline and carries one row per key to the next one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pagefold.session import checkpoint_dir
 
@@ -163,9 +162,13 @@ def consent_ttl_batch(checks: DataFrame, ttl_minutes: dict | None = None) -> Dat
     so each domain's timeline is cut at such gaps and every piece is folded
     independently -- a busy domain becomes many pieces, spread over tasks."""
     table = ttl_minutes or CONSENT_TTL_MIN
-    max_ttl = max(table.values())
-    from pyspark.sql import Window
     c = checks.withColumn("ttl", _ttl_col(F.col("outcome"), table))
+    return _fold_pieces(c.withColumn("start", F.lit(None).cast("timestamp")), max(table.values()))
+
+
+def _fold_pieces(c: DataFrame, max_ttl: int) -> DataFrame:
+    """``cache_hit`` per check; ``start`` is the expiry of the domain's entry before its first check."""
+    from pyspark.sql import Window
     # Gap detection without a per-domain sort: rows are bucketed by
     # (domain, day); each row's predecessor is found inside its bucket, the
     # first row of a bucket takes the last timestamp of the same domain's
@@ -186,9 +189,9 @@ def consent_ttl_batch(checks: DataFrame, ttl_minutes: dict | None = None) -> Dat
     gaps = gaps.withColumn("_off", F.coalesce(F.sum("_g").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
                                               F.lit(0))).drop("_g")
     c = r.join(gaps, ["domain", "_day"]).withColumn("piece", (F.col("_off") + F.col("_local")).cast("long")) \
-        .select("domain", "ts", "seq", "outcome", "ttl", "piece")
+        .select("domain", "ts", "seq", "outcome", "ttl", "piece", "start")
     schema = "domain string, ts timestamp, seq long, outcome string, ttl int, piece long, cache_hit boolean"
-    par = checks.sparkSession.sparkContext.defaultParallelism
+    par = c.sparkSession.sparkContext.defaultParallelism
     # pieces are spread over tasks and streamed in time order: no group is
     # ever materialized, a busy domain is split at its idle gaps
     ordered = c.repartition(par, "domain", "piece").sortWithinPartitions("domain", "piece", "ts", "seq")
@@ -201,51 +204,47 @@ def _fold_sorted(batches):
     key, expires = None, None
     for pdf in batches:
         hits = []
-        for d, pc, ts, ttl in zip(pdf["domain"], pdf["piece"], pdf["ts"], pdf["ttl"]):
+        for d, pc, ts, ttl, start in zip(pdf["domain"], pdf["piece"], pdf["ts"], pdf["ttl"], pdf["start"]):
             if (d, pc) != key:
-                key, expires = (d, pc), None
+                key, expires = (d, pc), None if pd.isna(start) else start
             hit = expires is not None and ts <= expires
             hits.append(hit)
             if not hit:
                 expires = ts + pd.to_timedelta(int(ttl), unit="m")
-        yield pdf.assign(cache_hit=hits)
-
-
-def _state_fold(key, pdfs, state):
-    """``applyInPandasWithState`` body; state: when the cached entry expires and
-    the last check folded (epoch micros).
-
-    All checks of the micro-batch are put in event order before they are folded.
-    One that is older than what an earlier micro-batch has folded cannot be put
-    in its place any more: it is answered from the entry as it stands, changes
-    nothing and is marked ``late``."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    expires, last = state.get if state.exists else (None, None)
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    rows = []
-    for ts, seq, outcome, ttl in zip(pdf["ts"], pdf["seq"], pdf["outcome"], pdf["ttl"]):
-        t = pd.Timestamp(ts).value // 1000
-        late = last is not None and t < last
-        hit = expires is not None and t <= expires
-        if not hit and not late:
-            expires = t + int(ttl) * 60_000_000
-        last = t if last is None else max(last, t)
-        rows.append((key[0], ts, seq, outcome, int(ttl), hit, late))
-    state.update((expires, last))
-    state.setTimeoutTimestamp(max(expires // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(rows, columns=["domain", "ts", "seq", "outcome", "ttl", "cache_hit", "late"])
+        yield pdf.drop(columns="start").assign(cache_hit=hits)
+
+
+#: What ``consent_ttl_stream`` carries from one micro-batch to the next: a row per domain.
+CONSENT_CARRY = "domain string, expires timestamp, last timestamp"
 
 
 def consent_ttl_stream(checks: DataFrame, ttl_minutes: dict | None = None) -> DataFrame:
-    """Streaming form: keyed state per domain with an event-time timeout at
-    the cached entry's expiry (the expiry depends on the outcome)."""
+    """Streaming form, run by ``run_available_now``: each micro-batch is folded
+    like the batch form, so no domain is held in one task, whatever the batch
+    holds.  Carried on is when a domain's cached entry expires and its last check.
+
+    The checks of a micro-batch are put in event order.  One that is older than
+    what an earlier micro-batch has folded cannot be put in its place any more: it
+    is answered from the entry as it stands, changes nothing and is marked ``late``."""
     table = ttl_minutes or CONSENT_TTL_MIN
-    c = checks.withColumn("ttl", _ttl_col(F.col("outcome"), table)).withWatermark("ts", WATERMARK)
-    return c.groupBy("domain").applyInPandasWithState(
-        _state_fold, "domain string, ts timestamp, seq long, outcome string, ttl int, cache_hit boolean, late boolean",
-        "expires long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def fold(batch: DataFrame, carried: DataFrame) -> DataFrame:
+        c = batch.drop("cache_hit", "late").join(carried, "domain", "left").withColumnRenamed("expires", "start")
+        late = F.coalesce(F.col("ts") < F.col("last"), F.lit(False))
+        hits = _fold_pieces(c.where(~late), max(table.values())).withColumn("late", F.lit(False))
+        old = c.where(late).select("*", F.coalesce(F.col("ts") <= F.col("start"), F.lit(False)).alias("cache_hit"),
+                                   F.lit(True).alias("late"))
+        return hits.select(*batch.columns).union(old.select(*batch.columns))
+
+    def carry(carried: DataFrame, done: DataFrame) -> DataFrame:
+        # An executed check is later than the entry before it: the newest expiry is the greatest.
+        until = F.when(~F.col("cache_hit") & ~F.col("late"), F.timestamp_micros(F.unix_micros("ts") + F.col("ttl").cast("long") * 60_000_000))
+        rows = carried.union(done.select("domain", until.alias("expires"), "ts"))
+        return rows.groupBy("domain").agg(F.max("expires").alias("expires"), F.max("last").alias("last"))
+    c = checks.select("domain", "ts", "seq", "outcome", _ttl_col(F.col("outcome"), table).alias("ttl"),
+                      F.lit(None).cast("boolean").alias("cache_hit"), F.lit(None).cast("boolean").alias("late"))
+    c._pf_fold = (fold, carry, CONSENT_CARRY)
+    return c
 
 
 # ------------------------------------------------------------ run helpers
@@ -258,7 +257,9 @@ def run_available_now(stream_df: DataFrame, name: str, mode: str | None = None,
 
     ``batch_fn(df, epoch)`` turns each micro-batch into the rows to write;
     default writes the batch as is.  Each epoch has its own folder, overwritten
-    when a batch is run again, so a retry never doubles rows.  ``key`` (update
+    when a batch is run again, so a retry never doubles rows.  A stream with a fold
+    (``consent_ttl_stream``) reads what the epoch before carried on and writes its
+    own, also a folder per epoch.  ``key`` (update
     mode, also set by ``upserted``): the newest epoch's row per key is the result -- an upsert without
     rewriting the table.
     """
@@ -268,9 +269,18 @@ def run_available_now(stream_df: DataFrame, name: str, mode: str | None = None,
     base = os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out = os.path.join(base, "out")
 
+    fold, carry, kind = getattr(stream_df, "_pf_fold", (None, None, None))
+
     def write(df, epoch):
+        here, held = os.path.join(out, f"epoch={epoch}"), os.path.join(base, "carry")
+        if fold:
+            own = df.sparkSession
+            before = own.read.schema(kind).parquet(os.path.join(held, str(epoch - 1))) if epoch else own.createDataFrame([], kind)
+            fold(df, before).write.mode("overwrite").parquet(here)
+            carry(before, own.read.parquet(here)).write.mode("overwrite").parquet(os.path.join(held, str(epoch)))
+            return
         done = batch_fn(df, epoch) if batch_fn else df
-        done.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+        done.write.mode("overwrite").parquet(here)
     q = (stream_df.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(base, "ckpt"))
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_consent_stream_equals_batch_on_shuffled_files(spark, shuffled):
     assert got.where("late").count() == 0
 
 
+def test_consent_stream_splits_a_domain_and_keeps_every_check(spark, tmp_path):
+    """One domain: its pieces lie in several tasks; the expiry is carried over micro-batches; old checks are late, not lost."""
+    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.lit(7).cast("long"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    thin = e.where(F.col("event_id") % 40 == 0)
+    for k, part in enumerate([thin.where(F.col("ts") < first + (last - first) / 2), thin.where(F.col("ts") >= first + (last - first) / 2),
+                              e.where(F.col("event_id") % 40 == 1)]):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(1.1)  # files are taken by time of change
+    checks = lambda df: jobs.consent_checks_from(df)
+    src = jobs.stream_source(spark, str(tmp_path), "events", EVENTS, 1)
+    got = jobs.run_available_now(jobs.consent_ttl_stream(checks(src)), "t-one-domain").withColumn("file", F.input_file_name())
+    cols = ("domain", "seq", "outcome", "cache_hit")
+    now = got.where(F.col("seq") % 40 == 0)
+    assert rows(now.select(*cols)) == rows(jobs.consent_ttl_batch(checks(thin)).select(*cols))
+    assert now.where("late").count() == 0 and now.select("file").distinct().count() > 2
+    old = got.where(F.col("seq") % 40 == 1)
+    assert old.count() == e.where(F.col("event_id") % 40 == 1).count() and old.where("late").count() > 0
+
+
 @pytest.mark.parametrize("max_files", [None, 1])
 def test_terminal_and_state_in_any_order(spark, shuffled, max_files):
     path, e = shuffled
