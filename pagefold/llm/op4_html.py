@@ -13,20 +13,26 @@ repeated (``+``), with a slot for its own text.
    the text).  A slice of a batch is folded, then (host, salt), then the host, so
    a host with a third of all pages never meets in one task and only wrappers,
    not pages, are shuffled.
-3. The wrapper shows where the host keeps its main text: below ``article`` or
-   ``main``, else in the container that holds most of the varying text that is
-   no link.  Below ``article`` and ``main`` everything is main text.  In another
-   container a text that is the same on ``CONSTANT_PAGES`` or more pages of
-   different text, and on a share of ``CONSTANT_SHARE`` of all the host's, belongs
-   to the template.
-4. Every page is read along its host's wrapper: blocks below that place, less
-   menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-   and comments.  A page that does not have the place is read along its own wrapper.
-
-A wrapper keeps its ``MAX_NODES`` best nodes, ancestors first: the way to each
-``article`` or ``main``, then the nodes on most pages, then those with most text;
-what is cut still counts as text of the node above it.  Where the place
-comes out empty or may have been cut, every page is read along its own wrapper.
+3. The wrapper shows where the host keeps its main text: every path to an ``article``
+   or ``main`` that holds text and is not template, and for a host without any the
+   container that holds most of the text that is no link.  Template is a text that is
+   the same on ``CONSTANT_PAGES`` or more pages of different text, and on a share of
+   ``CONSTANT_SHARE`` of all the host's; below an ``article`` or ``main`` only what also
+   has the class of a menu, notice and the like can be template.
+4. Every page is read along its host's wrapper.  Of several places it takes the one
+   with most text, a single ``article`` before a list of them; where the place holds
+   less than ``LITTLE`` of the page's text, or is missing, the page is read along its
+   own wrapper.  Below the place stands main text, less menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles and reader comments.
+
+An element is furniture by its tag, role or hidden state, or by a whole class (or id,
+but not of headings and paragraphs) made of furniture words only: ``related-posts``,
+not ``related-work``.  A class of one word that may also name a subject (``social``)
+counts below ``article`` and ``main`` only with evidence: mostly links, form fields,
+or the same text on the host's pages.
+
+A wrapper grows with the variety of a host's markup, not with its pages; nothing is
+cut from it, and alignment is exact at every size.
 
 Cases: null or empty html gives an empty text; a null URL or one without a host
 belongs to the host ``""``; null ids and repeated rows give a row each; extra
@@ -55,7 +61,8 @@ from pagefold.plans.catalog import register
 #: and their share of the host's pages.
 CONSTANT_PAGES = 5
 CONSTANT_SHARE = 0.9
-MAX_NODES = 2_000
+#: Share of a page's text below which a place is not taken for its main text.
+LITTLE = 0.1
 #: Nested elements deeper than this are read as white space between the texts they hold.
 MAX_DEPTH = 150
 #: Parts into which a host's wrappers are folded before the last fold.
@@ -71,11 +78,20 @@ CONTAINERS = frozenset("body article main section div center table tbody tr td".
 DROPPED = frozenset("head script style noscript template iframe noembed noframes object embed svg canvas audio video "
                     "nav aside footer form fieldset button select option optgroup textarea input dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-#: Words in a class or id that mark what is not the article.
-HINTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-                  "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
-                  "sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead share "
-                  "sharing social related recommended comment comments commentlist disqus respond login".split())
+#: Words that make a class or id one of furniture, alone or with the words below.
+CLEAR = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies "
+                  "consent gdpr newsletter sidebar navbar breadcrumb breadcrumbs pagination pager masthead footer nav "
+                  "recommended comment comments commentlist disqus sharing".split())
+#: Words that may also name a subject.
+DOUBTFUL = frozenset("promotion banner notice notices notification popup modal overlay subscribe menu navigation share "
+                     "social related respond reply replies login".split())
+#: Words beside them that say nothing.
+NEUTRAL = frozenset("a area bar block box button buttons container content form group icons inner item items left link "
+                    "links list main outer page post posts right row section side signup site slot small story stories "
+                    "strip text top bottom unit widget widgets wrap wrapper articles for us the this".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
 HEADERS = frozenset(["header", "site-header", "page-header", "global-header", "top-header", "siteheader", "pageheader"])
 #: Open elements that an opening tag ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -90,10 +106,11 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "label", "drop", "kids")
+    __slots__ = ("tag", "label", "drop", "doubt", "fields", "kids")
 
-    def __init__(self, tag: str, label: str, drop: bool):
-        self.tag, self.label, self.drop = tag, label, drop
+    def __init__(self, tag: str, label: str, drop: bool, doubt: bool = False):
+        self.tag, self.label, self.drop, self.doubt = tag, label, drop, doubt
+        self.fields = False
         self.kids: list = []  # Elements, and (text, is link) pairs
 
 
@@ -169,6 +186,8 @@ def parse(text: str) -> Element:
                 continue
             stack[-1].kids.append(Element(tag, tag, True))
             continue
+        if tag == "input":
+            stack[-1].fields = True
         if tag not in BLOCK or tag in VOID:
             continue
         if len(stack) > MAX_DEPTH:
@@ -181,9 +200,25 @@ def parse(text: str) -> Element:
         element = _element(tag, text[name.end():end], stack)
         stack[-1].kids.append(element)
         stack.append(element)
+    _judge(root)
     return root
 
 
+def _judge(e: Element) -> tuple[int, int, bool]:
+    """Characters outside links, in links, and whether there are form fields.  Doubtful
+    elements become furniture where the page itself gives evidence."""
+    plain, linked, fields = 0, 0, e.fields or e.tag in ("button", "select", "textarea")
+    for k in e.kids:
+        if isinstance(k, tuple):
+            size = len(k[0]) - k[0].count(" ")
+            plain, linked = plain + size * (not k[1]), linked + size * k[1]
+        else:
+            p, n, f = _judge(k)
+            plain, linked, fields = plain + p, linked + n, fields or f
+    e.drop = e.drop or e.doubt and (fields or linked >= plain)
+    return plain, linked, fields
+
+
 def _end(stack: list[Element], tags: set[str]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
@@ -197,23 +232,41 @@ def _element(tag: str, rest: str, stack: list[Element]) -> Element:
     if "=" in rest or "hidden" in rest:
         for m in ATTRIBUTE.finditer(rest):
             attributes.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    names = [*attributes.get("class", "").split(), attributes.get("id", "")]
-    label = ".".join([tag, *sorted({re.sub(r"\d+", "", n) for n in names if n})])
+    classes, own = attributes.get("class", "").split(), attributes.get("id", "")
+    inside = any(e.tag in ("article", "main") for e in stack)
+    names = classes if inside or not own else [*classes, own]
+    label = ".".join([tag, *sorted({re.sub(r"\d+", "", n) for n in names})])
     drop = tag in DROPPED or attributes.get("role", "").lower() in ROLES or "hidden" in attributes \
         or attributes.get("aria-hidden", "").lower() == "true" \
         or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
     if tag == "header":
-        drop = not any(e.tag in ("article", "main") for e in stack)
-    if not drop and tag not in ("html", "body", "article", "main"):
-        low = [n.lower() for n in names if n]
-        drop = any(n in HEADERS or any(w in HINTS for w in WORD.findall(n)) for n in low)
-    return Element(tag, label, drop)
+        drop = not inside
+    if drop or tag in ("html", "body", "main") or tag in HEADINGS:
+        return Element(tag, label, drop)
+    grade = max(map(_grade, classes if tag in PARAGRAPHS or not own else [*classes, own]), default=0)
+    if tag == "article":
+        # Comments are articles of their own below the article.
+        return Element(tag, label, grade == 2 and inside)
+    return Element(tag, label, grade == 2 or grade == 1 and not inside, grade == 1 and inside)
+
+
+def _grade(name: str) -> int:
+    """2 if a class or id names furniture, 1 if it may, else 0."""
+    name = name.lower()
+    words = WORD.findall(name)
+    hints = [w for w in words if w in CLEAR or w in DOUBTFUL]
+    if name in HEADERS:
+        return 2
+    if not hints or not all(w in CLEAR or w in DOUBTFUL or w in NEUTRAL for w in words):
+        return 0
+    return 2 if len(words) > 1 or hints[0] in CLEAR or hints[0] in COMMENTS else 1
 
 
 # ---- wrappers --------------------------------------------------------------
-# A node is a list: [label, pages, optional, repeated, chars, hash of the text or None, children,
-# characters in children that were cut].
-LABEL, PAGES, OPTIONAL, REPEATED, CHARS, TEXT, KIDS, CUT = range(8)
+# A node is a list: [label, pages, optional, repeated, weight of the text, hash of the text or None, children].
+LABEL, PAGES, OPTIONAL, REPEATED, CHARS, TEXT, KIDS = range(7)
+#: Weight of a character outside links; one in a link counts 1.
+PLAIN = 10
 GROUP = "()"
 
 
@@ -221,9 +274,18 @@ def skeleton(element: Element) -> list:
     """The wrapper of one page."""
     own = "".join(k[0] for k in element.kids if isinstance(k, tuple))
     plain = " ".join(own.split())
-    chars = sum(len(k[0]) - k[0].count(" ") for k in element.kids if isinstance(k, tuple) and not k[1])
     kids = [skeleton(k) for k in element.kids if not isinstance(k, tuple) and not k.drop]
-    return [element.label, 1, 0, 0, chars if plain else 0, zlib.crc32(plain.encode("utf-8", "replace")), fold(kids), 0]
+    return [element.label, 1, 0, 0, _own_weight(element) if plain else 0, zlib.crc32(plain.encode("utf-8", "replace")), fold(kids)]
+
+
+def _own_weight(element: Element) -> int:
+    return sum((len(k[0]) - k[0].count(" ")) * (1 if k[1] else PLAIN) for k in element.kids if isinstance(k, tuple))
+
+
+def weight(element: Element) -> int:
+    """Weight of all text below an element that may be main text."""
+    own = _own_weight(element) * (element.tag != "body")
+    return own + sum(weight(k) for k in element.kids if not isinstance(k, tuple) and not k.drop)
 
 
 def page_text(element: Element) -> str:
@@ -268,7 +330,7 @@ def fold(kids: list) -> list:
                 group[0][REPEATED] = 1
                 out += group
             else:
-                out.append([GROUP, max(g[PAGES] for g in group), 0, 1, 0, 0, group, 0])
+                out.append([GROUP, max(g[PAGES] for g in group), 0, 1, 0, 0, group])
             at += again * size
         kids = out
     return kids
@@ -278,7 +340,7 @@ def merge(a: list, b: list, pages: int = 1) -> list:
     """Two nodes of one label as one; ``pages`` 0 merges siblings of the same page."""
     n = a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES])
     return [a[LABEL], n, a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[CHARS] + b[CHARS],
-            _same(a[TEXT], b[TEXT], pages), align(a[KIDS], b[KIDS], pages), a[CUT] + b[CUT]]
+            _same(a[TEXT], b[TEXT], pages), align(a[KIDS], b[KIDS], pages)]
 
 
 def _same(a: int | None, b: int | None, pages: int) -> int | None:
@@ -294,25 +356,8 @@ def align(a: list, b: list, pages: int = 1) -> list:
     x, y = shape(a), shape(b)
     if x == y:
         return [merge(p, q, pages) for p, q in zip(a, b)]
-    # Longest common subsequence; long lists first meet greedily to stay linear.
-    if len(x) * len(y) > 40_000:
-        pairs = _greedy(x, y)
-    else:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        pairs, i, j = [], 0, 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
     out, i, j = [], 0, 0
-    for p, q in [*pairs, (len(a), len(b))]:
+    for p, q in [*common(x, y), (len(a), len(b))]:
         for n in (*a[i:p], *b[j:q]):
             out.append([*n[:OPTIONAL], 1, *n[REPEATED:]])
         if p < len(a):
@@ -321,53 +366,37 @@ def align(a: list, b: list, pages: int = 1) -> list:
     return fold(out)
 
 
-def _greedy(x: list, y: list) -> list[tuple[int, int]]:
+def common(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by bit-parallel rows (Hyyro, 2004): a row
+    is one integer with a bit per item of ``x``, so long lists cost a few operations an item."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    ends = [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
     places: dict = {}
-    for j, label in enumerate(y):
-        places.setdefault(label, []).append(j)
-    for own in places.values():
-        own.reverse()
-    pairs, last = [], -1
-    for i, label in enumerate(x):
-        own = places.get(label, [])
-        while own and own[-1] <= last:
-            own.pop()
-        if own:
-            last = own.pop()
-            pairs.append((i, last))
-    return pairs
-
-
-def pruned(wrapper: list) -> list:
-    """At most ``MAX_NODES`` nodes, ancestors first: those that hold an ``article`` or ``main``
-    with text, then those on most pages, then those with most text."""
-    nodes: list[tuple] = []  # (rank, -pages, -text, depth, place in page order), node
-
-    def walk(n, depth):
-        at = len(nodes)
-        nodes.append(())
-        whole, rank = _chars(n) + n[CUT], 2
-        for k in n[KIDS]:
-            own, r = walk(k, depth + 1)
-            whole, rank = whole + own, min(rank, r)
-        if whole:
-            rank = min(rank, {"article": 0, "main": 1}.get(_tag(n), 2))
-        nodes[at] = ((rank, -n[PAGES], -whole, depth, at), n, whole)
-        return whole, rank
-    walk(wrapper, 0)
-    if len(nodes) <= MAX_NODES:
-        return wrapper
-    kept = {id(n) for _, n, _ in sorted(nodes, key=lambda x: x[0])[:MAX_NODES]}
-    text = {id(n): whole for _, n, whole in nodes}
-
-    def cut(n):
-        kids = [k for k in n[KIDS] if id(k) in kept]
-        if len(kids) == len(n[KIDS]):
-            return [*n[:KIDS], [cut(k) for k in kids], n[CUT]]
-        # What hung below is not known any more, so the node is no constant.
-        lost = sum(text[id(k)] for k in n[KIDS] if id(k) not in kept)
-        return [*n[:TEXT], None, [cut(k) for k in kids], n[CUT] + lost]
-    return cut(wrapper)
+    for i, label in enumerate(x[head:len(x) - tail]):
+        places[label] = places.get(label, 0) | 1 << i
+    # An item that the other list lacks has no partner.
+    also = [j for j in range(head, len(y) - tail) if y[j] in places]
+    full = (1 << len(x) - tail - head) - 1
+    row, rows = full, []
+    for j in also:
+        hit = row & places[y[j]]
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    middle, i, k = [], len(x) - tail - head, len(also)
+    while i and k:
+        if rows[k - 1] >> i - 1 & 1:
+            i -= 1
+        else:
+            k -= 1
+            if not k or rows[k - 1] >> i - 1 & 1:
+                i -= 1
+                middle.append((head + i, also[k]))
+    return [*((k, k) for k in range(head)), *reversed(middle), *ends]
 
 
 def _tag(n: list) -> str:
@@ -380,71 +409,100 @@ def _chars(n: list) -> int:
 
 
 def place(wrapper: list) -> dict:
-    """Where the main text stands: ``at`` (labels from the root) and template ``constants``
-    below it, none below ``article`` or ``main``.  ``at`` is None if it may have been cut."""
+    """Where the main text stands: paths of labels from the root to each ``article`` and
+    ``main``, where there is none the container ``at``, and template ``constants``."""
+    least = max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper[PAGES])
+    out: dict = {"article": [], "main": [], "at": None, "constants": []}
+
     def text(n):
-        return _chars(n) + n[CUT] + sum(map(text, n[KIDS]))
+        return _chars(n) + sum(map(text, n[KIDS]))
 
     def children(n):
         for k in n[KIDS]:
             yield from (children(k) if k[LABEL] == GROUP else (k,))
 
+    def template(n):
+        return n[PAGES] >= least and n[TEXT] is not None and all(map(template, children(n)))
+
     def named(n, path, tag):
-        found = []
         for k in children(n):
             here = (*path, k[LABEL])
-            if _tag(k) == tag:
-                found.append((text(k), here, k))
-            else:
-                found += named(k, here, tag)
-        return found
+            if _tag(k) != tag:
+                yield from named(k, here, tag)
+            elif text(k) and not template(k) and not any(w in COMMENTS for w in WORD.findall(k[LABEL])):
+                yield here, k
 
-    at, node = (), wrapper
-    for tag in ("article", "main"):
-        found = [f for f in named(wrapper, (), tag) if f[0]]
-        if found:
-            return {"at": max(f[:2] for f in found)[1], "constants": []}
-    else:
-        while True:
-            whole = text(node)
-            best = max(children(node), key=lambda k: (text(k), k[LABEL]), default=None)
-            if best is None or not whole or 10 * text(best) < 7 * whole or _tag(best) not in CONTAINERS | {"html"}:
-                if 10 * _cut(node) >= 7 * whole > 0:
-                    return {"at": None, "constants": []}
-                break
-            at, node = (*at, best[LABEL]), best
-    constants, varies = [], [False]
-    least = max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper[PAGES])
-
-    def walk(n, path):
+    def constants(n, path, doubtful):
+        """Texts of the template below a node; if ``doubtful``, only below elements of such a class."""
         for k in children(n):
             here = (*path, k[LABEL])
-            if k[TEXT] is None:
-                varies[0] = True
-            elif k[PAGES] >= least and k[CHARS] and not k[KIDS] and not k[REPEATED] and k[LABEL][:2] != "h1":
-                constants.append([here, k[TEXT]])
-            walk(k, here)
-    walk(node, at)
-    return {"at": at, "constants": constants if varies[0] else []}
+            below = doubtful and not any(_grade(c) for c in k[LABEL].split(".")[1:])
+            if not below and k[PAGES] >= least and k[TEXT] is not None and k[CHARS] and not k[KIDS] and not k[REPEATED] \
+                    and k[LABEL][:2] != "h1":
+                out["constants"].append([here, k[TEXT]])
+            constants(k, here, below)
 
+    def varies(n):
+        return any(k[TEXT] is None or varies(k) for k in children(n))
 
-def _cut(n: list) -> int:
-    """Characters in cut children of a node, also of its groups."""
-    return n[CUT] + sum(_cut(k) for k in n[KIDS] if k[LABEL] == GROUP)
+    for tag in ("article", "main"):
+        found: dict = {}
+        for path, n in named(wrapper, (), tag):
+            if path not in found:
+                constants(n, path, True)
+            found[path] = found.get(path, 0) + text(n)
+        out[tag] = sorted(found, key=lambda p: (-found[p], p))
+    at, node = (), wrapper
+    while True:
+        whole = text(node)
+        best = max(children(node), key=lambda k: (text(k), k[LABEL]), default=None)
+        if best is None or not whole or 10 * text(best) < 7 * whole or _tag(best) not in CONTAINERS | {"html"}:
+            break
+        at, node = (*at, best[LABEL]), best
+    out["at"] = at
+    if not out["article"] and not out["main"] and varies(node):
+        constants(node, at, False)
+    return out
 
 
 # ---- reading a page --------------------------------------------------------
 
+def choose(root: Element, spot: dict, own: bool) -> tuple[tuple, list[Element]] | None:
+    """The place that this page uses, and its elements there; None if it holds little.
+    A page's ``own`` wrapper always leads to its largest container at last."""
+    whole = weight(root)
+    for tag in ("article", "main"):
+        options = []
+        for path in map(tuple, spot[tag]):
+            found = _below(root, path)
+            size = sum(map(weight, found))
+            if size:
+                options.append((size, len(found) == 1, path, found))
+        most = max((o[0] for o in options), default=0)
+        if most >= LITTLE * whole and most:
+            # The article rather than a list of teasers of about its size.
+            single = [o for o in options if o[1] and 3 * o[0] >= most]
+            _, _, path, found = max(single or options, key=lambda o: o[0])
+            return path, found
+    if own or not spot["article"] and not spot["main"]:
+        path = tuple(spot["at"])
+        found = _below(root, path)
+        if own or found and path and sum(map(weight, found)) >= LITTLE * whole:
+            return path, found
+    return None
+
+
 def main_text(text: str | None, where: str | None) -> str:
     """Blocks of the page's main text, joined by one space."""
     if not text:
         return ""
     root = parse(text)
-    spot = json.loads(where) if isinstance(where, str) else {"at": None, "constants": []}
-    found = _below(root, [tuple(spot["at"])]) if spot["at"] else []
-    if not found:
+    spot = json.loads(where) if isinstance(where, str) else None
+    chosen = choose(root, spot, False) if spot else None
+    if not chosen:
         spot = place(skeleton(root))
-        found = _below(root, [tuple(spot["at"])])
+        chosen = choose(root, spot, True)
+    start, found = chosen
     template = {(tuple(p), t) for p, t in spot["constants"]}
     blocks: list[str] = []
 
@@ -467,7 +525,7 @@ def main_text(text: str | None, where: str | None) -> str:
                     walk(k, here)
         emit(parts)
     for e in found:
-        walk(e, tuple(spot["at"]))
+        walk(e, start)
     return " ".join(blocks)
 
 
@@ -476,10 +534,10 @@ def _own(e: Element) -> int:
     return zlib.crc32(" ".join(own.split()).encode("utf-8", "replace"))
 
 
-def _below(root: Element, paths: list[tuple]) -> list[Element]:
+def _below(root: Element, path: tuple) -> list[Element]:
     """Elements at a path of labels, in page order."""
     level = [root]
-    for label in paths[0]:
+    for label in path:
         level = [k for e in level for k in e.kids if not isinstance(k, tuple) and k.label == label and not k.drop]
     return level
 
@@ -500,7 +558,7 @@ def _folded(batches: Iterable[pa.RecordBatch], salted: bool) -> Iterator[pa.Reco
     key, held = None, None
 
     def row():
-        return pa.RecordBatch.from_pylist([{"host": key[0], "salt": key[1], "wrapper": json.dumps(pruned(held))}], WRAPPERS)
+        return pa.RecordBatch.from_pylist([{"host": key[0], "salt": key[1], "wrapper": json.dumps(held)}], WRAPPERS)
     for batch in batches:
         for r in batch.to_pylist():
             now = (r["host"], r["salt"] if salted else 0)
@@ -524,7 +582,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 root = parse(text)
                 out["host"].append(host)
                 out["text"].append(hashlib.md5(page_text(root).encode("utf-8", "replace")).digest())
-                out["wrapper"].append(json.dumps(pruned(skeleton(root))))
+                out["wrapper"].append(json.dumps(skeleton(root)))
         return out
 
     def slices(batch):
@@ -532,7 +590,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
             page = json.loads(text)
             own[host] = merge(own[host], page) if host in own else page
-        texts = [json.dumps(pruned(w)) for w in own.values()]
+        texts = [json.dumps(w) for w in own.values()]
         return {"host": list(own), "salt": [zlib.crc32(t.encode()) % SALTS for t in texts], "wrapper": texts}
 
     kind = "host string, salt int, wrapper string"

@@ -314,11 +314,12 @@ def test_constants_below_the_main_text(spark):
             assert got[k] == w
 
 
-def test_pages_beyond_the_node_bound(spark):
-    """A wrapper of more nodes than it may keep still leads to the main text."""
+def test_wide_pages(spark):
+    """Pages of thousands of blocks with classes of their own, which nothing folds."""
+    blocks = 2500
     part = lambda k, name: "".join(f"<div class={name}q{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}>w{k}x{i}</div>"
-                                   for i in range(html.MAX_NODES + 500))
-    words = lambda k: " ".join(f"w{k}x{i}" for i in range(html.MAX_NODES + 500))
+                                   for i in range(blocks))
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(blocks))
     rows = [("http://a.example/", f"<body><div>outside</div><article>{part(0, 's')}</article><p>after</p></body>")]
     rows += [("http://b.example/%d" % k, f"<body><div>outside</div><main>{part(k, 's')}</main><p>after</p></body>") for k in range(3)]
     rows += [("http://c.example/", f"<body><p>outside</p><div class=text>{part(0, 's')}</div><p>after</p></body>")]
@@ -326,22 +327,95 @@ def test_pages_beyond_the_node_bound(spark):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
     assert [got[k] for k in range(len(rows))] == want
-    wide = html.skeleton(html.parse(rows[0][1]))
-    small = html.pruned(wide)
-
-    def count(n):
-        return 1 + sum(map(count, n[html.KIDS]))
-    assert count(wide) > html.MAX_NODES == count(small)
-    assert html.place(small) == html.place(wide)
     # Texts of many bodies of their own: nothing is on most pages, so each page is read on its own.
-    page = "<html><body class={c}><div class=text>{t}</div><div>short</div></body></html>"
-    spread = {"at": None, "constants": []}
-    assert html.main_text(page.format(c="x", t="own text " * 30), '{"at": [], "constants": []}') == \
-        html.main_text(page.format(c="x", t="own text " * 30), None) == ("own text " * 30).strip()
-    flat = html.skeleton(html.parse(f"<body>{part(0, 's')}</body>"))
-    cut = html.pruned([*flat[:html.KIDS], [html.pruned(flat[html.KIDS][0])], flat[html.CUT]])
-    cut[html.KIDS][0][html.KIDS], cut[html.KIDS][0][html.CUT] = [], 10_000
-    assert html.place(cut) == spread
+    page = "<html><body class=x><div class=text>{t}</div><div>short</div></body></html>".format(t="own text " * 30)
+    far = '{"article": [], "main": [], "at": [], "constants": []}'
+    assert html.main_text(page, far) == html.main_text(page, None) == ("own text " * 30).strip()
+
+
+def test_article_text_with_furniture_words(spark):
+    """Words of menus and comments in ids and classes of an article's own parts drop nothing."""
+    story = ("<h2 id='related-work'>Related</h2><p id='share'>p one</p><div class='social-policy'>d one</div><div class='share-prices'>d two</div>"
+             "<div class='login-guide'>d three</div><p class='ad-hoc'>p two</p><div class='promotion'><p>d four</p></div>"
+             "<section id='comments-on-method'>s one</section><h3 class='comments'>Comments</h3><div class='menu'>soup and fish</div>")
+    want = "Related p one d one d two d three p two d four s one Comments soup and fish"
+    junk = ("<div class='ad'>buy</div><div class='related-posts'><a href=x>more</a></div><ul class='social'><li><a href=x>like</a></ul>"
+            "<div class='subscribe'>mail <input name=m></div><section class='comments'><article class='comment'><p>first!</p></article>"
+            "<article class='comment'>no</article></section><article class='comment-item'>also</article><p class='newsletter'>weekly</p>")
+    rows = [("http://a.example/1", f"<body><nav>n</nav><article><h1>T</h1>{story}{junk}</article><div>out</div></body>", "T " + want),
+            ("http://b.example/1", f"<body><main><h1>T</h1>{story}{junk}</main></body>", "T " + want)]
+    # An article of another class than the teasers of the host.
+    for k in range(4):
+        rows.append((f"http://c.example/{k}", f"<body><article class=post><p>{'story words ' * (k + 9)}</p></article></body>", ("story words " * (k + 9)).strip()))
+    rows.append(("http://c.example/x", "<body><article class=feature><p>long feature text</p></article><article class=post>teaser</article></body>",
+                 "long feature text"))
+    rows.append(("http://c.example/y", "<body><article class=feature><p>a feature of some length</p></article>" + "<article class=post><p>teaser text</p></article>" * 4
+                 + "</body>", "a feature of some length"))
+    rows.append(("http://c.example/z", "<body><article class=post></article><div class=story><p>text that follows an empty article</p></div></body>",
+                 "text that follows an empty article"))
+    rows.append(("http://d.example/1", "<body><main></main><div><p>text after an empty main</p></div></body>", "text after an empty main"))
+    rows.append(("http://d.example/2", "<body><main><p>ordinary text</p></main></body>", "ordinary text"))
+    # Doubtful classes with the same text on all pages are template.
+    for k in range(7):
+        rows.append((f"http://e.example/{k}", f"<body><article><p>{'own text ' * (k + 1)}</p><div class=notice><p>We moved</p></div><div class=box>Kept</div></article></body>",
+                     "own text " * (k + 1) + "Kept"))
+    df = spark.createDataFrame([(k, *r[:2]) for k, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    for k, r in enumerate(rows):
+        assert got[k] == r[2], r[:2]
+
+
+def test_generated_pages_against_their_blocks(spark):
+    """Pages put together from known article blocks and known furniture, on hosts with templates of their own."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
+    furniture = [lambda: f"<nav><ul><li><a href=/>{word()}</a></ul></nav>", lambda: f"<div class='sidebar'><p>{words(2, 9)}</p></div>",
+                 lambda: f"<footer>&copy; {words(1, 5)}</footer>", lambda: f"<div id='cookie-notice'>{words(3, 9)}</div>",
+                 lambda: f"<aside>{words(3, 9)}</aside>", lambda: f"<form><p>{words(1, 4)}<input name=q></form>",
+                 lambda: f"<section id=comments><h3>{word()}</h3><article class=comment><p>{words(3, 9)}</p></article></section>",
+                 lambda: f"<div class='ad-slot'>{words(2, 6)}</div>", lambda: f"<script>var a = '{word()}</p>';</script>",
+                 lambda: f"<!-- {word()} --><style>p {{ }}</style>", lambda: f"<header><h1>{word()}</h1></header>"]
+
+    def block():
+        kind = rng.randrange(7)
+        a, b, c = words(4, 20), words(1, 6), words(1, 6)
+        slug = "-".join(b.split())
+        return [(f"<p>{a}</p>", [a]), (f"<p>{a} <b>{b}</b>\n <a href=x>{c}</a>", [f"{a} {b} {c}"]), (f"<h2 id='{slug}-related'>{b}</h2>", [b]),
+                (f"<ul><li>{a}<li>{b}</ul>", [a, b]), (f"<blockquote class='share-{slug}'><p>{a}</p></blockquote>", [a]),
+                (f"<table><tr><td>{b}</td><td>{c} &amp; co</td></tr></table>", [b, f"{c} & co"]),
+                (f"<div class='part'><p>{a}<br>{b}</p><div>{c}</div></div>", [f"{a} {b}", c])][kind]
+
+    rows, want = [], []
+    for host in range(12):
+        around = [rng.sample(furniture, rng.randrange(1, 6)) for _ in range(2)]
+        tag = ["article", "article class=post", "main", "div class=text"][host % 4]
+        for k in range(rng.randrange(1, 12)):
+            title, blocks = words(2, 6), [block() for _ in range(rng.randrange(3, 15))]
+            title, *blocks = (f"<h1>{title}</h1>", [title]), *blocks
+            inner = "".join(x for x, _ in blocks)
+            if tag != "div class=text" and rng.random() < 0.4:
+                inner += rng.choice(furniture[:8])() if tag != "main" else ""
+            rows.append((len(rows), f"https://h{host}.example/{k}", "<!DOCTYPE html><html><body>" + "".join(f() for f in around[0])
+                         + f"<{tag}>{inner}</{tag.split()[0]}>" + "".join(f() for f in around[1]) + "</body></html>"))
+            want.append(" ".join(t for _, ts in blocks for t in ts))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for r, w in zip(rows, want):
+        assert got[r[0]] == w, r[1:]
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd"[:rng.randrange(1, 5)]) for _ in range(rng.randrange(9))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+        pairs = html.common(x, y)
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+    assert len(html.common(list(range(9000)), list(range(1, 9000, 2)))) == 4500
 
 
 def test_wrapper_alignment():
