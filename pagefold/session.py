@@ -94,3 +94,9 @@ def materialize(df, name: str = "table"):
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """True if a table was written to ``path`` to its end, on whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
