@@ -260,7 +260,8 @@ _ANSWER_ARROW = pa.schema([("from", pa.int64()), ("to", pa.int64()), ("grp", pa.
 def _sized(stretches: DataFrame) -> DataFrame:
     """With ``members``, the different stretches of the anchor; those that stand alone are gone."""
     sizes = stretches.groupBy("grp").agg(F.count("*").alias("members"), F.sum("weight").alias("total")).where("total > 1")
-    return stretches.join(sizes.drop("total"), "grp")
+    # Written: a join with a table, unlike one with an aggregate, is split where an anchor is hot.
+    return stretches.join(save(sizes.drop("total"), "suffix-sizes"), "grp")
 
 
 def _with_text(stretches: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -341,7 +342,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     """``doc_id, mark, spans``: per document the byte spans ``start, end`` (may overlap) whose
     strings of ``length`` bytes also start elsewhere; ``rows`` has ``doc_id, mark, text``."""
     every = save(cells(rows, length, gram), "suffix-cells")
-    anchors = every.groupBy("grp").count().where("count > 1")
+    anchors = save(every.groupBy("grp").count().where("count > 1").select("grp"), "suffix-anchors")
     found = save(every.join(anchors, "grp", "left_semi"), "suffix-repeated")
     name = F.min(F.struct("doc_id", "mark", "start"))
     stretches = found.groupBy("grp", "cid", "n", "place").agg(F.count("*").alias("weight"), name.alias("at"))
