@@ -2,8 +2,7 @@
 
 Each runs an actual Structured Streaming query to completion (``availableNow``)
 over the table's files into the shared checkpoint folder and returns what it
-wrote; ``consent_ttl_reuse`` and ``stream_robots_ttl`` are the batch forms of
-the expiring caches.
+wrote; ``consent_ttl_reuse`` is the batch form of the expiring cache.
 """
 
 from __future__ import annotations
@@ -221,15 +220,65 @@ def consent_ttl_reuse(spark, sf_dir):
 SELECT domain, count(*) FILTER (WHERE NOT cache_hit) AS fetches, count(*) FILTER (WHERE cache_hit) AS cache_hits
 FROM fold GROUP BY domain""")
 def stream_robots_ttl(spark, sf_dir):
-    """robots cache reuse: 24 h for fetched files, 1 h after a fetch error
-    (the reference never honours the 1 h entry; we do)."""
+    """robots cache reuse: 24 h for fetched files, 1 h after a fetch error (the reference
+    never honours the 1 h entry; we do).  A stream of requests through keyed state."""
     from pagefold.operators import compliance as C
+    from pagefold.streaming import state_cache as SC
     fs = C.robots_fetch_state(S.robots(spark, sf_dir))
     # requests for each domain every 30 minutes over two days
     req = fs.select("domain", "fetched_at", "outcome", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("k"))
     req = req.select("domain", (F.col("fetched_at") + F.make_interval(mins=F.col("k") * 30)).alias("ts"),
                      F.col("k").cast("long").alias("seq"),
                      F.when(F.col("outcome") == "error", "error").otherwise("ok").alias("outcome"))
-    out = J.consent_ttl_batch(req, {"ok": 24 * 60, "error": 60})
+    folder = J.job_folder(spark, "robots-ttl")
+    req.write.parquet(f"{folder}/requests.parquet")
+    src = J.stream_source(spark, folder, "requests", "domain string, ts timestamp, seq long, outcome string")
+    out = SC.run_expiring_cache(src, {"ok": 24 * 60, "error": 60}, folder)
     return out.groupBy("domain").agg(F.count_if(~F.col("cache_hit")).alias("fetches"),
                                      F.count_if("cache_hit").alias("cache_hits"))
+
+
+#: Files in which the event log arrives for the two queries below; each holds events of all times.
+ARRIVALS = 4
+SQL_ARRIVED = SQL_TASK_EVENTS.replace("SELECT 'task-'", f"SELECT event_id % {ARRIVALS} AS arrival, 'task-'", 1)
+
+
+def _arriving(spark, sf_dir, folder):
+    """The event log as a stream of ``ARRIVALS`` files, one an epoch."""
+    e = read_table(spark, sf_dir, "events")
+    for k in range(ARRIVALS):  # files are taken in the order in which they were written
+        e.where(F.col("event_id") % ARRIVALS == k).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return J.stream_source(spark, folder, "events", EVENTS_SCHEMA, 1)
+
+
+@register("stream_late_events", oracle=f"""
+WITH a AS (SELECT event_id, ts, event_id % {ARRIVALS} AS arrival FROM events),
+latest AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival) AS ts FROM a GROUP BY arrival)
+SELECT a.event_id, CAST(a.arrival AS INTEGER) AS epoch, coalesce(a.ts < l.ts - INTERVAL 10 MINUTE, false) AS late
+FROM a LEFT JOIN latest l ON l.arrival = a.arrival - 1""")
+def stream_late_events(spark, sf_dir):
+    """Every event with the epoch it came in, and whether it went to the late-events table."""
+    folder = J.job_folder(spark, "late-events")
+    events = _arriving(spark, sf_dir, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    on_time, late = J.split_late(events, "ts", J.WATERMARK, folder)
+    return on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).select("event_id", "epoch", "late")
+
+
+SQL_JOINED = SQL_STATE.replace(SQL_TASK_EVENTS, f"""
+task_events AS (SELECT * FROM ({SQL_ARRIVED.strip()[len("task_events AS ("):-1]}) WHERE arrival <= 1)""") + f""",
+later AS (SELECT * REPLACE (event_id AS event_id) FROM ({SQL_ARRIVED.strip()[len("task_events AS ("):-1]}) WHERE arrival > 1 AND type = 'log')"""
+
+
+@register("stream_resumed_updates", oracle=f"""
+WITH {SQL_JOINED}
+SELECT task_id, 'snapshot' AS kind, n_logs AS event_id, progress, status FROM state
+UNION ALL SELECT task_id, 'update', event_id, {_prog_sql()}, NULL FROM later""")
+def stream_resumed_updates(spark, sf_dir):
+    """What a reader gets who joins after the second epoch: the state of all tasks as of
+    that epoch, then the lines of the epochs after it, none of them twice."""
+    folder = J.job_folder(spark, "task-feed")
+    J.run_task_feed(J.task_events_from(_arriving(spark, sf_dir, folder)), folder)
+    snapshot, epoch = J.task_snapshot(spark, folder, 1)
+    updates = J.task_updates(spark, folder, epoch)
+    return snapshot.select("task_id", F.lit("snapshot").alias("kind"), F.col("n_logs").alias("event_id"), "progress", "status").unionByName(
+        updates.select("task_id", F.lit("update").alias("kind"), "event_id", "progress", F.lit(None).cast("string").alias("status")))
