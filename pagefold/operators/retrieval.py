@@ -1,60 +1,82 @@
 """Vector search over given embeddings and summary metrics.
 
-Exact top-k with both sides distributed: the query table is cut into blocks of
-``QUERY_BLOCK`` vectors, each copied to a fixed number of salts, and every
-vector row meets each block once by an equi-join on (block, salt).  Nothing is
-collected and the number of queries is not limited.  ``row_number() <= k`` per
-query is planned as a window-group-limit, so each map task ships at most k
-rows per query to the final ranking.
+Exact search as a product of blocks: queries and vectors are packed into rows of up
+to ``BLOCK`` vectors, every pair of a query block and a vector block meets in a task by
+an equi-join on both block numbers, and one matrix product scores the pair.  A block of
+vectors is copied once per query block, not once per query; neither side is collected
+and the number of queries is not limited.  Of a pair of blocks only the k best rows
+per query, or those above the threshold, go on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-QUERY_BLOCK = 256  # query vectors in one joined row
-SALTS = 256  # tasks that share one block's vectors
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.when((_norm(a) == 0) | (_norm(b) == 0), F.lit(0.0)).otherwise(_dot(a, b) / (_norm(a) * _norm(b)))
-
-
-def _scored(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, vec_id, label, score`` for every vector and query."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.struct(
-        "query_id", F.col("embedding").alias("q"), _norm(F.col("embedding")).alias("qn")).alias("one"))
-    q = q.groupBy("block").agg(F.collect_list("one").alias("qs")).select(
-        "block", "qs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    v = vectors.select("vec_id", "label", F.col("embedding").alias("v"), _norm(F.col("embedding")).alias("vn"),
-                       F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"),
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    one = v.join(q, ["block", "salt"]).select("vec_id", "label", "v", "vn", F.explode("qs").alias("s"))
-    score = F.when((F.col("vn") == 0) | (F.col("s.qn") == 0), F.lit(0.0)).otherwise(
-        _dot(F.col("v"), F.col("s.q")) / (F.col("vn") * F.col("s.qn")))
-    return one.select(F.col("s.query_id").alias("query_id"), "vec_id", "label", score.alias("score"))
+from pyspark.sql.pandas.types import to_arrow_type
+
+BLOCK = 2048
+#: Digits of a score that count in an order: beyond them equal vectors may differ by the summation order.
+DIGITS = 9
+
+
+def _blocks(rows: DataFrame, key: str, block: int, others: int, number: str, other: str) -> DataFrame:
+    """``rows(key, embedding, ...)`` packed by hash into blocks, each copied for ``others`` blocks of the other side."""
+    count = max(1, -(-rows.count() // block))
+    packed = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(count)).alias(number)).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{number}s"))
+    return packed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _unit(rows: pa.StructArray) -> np.ndarray:
+    """The vectors of a block at length one; a zero vector stays zero."""
+    vectors = rows.field("embedding")
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(rows), -1)
+    norm = np.sqrt((m * m).sum(1))[:, None]
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _scored(vectors: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], block: int = BLOCK) -> DataFrame:
+    """``query_id, vec_id, label, score`` of the pairs that ``pick(scores, vector ids)`` names in each
+    pair of blocks.  Vectors and queries that are null or of another length than most queries are left out."""
+    size = queries.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    usable = F.coalesce((F.size("embedding") == (size["n"] if size else -1)) & F.forall("embedding", lambda x: x.isNotNull()), F.lit(False))
+    vectors, queries = vectors.where(usable).select("vec_id", "label", "embedding"), queries.where(usable).select("query_id", "embedding")
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    q = _blocks(queries, "query_id", block, n_v, "qb", "vb")
+    v = _blocks(vectors, "vec_id", block, n_q, "vb", "qb")
+    fields = [("query_id", queries), ("vec_id", vectors), ("label", vectors)]
+    schema = pa.schema([(n, to_arrow_type(df.schema[n].dataType)) for n, df in fields] + [("score", pa.float64())])
+    kind = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n, df in fields) + ", score double"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, other = batch.column("qbs")[k].values, batch.column("vbs")[k].values
+                scores = _unit(one) @ _unit(other).T
+                ids = other.field("vec_id").to_numpy(zero_copy_only=False)
+                i, j = pick(np.round(scores, DIGITS), ids)
+                yield pa.RecordBatch.from_arrays([one.field("query_id").take(pa.array(i)), other.field("vec_id").take(pa.array(j)),
+                                                  other.field("label").take(pa.array(j)), pa.array(scores[i, j])], schema=schema)
+
+    pairs = v.join(q, ["vb", "qb"]).select("vbs", "qbs")
+    return pairs.mapInArrow(run, kind)
 
 
 def similar_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``similar_topk``: the k most cosine-similar vectors per query."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _scored(vectors, queries).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def best(scores: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k] if scores.shape[1] else np.empty((len(scores), 0), "i8")
+        return np.repeat(np.arange(len(scores)), order.shape[1]), order.ravel()
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
+    return _scored(vectors, queries, best).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def similar_threshold(vectors: DataFrame, queries: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``similar_threshold``: all vectors with score >= threshold per query."""
-    return _scored(vectors, queries).filter(F.col("score") >= threshold)
+    return _scored(vectors, queries, lambda scores, ids: np.nonzero(scores >= threshold))
 
 
 def summary_effectiveness(text) -> Column:
