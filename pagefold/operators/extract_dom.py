@@ -1,11 +1,11 @@
-"""Plan-driven extraction over the node table.
-
-A plan names selectors (list, content link, pagination, one per detail
-field).  The distinct selector *strings* are few (templates shared by many
-plans), so they are parsed once into a small step table; plans then join
-their selectors by string.  Field values are the first match inside the list
-item (document order), found with an equi-join on the item id against the
-match's ancestor list.
+"""Plan-driven extraction.
+
+A plan names selectors (list, content link, pagination, one per detail field).  The
+distinct selector *strings* are parsed once; all selectors of a plan are evaluated
+inside its page (``page_local``), one projection over one scan of the pages, and every
+match carries what the operators need of its element.  Field values are the first
+match inside the list item (document order), found with an equi-join on the item id
+against the match's ancestor list.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from pagefold.functions import html as H
 from pagefold.functions import url as U
-from pagefold.operators import dom as M
 from pagefold.operators import extraction as X
 from pagefold.operators import links as L
+from pagefold.operators import page_local as P
+from pagefold.session import materialize
 
 # Plan defaults of the plan factory.
 DEFAULT_LIST = "article, .item, .post, .entry"
@@ -40,16 +41,33 @@ def plan_selectors(plans: DataFrame) -> DataFrame:
     return base.unionByName(det).filter(F.col("selector").isNotNull() & (F.col("selector") != ""))
 
 
-def match_plan_selectors(nodes: DataFrame, plans: DataFrame, page_col: str = "entry_page_id") -> DataFrame:
-    """(plan_id, role, field, page_id, node_id): every element of the plan's
-    page matched by each of the plan's selectors."""
-    ps = plan_selectors(plans)
-    steps, _ = M.selector_steps(ps)
+def plan_bundles(plans: DataFrame) -> DataFrame:
+    """``plan_id, wanted``: the parsed selectors of each plan in one row."""
+    named = plan_selectors(plans)
+    return named.join(P.selector_steps(named), "selector").groupBy("plan_id").agg(
+        F.collect_list(F.struct("role", "field", "alts")).alias("wanted"))
+
+
+def first_link(nodes, item):
+    """The first ``a[href]`` inside an element."""
+    return F.get(F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href") & F.array_contains(n["ancestors"], item)), 0)
+
+
+def match_plan_selectors(pages: DataFrame, plans: DataFrame, page_col: str = "entry_page_id") -> DataFrame:
+    """(plan_id, role, field, page_id, node_id, attrs, text_content, ancestors, link):
+    every element of the plan's page matched by each of the plan's selectors; ``link``
+    is the first link (href, text) inside a list element.  Only the plans' own pages
+    are parsed; the result is written, as most operators read it several times."""
     at = plans.select("plan_id", F.col(page_col).alias("page_id"))
-    # Only the plans' own pages are matched.
-    hits = M.selector_match(nodes.join(at.select("page_id").distinct(), "page_id", "left_semi"), steps)
-    return ps.join(at, "plan_id").join(hits.withColumnRenamed("sel_id", "selector"), ["page_id", "selector"]).select(
-        "plan_id", "role", "field", "page_id", "node_id")
+    own = pages.select("page_id", "html").join(at.select("page_id").distinct(), "page_id", "left_semi")
+    found = P.page_trees(own).join(at.join(plan_bundles(plans), "plan_id"), "page_id").select(
+        "plan_id", "page_id", "nodes", "text", F.explode("wanted").alias("w"))
+    found = found.select("*", F.explode(P.matches(F.col("nodes"), F.col("w.alts"))).alias("node_id"))
+    n, link = F.get(F.col("nodes"), F.col("node_id")), first_link(F.col("nodes"), F.col("node_id"))
+    link = F.when((F.col("w.role") == "list") & link.isNotNull(), F.struct(link["attrs"]["href"].alias("href"), P.node_text(F.col("text"), link).alias("text")))
+    return materialize(found.select(
+        "plan_id", "w.role", "w.field", "page_id", "node_id", n["attrs"].alias("attrs"), P.node_text(F.col("text"), n).alias("text_content"),
+        n["ancestors"].alias("ancestors"), link.alias("link")), "plan-matches")
 
 
 def list_items(matches: DataFrame, max_items: int | None = None) -> DataFrame:
@@ -60,23 +78,20 @@ def list_items(matches: DataFrame, max_items: int | None = None) -> DataFrame:
     return li.filter(F.col("item_idx") < max_items) if max_items else li
 
 
-def _descendant_matches(items: DataFrame, matches: DataFrame, nodes_t: DataFrame) -> DataFrame:
+def _descendant_matches(items: DataFrame, matches: DataFrame) -> DataFrame:
     """Detail matches inside each item: match.ancestors contains item_id."""
-    det = matches.filter(F.col("role") == "detail").join(
-        nodes_t.select("page_id", "node_id", "ancestors", "attrs", "text_content"), ["page_id", "node_id"])
-    det = det.select("plan_id", "field", "page_id", "node_id", "attrs", "text_content",
-                     F.explode("ancestors").alias("item_id"))
+    det = matches.filter(F.col("role") == "detail").select("plan_id", "field", "page_id", "node_id", "attrs", "text_content",
+                                                           F.explode("ancestors").alias("item_id"))
     return items.join(det, ["plan_id", "page_id", "item_id"])
 
 
-def extract_list_items(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame,
-                       max_items: int | None = None) -> DataFrame:
+def extract_list_items(pages: DataFrame, plans: DataFrame, max_items: int | None = None) -> DataFrame:
     """``extract_list_items``: one record per list element with typed
     fields (first match inside the item); title and description required;
     then the executor's basic normalization."""
-    m = match_plan_selectors(nodes_t, plans)
+    m = match_plan_selectors(pages, plans)
     items = list_items(m, max_items)
-    d = _descendant_matches(items, m, nodes_t)
+    d = _descendant_matches(items, m)
     first = d.groupBy("plan_id", "item_id", "item_idx", "page_id", "field").agg(
         F.min_by(F.struct("attrs", "text_content"), "node_id").alias("e"),
         F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.col("attrs")["src"].alias("src"),
@@ -113,13 +128,11 @@ def extract_list_items(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame,
     return X.item_normalize_basic(out)
 
 
-def content_urls_by_selector(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame,
-                             max_urls: int | None = None) -> DataFrame:
+def content_urls_by_selector(pages: DataFrame, plans: DataFrame, max_urls: int | None = None) -> DataFrame:
     """``content_urls_by_selector``: unique absolute hrefs of the content-link
     selector in document order, optionally capped."""
-    m = match_plan_selectors(nodes_t, plans).filter(F.col("role") == "content")
-    a = m.join(nodes_t.select("page_id", "node_id", "attrs"), ["page_id", "node_id"]).join(
-        pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    m = match_plan_selectors(pages, plans).filter(F.col("role") == "content")
+    a = m.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
     a = a.filter(F.map_contains_key("attrs", "href")).withColumn("url", U.url_resolve(F.col("attrs")["href"],
                                                                                      F.col("page_url")))
     u = a.groupBy("plan_id", "url").agg(F.min("node_id").alias("pos"))
@@ -128,32 +141,24 @@ def content_urls_by_selector(nodes_t: DataFrame, plans: DataFrame, pages: DataFr
     return u.filter(F.col("rank") <= max_urls) if max_urls else u
 
 
-def content_urls_by_item(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame,
-                         max_items: int | None = None) -> DataFrame:
+def content_urls_by_item(pages: DataFrame, plans: DataFrame, max_items: int | None = None) -> DataFrame:
     """``content_urls_by_item``: the first a[href] inside each list item,
     light content filter, unique."""
-    m = match_plan_selectors(nodes_t, plans)
-    items = list_items(m, max_items)
-    a = nodes_t.filter((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).select(
-        "page_id", F.col("node_id").alias("a_id"), F.col("attrs")["href"].alias("href"), "text_content",
-        F.explode("ancestors").alias("item_id"))
-    j = items.join(a, ["page_id", "item_id"]).groupBy("plan_id", "page_id", "item_id", "item_idx").agg(
-        F.min_by(F.struct("href", "text_content"), "a_id").alias("a"))
-    j = j.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    m = match_plan_selectors(pages, plans)
+    links = m.filter((F.col("role") == "list") & F.col("link").isNotNull()).select("plan_id", "page_id", F.col("node_id").alias("item_id"), F.col("link").alias("a"))
+    j = list_items(m, max_items).join(links, ["plan_id", "page_id", "item_id"]).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
     j = j.withColumn("url", U.url_resolve(F.col("a.href"), F.col("page_url"))).filter(
-        L.link_is_likely_content(F.col("url"), F.col("a.text_content")))
+        L.link_is_likely_content(F.col("url"), F.col("a.text")))
     return j.groupBy("plan_id", "url").agg(F.min("item_idx").alias("item_idx"))
 
 
-def extract_sandbox(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame) -> DataFrame:
+def extract_sandbox(matches: DataFrame, plans: DataFrame) -> DataFrame:
     """``extract_sandbox``: for the first 3 list items, each field from the
     first match inside the item, else the first match on the page; images
     from src / data-src / data-lazy-src, e-mail and phone by regex, dates from
-    datetime / data-date; then the sandbox clean-up."""
-    m = match_plan_selectors(nodes_t, plans)
-    items = list_items(m, 3)
-    det = m.filter(F.col("role") == "detail").join(
-        nodes_t.select("page_id", "node_id", "ancestors", "attrs", "text_content"), ["page_id", "node_id"])
+    datetime / data-date; then the sandbox clean-up.  ``matches`` as from ``match_plan_selectors``."""
+    items = list_items(matches, 3)
+    det = matches.filter(F.col("role") == "detail")
     inside = items.join(det.select("plan_id", "page_id", "field", "node_id", "attrs", "text_content",
                                    F.explode("ancestors").alias("item_id")), ["plan_id", "page_id", "item_id"])
     in_first = inside.groupBy("plan_id", "item_id", "field").agg(
@@ -192,14 +197,13 @@ def extract_sandbox(nodes_t: DataFrame, plans: DataFrame, pages: DataFrame) -> D
     return out.filter(F.col("title").isNotNull() | F.col("description").isNotNull())
 
 
-def sandbox_confidence(nodes_t: DataFrame, plans: DataFrame, samples: DataFrame) -> DataFrame:
+def sandbox_confidence(matches: DataFrame, plans: DataFrame, samples: DataFrame) -> DataFrame:
     """``sandbox_confidence``: 0.1 with no list element; else 0.5 + 0.2 per
     sample with more than one field, + 0.1 when the pagination selector hits
     (an error otherwise), + 0.1 x mean fields per sample; capped at 1;
     success = samples, no errors and confidence > 0.6."""
-    m = match_plan_selectors(nodes_t, plans)
-    hits = m.groupBy("plan_id").agg(F.count_if(F.col("role") == "list").alias("n_list"),
-                                    F.count_if(F.col("role") == "pagination").alias("n_pag"))
+    hits = matches.groupBy("plan_id").agg(F.count_if(F.col("role") == "list").alias("n_list"),
+                                          F.count_if(F.col("role") == "pagination").alias("n_pag"))
     fields = ["title", "description", "address", "place", "email", "phone", "website", "images", "startDate"]
     nf = sum((F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), 1).otherwise(0) for c in fields),
              F.lit(0))
@@ -219,16 +223,16 @@ def sandbox_confidence(nodes_t: DataFrame, plans: DataFrame, samples: DataFrame)
                     ((c("n_samples") > 0) & (n_err == 0) & (conf > 0.6)).alias("success"))
 
 
-def selector_hit_test(nodes_t: DataFrame, plans: DataFrame, content_pages: DataFrame) -> DataFrame:
+def selector_hit_test(pages: DataFrame, plans: DataFrame, content_pages: DataFrame) -> DataFrame:
     """``selector_hit_test``: on each tested page +0.3 for a list hit, +0.1
     per detail selector with a hit, +0.1 for a pagination hit; success when
     at least half of the selectors hit.  ``content_pages``: (plan_id, page_id)."""
     tp = content_pages.select("plan_id", F.col("page_id").alias("test_page_id"))
     plans_t = plans.join(tp, "plan_id").withColumn("test_key", F.concat_ws("#", "plan_id", "test_page_id"))
     p2 = plans_t.drop("plan_id").withColumnRenamed("test_key", "plan_id")
-    m = match_plan_selectors(nodes_t, p2, page_col="test_page_id")
-    hit = m.groupBy("plan_id", "role", "field").agg(F.count("*").alias("n"))
-    ps = plan_selectors(p2).join(hit, ["plan_id", "role", "field"], "left").fillna(0, ["n"])
+    m = match_plan_selectors(pages, p2, page_col="test_page_id")
+    hit = m.groupBy("plan_id", "role", F.coalesce("field", F.lit("")).alias("field")).agg(F.count("*").alias("n"))
+    ps = plan_selectors(p2).withColumn("field", F.coalesce("field", F.lit(""))).join(hit, ["plan_id", "role", "field"], "left").fillna(0, ["n"])
     ps = ps.filter(F.col("role") != "content")
     g = ps.groupBy("plan_id").agg(
         F.count("*").alias("tests"), F.count_if(F.col("n") > 0).alias("hits"),
@@ -253,11 +257,11 @@ def content_url_validation(hit_test: DataFrame) -> DataFrame:
         F.lit("Consider updating selectors to work better with content page variations")))
 
 
-def plan_score(nodes_t: DataFrame, plans: DataFrame) -> DataFrame:
+def plan_score(pages: DataFrame, plans: DataFrame) -> DataFrame:
     """``plan_score``: four checks (structure, URLs, list selector, rate
     limit) -> 25 each; -20 per issue and -5 per warning, floored at 0."""
     c = F.col
-    m = match_plan_selectors(nodes_t, plans)
+    m = match_plan_selectors(pages, plans)
     hit = m.groupBy("plan_id", "role", "field").agg(F.count("*").alias("n"))
     ps = plan_selectors(plans).alias("p").join(
         hit.alias("h"), (c("p.plan_id") == c("h.plan_id")) & (c("p.role") == c("h.role"))

@@ -26,7 +26,7 @@ from pagefold.functions import html as H
 from pagefold.functions import url as U
 from pagefold.operators import links as L
 from pagefold.operators import page_local as P
-from pagefold.operators.extract_dom import plan_selectors
+from pagefold.operators.extract_dom import first_link, plan_bundles
 from pagefold.session import finished, materialize
 
 MAX_PAGES = 50
@@ -44,17 +44,6 @@ def snapshot(pages: DataFrame) -> DataFrame:
     return pages.select(url_key(F.col("url")).alias("key"), "page_id").groupBy("key").agg(F.max("page_id").alias("page_id"))
 
 
-def plan_bundles(plans: DataFrame) -> DataFrame:
-    """``plan_id, wanted``: the parsed selectors of each plan in one row."""
-    named = plan_selectors(plans)
-    parsed = P.selector_steps(named)
-    return named.join(parsed, "selector").groupBy("plan_id").agg(F.collect_list(F.struct("role", "field", "alts")).alias("wanted"))
-
-
-def _first_link(nodes: Column, item: Column) -> Column:
-    return F.get(F.filter(nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], "href") & F.array_contains(n["ancestors"], item)), 0)
-
-
 def page_facts(pages: DataFrame, bundles: DataFrame, by: list[str], max_items: int | None = None) -> DataFrame:
     """``plan_id, page_id, url, next_href, has_link_selector, links, fields`` for each pair that
     ``bundles(*by, plan_id, wanted, content_link_selector)`` makes with ``pages(page_id, url, html, *by)``.
@@ -80,7 +69,7 @@ def page_facts(pages: DataFrame, bundles: DataFrame, by: list[str], max_items: i
         return F.struct(pos.alias("pos"), F.try_element_at(n["attrs"], F.lit("href")).alias("href"), P.node_text(F.col("text"), n).alias("text"))
 
     by_selector = F.transform(capped(of("content")), lambda k: link(k, node(k)))
-    by_item = F.transform(capped(of("list")), lambda k: link(k, _first_link(F.col("nodes"), k)))
+    by_item = F.transform(capped(of("list")), lambda k: link(k, first_link(F.col("nodes"), k)))
     has_selector = F.coalesce(F.col("content_link_selector") != "", F.lit(False))
     details = F.filter("hits", lambda h: (h["role"] == "detail") & (F.size(h["at"]) > 0))
     fields = F.map_from_entries(F.transform(details, lambda h: F.struct(h["field"], F.struct(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagefold.operators import compliance as CP
-from pagefold.operators import dom as M
 from pagefold.operators import extract_dom as E
 from pagefold.operators import extraction as X
 from pagefold.plans import duck as D
@@ -19,9 +18,7 @@ def _plans(spark, sf_dir):
 
 
 def _ctx(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    nodes, texts = M.shred_pages(p)
-    return p, M.with_text(nodes, texts), _plans(spark, sf_dir)
+    return pages(spark, sf_dir), _plans(spark, sf_dir)
 
 
 @register("plan_assemble", oracle=f"""
@@ -78,8 +75,8 @@ FROM x WHERE t <> '' AND d <> ''"""
 
 @register("extract_list_items", oracle=_list_items_sql())
 def extract_list_items(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
-    it = E.extract_list_items(nt, pl, p)
+    p, pl = _ctx(spark, sf_dir)
+    it = E.extract_list_items(p, pl)
     return it.select("plan_id", "item_id", "item_idx", "title", F.md5("description").alias("description_md5"),
                      "language")
 
@@ -104,8 +101,8 @@ SELECT plan_id, url, pos, row_number() OVER (PARTITION BY plan_id ORDER BY pos)
 
 @register("content_urls_by_selector", oracle=_content_urls_sql())
 def content_urls_by_selector(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
-    return E.content_urls_by_selector(nt, pl, p)
+    p, pl = _ctx(spark, sf_dir)
+    return E.content_urls_by_selector(p, pl)
 
 
 def _content_urls_item_sql() -> str:
@@ -128,22 +125,23 @@ SELECT plan_id, url, min(item_idx) AS item_idx FROM u WHERE {_light_sql('url', '
 
 @register("content_urls_by_item", oracle=_content_urls_item_sql())
 def content_urls_by_item(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
+    p, pl = _ctx(spark, sf_dir)
     nav_plans = pl.withColumn("list_selector", F.lit("nav li"))
-    return E.content_urls_by_item(nt, nav_plans, p)
+    return E.content_urls_by_item(p, nav_plans)
 
 
 @register("extract_sandbox")
 def extract_sandbox(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
-    return E.extract_sandbox(nt, pl, p).select("plan_id", "item_id", "item_idx", "title",
+    p, pl = _ctx(spark, sf_dir)
+    return E.extract_sandbox(E.match_plan_selectors(p, pl), pl).select("plan_id", "item_id", "item_idx", "title",
                                                F.length("description").alias("description_chars"), "startDate")
 
 
 @register("sandbox_confidence")
 def sandbox_confidence(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
-    return E.sandbox_confidence(nt, pl, E.extract_sandbox(nt, pl, p)).withColumn(
+    p, pl = _ctx(spark, sf_dir)
+    m = E.match_plan_selectors(p, pl)
+    return E.sandbox_confidence(m, pl, E.extract_sandbox(m, pl)).withColumn(
         "confidence", F.round("confidence", 6))
 
 
@@ -151,13 +149,13 @@ def _hit_test(spark, sf_dir):
     """Test pages of a plan: the other pages of its site (up to 3)."""
     from pyspark.sql import Window
     from pagefold.functions import url as U
-    p, nt, pl = _ctx(spark, sf_dir)
+    p, pl = _ctx(spark, sf_dir)
     site_pages = p.select("page_id", U.url_host("url").alias("site"))
     cp = pl.select("plan_id", "site", "entry_page_id").join(site_pages, "site").filter(
         F.col("page_id") != F.col("entry_page_id"))
     w = Window.partitionBy("plan_id").orderBy("page_id")
     cp = cp.withColumn("_r", F.row_number().over(w)).filter("_r <= 3").select("plan_id", "page_id")
-    return E.selector_hit_test(nt, pl, cp)
+    return E.selector_hit_test(p, pl, cp)
 
 
 @register("selector_hit_test")
@@ -192,5 +190,5 @@ SELECT 'plan-' || site AS plan_id, n_list, n_issues, n_warnings,
 
 @register("plan_score", oracle=_plan_score_sql())
 def plan_score(spark, sf_dir):
-    p, nt, pl = _ctx(spark, sf_dir)
-    return E.plan_score(nt, pl)
+    p, pl = _ctx(spark, sf_dir)
+    return E.plan_score(p, pl)
