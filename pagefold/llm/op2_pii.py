@@ -123,7 +123,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
 
 def _wide(text: str, at: int, done: dict, spans: dict) -> None:
     """An address with letters beyond ASCII around an at-sign, unless it is a base one as it stands."""
-    start, floor = at, max(done["address"], at - 64)
+    start, floor = at, done["address"]
     while start > floor and (text[start - 1].isalnum() or text[start - 1] in LOCAL):
         start -= 1
     m = WIDE_DOMAIN.match(text, at + 1) if start < at else None
