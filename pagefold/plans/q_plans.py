@@ -13,6 +13,17 @@ from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
 
 
+_CLEAN = ("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+          "'(?is)(<script\\b[^>]*>).*?</script>', '\\1', 'g'), '(?is)(<style\\b[^>]*>).*?</style>', '\\1', 'g')")
+_TITLE = D.strip_tags("regexp_extract(c, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")
+_TEXT = D.strip_tags("regexp_extract(c, '(?is)<article\\b[^>]*>.*?<p\\b[^>]*>(.*?)(<p\\b|</p>|</article>)', 1)")
+
+
+def _squeezed(x: str) -> str:
+    """Text of a field as the sandbox cleans it; null if there is none."""
+    return f"nullif(left(trim(regexp_replace({x}, '\\s+', ' ', 'g')), 500), '')"
+
+
 def _plans(spark, sf_dir):
     return E.plan_assemble(*S.plan_inputs(spark, sf_dir))
 
@@ -23,9 +34,11 @@ def _ctx(spark, sf_dir):
 
 @register("plan_assemble", oracle=f"""
 SELECT 'plan-' || {D.host('url')} AS plan_id, min(page_id) AS entry_page_id, arg_min(url, page_id) AS entry_url,
-  'article, .item, .post, .entry' AS list_selector, 'nav li > a' AS content_link_selector,
-  '.pagination a' AS pagination_selector, 2 AS n_detail_selectors,
-  greatest(0.5e0, CASE WHEN bool_or(contains(html, '<a ')) THEN 0.6e0 ELSE 0.0e0 END) AS confidence_score
+  CASE length({D.host('url')}) % 4 WHEN 1 THEN 'nav li' WHEN 2 THEN '.missing' ELSE 'article, .item, .post, .entry' END AS list_selector,
+  'nav li > a' AS content_link_selector,
+  CASE length({D.host('url')}) % 3 WHEN 1 THEN 'nav a' WHEN 2 THEN '.pagination a' END AS pagination_selector,
+  CASE length({D.host('url')}) % 2 WHEN 1 THEN 4 ELSE 2 END AS n_detail_selectors,
+  round(greatest((4 + length({D.host('url')}) % 5) / 10.0e0, CASE WHEN bool_or(contains(html, '<a ')) THEN 0.6e0 ELSE 0.0e0 END), 6) AS confidence_score
 FROM pages GROUP BY {D.host('url')}""")
 def plan_assemble(spark, sf_dir):
     pl = _plans(spark, sf_dir)
@@ -67,7 +80,7 @@ c AS (SELECT 'plan-' || e.site AS plan_id, {clean} AS c FROM e JOIN pages p ON p
 x AS (SELECT plan_id,
         len(regexp_extract_all(substring(c, 1, strpos(c, '<article') - 1), '<[a-zA-Z][a-zA-Z0-9]*', 0)) AS item_id,
         {trim.format(x=title)} AS t, {trim.format(x=desc)} AS d
-      FROM c WHERE strpos(c, '<article') > 0)
+      FROM c WHERE strpos(c, '<article') > 0 AND length(plan_id) % 4 IN (0, 1))
 SELECT plan_id, item_id, 0 AS item_idx, t AS title, md5(d) AS description_md5,
        CASE WHEN {de} > {en} THEN 'de' ELSE 'en' END AS language
 FROM x WHERE t <> '' AND d <> ''"""
@@ -130,14 +143,41 @@ def content_urls_by_item(spark, sf_dir):
     return E.content_urls_by_item(p, nav_plans)
 
 
-@register("extract_sandbox")
+#: The plans of the entry pages as SQL sees them: selector kinds by the length of the site's name, and what they hit there.
+SQL_ENTRIES = f"""
+e AS (SELECT {D.host('url')} AS site, length({D.host('url')}) AS n, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html FROM pages GROUP BY ALL),
+c AS (SELECT *, {_CLEAN} AS c FROM e),
+tags AS (SELECT site, n, url, c, list_transform(regexp_extract_all(c, '<([a-zA-Z][a-zA-Z0-9]*)', 1), lambda x: lower(x)) AS tags,
+           {_squeezed(_TITLE)} AS title, {_squeezed(_TEXT)} AS description,
+           {_squeezed(D.strip_tags("regexp_extract(c, '(?is)<footer[^>]*>(.*?)</footer>', 1)"))} AS place FROM c),
+hit AS (SELECT *, CASE n % 4 WHEN 1 THEN list_filter(range(len(tags)), lambda i: tags[i + 1] = 'li') WHEN 2 THEN []
+                  ELSE list_filter(range(len(tags)), lambda i: tags[i + 1] = 'article') END AS items,
+          len(list_filter(tags, lambda t: t = 'a')) AS n_links FROM tags)"""
+
+
+@register("extract_sandbox", oracle=f"""
+WITH {SQL_ENTRIES}
+SELECT 'plan-' || site AS plan_id, item AS item_id, idx AS item_idx, title, length(description) AS description_chars, CAST(NULL AS VARCHAR) AS "startDate"
+FROM (SELECT site, title, description, unnest(items[1:3]) AS item, unnest(range(least(len(items), 3))) AS idx FROM hit)
+WHERE title IS NOT NULL OR description IS NOT NULL""")
 def extract_sandbox(spark, sf_dir):
+    """The first three list elements of each entry page, fields from the element or else the page."""
     p, pl = _ctx(spark, sf_dir)
     return E.extract_sandbox(E.match_plan_selectors(p, pl), pl).select("plan_id", "item_id", "item_idx", "title",
-                                               F.length("description").alias("description_chars"), "startDate")
-
-
-@register("sandbox_confidence")
+                                                                       F.length("description").alias("description_chars"), "startDate")
+
+
+@register("sandbox_confidence", oracle=f"""
+WITH {SQL_ENTRIES},
+f AS (SELECT site, n, len(items) AS n_list, CASE WHEN title IS NULL AND description IS NULL THEN 0 ELSE least(len(items), 3) END AS n_samples,
+        CASE n % 3 WHEN 1 THEN n_links ELSE 0 END AS n_pag, n % 3 <> 0 AS has_pag,
+        (title IS NOT NULL)::INT + (description IS NOT NULL)::INT
+          + CASE WHEN n % 2 = 1 THEN (place IS NOT NULL)::INT + (n_links > 0)::INT ELSE 0 END AS nf FROM hit),
+g AS (SELECT *, CASE WHEN n_list = 0 OR (has_pag AND n_pag = 0) THEN 1 ELSE 0 END AS n_errors,
+        least(0.5e0 + CASE WHEN nf > 0 THEN n_samples ELSE 0 END * 0.2e0, 1.0e0) AS s1 FROM f),
+h AS (SELECT *, CASE WHEN has_pag AND n_pag > 0 THEN least(s1 + 0.1e0, 1.0e0) ELSE s1 END AS s2 FROM g),
+k AS (SELECT *, round(CASE WHEN n_list = 0 THEN 0.1e0 WHEN n_samples > 0 THEN least(s2 + nf * 0.1e0, 1.0e0) ELSE s2 END, 6) AS confidence FROM h)
+SELECT 'plan-' || site AS plan_id, n_list, n_samples, n_errors, confidence, n_samples > 0 AND n_errors = 0 AND confidence > 0.6 AS success FROM k""")
 def sandbox_confidence(spark, sf_dir):
     p, pl = _ctx(spark, sf_dir)
     m = E.match_plan_selectors(p, pl)
@@ -158,12 +198,33 @@ def _hit_test(spark, sf_dir):
     return E.selector_hit_test(p, pl, cp)
 
 
-@register("selector_hit_test")
+#: The first three other pages of each site, and which selectors of its plan hit there.
+SQL_HITS = f"""
+p AS (SELECT page_id, {D.host('url')} AS site, length({D.host('url')}) AS n, {_CLEAN} AS c FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id) AS rank FROM p),
+h AS (SELECT site, page_id, n,
+        CASE n % 4 WHEN 1 THEN regexp_matches(c, '(?is)<nav.*<li\\b.*</nav>') WHEN 2 THEN false
+          ELSE regexp_matches(c, '(?i)<article\\b|class="([^"]* )?(item|post|entry)[ "]') END AS on_list,
+        [regexp_matches(c, '(?i)<h1\\b') OR (n % 2 = 0 AND regexp_matches(c, '(?i)<h2\\b')), regexp_matches(c, '(?i)<p\\b')]
+          || CASE WHEN n % 2 = 1 THEN [regexp_matches(c, '(?is)<nav.*<a\\b.*</nav>'), regexp_matches(c, '(?i)<footer\\b')] ELSE [] END
+          || CASE n % 3 WHEN 1 THEN [regexp_matches(c, '(?is)<nav.*<a\\b.*</nav>')] WHEN 2 THEN [regexp_matches(c, 'class="pagination')] ELSE [] END AS others
+      FROM r WHERE rank BETWEEN 2 AND 4),
+t AS (SELECT 'plan-' || site AS plan_id, page_id, 1 + len(others) AS tests, on_list::INT + len(list_filter(others, lambda x: x)) AS hits,
+        least(CASE WHEN on_list THEN 0.3e0 ELSE 0.0e0 END + len(list_filter(others, lambda x: x)) * 0.1e0, 1.0e0) AS confidence FROM h)"""
+
+
+@register("selector_hit_test", oracle=f"""
+WITH {SQL_HITS}
+SELECT plan_id, page_id, tests, hits, hits / tests >= 0.5 AS success, round(confidence, 6) AS confidence FROM t""")
 def selector_hit_test(spark, sf_dir):
     return _hit_test(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
-@register("content_url_validation")
+@register("content_url_validation", oracle=f"""
+WITH {SQL_HITS}
+SELECT plan_id, round(avg(confidence), 6) AS average_confidence, count(*) FILTER (WHERE hits / tests < 0.5) AS n_issues, count(*) AS n_tested,
+  CASE WHEN avg(confidence) < 0.7 THEN 'Consider updating selectors to work better with content page variations' END AS recommendation
+FROM t GROUP BY plan_id""")
 def content_url_validation(spark, sf_dir):
     return E.content_url_validation(_hit_test(spark, sf_dir)).withColumn(
         "average_confidence", F.round("average_confidence", 6))
@@ -176,10 +237,14 @@ def _plan_score_sql() -> str:
 WITH e AS (SELECT {D.host('url')} AS site, min(page_id) AS page_id, arg_min(url, page_id) AS url, arg_min(html, page_id) AS html
            FROM pages GROUP BY 1),
 c AS (SELECT site, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script>', '', 'g') AS body FROM e),
-n AS (SELECT site, {D.valid('url')} AS url_ok, {hits(r'(?i)<article|<[a-z0-9]+[^>]*class="([^"]* )?(item|post|entry)[ "]')} AS n_list,
+n AS (SELECT site, {D.valid('url')} AS url_ok,
+        CASE length(site) % 4 WHEN 1 THEN {hits(r'(?i)<li[ >]')} WHEN 2 THEN 0
+          ELSE {hits(r'(?i)<article|<[a-z0-9]+[^>]*class="([^"]* )?(item|post|entry)[ "]')} END AS n_list,
         CASE WHEN {hits(r'(?i)<h[12]\b|class="([^"]* )?(title|headline)[ "]')} = 0 THEN 1 ELSE 0 END
         + CASE WHEN {hits(r'(?i)<p\b|class="([^"]* )?(description|content|summary)[ "]')} = 0 THEN 1 ELSE 0 END
-        + CASE WHEN {hits(r'(?i)class="([^"]* )?pagination[ "]')} = 0 THEN 1 ELSE 0 END AS empties FROM c),
+        + CASE WHEN length(site) % 2 = 1 AND {hits(r'(?i)<a[ >]')} = 0 THEN 1 ELSE 0 END + CASE WHEN length(site) % 2 = 1 AND {hits(r'(?i)<footer')} = 0 THEN 1 ELSE 0 END
+        + CASE length(site) % 3 WHEN 1 THEN CASE WHEN {hits(r'(?i)<a[ >]')} = 0 THEN 1 ELSE 0 END
+            WHEN 2 THEN CASE WHEN {hits(r'(?i)class="([^"]* )?pagination[ "]')} = 0 THEN 1 ELSE 0 END ELSE 0 END AS empties FROM c),
 w AS (SELECT *, (CASE WHEN url_ok THEN 0 ELSE 1 END) + (CASE WHEN url_ok AND n_list = 0 THEN 1 ELSE 0 END) AS n_issues,
         CASE WHEN url_ok THEN (CASE WHEN n_list < 2 THEN 1 ELSE 0 END) + empties ELSE 0 END AS n_warnings,
         (2 + (CASE WHEN url_ok THEN 1 ELSE 0 END) + (CASE WHEN url_ok AND n_list >= 2 THEN 1 ELSE 0 END)) * 25.0e0 AS base FROM n)

@@ -412,11 +412,16 @@ def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(near, "page_id").select("page_id", "url", html.alias("html"))
 
 
+#: Detail selectors that the analysis of every other site names.
+PLAN_DETAILS = {"title": "h1", "description": "article p", "website": "nav a", "place": "footer"}
+
+
 def plan_inputs(spark: SparkSession, sf_dir: str):
     """Inputs of plan assembly per site: the entry page (first page of the
     host), sibling results (content-link selector 'nav li > a' with the
     sibling confidence rule 0.6 when the page has links) and a content
-    analysis that only names a pagination selector."""
+    analysis that differs by the length of the site's name: which selectors it
+    names (some hit, some do not, some are missing) and how sure it is."""
     from pagefold.functions import url as U
     p = read_table(spark, sf_dir, "pages").select("page_id", "url", U.url_host("url").alias("site"), "html")
     entries = p.groupBy("site").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("e")).select(
@@ -424,9 +429,11 @@ def plan_inputs(spark: SparkSession, sf_dir: str):
     sib = p.select("site", F.col("page_id").alias("order"),
                    F.when(F.col("html").contains("<a "), F.lit(0.6)).otherwise(F.lit(0.0)).alias("confidence"),
                    F.lit("nav li > a").alias("content_link_selector"))
-    analysis = entries.select("site", F.lit(None).cast("string").alias("list_selector"),
-                              F.lit(".pagination a").alias("pagination_selector"),
-                              F.create_map().cast("map<string,string>").alias("detail_selectors"),
-                              F.lit(0.5).alias("analysis_conf"),
-                              F.array(F.lit("description")).alias("rich_fields"))
+    n = F.length("site")
+    more = F.create_map(*[F.lit(x) for kv in PLAN_DETAILS.items() for x in kv])
+    analysis = entries.select("site", F.when(n % 4 == 1, "nav li").when(n % 4 == 2, ".missing").alias("list_selector"),
+                              F.when(n % 3 == 1, "nav a").when(n % 3 == 2, ".pagination a").otherwise("").alias("pagination_selector"),
+                              F.when(n % 2 == 1, more).otherwise(F.create_map().cast("map<string,string>")).alias("detail_selectors"),
+                              (F.lit(4) + n % 5).cast("double").alias("tenths"),
+                              F.array(F.lit("description")).alias("rich_fields")).withColumn("analysis_conf", F.col("tenths") / 10).drop("tenths")
     return entries, sib, analysis
