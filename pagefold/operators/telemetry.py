@@ -196,19 +196,23 @@ def llm_progressive_context(chunks: DataFrame, key: str = "page_id", order: str
     """``llm_progressive_context``: per chunk, the kept text of earlier chunks
     (500 chars each, last 4000 chars) and the labels of the previous two.
 
-    Window frames over (page order by chunk): ``unboundedPreceding..-1`` for
-    the accumulated context and ``-2..-1`` for recent chunks.  A page is a
-    bounded group (its chunk count is bounded by its size).
+    Linear in the chunks of a page: a kept chunk's tail is made of the kept chunks just
+    before it, of which only so many fit as their headings alone take ``max_chars``; every
+    other chunk takes the tail of the last kept one.
     """
-    w_all = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    head, foot = "\n\n--- Chunk ", " ---\n"
+    reach = -(-max_chars // len(head + foot))
+    w_kept = Window.partitionBy(key, "keep").orderBy(order).rowsBetween(-reach, 0)
+    w_before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     w_two = Window.partitionBy(key).orderBy(order).rowsBetween(-2, -1)
-    piece = F.when(F.col("keep"), F.concat(F.lit("\n\n--- Chunk "), F.col("chunk_id"), F.lit(" ---\n"),
-                                           F.substring("content", 1, 500)))
-    acc = F.array_join(F.collect_list(piece).over(w_all), "")
+    piece = F.when(F.col("keep"), F.concat(F.lit(head), F.col("chunk_id"), F.lit(foot), F.substring("content", 1, 500)))
+    acc = F.array_join(F.collect_list(piece).over(w_kept), "")
     # keeping only the tail matches trimming after every append: only the
     # last max_chars characters can survive either way
     tail = F.when(F.length(acc) > max_chars, F.substring(acc, -max_chars, max_chars)).otherwise(acc)
+    chunks = chunks.withColumn("_tail", F.when(F.col("keep"), tail))
     recent = F.collect_list(F.concat(F.lit("- "), F.col("chunk_id"), F.lit(": "),
                                      F.coalesce("category", F.lit("unknown")), F.lit(" ("),
                                      F.length("content").cast("string"), F.lit(" chars)"))).over(w_two)
-    return chunks.withColumn("accumulated_context", tail).withColumn("recent_chunks", recent)
+    before = F.coalesce(F.last("_tail", ignorenulls=True).over(w_before), F.lit(""))
+    return chunks.withColumn("accumulated_context", before).withColumn("recent_chunks", recent).drop("_tail")

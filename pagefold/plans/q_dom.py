@@ -1,8 +1,7 @@
 """Registered DOM-tier queries.
 
-These run the Python shred once per query; where a SQL formulation exists
-for the synthetic pages (tag counts, a few selectors) it is given as the
-oracle, otherwise the check is on rows plus golden unit tests.
+These run the Python shred once per query; the oracles build the element tree
+of the pages in SQL (``duck_dom``).
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pagefold.operators import chunks as K
 from pagefold.operators import dom as M
 from pagefold.operators import telemetry as T
 from pagefold.plans import duck as D
+from pagefold.plans import duck_dom as DD
 from pagefold.plans.catalog import register
 from pagefold.sources.tables import pages
 
@@ -25,50 +25,73 @@ def _nodes(spark, sf_dir):
     return M.shred_pages(pages(spark, sf_dir))[0]
 
 
+SQL_DOM = DD.dom()
+
+
 @register("dom_shred", oracle=f"""
-SELECT page_id, tag, count(*) AS n_nodes FROM (
-  SELECT page_id, lower(unnest(regexp_extract_all({_CLEAN}, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages)
-GROUP BY 1, 2""")
+WITH RECURSIVE {SQL_DOM}
+SELECT page_id, node_id, parent_id, depth, tag, id, class, array_to_string(ancestors, ',') AS ancestors, child_count, type_idx,
+  text_start, text_end, src_start, src_end FROM dom""")
 def dom_shred(spark, sf_dir):
-    """Element counts per page and tag of the shredded node table."""
-    return _nodes(spark, sf_dir).groupBy("page_id", "tag").agg(F.count("*").alias("n_nodes"))
+    """Every element of every page with its place in the tree, the text and the source."""
+    return _nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", "depth", "tag", "id", "class", F.array_join("ancestors", ",").alias("ancestors"),
+                                        "child_count", "type_idx", "text_start", "text_end", "src_start", "src_end")
 
 
 DOM_SELECTORS = {"nav_a": "nav a", "div_ad": "div.ad", "article_p": "article > p", "h1": "h1",
                  "li_link": "ul > li > a[href]"}
 
 
-def _block_count(block: str, pat: str) -> str:
-    inner = f"regexp_extract({_CLEAN}, '(?is)<{block}\\b.*?</{block}>', 0)"
-    return f"len(regexp_extract_all({inner}, {D.q(pat)}, 0))"
-
-
 @register("selector_match", oracle=f"""
-SELECT page_id, sel_id, n FROM (
-  SELECT page_id, 'nav_a' AS sel_id, {_block_count('nav', '<a\\b')} AS n FROM pages
-  UNION ALL SELECT page_id, 'div_ad', len(regexp_extract_all({_CLEAN}, '<div class="ad"', 0)) FROM pages
-  UNION ALL SELECT page_id, 'article_p', {_block_count('article', '<p\\b')} FROM pages
-  UNION ALL SELECT page_id, 'h1', len(regexp_extract_all({_CLEAN}, '<h1\\b', 0)) FROM pages
-  UNION ALL SELECT page_id, 'li_link', {_block_count('ul', '<li><a href=')} FROM pages)
-WHERE n > 0""")
+WITH RECURSIVE {SQL_DOM},
+up AS (SELECT d.*, p.tag AS p_tag, g.tag AS g_tag FROM dom d LEFT JOIN dom p ON p.page_id = d.page_id AND p.node_id = d.parent_id
+       LEFT JOIN dom g ON g.page_id = p.page_id AND g.node_id = p.parent_id)
+SELECT page_id, 'nav_a' AS sel_id, node_id FROM dom d WHERE tag = 'a' AND EXISTS (
+  SELECT 1 FROM dom n WHERE n.page_id = d.page_id AND n.tag = 'nav' AND list_contains(d.ancestors, n.node_id))
+UNION ALL SELECT page_id, 'div_ad', node_id FROM dom WHERE tag = 'div' AND list_contains(classes, 'ad')
+UNION ALL SELECT page_id, 'article_p', node_id FROM up WHERE tag = 'p' AND p_tag = 'article'
+UNION ALL SELECT page_id, 'h1', node_id FROM dom WHERE tag = 'h1'
+UNION ALL SELECT page_id, 'li_link', node_id FROM up WHERE tag = 'a' AND p_tag = 'li' AND g_tag = 'ul' AND regexp_matches(attr, '\\bhref=')""")
 def selector_match(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    """Every element that one of five selectors matches."""
     steps = M.selector_table(spark, DOM_SELECTORS)
-    return M.selector_match(nodes, steps).groupBy("page_id", "sel_id").agg(F.count("*").alias("n"))
+    return M.selector_match(_nodes(spark, sf_dir), steps).select("page_id", "sel_id", "node_id")
 
 
-@register("element_path")
+@register("element_path", oracle=f"""
+WITH RECURSIVE {SQL_DOM},
+chain AS (SELECT page_id, node_id, unnest(list_append(ancestors, node_id)) AS step_id, unnest(range(depth + 1)) AS lvl FROM dom),
+named AS (SELECT c.page_id, c.node_id, c.lvl, s.id IS NOT NULL AS has_id,
+    CASE WHEN s.id IS NOT NULL THEN '#' || s.id ELSE s.tag || CASE WHEN len(s.classes) > 0 THEN '.' || array_to_string(s.classes[1:2], '.') ELSE '' END END AS txt
+  FROM chain c JOIN dom s ON s.page_id = c.page_id AND s.node_id = c.step_id),
+cut AS (SELECT *, coalesce(max(lvl) FILTER (WHERE has_id) OVER (PARTITION BY page_id, node_id), 0) AS from_lvl FROM named)
+SELECT page_id, node_id, string_agg(txt, ' > ' ORDER BY lvl) AS path FROM cut WHERE lvl >= from_lvl GROUP BY ALL""")
 def element_path(spark, sf_dir):
     return M.element_path(_nodes(spark, sf_dir))
 
 
-@register("container_signature")
+@register("container_signature", oracle=f"""
+WITH RECURSIVE {SQL_DOM}
+SELECT page_id, node_id, tag || '.' || coalesce(class, '') || '#' || coalesce(id, '') || '[' || child_count || ']' AS signature FROM dom""")
 def container_signature(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     return n.select("page_id", "node_id", M.container_signature(n).alias("signature"))
 
 
-@register("specific_selector")
+@register("specific_selector", oracle=f"""
+WITH RECURSIVE {SQL_DOM},
+cls AS (SELECT page_id, node_id, unnest(classes) AS cls FROM dom),
+one_cls AS (SELECT page_id, cls FROM cls GROUP BY ALL HAVING count(*) = 1),
+u_cls AS (SELECT page_id, node_id, min(cls) AS u_cls FROM cls JOIN one_cls USING (page_id, cls) GROUP BY ALL),
+one_id AS (SELECT page_id, id FROM dom WHERE id IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+data AS (SELECT page_id, node_id, unnest(regexp_extract_all(attr, '\\s(data-[a-zA-Z-]+="[^"]*")', 1)) AS kv FROM dom),
+one_data AS (SELECT page_id, kv FROM data GROUP BY ALL HAVING count(*) = 1),
+u_data AS (SELECT page_id, node_id, min('[' || kv || ']') AS u_data FROM data JOIN one_data USING (page_id, kv) GROUP BY ALL)
+SELECT d.page_id, d.node_id, coalesce('.' || u_cls, '#' || one_id.id, u_data,
+    CASE WHEN len(d.classes) > 0 THEN p.tag || CASE WHEN len(p.classes) > 0 THEN '.' || p.classes[1] ELSE '' END || ' > .' || d.classes[1] END,
+    d.tag || ':nth-of-type(' || d.type_idx || ')') AS selector
+FROM dom d LEFT JOIN u_cls USING (page_id, node_id) LEFT JOIN u_data USING (page_id, node_id) LEFT JOIN one_id ON one_id.page_id = d.page_id AND one_id.id = d.id
+LEFT JOIN dom p ON p.page_id = d.page_id AND p.node_id = d.parent_id""")
 def specific_selector(spark, sf_dir):
     return M.specific_selector(_nodes(spark, sf_dir))
 
@@ -96,7 +119,17 @@ def container_order(spark, sf_dir):
     return M.container_order(_nodes(spark, sf_dir))
 
 
-@register("is_list_container")
+#: Children of each element, and the verdict on it.
+SQL_LISTS = f"""
+kids AS (SELECT page_id, parent_id AS node_id, count(*) AS n, arg_min(tag, node_id) AS first_tag, list(tag) AS tags FROM dom WHERE parent_id >= 0 GROUP BY ALL),
+lists AS (
+  SELECT page_id, node_id, tag, class, coalesce(n, 0) AS n_children, coalesce(tag IN ('ul', 'ol', 'dl') OR {D.contains_any("lower(coalesce(class, ''))", M.LIST_CLASS_WORDS)}
+      OR (n >= 3 AND len(list_filter(tags, lambda t: t = first_tag)) >= n * 0.7 AND first_tag NOT IN ('article', 'li', 'div'))
+      OR (n >= 3 AND first_tag = 'article' AND len(list_filter(tags, lambda t: t = first_tag)) >= 3), false) AS is_list
+  FROM dom LEFT JOIN kids USING (page_id, node_id))"""
+
+
+@register("is_list_container", oracle=f"WITH RECURSIVE {SQL_DOM}, {SQL_LISTS} SELECT * FROM lists")
 def is_list_container(spark, sf_dir):
     return M.is_list_container(_nodes(spark, sf_dir))
 
@@ -127,7 +160,45 @@ def _chunks(spark, sf_dir):
     return p, st, sem
 
 
-@register("chunk_semantic")
+def _structural_sql() -> str:
+    """``structural(page_id, seq, category, content)`` in the order of categories, selectors and elements."""
+    def cond(sel):
+        if sel.startswith("."):
+            return f"list_contains(classes, {D.q(sel[1:])})"
+        if sel.startswith("[role="):
+            return f"regexp_extract(attr, '\\brole=\"([^\"]*)\"', 1) = {D.q(sel.split(chr(34))[1])}"
+        if sel.startswith("[class*="):
+            return f"contains(coalesce(class, ''), {D.q(sel.split(chr(34))[1])})"
+        return f"tag = {D.q(sel)}"
+    parts = [f"SELECT page_id, {c} AS c, {k} AS k, {D.q(cat)} AS category, node_id, src_start, src_end FROM dom WHERE {cond(sel)}"
+             for c, (cat, sels) in enumerate(K.STRUCTURAL.items()) for k, sel in enumerate(sels)]
+    return f"""
+picked AS ({' UNION ALL '.join(parts)}),
+structural AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY c, k, node_id) - 1 AS seq, category,
+  substring(html, src_start + 1, src_end - src_start) AS content FROM picked JOIN page_text USING (page_id))"""
+
+
+#: Chunks as the operators make them: elements packed in order, then those of each category, without repeats.
+SQL_CHUNKS = SQL_DOM + "," + _structural_sql() + f""",
+els AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS n, substring(html, src_start + 1, src_end - src_start) AS el
+        FROM dom JOIN page_text USING (page_id) WHERE tag IN ({', '.join(D.q(t) for t in K.SEMANTIC_TAGS)})),
+pack AS (
+  SELECT page_id, n, CAST(0 AS BIGINT) AS idx, CAST(length(el) AS BIGINT) AS size FROM els WHERE n = 1
+  UNION ALL
+  SELECT e.page_id, e.n, CASE WHEN p.size + length(e.el) > {K.MAX_CHUNK} AND p.size > 0 THEN p.idx + 1 ELSE p.idx END,
+    CASE WHEN p.size + length(e.el) > {K.MAX_CHUNK} AND p.size > 0 THEN length(e.el) ELSE p.size + length(e.el) END
+  FROM pack p JOIN els e ON e.page_id = p.page_id AND e.n = p.n + 1),
+semantic AS (SELECT page_id, idx, string_agg(el, '' ORDER BY n) AS content FROM pack JOIN els USING (page_id, n) GROUP BY ALL),
+both_kinds AS (SELECT page_id, 0 AS part, idx, 'semantic' AS type, CAST(NULL AS VARCHAR) AS category, content FROM semantic
+         UNION ALL SELECT page_id, 1, seq, 'structural', category, content FROM structural),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, left(content, 100) ORDER BY part, idx) AS nth FROM both_kinds),
+hybrid AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, idx) - 1 AS seq,
+             coalesce(category = 'mainContent', false) OR contains(content, '<main') OR contains(content, '<article') AS keep FROM firsts WHERE nth = 1)"""
+
+
+@register("chunk_semantic", oracle=f"""
+WITH RECURSIVE {SQL_CHUNKS}
+SELECT page_id, idx, length(content) AS chars, md5(content) AS content_md5 FROM semantic""")
 def chunk_semantic(spark, sf_dir):
     _, _, sem = _chunks(spark, sf_dir)
     return sem.select("page_id", "idx", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
@@ -148,21 +219,32 @@ def chunk_structural(spark, sf_dir):
     return c.select("page_id", "idx", "category", F.length("content").alias("chars"))
 
 
-@register("chunk_hybrid")
+@register("chunk_hybrid", oracle=f"WITH RECURSIVE {SQL_CHUNKS} SELECT page_id, seq, type, category, length(content) AS chars FROM hybrid")
 def chunk_hybrid(spark, sf_dir):
     _, st, sem = _chunks(spark, sf_dir)
     h = K.chunk_hybrid(sem, K.chunk_structural(st))
     return h.select("page_id", "seq", "type", "category", F.length("content").alias("chars"))
 
 
-@register("chunk_classify")
+@register("chunk_classify", oracle=f"""
+WITH RECURSIVE {SQL_CHUNKS}
+SELECT page_id, seq, CASE WHEN keep THEN 8 ELSE 3 END AS relevance, CASE WHEN keep THEN 'main-content' ELSE 'unknown' END AS content_type, keep FROM hybrid""")
 def chunk_classify(spark, sf_dir):
     _, st, sem = _chunks(spark, sf_dir)
     c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
     return c.select("page_id", "seq", "relevance", "content_type", "keep")
 
 
-@register("chunk_merge")
+@register("chunk_merge", oracle=f"""
+WITH RECURSIVE {SQL_CHUNKS},
+whole AS (SELECT page_id, string_agg(content, '' ORDER BY seq) AS content FROM structural WHERE category = 'mainContent' GROUP BY ALL),
+m AS (SELECT page_id, count(*) AS n_chunks, count(*) FILTER (WHERE keep) AS n_kept, coalesce(list(content ORDER BY seq) FILTER (WHERE keep), []) AS kept FROM hybrid GROUP BY ALL),
+d AS (SELECT m.*, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '  <meta charset="UTF-8">' || chr(10) || '  <title>Compressed Content</title>'
+    || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '  '
+    || array_to_string(list_concat(kept, CASE WHEN coalesce(whole.content, '') <> '' THEN [whole.content] ELSE [] END), chr(10)) || chr(10) || '</body>' || chr(10) || '</html>' AS doc
+  FROM m LEFT JOIN whole USING (page_id))
+SELECT page_id, n_chunks, n_kept, n_chunks - n_kept AS n_removed, length(doc) AS doc_chars, round(length(doc) / length(html), 6) AS size_ratio
+FROM d JOIN page_text USING (page_id)""")
 def chunk_merge(spark, sf_dir):
     p, st, sem = _chunks(spark, sf_dir)
     c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
@@ -181,10 +263,14 @@ def focus_content_areas(spark, sf_dir):
     return f.select("page_id", "n_elements", F.length("focused").alias("chars"), F.md5("focused").alias("focused_md5"))
 
 
-@register("llm_progressive_context")
+@register("llm_progressive_context", oracle=f"""
+WITH RECURSIVE {SQL_CHUNKS},
+pieces AS (SELECT page_id, seq, CASE WHEN keep THEN chr(10) || chr(10) || '--- Chunk chunk-' || idx || ' ---' || chr(10) || left(content, 500) END AS piece FROM hybrid),
+acc AS (SELECT page_id, seq, right(coalesce(string_agg(piece, '') OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), 4000) AS context FROM pieces)
+SELECT page_id, seq, length(context) AS context_chars, md5(context) AS context_md5, least(seq, 2) AS n_recent FROM acc""")
 def llm_progressive_context(spark, sf_dir):
     _, st, sem = _chunks(spark, sf_dir)
     c = K.chunk_classify(K.chunk_hybrid(sem, K.chunk_structural(st)))
     pc = T.llm_progressive_context(c, "page_id", "seq")
-    return pc.select("page_id", "seq", F.length("accumulated_context").alias("context_chars"),
+    return pc.select("page_id", "seq", F.length("accumulated_context").alias("context_chars"), F.md5("accumulated_context").alias("context_md5"),
                      F.size("recent_chunks").alias("n_recent"))
