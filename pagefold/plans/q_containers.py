@@ -10,8 +10,11 @@ from pagefold.operators import compliance as CP
 from pagefold.operators import containers as CT
 from pagefold.operators import dom as M
 from pagefold.plans import duck as D
+from pagefold.plans import duck_dom as DD
 from pagefold.plans.catalog import register
 from pagefold.plans.q_compliance import SQL_ROBOTS
+from pagefold.plans.q_dom import SQL_LISTS
+from pagefold.plans.q_links import SQL_LINKS, _content_sql, _scope_sql
 from pagefold.session import materialize
 from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
@@ -38,26 +41,98 @@ def _stats(spark, sf_dir):
     return p, nt, links, anchors, materialize(CT.container_stats(anchors, nt, links), "container-stats")
 
 
-@register("container_score")
+def _decoded(x: str) -> str:
+    for ent, ch in D.ENTITIES:
+        x = f"replace({x}, {D.q(ent)}, {D.q(ch)})"
+    return x
+
+
+def _points(*terms: tuple[str, str]) -> str:
+    return " + ".join(f"(CASE WHEN {cond} THEN {value}e0 ELSE 0.0e0 END)" for cond, value in terms)
+
+
+_LOW_CLASS, _LOW_ID = "lower(coalesce(c_class, ''))", "lower(coalesce(c_id, ''))"
+_KEYWORDS = f"{D.contains_any(_LOW_CLASS, CT.SCORE_WORDS)} OR {D.contains_any(_LOW_ID, CT.SCORE_WORDS)}"
+_SCORE = ("greatest(0.0e0, least(1.0e0, (CASE WHEN ratio >= 0.3 AND ratio <= 0.8 THEN ratio * 0.4e0 WHEN ratio > 0.8 THEN 0.2e0 ELSE 0.0e0 END)"
+          f" + (CASE WHEN {_KEYWORDS} THEN 0.3e0 ELSE 0.0e0 END)"
+          " + (CASE WHEN c_tag IN ('main', 'article', 'section') THEN 0.2e0 WHEN c_tag IN ('ul', 'ol') THEN 0.15e0 WHEN c_tag = 'div' THEN 0.1e0 ELSE 0.0e0 END)"
+          " + (CASE WHEN c_children > 200 THEN -0.3e0 WHEN c_children > 100 THEN -0.2e0 WHEN c_children BETWEEN 3 AND 50 THEN 0.1e0 ELSE 0.0e0 END)"
+          " + (CASE WHEN read_more > 0 THEN 0.2e0 ELSE 0.0e0 END) + (CASE WHEN all_htm AND content_links >= 3 THEN 0.15e0 ELSE 0.0e0 END)))")
+_NEAR = f"{D.similarity('url', 'example_url')} >= CASE WHEN {D.municipal_pattern('url', 'example_url')} THEN 0.5e0 ELSE 0.6e0 END"
+
+#: Links and containers of the pages by the element tree in SQL; the second anchor of a page is its example.
+SQL_STATS = SQL_LINKS + "," + DD.dom("lpages") + "," + SQL_LISTS + f""",
+a_raw AS (SELECT d.page_id, node_id, ancestors, l.url AS page_url, {_decoded("regexp_extract(attr, '\\bhref=\"([^\"]*)\"', 1)")} AS href,
+    regexp_replace(substring(text, text_start + 1, text_end - text_start), '^\\s+|\\s+$', '', 'g') AS text
+  FROM dom d JOIN page_text USING (page_id) JOIN lpages l ON l.page_id = d.page_id WHERE tag = 'a' AND regexp_matches(attr, '\\bhref="')),
+a_join AS (SELECT *, {D.resolve_join('href', 'page_url')} AS j FROM a_raw),
+a_canon AS (SELECT *, {D.canonical('j')} AS c FROM a_join),
+a_url AS (SELECT page_id, node_id, ancestors, text, {D.resolve_final('href', 'j', 'c')} AS url FROM a_canon),
+dlinks AS MATERIALIZED (SELECT *, {_content_sql('url', 'text')} AS is_content FROM a_url),
+example AS (SELECT page_id AS example_id, page_id, url AS example_url FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS r FROM dlinks) WHERE r = 2),
+anchor AS (SELECT e.example_id, e.page_id, e.example_url, min(l.node_id) AS anchor_id, arg_min(l.ancestors, l.node_id) AS up
+  FROM example e JOIN dlinks l ON l.page_id = e.page_id AND {D.normalize('l.url')} = {D.normalize('e.example_url')} GROUP BY ALL),
+above AS (SELECT example_id, page_id, example_url, anchor_id, unnest(up) AS container_id, unnest(range(len(up))) AS lvl FROM anchor),
+cand AS (SELECT a.*, d.tag AS c_tag, d.class AS c_class, d.id AS c_id, d.child_count AS c_children, s.is_list
+  FROM above a JOIN dom d ON d.page_id = a.page_id AND d.node_id = a.container_id JOIN lists s ON s.page_id = a.page_id AND s.node_id = a.container_id),
+under AS MATERIALIZED (SELECT c.example_id, c.container_id, c.example_url, c.anchor_id, l.node_id, l.url, l.text, l.is_content
+  FROM cand c JOIN dlinks l ON l.page_id = c.page_id AND list_contains(l.ancestors, c.container_id)),
+per_url AS (SELECT example_id, container_id, url, count(*) AS n, bool_or(is_content) AS content, max({D.similarity('url', 'example_url')}) AS sim,
+    count(*) FILTER (WHERE lower(text) IN ({', '.join(D.q(w) for w in CT.READ_MORE)})) AS more FROM under GROUP BY ALL),
+per_container AS (SELECT example_id, container_id, sum(n) AS all_links, count(*) FILTER (WHERE content) AS content_links,
+    count(*) FILTER (WHERE content AND sim >= 0.5) AS similar_links, sum(more) AS read_more, bool_and(NOT content OR contains(url, '.htm')) AS all_htm FROM per_url GROUP BY ALL),
+stats AS (SELECT c.*, coalesce(all_links, 0) AS all_links, coalesce(content_links, 0) AS content_links, coalesce(similar_links, 0) AS similar_links,
+    coalesce(read_more, 0) AS read_more, coalesce(all_htm, true) AS all_htm, CASE WHEN all_links > 0 THEN content_links / all_links ELSE 0.0e0 END AS ratio
+  FROM cand c LEFT JOIN per_container USING (example_id, container_id) WHERE c_tag NOT IN ('body', 'html')),
+scored AS MATERIALIZED (SELECT *, {_SCORE} AS score FROM stats)"""
+
+SQL_BEST = SQL_STATS + f""",
+adjusted AS (SELECT *, score + (CASE WHEN contains(coalesce(c_class, ''), 'teaser') OR contains(coalesce(c_class, ''), 'list') OR contains(coalesce(c_class, ''), 'article') THEN 0.3e0 ELSE 0.0e0 END)
+    + (CASE WHEN similar_links > content_links * 0.5 THEN 0.2e0 ELSE 0.0e0 END) + (CASE WHEN content_links <= 10 THEN 0.1e0 ELSE 0.0e0 END) AS adjusted_score
+  FROM scored WHERE is_list AND content_links BETWEEN 2 AND 20 AND similar_links >= 1),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY adjusted_score DESC, lvl DESC) AS r FROM adjusted WHERE adjusted_score > 0) WHERE r = 1),
+in_best AS MATERIALIZED (SELECT u.* FROM under u JOIN best USING (example_id, container_id)),
+counted AS (SELECT example_id, count(*) AS n FROM (SELECT DISTINCT example_id, url FROM in_best
+  WHERE {D.valid('url')} AND url <> example_url AND {_NEAR}) GROUP BY ALL),
+sibling AS (SELECT example_id, example_url, url, min(node_id) AS pos, {D.similarity('url', 'example_url')} AS score FROM in_best
+  WHERE {_scope_sql('url', 'example_url')} AND url <> example_url AND {_NEAR} GROUP BY example_id, example_url, url)"""
+
+SQL_DISCOVERY = SQL_BEST + f""",
+found AS (SELECT example_id, least(count(*), 10) AS n FROM sibling GROUP BY ALL),
+discovery AS (SELECT e.example_id, b.container_id, b.c_tag || '.' || coalesce(b.c_class, '') || '#' || coalesce(b.c_id, '') || '[' || b.c_children || ']' AS signature,
+    coalesce(n, 0) AS n_links, CASE WHEN b.container_id IS NULL THEN 'none' ELSE 'category-page' END AS method, CASE WHEN coalesce(n, 0) > 0 THEN 0.6e0 ELSE 0.0e0 END AS confidence
+  FROM example e LEFT JOIN best b USING (example_id) LEFT JOIN found USING (example_id))"""
+
+
+@register("container_score", oracle=f"""
+WITH RECURSIVE {SQL_STATS}
+SELECT example_id, container_id, is_list, CAST(all_links AS BIGINT) AS all_links, content_links, similar_links, round(score, 6) AS score FROM scored""")
 def container_score(spark, sf_dir):
     *_, st = _stats(spark, sf_dir)
     return CT.container_score(st).select("example_id", "container_id", "is_list", "all_links", "content_links",
                                          "similar_links", F.round("score", 6).alias("score"))
 
 
-@register("container_find")
+@register("container_find", oracle=f"WITH RECURSIVE {SQL_BEST} SELECT example_id, container_id, round(adjusted_score, 6) AS score FROM best")
 def container_find(spark, sf_dir):
     *_, st = _stats(spark, sf_dir)
     return CT.container_find(st).select("example_id", "container_id", F.round("adjusted_score", 6).alias("score"))
 
 
-@register("sibling_count")
+@register("sibling_count", oracle=f"""
+WITH RECURSIVE {SQL_BEST} SELECT example_id, coalesce(n, 0) AS sibling_links FROM best LEFT JOIN counted USING (example_id)""")
 def sibling_count(spark, sf_dir):
     _, _, links, _, st = _stats(spark, sf_dir)
     return CT.sibling_count(CT.container_find(st), links)
 
 
-@register("container_confidence")
+@register("container_confidence", oracle=f"""
+WITH RECURSIVE {SQL_BEST},
+c AS (SELECT best.*, coalesce(n, 0) AS sibling_links FROM best LEFT JOIN counted USING (example_id))
+SELECT example_id, container_id, sibling_links, round(least(1.0e0, {_points(
+    ("sibling_links > 0", "0.3"), ("sibling_links > 2", "0.2"), ("sibling_links > 5", "0.1"), ("c_children >= 5", "0.2"), ("c_children >= 10", "0.1"),
+    ("c_tag IN ('ul', 'ol')", "0.1"), (D.contains_any(_LOW_CLASS, CT.CONFIDENCE_WORDS), "0.1"))}), 6) AS confidence FROM c""")
 def container_confidence(spark, sf_dir):
     _, _, links, _, st = _stats(spark, sf_dir)
     best = CT.container_find(st)
@@ -65,14 +140,23 @@ def container_confidence(spark, sf_dir):
         "example_id", "container_id", "sibling_links", F.round("confidence", 6).alias("confidence"))
 
 
-@register("container_links")
+@register("container_links", oracle=f"WITH RECURSIVE {SQL_BEST} SELECT example_id, url, pos, round(score, 6) AS score FROM sibling")
 def container_links(spark, sf_dir):
     _, _, links, _, st = _stats(spark, sf_dir)
     return CT.container_links(CT.container_find(st), links).select("example_id", "url", "pos",
                                                                    F.round("score", 6).alias("score"))
 
 
-@register("container_candidate_eval")
+@register("container_candidate_eval", oracle=f"""
+WITH RECURSIVE {SQL_STATS},
+v AS (SELECT example_id, container_id, count(*) AS valid_links, count(*) FILTER (WHERE {D.similarity('url', 'example_url')} > 0.5) AS near
+      FROM under WHERE node_id <> anchor_id AND {D.valid('url')} GROUP BY ALL),
+t AS (SELECT c.example_id, c.container_id, lvl, coalesce(valid_links, 0) AS n, coalesce(near, 0) AS near, c_tag, c_class FROM cand c LEFT JOIN v USING (example_id, container_id) WHERE c_tag <> 'html'),
+s AS (SELECT *, {_points(("n >= 2", "0.3"), ("n >= 5", "0.2"), ("n >= 10", "0.1"))}
+    + (CASE WHEN c_tag IN ('ul', 'ol') THEN 0.2e0 WHEN c_tag IN ('div', 'section', 'article') THEN 0.1e0 ELSE 0.0e0 END)
+    + {_points((D.contains_any(_LOW_CLASS, CT.EVAL_WORDS), "0.2"))} + near / greatest(n, 1) * 0.4e0 AS total FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY total DESC, lvl DESC) AS r FROM s WHERE total > 0)
+SELECT example_id, container_id, n AS valid_links, near AS "similar", round(total, 6) AS total_score FROM r WHERE r = 1""")
 def container_candidate_eval(spark, sf_dir):
     _, nt, links, anchors, _ = _stats(spark, sf_dir)
     r = CT.container_candidate_eval(anchors, nt, links)
@@ -85,13 +169,17 @@ def _discovery(spark, sf_dir):
     return p, CT.sibling_discovery(nt, p, _examples(links))
 
 
-@register("sibling_discovery")
+@register("sibling_discovery", oracle=f"WITH RECURSIVE {SQL_DISCOVERY} SELECT * FROM discovery")
 def sibling_discovery(spark, sf_dir):
     _, r = _discovery(spark, sf_dir)
     return r.select("example_id", "container_id", "signature", "n_links", "method", "confidence")
 
 
-@register("container_dedupe")
+@register("container_dedupe", oracle=f"""
+WITH RECURSIVE {SQL_DISCOVERY},
+sited AS (SELECT {D.host('p.url')} AS site, d.* FROM discovery d JOIN pages p ON p.page_id = d.example_id),
+nth AS (SELECT *, row_number() OVER (PARTITION BY site, signature ORDER BY example_id) AS r FROM sited)
+SELECT site, example_id, signature, n_links FROM nth WHERE signature IS NULL OR r = 1""")
 def container_dedupe(spark, sf_dir):
     p, r = _discovery(spark, sf_dir)
     site = p.select(F.col("page_id").alias("example_id"), U.url_host("url").alias("site"))
