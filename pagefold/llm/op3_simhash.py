@@ -218,14 +218,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each component, all columns kept: the one with the smallest id.
 
-    Rows that share id and fingerprint are the same document; one of them stays.
+    Keepers are chosen on ids, text hashes and fingerprints; texts move once, in the join
+    that picks the keepers' rows.  Rows that share id and fingerprint are the same
+    document; one of them stays.
     """
-    rows = save(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "simhash-rows")
-    keep = classes(rows, radius).groupBy("keeper_fp").agg(F.min("component_id").alias("keeper_id"))
-    marked = docs.withColumn("__fp", fingerprint(F.col("text"), shingle))
-    kept = marked.join(keep, marked["doc_id"].eqNullSafe(keep["keeper_id"])
-                       & (marked["__fp"] == keep["keeper_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*docs.columns)
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    rows = save(docs.select("doc_id", mark.alias("mark"), fingerprint(F.col("text"), shingle).alias("fp")), "simhash-rows")
+    keepers = classes(rows, radius).groupBy("keeper_fp").agg(F.min("component_id").alias("keeper_id"))
+    named = rows.groupBy("doc_id", "fp", "mark").agg(F.count("*").alias("n"))
+    named = named.join(keepers, named["doc_id"].eqNullSafe(keepers["keeper_id"]) & (named["fp"] == keepers["keeper_fp"]), "left_semi")
+    keep = save(named.groupBy("doc_id", "fp").agg(F.min(F.struct("mark", "n")).alias("k")).select("doc_id", "k.*"), "simhash-keepers")
+
+    def kept(these: DataFrame) -> DataFrame:
+        marked = docs.withColumn("__mark", mark)
+        return marked.join(these, marked["doc_id"].eqNullSafe(these["doc_id"]) & (marked["__mark"] == these["mark"]), "left_semi")
+    once, repeated = kept(keep.where("n = 1")), keep.where("n > 1")
+    if not repeated.isEmpty():
+        once = once.unionByName(kept(repeated).dropDuplicates(["doc_id", "__mark"]))
+    return once.select(*docs.columns)
 
 
 @register("op3_simhash_near_dedup")
