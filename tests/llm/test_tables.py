@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagefold.llm import common
 from pagefold.llm import op1_toxicity as tox
@@ -428,6 +429,17 @@ def test_wrapper_alignment():
     assert [k[0] for k in pairs] == [html.GROUP] and [k[0] for k in pairs[0][html.KIDS]] == ["h2", "p"]
 
 
+def test_costly_rules_move_back(spark):
+    """Of rules that reject as much the cheap one comes first, of rules that cost as much the sharper one."""
+    docs = spark.createDataFrame([(k, f"{k} " + "some words of a text " * 100) for k in range(400)], "doc_id long, text string")
+    measured = common.save(quality.measures(docs), "test-quality")
+    third, few = F.col("doc_id") % 3 == 0, F.col("doc_id") % 100 == 0
+    slow = F.size(F.filter("words", lambda w: w.rlike("(a|b|c)*(x|y)+.*(z|o)$") | w.rlike(".*t.*e.*x.*"))) >= 0
+    rules = [quality.Rule("slow", slow & third), quality.Rule("few", few), quality.Rule("quick", third), quality.Rule("never", slow & (F.col("doc_id") < 0))]
+    assert [r.name for r in quality.plan_cascade(measured, rules)] == ["quick", "few", "slow", "never"]
+    assert len(quality.plan_cascade(measured.limit(0), rules)) == 4
+
+
 def brute_verdicts(pages, edges):
     def own(host, path):
         fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES
