@@ -2,6 +2,7 @@
 walks, plus batch/stream equivalence and session-free imports."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -138,3 +139,16 @@ def test_consent_cache_pieces_cross_days(spark):
     # executed at 0 (cache till 60), hits at 20/50, executed 61 (till 121), hit 65,
     # executed 200 (till 260), hit 230, executed 300
     assert [hits[i] for i in range(8)] == [False, True, True, False, True, False, True, False]
+
+
+def test_rest_works_without_the_optional_part(tmp_path):
+    """Without the operators' folder the other queries are there, whether or not the pipeline file is."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(os.path.join(root, "pagefold"), copy / "pagefold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), copy)
+    code = "import __spark_entry__ as E; q = E.queries(); assert len(q) > 150 and 'pipeline' not in q and set(E.oracle_sql()) <= set(q)"
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=copy)
+    assert r.returncode == 0, r.stderr[-2000:]
