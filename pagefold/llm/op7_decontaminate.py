@@ -4,13 +4,16 @@ Each task turns its documents, shard by shard, into one array of word numbers
 and sorts the suffixes that can start a match (all words of the shortest window
 known to the benchmark; any other suffix cannot match and is left out).  Every
 test suffix is then binary-searched in the shard's array: the range of equal
-prefixes gives all verbatim occurrences and their places.  Documents never
-shuffle and no two documents are compared.
+prefixes gives all verbatim occurrences and their places.  A test suffix that matches
+one word further than the one before it belongs to the same match, so runs along one
+item and one offset are the longest verbatim matches, each with its item, place and
+length; the words they cover are what is hit.  Documents never shuffle and no two
+documents are compared.
 
-The benchmark is cut into chunks of at most ``chunk_items`` items; each chunk
-is collected and broadcast by itself, one column per chunk, and the places
-found are merged per document.  So what is broadcast has a fixed size and the
-benchmark may have any.
+The benchmark's different rows are cut into chunks of at most ``chunk_items`` items and
+about ``CHUNK_BYTES``; one chunk after another is collected, broadcast, searched for and
+released, and only documents with a match are kept for the merge.  So what is broadcast
+has a fixed size (but for an item that is larger by itself) and the benchmark may have any.
 
 Cases: a null or empty text has no words (no hits, not contaminated); an item
 without words has no window; a null item id counts as the item ``""``; repeated
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import read, text_column
+from pagefold.llm.common import read, save, text_column
 from pagefold.plans.catalog import register
 
 WINDOW = 13
 #: Benchmark items in one broadcast; with texts of some hundred words a few tens of MB.
 CHUNK_ITEMS = 20_000
+#: Text in one broadcast.
+CHUNK_BYTES = 32 << 20
 #: Words of a shard; a longer document is a shard of its own.
 SHARD_WORDS = 1 << 20
 
@@ -52,13 +57,18 @@ class TestSuffixes:
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.window = window
         self.number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.names = sorted({item_id for item_id, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
         for item_id, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(tuple(ids[at:at + size]), set()).add(item_id)
-        self.items = [sorted(s) for s in found.values()]
+                found.setdefault(tuple(ids[at:at + size]), []).append((place[item_id], at))
+        #: Items and starts in them of each window, one window after another.
+        self.count = np.array([len(x) for x in found.values()], "i8")
+        self.first = np.cumsum(self.count) - self.count
+        self.item, self.at = np.array([x for own in found.values() for x in own] or np.empty((0, 2)), "i8").T
         self.size = np.array([len(w) for w in found], "i4")
         self.least = int(self.size.min()) if found else 0
         low = np.zeros((len(found), window), ">u4")
@@ -106,32 +116,37 @@ def search(tests: TestSuffixes, shard: list[list[int]]) -> tuple[np.ndarray, np.
     return here[at], tests.size[which].astype("i8"), which
 
 
-def occurrences(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int, list[int], list[str]]]:
-    """Per text: number of words, hit stretches as a flat list start, end, ..., items."""
+def _longest(tests: TestSuffixes, first: np.ndarray, shard: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """``(document, item, start, length)`` of the longest matches in a shard, by document."""
+    pos, size, which = search(tests, shard)
+    times = tests.count[which]
+    known = np.repeat(tests.first[which] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    pos, size = np.repeat(pos, times), np.repeat(size, times)
+    item, offset = tests.item[known], pos - tests.at[known]
+    order = np.lexsort((pos, offset, item))
+    pos, size, item, offset = pos[order], size[order], item[order], offset[order]
+    breaks = np.flatnonzero((item[1:] != item[:-1]) | (offset[1:] != offset[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
+    low = np.append(0, breaks)[:len(pos)]
+    high = np.append(breaks, len(pos))[:len(low)] - 1
+    doc = np.searchsorted(first, pos[low], "right") - 1
+    start, length, item = pos[low] - first[doc], pos[high] - pos[low] + size[high], item[low]
+    order = np.lexsort((length, start, item, doc))
+    return doc[order], item[order], start[order], length[order]
+
+
+def longest_matches(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int, list[tuple[str, int, int]]]]:
+    """Per text: number of words, longest matches ``(item, start, length)`` in words, by item and start."""
     out: list = []
     get = tests.number.get
     shard: list[list[int]] = []
 
     def flush():
         sizes = np.array([len(d) + 1 for d in shard], "i8")
-        first = np.cumsum(sizes) - sizes
-        pos, size, which = search(tests, shard)
-        doc = np.searchsorted(first, pos, "right") - 1
-        order = np.argsort(doc, kind="stable")
-        cut = np.searchsorted(doc[order], np.arange(len(shard) + 1))
+        doc, item, start, length = _longest(tests, np.cumsum(sizes) - sizes, shard)
+        cut = np.searchsorted(doc, np.arange(len(shard) + 1)).tolist()
         for k, ids in enumerate(shard):
-            mine = order[cut[k]:cut[k + 1]]
-            if not len(mine):
-                out.append((len(ids), [], []))
-                continue
-            mark = np.zeros(len(ids) + 1, "i8")
-            np.add.at(mark, pos[mine] - first[k], 1)
-            np.add.at(mark, pos[mine] - first[k] + size[mine], -1)
-            on = np.concatenate([[0], np.cumsum(mark) > 0, [0]]).astype("i1")
-            edges = np.diff(on)
-            spans = np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], 1).ravel().tolist()
-            items = set().union(*(tests.items[w] for w in np.unique(which[mine])))
-            out.append((len(ids), spans, sorted(items)))
+            mine = slice(cut[k], cut[k + 1])
+            out.append((len(ids), [(tests.names[i], a, n) for i, a, n in zip(item[mine].tolist(), start[mine].tolist(), length[mine].tolist())]))
 
     held = 0
     for text in texts:
@@ -146,41 +161,86 @@ def occurrences(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int,
     return out
 
 
-def _chunks(benchmark: DataFrame, window: int, chunk_items: int) -> list:
-    """One broadcast of ``TestSuffixes`` per chunk of the benchmark; always at least one."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    n = max(1, -(-items.count() // chunk_items))
-    out = []
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        out.append(spark.sparkContext.broadcast(TestSuffixes([tuple(r) for r in part.collect()], window)))
-    return out
+def occurrences(tests: TestSuffixes, texts: list[str | None]) -> list[tuple[int, list[int], list[str]]]:
+    """Per text: number of words, hit stretches as a flat list start, end, ..., items."""
+    return [(n, *_summary(found)) for n, found in longest_matches(tests, texts)]
 
 
-def contamination(text: Column, benchmark: DataFrame, window: int = WINDOW, chunk_items: int = CHUNK_ITEMS) -> Column:
-    """Struct column ``n_words, spans, items`` of one text column.
+def _summary(found: list[tuple[str, int, int]]) -> tuple[list[int], list[str]]:
+    return merged([x for _, a, n in found for x in (a, a + n)]), sorted({i for i, _, _ in found})
 
-    ``spans`` are the hit stretches [start, end) in words as a flat list,
-    ``items`` the ids of the items that occur, sorted as strings.
-    """
-    kind = "n_words long, spans array<long>, items array<string>"
-    arrow = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
-    def chunk(shared):
-        return text_column(lambda texts: occurrences(shared.value, texts), kind, arrow)(text)
+def _chunks(benchmark: DataFrame, chunk_items: int) -> list[DataFrame]:
+    """The different rows of the benchmark in parts of bounded size; always at least one."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-count // chunk_items), -(-size // CHUNK_BYTES))
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+
+
+_KIND = "n_words long, spans array<long>, items array<string>, matches array<struct<item:string,start:long,length:long>>"
+_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string())),
+                    ("matches", pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))])
+
 
-    @F.arrow_udf(kind)
+def _searched(text: Column, shared) -> Column:
+    """The struct of ``contamination`` for one broadcast chunk."""
+    def run(texts: list) -> list:
+        return [(n, *_summary(found), found) for n, found in longest_matches(shared.value, texts)]
+    return text_column(run, _KIND, _ARROW)(text)
+
+
+def _shared(spark: SparkSession, chunk: DataFrame, window: int):
+    return spark.sparkContext.broadcast(TestSuffixes([tuple(r) for r in chunk.collect()], window))
+
+
+def contamination(text: Column, benchmark: DataFrame, window: int = WINDOW, chunk_items: int = CHUNK_ITEMS) -> Column:
+    """Struct column ``n_words, spans, items, matches`` of one text column, all chunks at once.
+
+    ``spans`` are the hit stretches [start, end) in words as a flat list, ``items`` the ids of
+    the items that occur, sorted as strings, ``matches`` the longest matches (item, start, length).
+    """
+    @F.arrow_udf(_KIND)
     def merge(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([(x["n_words"], merged([*x["spans"], *y["spans"]]), sorted({*x["items"], *y["items"]}))
-                         for x, y in zip(a.to_pylist(), b.to_pylist())], type=arrow)
+        return pa.array([(x["n_words"], merged([*x["spans"], *y["spans"]]), sorted({*x["items"], *y["items"]}), [*x["matches"], *y["matches"]])
+                         for x, y in zip(a.to_pylist(), b.to_pylist())], type=_ARROW)
 
-    first, *rest = [chunk(c) for c in _chunks(benchmark, window, chunk_items)]
+    spark = benchmark.sparkSession
+    first, *rest = [_searched(text, _shared(spark, c, window)) for c in _chunks(benchmark, chunk_items)]
     for other in rest:
         first = merge(first, other)
     return first
 
 
+def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with ``__found``, the struct of ``contamination``, one chunk after another."""
+    spark = benchmark.sparkSession
+    chunks = _chunks(benchmark, chunk_items)
+    if len(chunks) == 1:
+        return docs.withColumn("__found", _searched(docs["text"], _shared(spark, chunks[0], window)))
+    mark = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    hits = None
+    for chunk in chunks:
+        shared = _shared(spark, chunk, window)
+        found = docs.select("doc_id", mark.alias("mark"), _searched(docs["text"], shared).alias("f")).where(F.size("f.items") > 0)
+        found = save(found, "contamination-hits")  # only documents with a match
+        shared.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+    # A repeated row has its matches several times.
+    hits = hits.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("f.matches"))).alias("matches"))
+
+    @F.arrow_udf(_KIND)
+    def whole(n_words: pa.Array, matches: pa.Array) -> pa.Array:
+        rows = [[(m["item"], m["start"], m["length"]) for m in own or []] for own in matches.to_pylist()]
+        return pa.array([(n, *_summary(own), sorted(own)) for n, own in zip(n_words.to_pylist(), rows)], type=_ARROW)
+
+    none = spark.sparkContext.broadcast(TestSuffixes([], window))
+    marked = docs.withColumns({"__mark": mark, "__n": _searched(docs["text"], none)["n_words"]})
+    joined = marked.join(hits.withColumnsRenamed({"doc_id": "__id", "matches": "__matches"}),
+                         marked["doc_id"].eqNullSafe(F.col("__id")) & (marked["__mark"] == F.col("mark")), "left")
+    return joined.select(*[marked[c] for c in docs.columns], whole("__n", "__matches").alias("__found"))
+
+
 def merged(spans: list[int]) -> list[int]:
     """Flat list of disjoint stretches that cover the same words."""
     out: list[int] = []
@@ -202,9 +262,9 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """Word counts, hits and items per row of ``docs(doc_id, text)``, with the stretches found."""
-    found = docs.select("doc_id", contamination(F.col("text"), benchmark).alias("f"))
+    found = with_contamination(docs.select("doc_id", "text"), benchmark, chunk_items=chunk_items).select("doc_id", F.col("__found").alias("f"))
     return found.select(
         "doc_id", F.col("f.n_words").alias("n_words"), _n_hit(F.col("f")).alias("n_hit"),
         F.size("f.items").cast("long").alias("n_items"),
@@ -212,9 +272,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged."""
-    marked = docs.withColumn("__found", contamination(docs["text"], benchmark))
+    marked = with_contamination(docs, benchmark, chunk_items=chunk_items)
     hit = _n_hit(F.col("__found"))
     return marked.where(~is_contaminated(hit, F.col("__found.n_words"))).select(*docs.columns)
 

@@ -178,8 +178,9 @@ def test_decontamination(spark, docs, none, chunk):
     else:
         spans = found.selectExpr("f.spans").collect()
         assert sorted(sum(b - a for a, b in zip(s[0][::2], s[0][1::2])) for s in spans) == sorted(w[2] for w in want)
-    left = dec.remove_contaminated(df, bench)
+    left = dec.remove_contaminated(df, bench, chunk)
     assert left.columns == df.columns and left.count() == sum(not w[5] for w in want)
+    assert rows_of(dec.report(df, bench, chunk)) == sorted(want, key=repr)
 
 
 def test_token_counts(spark, docs, none):

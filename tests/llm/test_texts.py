@@ -225,6 +225,39 @@ def test_occurrences_equal_brute_force():
         assert [(n, sum(b - a for a, b in zip(s[::2], s[1::2])), i) for n, s, i in got] == want
 
 
+def brute_matches(docs, items, window=13):
+    """Longest verbatim matches: grown from every pair of equal words that the word before does not extend."""
+    def ws(t):
+        return [w.decode() for w in dec.words(t)]
+    out = []
+    for text in docs:
+        w, own = ws(text), set()
+        for item, other in items:
+            v = ws(other)
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= min(window, len(v)) and not (i and j and w[i - 1] == v[j - 1]):
+                        own.add((item, i, n))
+        out.append((len(w), sorted(own)))
+    return out
+
+
+def test_longest_matches_equal_brute_force():
+    rng = random.Random(19)
+    for _ in range(40):
+        words = ["a", "b", "c1", "x", "é"][:rng.randint(2, 5)]
+        make = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+        items = list({k: (str(k), make(30)) for k in range(rng.randint(0, 5))}.values()) + [("7", None)]
+        docs = [make(60) for _ in range(rng.randint(0, 5))] + [None, (items[0][1] or "") + " zz " + (items[0][1] or "")]
+        got = [(n, sorted(set(found))) for n, found in dec.longest_matches(dec.TestSuffixes(items, 4), docs)]
+        assert got == brute_matches(docs, items, 4)
+    long = " ".join(f"w{k}" for k in range(80))
+    assert dec.longest_matches(dec.TestSuffixes([("i", "q " + long + " z")], 13), ["start " + long + " end"]) == [(82, [("i", 1, 80)])]
+
+
 def test_merged_stretches():
     assert dec.merged([5, 7, 0, 2, 2, 4, 6, 9]) == [0, 4, 5, 9]
 
