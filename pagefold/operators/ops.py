@@ -132,3 +132,31 @@ def runs_browse(runs: DataFrame, search: str = "", plan: str | None = None, page
     # a page of results is the feature: sort + offset/limit (TakeOrderedAndProject)
     return r.orderBy(F.desc_nulls_last("start_time"), F.desc("run_id")).offset((page - 1) * page_size) \
         .limit(page_size)
+
+
+def summaries(plans: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``kind, id, label, started_at, status`` of plans (domain and URL as label), runs and tasks."""
+    nothing = F.lit(None).cast("string")
+    return (plans.select(F.lit("plan").alias("kind"), F.col("plan_id").alias("id"), F.concat_ws(" ", "domain", "url").alias("label"),
+                         F.col("created_at").alias("started_at"), nothing.alias("status"))
+            .unionByName(runs.select(F.lit("run").alias("kind"), F.col("run_id").alias("id"), F.concat_ws(" ", "run_id", "plan_id").alias("label"),
+                                     F.col("start_time").alias("started_at"), "status"))
+            .unionByName(tasks.select(F.lit("task").alias("kind"), F.col("task_id").alias("id"), F.col("task_id").alias("label"), "started_at", "status")))
+
+
+def summaries_browse(rows: DataFrame, kind: str, search: str = "", page: int = 1, page_size: int = 10) -> DataFrame:
+    """One page of one kind of ``summaries``: contains-search in any case, newest first with blanks last."""
+    found = rows.filter((F.col("kind") == kind) & F.lower("label").contains(search.lower()))
+    return found.orderBy(F.desc_nulls_last("started_at"), F.desc("id")).offset((page - 1) * page_size).limit(page_size)
+
+
+def dashboard(rows: DataFrame, newest: int = 5) -> DataFrame:
+    """``kind, total, active, newest``: counts per kind and its ``newest`` ids.
+
+    The newest come from a rank that is cut per task before it is shuffled, so a
+    kind's rows never meet in one task."""
+    totals = rows.groupBy("kind").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("running", "pending")).alias("active"))
+    w = Window.partitionBy("kind").orderBy(F.desc_nulls_last("started_at"), F.desc("id"))
+    top = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= newest).groupBy("kind").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", "id"))), lambda x: x["id"]).alias("newest"))
+    return totals.join(top, "kind", "left")

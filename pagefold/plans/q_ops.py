@@ -159,3 +159,59 @@ def runs_browse(spark, sf_dir):
     """Second page of runs matching 'RUN-1' (case-insensitive) on plans containing 'plan-1'."""
     return O.runs_browse(_runs(spark, sf_dir), search="RUN-1", plan="plan-1", page=2).select(
         "run_id", "plan_id", "status")
+
+
+#: Plans with their site, runs and tasks as summaries; plans of every third site were never run and have no date.
+SQL_SUMMARIES = SQL_RUNS + f""",
+first_run AS (SELECT plan_id, min(start_time) AS created_at FROM runs GROUP BY plan_id),
+plan_site AS (SELECT DISTINCT page_id, url FROM pages),
+task_log AS (SELECT 'task-' || CAST(user_id % 20 AS VARCHAR) AS task_id, ts, event_id, value > 49.5 AND event_type = 'purchase' AS done,
+    value > 49.5 AND event_type = 'error' AS bad FROM events),
+summary AS (
+  SELECT 'plan' AS kind, 'plan-' || page_id AS id, {D.host('url')} || ' ' || url AS label, created_at AS started_at, CAST(NULL AS VARCHAR) AS status
+  FROM plan_site LEFT JOIN first_run ON plan_id = 'plan-' || page_id
+  UNION ALL SELECT 'run', run_id, run_id || ' ' || plan_id, start_time, status FROM runs
+  UNION ALL SELECT 'task', task_id, task_id, min(ts), CASE arg_min(done, (ts, event_id)) FILTER (WHERE done OR bad) WHEN true THEN 'completed' WHEN false THEN 'failed' ELSE 'running' END
+    FROM task_log GROUP BY task_id)"""
+
+
+def _summaries(spark, sf_dir):
+    from pagefold.functions import url as U
+    from pagefold.sources.tables import pages, read_table
+    from pagefold.streaming import jobs as J
+    runs = _runs(spark, sf_dir)
+    first = runs.groupBy("plan_id").agg(F.min("start_time").alias("created_at"))
+    plans = pages(spark, sf_dir).select(F.concat(F.lit("plan-"), F.col("page_id").cast("string")).alias("plan_id"), U.url_host("url").alias("domain"), "url")
+    events = J.task_events_from(read_table(spark, sf_dir, "events"))
+    began = events.groupBy("task_id").agg(F.min("ts").alias("started_at"))
+    tasks = J.task_state(events).select("task_id", "status").join(began, "task_id")
+    return O.summaries(plans.join(first, "plan_id", "left"), runs, tasks)
+
+
+def _browse_sql(kind: str, search: str, page: int) -> str:
+    return f"""
+WITH {SQL_SUMMARIES}
+SELECT id, status FROM summary WHERE kind = '{kind}' AND contains(lower(label), '{search}')
+ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 10 OFFSET {10 * (page - 1)}"""
+
+
+@register("plans_browse", oracle=_browse_sql("plan", "example.com", 2))
+def plans_browse(spark, sf_dir):
+    """Second page of the plans whose domain or URL contains 'Example.COM'."""
+    return O.summaries_browse(_summaries(spark, sf_dir), "plan", "Example.COM", 2).select("id", "status")
+
+
+@register("tasks_browse", oracle=_browse_sql("task", "task-1", 1))
+def tasks_browse(spark, sf_dir):
+    """The newest tasks whose name contains 'task-1'."""
+    return O.summaries_browse(_summaries(spark, sf_dir), "task", "task-1").select("id", "status")
+
+
+@register("dashboard_summary", oracle=f"""
+WITH {SQL_SUMMARIES},
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY started_at DESC NULLS LAST, id DESC) AS n FROM summary)
+SELECT kind, count(*) AS total, count(*) FILTER (WHERE status IN ('running', 'pending')) AS active,
+  string_agg(id, ',' ORDER BY n) FILTER (WHERE n <= 5) AS newest FROM r GROUP BY kind""")
+def dashboard_summary(spark, sf_dir):
+    """Totals, active counts and the newest five plans, runs and tasks."""
+    return O.dashboard(_summaries(spark, sf_dir)).withColumn("newest", F.array_join("newest", ","))
