@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagefold.operators import consent as C
 from pagefold.operators import dom as M
 from pagefold.plans import duck as D
+from pagefold.plans import duck_dom as DD
 from pagefold.plans.catalog import register
+from pagefold.session import materialize
 from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
 
@@ -58,24 +62,92 @@ def _nodes_t(p):
     return M.with_text(nodes, texts)
 
 
-@register("consent_candidates")
+def _attr_sql(name: str) -> str:
+    return f"regexp_extract(attr, '\\b{name}=\"([^\"]*)\"', 1)"
+
+
+def _selector_sql(selector: str) -> str:
+    """Condition on an element ``e`` of ``elem`` for a selector of the lists."""
+    if ":has-text(" in selector:
+        return f"tag = 'div' AND contains(lower(txt), {D.q(selector.split(chr(34))[1].lower())})"
+    conds = []
+    for name, op, value, cls, tag in re.findall(r'\[([\w-]+)(\*?=)"([^"]*)"\]|\.([\w-]+)|(^[a-z]+)', selector):
+        if cls:
+            conds.append(f"list_contains(classes, {D.q(cls)})")
+        elif tag:
+            conds.append(f"tag = {D.q(tag)}")
+        else:
+            conds.append(f"contains({_attr_sql(name)}, {D.q(value)})" if op == "*=" else f"{_attr_sql(name)} = {D.q(value)}")
+    return " AND ".join(conds)
+
+
+def _score_sql(sel: str) -> str:
+    s = f"lower({sel})"
+    terms = [(f"contains({s}, 'cookie') AND contains({s}, 'banner')", 35), (f"contains({s}, 'cookie') AND contains({s}, 'dialog')", 35),
+             (f"contains({s}, 'cookie-banner-container')", 40), (f"contains({s}, 'consent')", 20), (f"contains({s}, 'disclaimer')", 10),
+             (_kw_sql("txt"), 30), ("contains(style, 'position:fixed') OR contains(style, 'position:absolute')", 10),
+             ("coalesce(TRY_CAST(regexp_extract(style, 'z-index:(-?[0-9]+)', 1) AS INTEGER), 0) > 100", 10),
+             ("NOT (contains(style, 'visibility:hidden') OR regexp_matches(style, 'opacity:0(\\.0*)?(;|$)'))", 5)]
+    return "least(100, " + " + ".join(f"(CASE WHEN {c} THEN {n} ELSE 0 END)" for c, n in terms) + ")"
+
+
+def _candidates_sql(name: str, selectors: list[str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT page_id, node_id, {i} AS sel_idx, {D.q(s)} AS selector, txt, style FROM elem WHERE visible AND {_selector_sql(s)}"
+                              for i, s in enumerate(selectors))
+    return f"{name} AS MATERIALIZED (SELECT page_id, node_id, sel_idx, selector, {_score_sql('selector')} AS score FROM ({rows}))"
+
+
+def _elements_sql(pages_name: str) -> str:
+    """``elem``: elements with text, squeezed style and visibility; candidates by both selector lists."""
+    return DD.dom(pages_name) + f""",
+elem AS MATERIALIZED (
+  SELECT *, NOT (contains(style, 'display:none') OR contains(style, 'visibility:hidden') OR regexp_matches(style, 'opacity:0(\\.0*)?(;|$)')
+      OR regexp_matches(attr, '\\shidden[\\s=>]')) AS visible
+  FROM (SELECT d.*, coalesce(substring(text, text_start + 1, text_end - text_start), '') AS txt, lower(regexp_replace({_attr_sql('style')}, '\\s', '', 'g')) AS style
+        FROM dom d JOIN page_text USING (page_id))),
+{_candidates_sql('overlay', C.OVERLAY_SELECTORS)},
+{_candidates_sql('dialog', C.DIALOG_SELECTORS)}"""
+
+
+_BUTTONS = " OR ".join(f"({_selector_sql(x.strip())})" for x in C.BUTTON_SELECTORS.split(","))
+_FLAGS = ", ".join(D.contains_any("search", [p.lower() for p in C.BUTTON_PATTERNS[k]]) for k in C.BUTTON_ORDER)
+
+SQL_DETECT = SQL_CONSENT_PAGES + "," + _elements_sql("cpages") + f""",
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, sel_idx, node_id) AS r FROM dialog) WHERE r = 1),
+spare AS (SELECT * FROM (SELECT page_id, node_id, row_number() OVER (PARTITION BY page_id ORDER BY {_score_sql("'fallback'")} DESC, node_id) AS r
+  FROM elem WHERE tag IN ('div', 'section', 'aside', 'dialog') AND visible AND {_kw_sql('txt')}) WHERE r = 1),
+found AS MATERIALIZED (SELECT p.page_id, coalesce(b.node_id, f.node_id) AS dialog_id, (SELECT max(score) FROM overlay o WHERE o.page_id = p.page_id) AS best_overlay
+  FROM cpages p LEFT JOIN best b USING (page_id) LEFT JOIN spare f USING (page_id))"""
+
+#: Buttons of the dialog, or those of the page with keywords; each takes the first free category that it matches.
+SQL_BUTTONS = SQL_DETECT + f""",
+every_button AS (SELECT * FROM elem WHERE {_BUTTONS}),
+inside AS (SELECT b.* FROM every_button b JOIN found f ON f.page_id = b.page_id AND list_contains(b.ancestors, f.dialog_id)),
+chosen AS (SELECT * FROM inside UNION ALL SELECT * FROM every_button b WHERE {_kw_sql('txt')} AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.page_id = b.page_id)),
+searched AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS n,
+    lower(regexp_replace(lower(txt), '^\\s+|\\s+$', '', 'g') || ' ' || coalesce(class, '') || ' ' || coalesce(id, '')) AS search FROM chosen WHERE txt <> '' AND visible),
+flagged AS MATERIALIZED (SELECT page_id, n, node_id, [{_FLAGS}] AS flags FROM searched),
+slot AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS n, CAST([NULL, NULL, NULL, NULL, NULL] AS INTEGER[]) AS taken FROM (SELECT DISTINCT page_id FROM flagged)
+  UNION ALL
+  SELECT page_id, n, list_transform(range(1, 6), lambda k: CASE WHEN k = free THEN node_id ELSE taken[k] END)
+  FROM (SELECT s.page_id, f.n, f.node_id, s.taken, list_filter(range(1, 6), lambda k: s.taken[k] IS NULL AND f.flags[k])[1] AS free
+        FROM slot s JOIN flagged f ON f.page_id = s.page_id AND f.n = s.n + 1)),
+filled AS (SELECT page_id, arg_max(taken, n) AS taken FROM slot GROUP BY ALL),
+button AS MATERIALIZED (SELECT p.page_id, p.category, e.node_id, e.tag, e.id, e.class, e.parent_id, e.txt
+  FROM (SELECT page_id, unnest([{', '.join(D.q(k) for k in C.BUTTON_ORDER)}]) AS category, unnest(taken) AS node_id FROM filled) p
+  JOIN elem e ON e.page_id = p.page_id AND e.node_id = p.node_id)"""
+
+
+@register("consent_candidates", oracle=f"WITH RECURSIVE {SQL_DETECT} SELECT page_id, node_id, sel_idx, selector FROM dialog")
 def consent_candidates(spark, sf_dir):
     p = S.consent_pages(spark, sf_dir)
     return C.candidates(_nodes_t(p), C.DIALOG_SELECTORS).select("page_id", "node_id", "sel_idx", "selector")
 
 
-@register("consent_score", oracle="""
-SELECT page_id, selector, score FROM (
-  SELECT page_id, page_id % 4 AS k FROM pages WHERE page_id % 3 = 0) p
-JOIN (VALUES (0, '[class*="cookie"]', 55), (0, '.cookie-banner', 90),
-             (1, '[class*="consent"]', 55), (1, '[role="dialog"]', 35),
-             (2, '.privacy-notice', 35)) AS e(k, selector, score) USING (k)""")
+@register("consent_score", oracle=f"WITH RECURSIVE {SQL_DETECT} SELECT page_id, selector, score FROM overlay")
 def consent_score(spark, sf_dir):
-    """Static score of every overlay candidate.  The oracle lists the
-    expected (selector, score) pairs of the injected banner shapes: the
-    fixed-position cookie banner (55 by the generic class selector, 90 by
-    .cookie-banner), the consent dialog (55 / 35 by role) and the privacy
-    notice (35)."""
+    """Static score of every overlay candidate."""
     p = S.consent_pages(spark, sf_dir)
     return C.scored_candidates(_nodes_t(p), C.OVERLAY_SELECTORS).select("page_id", "selector", "score")
 
@@ -83,48 +155,76 @@ def consent_score(spark, sf_dir):
 def _detect(spark, sf_dir):
     p = S.consent_pages(spark, sf_dir)
     n = _nodes_t(p)
-    return p, n, C.consent_detect(n, p)
+    return p, n, materialize(C.consent_detect(n, p), "consent-detect")
 
 
 @register("consent_detect", oracle=f"""
-WITH {SQL_CONSENT_PAGES},
-k AS (SELECT page_id, {_kw_sql('html')} AS has_keywords, {_lib_sql('html')} AS library,
-             CASE WHEN page_id % 3 = 0 THEN (CASE page_id % 4 WHEN 0 THEN 90 WHEN 1 THEN 55 WHEN 2 THEN 35 ELSE 0 END)
-                  ELSE 0 END AS best_overlay_score
-      FROM cpages)
-SELECT page_id, has_keywords, library, has_keywords AND best_overlay_score >= 50 AS detected, best_overlay_score
-FROM k""")
+WITH RECURSIVE {SQL_DETECT}
+SELECT p.page_id, {_kw_sql('p.html')} AS has_keywords, {_lib_sql('p.html')} AS library, {_kw_sql('p.html')} AND coalesce(best_overlay, 0) >= 50 AS detected,
+  coalesce(best_overlay, 0) AS best_overlay_score, dialog_id
+FROM cpages p JOIN found USING (page_id)""")
 def consent_detect(spark, sf_dir):
-    """Detection per page (keywords, vendor, best overlay score >= 50).  The
-    oracle re-derives the expected scores of the injected banner shapes:
-    fixed-position cookie banner 90, consent dialog 55, privacy notice 35."""
+    """Detection per page: keywords, vendor, best overlay score >= 50, and the dialog."""
     _, _, d = _detect(spark, sf_dir)
-    return d.select("page_id", "has_keywords", "library", "detected", "best_overlay_score")
+    return d.select("page_id", "has_keywords", "library", "detected", "best_overlay_score", "dialog_id")
 
 
-@register("consent_buttons")
-def consent_buttons(spark, sf_dir):
+def _buttons(spark, sf_dir):
     _, n, d = _detect(spark, sf_dir)
-    return C.consent_buttons(n, d).select("page_id", "category", "node_id", "text")
+    return n, materialize(C.consent_buttons(n, d), "consent-buttons")
+
+
+@register("consent_buttons", oracle=f"WITH RECURSIVE {SQL_BUTTONS} SELECT page_id, category, node_id, txt AS text FROM button")
+def consent_buttons(spark, sf_dir):
+    return _buttons(spark, sf_dir)[1].select("page_id", "category", "node_id", "text")
+
 
+def _button_selector_sql() -> str:
+    text = "regexp_replace(txt, '^\\s+|\\s+$', '', 'g')"
+    generic = f"len(list_filter(cs, lambda c: c IN ({', '.join(D.q(c) for c in C.GENERIC_CLASSES)}))) > 0"
+    first_generic = f"cs[1] IN ({', '.join(D.q(c) for c in C.GENERIC_CLASSES)})"
+    has_text = "b.tag || ':has-text(\"' || t || '\")'"
+    return f"""
+named AS (SELECT *, {text} AS t, list_filter(string_split(coalesce(class, ''), ' '), lambda c: trim(c) <> '') AS cs FROM button)
+SELECT b.page_id, b.category, b.node_id, t AS text, CASE WHEN coalesce(b.id, '') <> '' THEN '#' || b.id
+  WHEN t <> '' AND {D.contains_any('lower(t)', C.TEXT_SELECTOR_WORDS)} THEN {has_text}
+  WHEN len(cs) > 1 THEN CASE WHEN {generic} AND contains(coalesce(p.class, ''), 'cookie') THEN '.' || string_split(p.class, ' ')[1] || ' .' ELSE '.' END || array_to_string(cs[1:3], '.')
+  WHEN len(cs) = 1 THEN CASE WHEN {first_generic} AND t <> '' THEN b.tag || '.' || cs[1] || ':has-text("' || t || '")' ELSE '.' || cs[1] END
+  WHEN t <> '' THEN {has_text} ELSE b.tag END AS selector
+FROM named b LEFT JOIN dom p ON p.page_id = b.page_id AND p.node_id = b.parent_id"""
 
-@register("consent_button_selector")
+
+@register("consent_button_selector", oracle=f"WITH RECURSIVE {SQL_BUTTONS}, {_button_selector_sql()}")
 def consent_button_selector(spark, sf_dir):
-    _, n, d = _detect(spark, sf_dir)
-    return C.button_selector(C.consent_buttons(n, d), n)
+    n, b = _buttons(spark, sf_dir)
+    return C.button_selector(b, n)
+
 
+def _choice_sql() -> str:
+    def pick(strategy, order):
+        first = f"coalesce({', '.join('any_value(txt) FILTER (WHERE category = ' + D.q(k) + ')' for k in order)})"
+        accept, save = (f"any_value(txt) FILTER (WHERE category = {D.q(k)})" for k in ("acceptAll", "save"))
+        both = f"CASE WHEN {accept} IS NOT NULL AND {save} IS NOT NULL THEN {accept} || ' + ' || {save} ELSE {first} END"
+        return f"SELECT page_id, {D.q(strategy)} AS strategy, {both if strategy == 'accept-all' else first} AS clicked FROM button GROUP BY page_id"
+    return " UNION ALL ".join(pick(s, o) for s, o in C.STRATEGIES.items())
 
-@register("consent_choice")
+
+@register("consent_choice", oracle=f"""
+WITH RECURSIVE {SQL_BUTTONS}, choice AS ({_choice_sql()}) SELECT page_id, strategy, clicked, clicked IS NOT NULL AS success FROM choice""")
 def consent_choice(spark, sf_dir):
-    _, n, d = _detect(spark, sf_dir)
-    return C.consent_choice(C.consent_buttons(n, d))
+    return C.consent_choice(_buttons(spark, sf_dir)[1])
 
 
-@register("consent_dismissed_check")
+@register("consent_dismissed_check", oracle=f"""
+WITH RECURSIVE {SQL_CONSENT_PAGES},
+after_click AS (SELECT c.page_id, c.url, CASE WHEN c.page_id % 6 = 3 THEN c.html ELSE p.html END AS html FROM cpages c JOIN pages p USING (page_id) WHERE c.page_id % 3 = 0),
+{_elements_sql('after_click')}
+SELECT page_id, NOT left_over AS success, CASE WHEN left_over THEN 0 ELSE 95 END AS confidence
+FROM (SELECT page_id, EXISTS (SELECT 1 FROM dialog d WHERE d.page_id = a.page_id) AS left_over FROM after_click a)""")
 def consent_dismissed_check(spark, sf_dir):
-    """After-click snapshots are the original pages (banner gone): a page is
-    dismissed when no dialog candidate remains."""
-    after = pages(spark, sf_dir)
+    """Pages with a banner after the click: where it worked the banner is gone, where it
+    did not the page is as before."""
+    after = S.after_click_pages(spark, sf_dir)
     return C.dismissed_check(_nodes_t(after), after)
 
 

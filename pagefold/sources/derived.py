@@ -332,6 +332,13 @@ def consent_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", html.alias("html"))
 
 
+def after_click_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that had a banner, after a click on it: every other one still has it."""
+    before = consent_pages(spark, sf_dir).where(F.col("page_id") % 3 == 0)
+    clean = read_table(spark, sf_dir, "pages").where(F.col("page_id") % 6 == 0).select("page_id", "url", "html")
+    return before.where(F.col("page_id") % 6 == 3).unionByName(clean)
+
+
 CONSENT_LIBS = ["Cookiebot", "OneTrust", "CookieYes", "Borlabs", "CookieLawInfo", "Cookie Notice"]
 CONSENT_STEP_TEXTS = ["Click accept all", "Alle zustimmen", "Reject optional cookies", "Open settings",
                       "Speichern der Auswahl", "Close banner"]
