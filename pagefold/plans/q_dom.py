@@ -139,27 +139,6 @@ def _structural(spark, sf_dir):
     return K.structural_extract(M.shred_pages(p)[0], p)
 
 
-@register("structural_extract", oracle=f"""
-SELECT page_id, category, n FROM (
-  SELECT page_id, 'mainContent' AS category, len(regexp_extract_all({_CLEAN}, '<(article|main)\\b', 0)) AS n FROM pages
-  UNION ALL SELECT page_id, 'navigation', len(regexp_extract_all({_CLEAN}, '<nav\\b', 0)) FROM pages
-  UNION ALL SELECT page_id, 'advertisements', len(regexp_extract_all({_CLEAN}, 'class="ad"', 0)) FROM pages
-  UNION ALL SELECT page_id, 'footers', len(regexp_extract_all({_CLEAN}, '<footer\\b', 0)) FROM pages)
-WHERE n > 0""")
-def structural_extract(spark, sf_dir):
-    """Elements per page and structural category (counts; content in the
-    operator output)."""
-    return _structural(spark, sf_dir).groupBy("page_id", "category").agg(F.count("*").alias("n"))
-
-
-def _chunks(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    nodes, _ = M.shred_pages(p)
-    st = K.structural_extract(nodes, p)
-    sem = K.chunk_semantic(nodes, p)
-    return p, st, sem
-
-
 def _structural_sql() -> str:
     """``structural(page_id, seq, category, content)`` in the order of categories, selectors and elements."""
     def cond(sel):
@@ -174,10 +153,26 @@ def _structural_sql() -> str:
              for c, (cat, sels) in enumerate(K.STRUCTURAL.items()) for k, sel in enumerate(sels)]
     return f"""
 picked AS ({' UNION ALL '.join(parts)}),
-structural AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY c, k, node_id) - 1 AS seq, category,
+structural AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY c, k, node_id) - 1 AS seq, category, node_id,
   substring(html, src_start + 1, src_end - src_start) AS content FROM picked JOIN page_text USING (page_id))"""
 
 
+@register("structural_extract", oracle=f"""
+WITH RECURSIVE {SQL_DOM}, {_structural_sql()}
+SELECT page_id, seq, category, node_id, length(content) AS chars, md5(content) AS content_md5 FROM structural""")
+def structural_extract(spark, sf_dir):
+    """Every element of each structural category, in order, with its source."""
+    return _structural(spark, sf_dir).select("page_id", "seq", "category", "node_id", F.length("content").alias("chars"), F.md5("content").alias("content_md5"))
+
+
+def _chunks(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    nodes, _ = M.shred_pages(p)
+    st = K.structural_extract(nodes, p)
+    sem = K.chunk_semantic(nodes, p)
+    return p, st, sem
+
+
 #: Chunks as the operators make them: elements packed in order, then those of each category, without repeats.
 SQL_CHUNKS = SQL_DOM + "," + _structural_sql() + f""",
 els AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS n, substring(html, src_start + 1, src_end - src_start) AS el
