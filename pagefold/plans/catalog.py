@@ -37,6 +37,6 @@ def load_all() -> dict[str, Query]:
     """Import every plan module so their queries register."""
     from pagefold.plans import (  # noqa: F401
         q_links, q_html, q_items, q_extract, q_compliance, q_telemetry, q_ops, q_retrieval,
-        q_dom, q_containers, q_plans, q_plan_run, q_consent, q_streaming, q_sources,
+        q_dom, q_containers, q_recorded, q_plans, q_plan_run, q_consent, q_streaming, q_sources,
     )
     return REGISTRY
