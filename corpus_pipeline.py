@@ -9,6 +9,13 @@ the stage before kept:
 4. personal_data    -- spans are replaced by their kind
 5. packing          -- what is left, as sequences of at most 4096 tokens
 
+Cases, for every stage: a null text counts as empty; empty texts are not toxic, are one
+near-duplicate group of which the smallest id stays, hold no benchmark passage and no
+personal data (a null stays null), and pack as one end token.  Rows with null ids take
+part; a group without any other id keeps one of them.  Repeated rows are duplicates, so
+one stays after stage 2.  Columns besides ``doc_id`` and ``text`` pass through unchanged
+whatever their names; an empty table gives an empty result.
+
 All but the last return the columns of documents.  ``run`` writes each stage's
 result and reads it again, so a lost executor costs no more than a stage.  Part
 of the stages uses tokenizer and hash libraries, so there is no SQL for the whole.
