@@ -48,10 +48,7 @@ class _Builder(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.html = html
-        self.line_starts = [0]
-        for i, ch in enumerate(html):
-            if ch == "\n":
-                self.line_starts.append(i + 1)
+        self.line_starts = [0, *(m.end() for m in re.finditer("\n", html))]
         self.nodes: list[dict] = []
         self.stack: list[int] = []
         self.text_parts: list[str] = []

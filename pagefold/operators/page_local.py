@@ -10,6 +10,8 @@ projection over one scan.  A page is the largest thing a row ever holds.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ _NODE_ARROW = pa.struct([
 SLICE = 64
 
 
+def _offsets(sizes) -> pa.Array:
+    return pa.array([0, *accumulate(sizes)], pa.int32())
+
+
+def _node_lists(pages: list[list[dict]]) -> pa.Array:
+    """Parsed elements of some pages as one Arrow list column, built column by column."""
+    nodes = [n for page in pages for n in page]
+    columns = {f.name: pa.array([n[f.name] for n in nodes], f.type) for f in _NODE_ARROW if f.name not in ("parent", "attrs")}
+    columns["parent"] = pa.array([n["parent_id"] for n in nodes], pa.int32())
+    attrs = [dict(zip(n["attr_names"], n["attr_values"])) for n in nodes]  # of a repeated name the last
+    columns["attrs"] = pa.MapArray.from_arrays(_offsets(map(len, attrs)), pa.array([k for a in attrs for k in a], pa.string()),
+                                               pa.array([v for a in attrs for v in a.values()], pa.string()))
+    struct = pa.StructArray.from_arrays([columns[f.name] for f in _NODE_ARROW], fields=[*_NODE_ARROW])
+    return pa.ListArray.from_arrays(_offsets(map(len, pages)), struct)
+
+
 def page_trees(pages: DataFrame) -> DataFrame:
     """All columns of ``pages`` but ``html``, with ``nodes`` (in document order) and ``text``.
 
@@ -34,23 +52,17 @@ def page_trees(pages: DataFrame) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
     out_fields = [*(f.simpleString().replace(":", " ", 1) for f in pages.schema if f.name != "html"), f"nodes array<{NODE}>", "text string"]
 
-    def node(n: dict) -> dict:
-        attrs = dict(zip(n["attr_names"], n["attr_values"]))
-        return {"parent": n["parent_id"], "attrs": [*attrs.items()],
-                **{k: n[k] for k in ("tag", "id", "classes", "type_idx", "ancestors", "text_start", "text_end")}}
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                nodes, texts = [], []
+                found, texts = [], []
                 for html in part.column("html").to_pylist():
-                    found, text = M.shred_html(html)
-                    nodes.append([node(n) for n in found])
+                    nodes, text = M.shred_html(html)
+                    found.append(nodes)
                     texts.append(text)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(nodes, pa.list_(_NODE_ARROW)), pa.array(texts, pa.string())],
-                    names=[*kept, "nodes", "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _node_lists(found), pa.array(texts, pa.string())],
+                                                 names=[*kept, "nodes", "text"])
 
     return pages.mapInArrow(run, ", ".join(out_fields))
 
