@@ -22,3 +22,25 @@ def test_list_items_of_every_plan(spark, tmp_path):
     urls = [f"https://{'h' * n}.de/" for n in range(1, 9)]  # names of every length modulo 4
     got = q_plans.extract_list_items(spark, _tables(spark, tmp_path, urls)).collect()
     assert sorted((r["plan_id"], r["title"]) for r in got) == sorted((f"plan-{'h' * n}.de", f"Title {n}") for n in range(1, 9))
+
+
+def test_a_large_batch_is_parsed_and_packed_in_small_pieces():
+    html = "<div>" * 12 + "x" * 3000 + "</div>" * 12
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(400)), "html": [html] * 399 + [None]})
+    parsed = list(M._shredded(True)(iter([pages])))
+    assert max(b.num_rows for b in parsed) <= M.HTML_SLICE_ROWS * 13
+    assert sum(b.num_rows for b in parsed) == 399 * 13 + 1
+    assert parsed[0].column("page_text")[12].as_py() == "x" * 3000
+    spans = pa.RecordBatch.from_pydict({
+        "page_id": list(range(4000)), "html": [html] * 4000,
+        "starts": [[5 * k for k in range(12)]] * 4000, "ends": [[len(html) - 6 * k for k in range(12)]] * 4000})
+    packed = [(b.nbytes, b.num_rows) for b in K._pack_batches(iter([spans]))]
+    assert max(size for size, _ in packed) < 2 * K.PACK_CHARS
+    assert sum(n for _, n in packed) == 4000 * 12
+
+
+def test_packing_keeps_the_greedy_chunks():
+    html = "a" * 900 + "b" * 900 + "c" * 900 + "d" * 2500 + "e"
+    at = [0, 900, 1800, 2700, 5200]
+    assert list(K._packed(html, at, [*at[1:], 5201])) == ["a" * 900 + "b" * 900, "c" * 900, "d" * 2500, "e"]
+    assert list(K._packed(html, [], [])) == [] == list(K._packed(html, [3], [3]))
