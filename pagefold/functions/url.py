@@ -63,34 +63,38 @@ def _host(p):
     return F.lower(F.regexp_extract(_p(p, 2), _HOST_RE, 1))
 
 
-def _valid(p, u):
-    host = _host(p)
+def _valid(p, u, host=None):
+    host = _host(p) if host is None else host
     return F.coalesce(
         u.isNotNull() & _ok(p)
         & (~_scheme(p).isin(SPECIAL_SCHEMES) | ((host != "") & ~host.rlike(r"\s"))),
         F.lit(False))
 
 
+def _or_empty(p, part: Column) -> Column:
+    return F.when(_ok(p), part).otherwise(F.lit(""))
+
+
 def url_scheme(u) -> Column:
-    return let(url_parts(u), lambda p: F.when(_ok(p), _scheme(p)).otherwise(F.lit("")))
+    return let(url_parts(u), lambda p: _or_empty(p, _scheme(p)))
 
 
 def url_authority(u) -> Column:
-    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 2)).otherwise(F.lit("")))
+    return let(url_parts(u), lambda p: _or_empty(p, _p(p, 2)))
 
 
 def url_host(u) -> Column:
     """Lower-cased host without user info and port ('' when absent)."""
-    return let(url_parts(u), lambda p: F.when(_ok(p), _host(p)).otherwise(F.lit("")))
+    return let(url_parts(u), lambda p: _or_empty(p, _host(p)))
 
 
 def url_path(u) -> Column:
-    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 3)).otherwise(F.lit("")))
+    return let(url_parts(u), lambda p: _or_empty(p, _p(p, 3)))
 
 
 def url_query(u) -> Column:
     """Query including the leading '?', '' when absent."""
-    return let(url_parts(u), lambda p: F.when(_ok(p), _p(p, 4)).otherwise(F.lit("")))
+    return let(url_parts(u), lambda p: _or_empty(p, _p(p, 4)))
 
 
 def url_valid(u) -> Column:
@@ -141,9 +145,13 @@ def remove_dot_segments(path: Column) -> Column:
 
 
 def _canonical(p, u):
+    """The canonical URL, NULL where ``u`` is not valid."""
+    return let(_host(p), lambda host: F.when(_valid(p, u, host), _rebuilt(p, host)))
+
+
+def _rebuilt(p, host):
     scheme = _scheme(p)
     auth = _p(p, 2)
-    host = _host(p)
     port = F.regexp_extract(auth, _PORT_RE, 1)
     default_port = F.create_map(*[x for kv in DEFAULT_PORTS.items() for x in map(F.lit, kv)])
     keep_port = (port != "") & (F.coalesce(default_port[scheme], F.lit("")) != port)
@@ -152,21 +160,20 @@ def _canonical(p, u):
     path = F.when((path == "") & special, F.lit("/")).otherwise(path)
     path = F.when(special, remove_dot_segments(path)).otherwise(path)
     userinfo = F.regexp_extract(auth, r"^([^@]*@)", 1)
-    rebuilt = F.concat(
+    return F.concat(
         scheme, F.lit(":"),
         F.when(_p(p, 1) != "", F.concat(F.lit("//"), userinfo, host,
                                         F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(F.lit(""))))
         .otherwise(F.lit("")),
         path, _p(p, 4), _p(p, 5),
     )
-    return F.when(_valid(p, u), rebuilt).otherwise(u)
 
 
 def url_canonical(u) -> Column:
     """Lower-case scheme and host, drop a default port, '/' for empty path,
     remove dot segments."""
     u = _c(u)
-    return let(u, lambda v: let(url_parts(v), lambda p: _canonical(p, v)))
+    return let(u, lambda v: let(url_parts(v), lambda p: F.coalesce(_canonical(p, v), v)))
 
 
 def _resolve_join(h: Column, b: Column) -> Column:
@@ -197,7 +204,7 @@ def url_resolve(href, base) -> Column:
     joined = let(F.trim(href), lambda h: _resolve_join(h, _c(base)))
 
     def final(j):
-        return let(url_parts(j), lambda p: F.when(j.isNotNull() & _valid(p, j), _canonical(p, j)))
+        return let(url_parts(j), lambda p: _canonical(p, j))
     return F.coalesce(let(joined, final), href)
 
 
@@ -210,14 +217,18 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def _query_keys(u) -> Column:
-    q = F.regexp_replace(url_query(u), r"^\?", "")
+def _query_keys(query: Column) -> Column:
+    q = F.regexp_replace(query, r"^\?", "")
     pairs = F.filter(F.split(q, "&"), lambda s: s != "")
     return F.transform(pairs, lambda p: F.regexp_extract(p, r"^([^=]*)", 1))
 
 
 def _overlap_ratio(a: Column, b: Column) -> Column:
     """Share of ``a`` present in ``b`` over the longer length (1 if both empty)."""
+    return let(F.array(a, b), lambda z: _share(z[0], z[1]))
+
+
+def _share(a: Column, b: Column) -> Column:
     common = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
     return (
         F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
@@ -233,7 +244,7 @@ def url_path_similarity(u1, u2) -> Column:
 
 def url_query_similarity(u1, u2) -> Column:
     """``url_query_similarity`` over query-parameter names."""
-    return _overlap_ratio(_query_keys(u1), _query_keys(u2))
+    return _overlap_ratio(_query_keys(url_query(u1)), _query_keys(url_query(u2)))
 
 
 # Fixed values that must equal the reference's (German municipal URL rules).
@@ -278,13 +289,17 @@ def url_similarity(u1, u2) -> Column:
 
 
 def _similarity(u1: Column, u2: Column) -> Column:
+    return let(F.array(url_parts(u1), url_parts(u2)), lambda p: _score(u1, u2, p[0], p[1]))
+
+
+def _score(u1: Column, u2: Column, p1: Column, p2: Column) -> Column:
     score = (
-        F.when(url_host(u1) == url_host(u2), 0.3).otherwise(0.0)
+        F.when(_or_empty(p1, _host(p1)) == _or_empty(p2, _host(p2)), 0.3).otherwise(0.0)
         + F.when(url_municipal_pattern(u1, u2), url_municipal_similarity(u1, u2))
-        .otherwise(url_path_similarity(u1, u2) * 0.5)
-        + url_query_similarity(u1, u2) * 0.2
+        .otherwise(_overlap_ratio(_segments(_or_empty(p1, _p(p1, 3))), _segments(_or_empty(p2, _p(p2, 3)))) * 0.5)
+        + _overlap_ratio(_query_keys(_or_empty(p1, _p(p1, 4))), _query_keys(_or_empty(p2, _p(p2, 4)))) * 0.2
     )
-    return F.when(url_valid(u1) & url_valid(u2), F.least(score, F.lit(1.0))).otherwise(F.lit(0.0))
+    return F.when(_valid(p1, u1) & _valid(p2, u2), F.least(score, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
 def url_common_path(p1, p2) -> Column:

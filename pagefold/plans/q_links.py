@@ -8,6 +8,7 @@ from pagefold.functions import url as U
 from pagefold.operators import links as L
 from pagefold.plans import duck as D
 from pagefold.plans.catalog import register
+from pagefold.session import materialize
 from pagefold.sources import derived as S
 from pagefold.sources.tables import pages
 
@@ -254,7 +255,8 @@ siblings AS (SELECT page_id, example_url, url, pos, score FROM cands WHERE url <
 
 
 def _siblings(spark, sf_dir):
-    lk = _links(spark, sf_dir)
+    # Written once: read twice, and a condition on ``url`` then tests a value instead of resolving it again.
+    lk = materialize(_links(spark, sf_dir).select("page_id", "page_url", "pos", "url"), "links")
     ex = lk.filter("pos = 1").select(F.col("page_id").alias("example_id"),
                                      F.col("page_url").alias("main_url"), F.col("url").alias("example_url"))
     return lk, ex, L.sibling_candidates(lk, ex)

@@ -44,3 +44,8 @@ def test_packing_keeps_the_greedy_chunks():
     at = [0, 900, 1800, 2700, 5200]
     assert list(K._packed(html, at, [*at[1:], 5201])) == ["a" * 900 + "b" * 900, "c" * 900, "d" * 2500, "e"]
     assert list(K._packed(html, [], [])) == [] == list(K._packed(html, [3], [3]))
+
+
+def test_sibling_candidates_read_written_links(spark, tmp_path):
+    out = q_links.link_patterns(spark, _tables(spark, tmp_path, [f"https://a.de/{k}" for k in range(6)]))
+    assert "pages.parquet" not in " ".join(out.inputFiles())
