@@ -160,15 +160,17 @@ def container_confidence(best: DataFrame, counts: DataFrame) -> DataFrame:
     return j.withColumn("confidence", F.least(conf, F.lit(1.0)))
 
 
-def sibling_discovery(nodes_t: DataFrame, pages: DataFrame, examples: DataFrame, limit: int = 10) -> DataFrame:
+def sibling_discovery(nodes_t: DataFrame, pages: DataFrame, examples: DataFrame, limit: int = 10,
+                      links: DataFrame | None = None) -> DataFrame:
     """``sibling_discovery``: example -> container -> ranked sibling links.
 
     Output per example: signature, container confidence, method, links (top
     ``limit`` by similarity, first position on ties).  Examples whose anchor
     or container is not found yield no links (the reference's same-page and
-    parent-page fallbacks return none)."""
+    parent-page fallbacks return none).  ``links``: the pages' ``dom_links``, where
+    the caller has written them already."""
     # Links and the one container per example are read several times below: each is written once.
-    links = materialize(dom_links(nodes_t, pages), "dom-links")
+    links = materialize(dom_links(nodes_t, pages), "dom-links") if links is None else links
     examples = materialize(examples, "examples")
     anchors = materialize(example_anchor(links, examples), "example-anchors")
     best = materialize(container_find(container_stats(anchors, nodes_t, links)), "containers")

@@ -22,11 +22,14 @@ SURE = 0.7
 LINKS = ["example_id", "container_id", "url", "pos", "method"]
 
 
-def _selected(trees: DataFrame, asked: DataFrame, selector: str) -> DataFrame:
-    """Links that ``asked(example_id, page_id, container_id, example_url, <selector>)`` match inside their container."""
+def _selected(pages: DataFrame, asked: DataFrame, selector: str) -> DataFrame:
+    """Links that ``asked(example_id, page_id, container_id, example_url, <selector>)`` match inside their container.
+
+    Only the pages asked for by this selector are parsed."""
     asked = asked.where(F.coalesce(F.col(selector) != "", F.lit(False)))
+    own = pages.join(asked.select("page_id").distinct(), "page_id", "left_semi").select("page_id", F.col("url").alias("page_url"), "html")
     parsed = P.selector_steps(asked.select(F.col(selector).alias("selector")))
-    j = trees.join(asked.withColumn("selector", F.col(selector)).join(parsed, "selector"), "page_id")
+    j = P.page_trees(own).join(asked.withColumn("selector", F.col(selector)).join(parsed, "selector"), "page_id")
     hit = j.select("example_id", "container_id", "example_url", "page_url", "nodes", F.explode(P.matches(F.col("nodes"), F.col("alts"))).alias("pos"))
     node = F.get("nodes", F.col("pos"))
     hit = hit.where(F.array_contains(node["ancestors"], F.col("container_id"))).select(
@@ -44,11 +47,9 @@ def container_links_recorded(best: DataFrame, pages: DataFrame, links: DataFrame
     """
     asked = best.select("example_id", "page_id", "container_id", "example_url").join(analysis.where(F.col("confidence") > SURE), "example_id")
     asked = materialize(asked, "recorded-asked")
-    own = pages.join(asked.select("page_id").distinct(), "page_id", "left_semi").select("page_id", F.col("url").alias("page_url"), "html")
-    trees = P.page_trees(own)
-    served = materialize(_selected(trees, asked, "content_link_selector").withColumn("method", F.lit("content-selector")).select(LINKS), "recorded-links")
-    left = asked.join(served.select("example_id").distinct(), "example_id", "left_anti")
-    second = materialize(_selected(trees, left, "example_url_selector").withColumn("method", F.lit("example-selector")).select(LINKS), "recorded-links")
+    served = materialize(_selected(pages, asked, "content_link_selector").withColumn("method", F.lit("content-selector")).select(LINKS), "recorded-links")
+    left = materialize(asked.join(served.select("example_id").distinct(), "example_id", "left_anti"), "recorded-left")
+    second = materialize(_selected(pages, left, "example_url_selector").withColumn("method", F.lit("example-selector")).select(LINKS), "recorded-links")
     served = served.unionByName(second)
     rest = best.join(served.select("example_id").distinct(), "example_id", "left_anti")
     similar = CT.container_links(rest, links).withColumn("method", F.lit("similarity")).select(LINKS)

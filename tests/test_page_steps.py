@@ -49,3 +49,29 @@ def test_packing_keeps_the_greedy_chunks():
 def test_sibling_candidates_read_written_links(spark, tmp_path):
     out = q_links.link_patterns(spark, _tables(spark, tmp_path, [f"https://a.de/{k}" for k in range(6)]))
     assert "pages.parquet" not in " ".join(out.inputFiles())
+
+
+def test_discovery_extracts_links_once(spark, tmp_path, monkeypatch):
+    calls, real = [], CT.dom_links
+    monkeypatch.setattr(CT, "dom_links", lambda *a: calls.append(1) or real(*a))
+    q_containers.sibling_discovery(spark, _tables(spark, tmp_path, ["https://a.de/1", "https://a.de/2"]))
+    assert len(calls) == 1
+
+
+def test_recorded_selectors_parse_only_their_own_pages(spark, monkeypatch):
+    from pagefold.operators import recorded_links as R
+    html = '<div><h3><a href="/a">A</a></h3></div>'
+    pages = spark.createDataFrame([(k, f"https://a.de/{k}", html) for k in (1, 2)], "page_id long, url string, html string")
+    best = spark.createDataFrame([(k, k, 0, "https://a.de/z") for k in (1, 2)], "example_id long, page_id long, container_id int, example_url string")
+    links = spark.createDataFrame([], "page_id long, url string, node_id int, ancestors array<int>")
+    analysis = spark.createDataFrame([(1, 0.9, "h3 > a", ".no"), (2, 0.9, ".no", "h3 a")],
+                                     "example_id long, confidence double, content_link_selector string, example_url_selector string")
+    parsed, real = [], P.page_trees
+
+    def trees(own):
+        parsed.append(sorted(r["page_id"] for r in own.select("page_id").collect()))
+        return real(own)
+    monkeypatch.setattr(P, "page_trees", trees)
+    got = R.container_links_recorded(best, pages, links, analysis).collect()
+    assert sorted((r["example_id"], r["method"]) for r in got) == [(1, "content-selector"), (2, "example-selector")]
+    assert parsed == [[1, 2], [2]]
