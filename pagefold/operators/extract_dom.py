@@ -88,16 +88,19 @@ def _descendant_matches(items: DataFrame, matches: DataFrame) -> DataFrame:
 def extract_list_items(pages: DataFrame, plans: DataFrame, max_items: int | None = None) -> DataFrame:
     """``extract_list_items``: one record per list element with typed
     fields (first match inside the item); title and description required;
-    then the executor's basic normalization."""
-    m = match_plan_selectors(pages, plans)
+    then the executor's basic normalization.  A page that comes several times
+    gives its items as often."""
+    found = match_plan_selectors(pages, plans)
+    times = found.filter(F.col("role") == "list").groupBy("plan_id", F.col("node_id").alias("item_id")).agg(F.count("*").cast("int").alias("times"))
+    m = found.dropDuplicates(["plan_id", "role", "field", "page_id", "node_id"])
     items = list_items(m, max_items)
     d = _descendant_matches(items, m)
     first = d.groupBy("plan_id", "item_id", "item_idx", "page_id", "field").agg(
         F.min_by(F.struct("attrs", "text_content"), "node_id").alias("e"),
         F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.col("attrs")["src"].alias("src"),
                                                           "text_content"))), lambda s: s).alias("all"))
-    base = pages.select("page_id", F.col("url").alias("page_url"))
-    first = first.join(base, "page_id")
+    base = plans.select("plan_id", F.col("entry_url").alias("page_url"))
+    first = first.join(base, "plan_id")
     text = H.js_trim(F.col("e.text_content"))
     f = F.col("field")
     val = (F.when(f == "website", U.url_resolve(F.col("e.attrs")["href"], F.col("page_url")))
@@ -125,6 +128,7 @@ def extract_list_items(pages: DataFrame, plans: DataFrame, max_items: int | None
                    F.coalesce("images", F.array().cast("array<string>")).alias("images"),
                    F.lit(None).cast("string").alias("createdAt"))
     out = out.filter(F.col("title").isNotNull() & F.col("description").isNotNull())
+    out = out.join(times, ["plan_id", "item_id"]).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
     return X.item_normalize_basic(out)
 
 

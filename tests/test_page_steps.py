@@ -24,6 +24,13 @@ def test_list_items_of_every_plan(spark, tmp_path):
     assert sorted((r["plan_id"], r["title"]) for r in got) == sorted((f"plan-{'h' * n}.de", f"Title {n}") for n in range(1, 9))
 
 
+def test_list_items_of_a_repeated_page(spark, tmp_path):
+    sf = _tables(spark, tmp_path, ["https://a.de/", "https://bb.de/"])
+    spark.read.parquet(f"{sf}/pages.parquet").where("page_id = 2").write.mode("append").parquet(f"{sf}/pages.parquet")
+    got = q_plans.extract_list_items(spark, sf).collect()
+    assert sorted((r["plan_id"], r["item_idx"]) for r in got) == [("plan-a.de", 0), ("plan-bb.de", 0), ("plan-bb.de", 0)]
+
+
 def test_a_large_batch_is_parsed_and_packed_in_small_pieces():
     html = "<div>" * 12 + "x" * 3000 + "</div>" * 12
     pages = pa.RecordBatch.from_pydict({"page_id": list(range(400)), "html": [html] * 399 + [None]})
