@@ -26,13 +26,15 @@ import bisect
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagefold.llm.common import arrow_map, held, read, save
+from pagefold.llm.common import held, read, save
 from pagefold.plans.catalog import register
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +42,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Entries that each of a worker's two tables keeps; what comes later is worked out each time.
 TABLE_SIZE = 150_000
+#: Text whose distinct runs are looked up together; a longer text is one slice.
+SLICE_BYTES = 1 << 23
+#: Blank-free runs whose ids are put together at once.
+BLOCK_RUNS = 1 << 18
 #: Buckets that split the pieces of one length when they are ranked.
 BUCKETS = 4096
 
@@ -68,16 +74,17 @@ class WordEncoder:
     pre-token only.  Ids are therefore joined from two bounded tables: blank-free
     run -> ids, and pre-token -> ids, which asks the library.  That holds for
     ASCII and the Latin-1 letters; texts with any other character go to the
-    library as a whole.
+    library as a whole.  The runs of many texts are split and numbered by Arrow,
+    so a table is asked once per distinct run of a slice.
     """
 
     #: The vocabulary's own pre-token rule, for the characters of the tables.
     RULE = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+"
+    OTHER = "[^\t\n\r\x20-~À-ÖØ-öø-ÿ]"
 
     def __init__(self, path: str, room: int = TABLE_SIZE):
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.other = re.compile("[^\t\n\r\x20-~À-ÖØ-öø-ÿ]").search
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         model, split = self.lib.model, re.compile(self.RULE).findall
 
@@ -98,9 +105,31 @@ class WordEncoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.other(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        return b"".join(map(self.runs.__getitem__, text.split()))
+        return next(self.encode_all(pa.array([text], pa.string())))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        other = pc.match_substring_regex(texts, self.OTHER)
+        for content in self.added:
+            other = pc.or_(other, pc.match_substring(texts, content))
+        split = pc.ascii_split_whitespace(pc.if_else(other, "", texts))
+        coded = split.flatten().dictionary_encode()
+        found = [self.runs[run] for run in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // 4
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        codes = coded.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(split).to_numpy()).tolist()
+        for k, whole, low, high in zip(range(len(texts)), other.to_pylist(), [0, *ends], ends):
+            if whole:
+                yield self.whole(texts[k].as_py())
+                continue
+            parts = []
+            for at in range(low, high, BLOCK_RUNS):
+                runs = codes[at:min(at + BLOCK_RUNS, high)]
+                n = sizes[runs]
+                parts.append(flat[np.repeat(first[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+            yield b"".join(parts)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -112,17 +141,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: one row per piece of a document."""
     end = np.array([END_ID], "<u4").tobytes()
 
-    def cut(batch):
-        rows, encode = [], encoder(path).encode
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = encode(text or "") + end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at:at + 4 * capacity]
-                rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-        return dict(zip(PIECES.names, zip(*rows)))
-
-    return docs.select("doc_id", "text").mapInArrow(
-        arrow_map(cut, PIECES), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    def cut(batches):
+        for batch in batches:
+            text = batch.column("text")
+            size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype="i8")
+            edges = [0, *(np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                rows = []
+                for doc_id, ids in zip(batch.column("doc_id")[low:high].to_pylist(), encoder(path).encode_all(text[low:high])):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Runs:

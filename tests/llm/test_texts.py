@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,6 +160,24 @@ def test_word_encoder_equals_the_library(encoder, text):
     assert encoder.encode(text) == encoder.whole(text)
 
 
+@settings(max_examples=50, deadline=None)
+@given(texts=st.lists(st.none() | st.lists(st.sampled_from(TOKENS), max_size=6).map("".join), max_size=6))
+def test_texts_of_a_slice_equal_the_library(encoder, texts):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "BLOCK_RUNS", 2)
+        got = [*encoder.encode_all(pa.array([None, *texts, None], pa.string()).slice(1, len(texts)))]
+    assert got == [encoder.whole(t or "") for t in texts]
+
+
+def test_a_run_is_looked_up_once_per_slice():
+    import public_tokenizers
+    e = packing.WordEncoder(public_tokenizers.path(packing.VOCABULARY), room=0)
+    asked, work = [], e.runs.work
+    e.runs.work = lambda run: asked.append(run) or work(run)
+    assert e.encode("one two, " * 50) == e.whole("one two, " * 50)
+    assert sorted(r for r in asked if r) == ["one", "two,"]
+
+
 # ---- op9 -------------------------------------------------------------------
 
 @settings(max_examples=150, deadline=None)
