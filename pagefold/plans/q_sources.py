@@ -27,7 +27,7 @@ def sink_results_json(spark, sf_dir):
     folder; report documents written per plan partition."""
     path = _scratch(spark, "results")
     FS.sink_results_json(FS.result_documents(S.executions(spark, sf_dir)), path)
-    back = spark.read.json(path)
+    back = spark.read.schema("plan string").json(path)
     return back.groupBy("plan").agg(F.count("*").alias("n_docs"))
 
 

@@ -35,12 +35,22 @@ def result_documents(runs: DataFrame) -> DataFrame:
         F.date_format("end_time", iso).alias("timestamp"))
 
 
+#: Folders that plans are dealt to, and documents in one file: neither follows the number
+#: of plans, and a file stays small enough to be read whole.
+PLAN_GROUPS = 64
+FILE_DOCUMENTS = 10_000
+
+
 def sink_results_json(docs: DataFrame, path: str) -> None:
     """``sink_results_json``: JSON documents partitioned by plan, one per line.
 
-    Rows are gathered by plan first, so a plan gets a few files instead of one
-    from every task; a rebalance splits the files of a large plan."""
-    docs.hint("rebalance", "plan").write.mode("overwrite").partitionBy("plan").json(path)
+    A plan lies in one folder, ``plan_group=<hash of the plan>``, and stays in its
+    documents as ``plan``: a folder of its own for every plan would make as many
+    files as there are plans.  Rows are gathered by folder first; a rebalance splits
+    a large one, and ``FILE_DOCUMENTS`` bounds a file."""
+    group = F.pmod(F.xxhash64("plan"), F.lit(PLAN_GROUPS)).cast("int")
+    (docs.withColumn("plan_group", group).hint("rebalance", "plan_group").write.mode("overwrite")
+     .option("maxRecordsPerFile", FILE_DOCUMENTS).partitionBy("plan_group").json(path))
 
 
 def src_result_json(spark: SparkSession, path: str) -> DataFrame:

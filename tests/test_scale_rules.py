@@ -82,6 +82,24 @@ def test_indented_result_file(spark, tmp_path):
     assert got.where("id = 'r1'").first()["itemsExtracted"] == 3
 
 
+def test_result_files_do_not_follow_the_number_of_plans(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE_DOCUMENTS", 20)
+    value = "struct(id AS duration, id AS itemsExtracted, id AS pagesProcessed)"
+    plan = "if(id % 10 = 0, 'hot', if(id = 1, NULL, concat('plan ', id)))"
+    docs = spark.range(500).selectExpr(f"{plan} AS plan", "concat('r', id) AS runId", f"{plan} AS planId", "'ok' AS status", f"{value} AS metrics")
+    files.sink_results_json(docs, str(tmp_path))
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) <= files.PLAN_GROUPS
+    folders = {}
+    for p in tmp_path.rglob("*.json"):
+        lines = [json.loads(x) for x in p.read_text().splitlines()]
+        assert len(lines) <= 20
+        for x in lines:
+            folders.setdefault(x.get("plan"), set()).add(p.parent.name)
+    assert len(folders) == 451 and all(len(f) == 1 for f in folders.values())
+    got = {r["id"]: (r["planId"], r["itemsExtracted"]) for r in files.src_result_json(spark, str(tmp_path)).collect()}
+    assert got == {f"r{k}": ("hot" if k % 10 == 0 else "unknown" if k == 1 else f"plan {k}", k) for k in range(500)}
+
+
 @pytest.mark.parametrize("selector", ["li:first-child", "div.a:not(.b)", "a + b", "a ~ b", "", "a,,b", "> a", "a[b~=c]", "a:hover"])
 def test_selectors_outside_the_subset_are_refused(selector):
     with pytest.raises(dom.UnsupportedSelector):
