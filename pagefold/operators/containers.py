@@ -63,16 +63,17 @@ def container_stats(anchors: DataFrame, nodes_t: DataFrame, links: DataFrame) ->
                           F.col("class").alias("c_class"), F.col("id").alias("c_id"),
                           F.col("child_count").alias("c_children"))
     cand = cand.join(lists, ["page_id", "container_id"]).join(info, ["page_id", "container_id"])
-    # Similarity is worked out once per link and example, before the link is repeated for its ancestors.
+    # What is asked of a link is worked out once per link and example, before it is repeated for its ancestors.
     la = links.select("page_id", "url", "text", "is_content", "ancestors").join(
         anchors.select("example_id", "page_id", "example_url"), "page_id")
     la = la.withColumn("sim", U.url_similarity("url", "example_url")).select(
-        "example_id", "url", "text", "is_content", "sim", F.explode("ancestors").alias("container_id"))
+        "example_id", "url", "is_content", "sim", F.lower("text").isin(READ_MORE).alias("more"),
+        F.explode("ancestors").alias("container_id"))
     j = cand.select("example_id", "container_id").join(la, ["example_id", "container_id"])
     per_url = j.groupBy("example_id", "container_id", "url").agg(
         F.count("*").alias("n_anchor"), F.bool_or("is_content").alias("content"),
         F.max("sim").alias("sim"),
-        F.count_if(F.lower("text").isin(READ_MORE)).alias("n_read_more"))
+        F.count_if("more").alias("n_read_more"))
     agg = per_url.groupBy("example_id", "container_id").agg(
         F.sum("n_anchor").alias("all_links"),
         F.count_if("content").alias("content_links"),
@@ -337,11 +338,15 @@ def container_candidate_eval(anchors: DataFrame, nodes_t: DataFrame, links: Data
     info = nodes_t.select("page_id", F.col("node_id").alias("container_id"), F.col("tag").alias("c_tag"),
                           F.col("class").alias("c_class"))
     cand = cand.join(info, ["page_id", "container_id"])
-    la = links.select("page_id", "url", F.col("node_id").alias("link_id"), F.explode("ancestors").alias("container_id"))
-    j = cand.join(la, ["page_id", "container_id"]).filter((c("link_id") != c("anchor_id")) & U.url_valid("url"))
-    agg = j.groupBy("example_id", "container_id").agg(
-        F.count("*").alias("valid_links"),
-        F.count_if(U.url_similarity("url", "example_url") > 0.5).alias("similar"))
+    # Links are judged once per example and counted page by page; a container then meets one row of counts.
+    key = ["example_id", "page_id", "example_url"]
+    la = links.select("page_id", "url", "node_id", "ancestors").join(anchors.select(*key, "anchor_id").distinct(), "page_id")
+    la = la.filter((c("node_id") != c("anchor_id")) & U.url_valid("url"))
+    la = la.withColumn("near", U.url_similarity("url", "example_url") > 0.5).select(
+        *key, "anchor_id", "near", F.explode("ancestors").alias("container_id"))
+    counts = la.groupBy(*key, "anchor_id", "container_id").agg(F.count("*").alias("n"), F.count_if("near").alias("n_near"))
+    agg = cand.join(counts, [*key, "anchor_id", "container_id"]).groupBy("example_id", "container_id").agg(
+        F.sum("n").alias("valid_links"), F.sum("n_near").alias("similar"))
     s = cand.join(agg, ["example_id", "container_id"], "left").fillna(0, ["valid_links", "similar"])
     n = c("valid_links")
     cls = F.lower(F.coalesce("c_class", F.lit("")))

@@ -152,3 +152,24 @@ def test_rest_works_without_the_optional_part(tmp_path):
     code = "import __spark_entry__ as E; q = E.queries(); assert len(q) > 150 and 'pipeline' not in q and set(E.oracle_sql()) <= set(q)"
     r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=copy)
     assert r.returncode == 0, r.stderr[-2000:]
+
+
+def test_candidate_eval_judges_a_link_once(spark, monkeypatch):
+    pages, nt = _nt(spark, [(1, "https://stadt.example.de/aktuelles", G3)])
+    ex = spark.createDataFrame([(1, 1, "https://stadt.example.de/news/2024/bericht-1")],
+                               "example_id long, page_id long, example_url string")
+    links = CT.dom_links(nt, pages).localCheckpoint()
+    anchors = CT.example_anchor(links, ex).localCheckpoint()
+    best = CT.container_candidate_eval(anchors, nt, links).first()
+    assert (best["c_class"], best["valid_links"], best["similar"]) == ("news-list", 2, 2)
+    # Elements that come twice count their links as often.
+    twice = CT.container_candidate_eval(anchors, nt.unionByName(nt), links).first()
+    assert (twice["c_class"], twice["valid_links"], twice["similar"]) == ("news-list", 4, 4)
+    judged = spark.sparkContext.accumulator(0)
+
+    def similar(a, b):
+        judged.add(1)
+        return 1.0
+    monkeypatch.setattr(CT.U, "url_similarity", lambda a, b: F.udf(similar, "double")(a, b))
+    CT.container_candidate_eval(anchors, nt, links).collect()
+    assert judged.value == 2
